@@ -10,11 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.semantics import packed_order
 from .plans import conform
+from .sources.readers import read_parquet
+from .sources.schemas import permit_types
+
+
+SCHEMAS = {
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
 def null_if(cond: Column, c: Column) -> Column:
@@ -210,6 +229,14 @@ def raw_residency(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTING_TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 
 
+def listing_order() -> Column:
+    cents = F.round(F.col("l_extendedprice") * 100)
+    return packed_order(
+        [(F.unix_date("date"), 5), (F.col("l_orderkey"), 12), (F.col("l_linenumber"), 1)],
+        [(F.col("l_suppkey"), 10), (cents, 8)],
+    )
+
+
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     on = F.to_date("l_shipdate")
@@ -277,8 +304,6 @@ def households(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources.schemas import permit_types
-
     return conform.permit_conform(raw_permits(spark, sf_dir), permit_types(spark))
 
 
@@ -309,7 +334,7 @@ def owners(spark: SparkSession, sf_dir: str, precedence: str = "code") -> DataFr
 
 
 def rentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform.listing_dedupe(raw_listings(spark, sf_dir), LISTING_TIES)
+    return conform.listing_dedupe(raw_listings(spark, sf_dir), listing_order())
 
 
 def rental(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,24 @@ def ratio(num: Column | str, den: Column | str) -> Column:
         .when(num > 0, F.lit(float("inf")))
         .when(num < 0, F.lit(float("-inf")))
     )
+
+
+def packed_order(high: list[tuple[Column, int]], low: list[tuple[Column, int]]) -> Column:
+    """One number that sorts like the given whole numbers in turn.
+
+    Each part is a column and its largest number of digits; ``high`` and
+    ``low`` may hold 18 digits each. A fixed-width key keeps ``min_by`` and
+    ``max_by`` in a hash aggregate, where a struct would force a sort of the
+    raw rows.
+    """
+
+    def pack(parts: list[tuple[Column, int]]) -> Column:
+        if sum(d for _, d in parts) > 18:
+            raise ValueError("at most 18 digits fit in each half")
+        out = F.lit(0).cast("long")
+        for c, digits in parts:
+            out = out * F.lit(10**digits) + c.cast("long")
+        return out
+
+    scale = F.lit(10**18).cast("decimal(19,0)")
+    return pack(high).cast("decimal(19,0)") * scale + pack(low).cast("decimal(19,0)")

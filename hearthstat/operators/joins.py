@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least one row in HOT_SHARE. At most HOT_SHARE
-# keys can, whatever the size of the table, so the hot totals fit a broadcast.
-HOT_SHARE = 1000
+# The largest groups handled by broadcast. However big the table, a group that is
+# not among them has less than one row in HOT_KEYS.
+HOT_KEYS = 1000
 # Hot rows spread over this many hash values.
 SPREAD = 65536
 
@@ -60,37 +60,34 @@ def with_group_totals(
     """Put per-group aggregates back on every row of the group.
 
     A window over ``key`` would sort a whole group in one task. Here the groups
-    are aggregated (combined map-side) and joined back instead. Rows of hot
+    are aggregated (combined map-side) and joined back. Rows of the largest
     groups get their totals from a broadcast and are then spread over
-    ``spread_by`` rather than hashed to the key's partition.
+    ``spread_by`` instead of going to their key's partition, so no task is left
+    with more than one group of at most 1/HOT_KEYS of all rows.
     """
-    grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in totals.items()])
-    all_rows = grouped.agg(F.sum("__n")).scalar()
-    is_hot = F.col("__n") * HOT_SHARE >= all_rows
     names = list(totals)
-
-    hot = grouped.filter(is_hot).select(
-        F.col(key).alias("__hot_key"),
-        F.struct(*names).alias("__hot"),
+    grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in totals.items()])
+    hot = (
+        grouped.orderBy(F.desc("__n"))
+        .limit(HOT_KEYS)
+        .select(F.col(key).alias("__hot_key"), F.struct(*names, "__n").alias("__hot"))
     )
-    cold = grouped.filter(~is_hot).select(
-        F.col(key).alias("__cold_key"),
+    # Holds every group, so it does not matter which of several equal ones are hot.
+    every = grouped.select(
+        F.col(key).alias("__key"),
         # Always 0, but not a literal: a folded constant would leave the join key.
-        F.least(F.col("__n"), F.lit(0)).cast("int").alias("__cold_spread"),
-        F.struct(*names).alias("__cold"),
+        F.least(F.col("__n"), F.lit(0)).cast("int").alias("__zero"),
+        F.struct(*names, "__n").alias("__any"),
     )
+    is_hot = F.col("__hot").isNotNull()
     rows = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot_key")), "left").withColumn(
-        "__spread",
-        F.when(F.col("__hot").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int") + 1
-        ),
+        "__spread", F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
     )
     rows = rows.join(
-        cold,
-        (F.col("__spread") == F.col("__cold_spread")) & F.col(key).eqNullSafe(F.col("__cold_key")),
+        every,
+        (F.col("__spread") == F.col("__zero")) & F.col(key).eqNullSafe(F.col("__key")),
         "left",
     )
     return rows.select(
-        *df.columns,
-        *[F.coalesce(F.col(f"__hot.{n}"), F.col(f"__cold.{n}")).alias(n) for n in names],
+        *df.columns, *[F.coalesce(F.col(f"__hot.{n}"), F.col(f"__any.{n}")).alias(n) for n in names]
     )

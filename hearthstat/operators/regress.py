@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -82,16 +83,31 @@ class Fit:
         return spark.createDataFrame(rows[:keep], COEF_SCHEMA)
 
 
-def _levels(df: DataFrame, factors: list[Factor]) -> dict[str, list[str]]:
-    """Levels that occur, in level order. Reads at most MAX_TERMS + 1 of them per factor."""
-    out = {}
-    for f in factors:
-        found = df.select(f.name).distinct().limit(MAX_TERMS + 1).collect()
-        if len(found) > MAX_TERMS:
-            raise ValueError(f"{f.name} has more than {MAX_TERMS} levels; absorb it instead")
-        seen = {r[0] for r in found}
-        out[f.name] = [v for v in f.levels if v in seen] if f.levels else sorted(seen)
-    return out
+def _profile(data: DataFrame, factors: list[Factor], numbers: list[str]) -> tuple[dict, int, dict]:
+    """Levels that occur in level order, row count, and column means, from one aggregation.
+
+    Rows are combined per factor level, so what reaches the driver is one row
+    per level, at most MAX_TERMS + 1 of them.
+    """
+    tags = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f.name).alias("v")) for i, f in enumerate(factors)])
+    rows = (
+        data.select(F.explode(tags).alias("__t"), *numbers)
+        .groupBy("__t.f", "__t.v")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in numbers])
+        .limit(MAX_TERMS + 1)
+        .collect()
+    )
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} factor levels")
+    levels = {}
+    for i, f in enumerate(factors):
+        seen = {r["v"] for r in rows if r["f"] == i}
+        levels[f.name] = [v for v in f.levels if v in seen] if f.levels else sorted(seen)
+    # Every row falls in exactly one level of the first factor.
+    base = [r for r in rows if r["f"] == 0]
+    n = sum(r["n"] for r in base)
+    means = {c: sum(r[c] * r["n"] for r in base) / n for c in numbers} if n else {}
+    return levels, n, means
 
 
 def _gram(df: DataFrame, cols: str) -> np.ndarray:
@@ -143,9 +159,10 @@ def solve_normal(gram: np.ndarray, n: int, names: list[str], shift: np.ndarray |
 def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str]) -> Fit:
     """``y ~ 0 + first + terms``; a plain string is a numeric covariate.
 
-    Three jobs: factor levels, row count and means, and one cross-product over
-    sparse vectors. Covariates are centred before squaring, which keeps year-like
-    columns from drowning the rest, and the shift is undone on the coefficients.
+    Two jobs over the complete rows, which are kept while both run: factor
+    levels and means, and one cross-product over sparse vectors. Covariates are
+    centred before squaring, which keeps year-like columns from drowning the
+    rest, and the shift is undone on the coefficients.
     """
     factors = [first, *[t for t in terms if isinstance(t, Factor)]]
     numbers = [t for t in terms if isinstance(t, str)]
@@ -154,55 +171,60 @@ def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str])
         *[F.col(f.name).cast("string").alias(f.name) for f in factors],
         *[F.col(c).cast("double").alias(c) for c in numbers],
     ).dropna()
-    levels = _levels(data, factors)
-    stats = data.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("__y").alias("__y"), *[F.avg(c).alias(c) for c in numbers]
-    ).first()
-    n = stats["n"]
+    for f in factors:
+        if f.levels:
+            data = data.filter(F.col(f.name).isin(f.levels))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(data, first, factors, numbers, terms)
+    finally:
+        data.unpersist()
+
+
+def _fit(
+    data: DataFrame, first: Factor, factors: list[Factor], numbers: list[str], terms: list[Factor | str]
+) -> Fit:
+    levels, n, centre = _profile(data, factors, [*numbers, "__y"])
     if n == 0:
         raise ValueError("no complete rows to fit")
-    centre = {c: float(stats[c]) for c in [*numbers, "__y"]}
 
-    # The encoder drops the last category, so the reference level goes last.
     coded = data.select(
         *[F.col(f.name) for f in factors],
         *[(F.col(c) - F.lit(centre[c])).alias(c) for c in [*numbers, "__y"]],
     )
     names: list[str] = []
     inputs: list[str] = []
-    for f in factors:
-        lv = levels[f.name]
-        used = lv if f is first else lv[1:]
+    for t in [first, *terms]:
+        if isinstance(t, str):
+            names.append(t)
+            inputs.append(t)
+            continue
+        lv = levels[t.name]
+        used = lv if t is first else lv[1:]
         if not used:
             continue
-        order = lv if f is first else lv[1:] + lv[:1]
-        index = StringIndexerModel.from_labels(order, inputCol=f.name, outputCol=f"__i_{f.name}")
-        coded = index.transform(coded)
+        # The encoder drops the last category, so the reference level goes last.
+        order = lv if t is first else lv[1:] + lv[:1]
+        index = StringIndexerModel.from_labels(order, inputCol=t.name, outputCol=f"__i_{t.name}")
         one_hot = OneHotEncoder(
-            inputCol=f"__i_{f.name}", outputCol=f"__v_{f.name}", dropLast=f is not first
+            inputCol=f"__i_{t.name}", outputCol=f"__v_{t.name}", dropLast=t is not first
         )
+        coded = index.transform(coded)
         coded = one_hot.fit(coded).transform(coded)
-    for t in [first, *terms]:
-        if isinstance(t, str):
-            names.append(t)
-            inputs.append(t)
-        elif f"__v_{t.name}" in coded.columns:
-            lv = levels[t.name]
-            names += [f"{t.name}:{v}" for v in (lv if t is first else lv[1:])]
-            inputs.append(f"__v_{t.name}")
-    if len(names) > MAX_TERMS:
-        raise ValueError(f"{len(names)} terms; at most {MAX_TERMS} can be fitted")
+        names += [f"{t.name}:{v}" for v in used]
+        inputs.append(f"__v_{t.name}")
 
     design = VectorAssembler(inputCols=[*inputs, "__y"], outputCol="__x").transform(coded)
     gram = _gram(design, "__x")
 
-    # The first factor's dummies add up to 1, so a shift of a covariate (or of
-    # y) is a shift of exactly those coefficients.
-    k, k1 = len(names), len(levels[first.name])
-    shift = np.eye(k)
+    # The first factor's dummies add up to 1, so shifting a covariate (or y)
+    # shifts exactly those coefficients.
+    k1 = len(levels[first.name])
+    shift = np.eye(len(names))
     for j, name in enumerate(names):
         if name in centre:
             shift[:k1, j] -= centre[name]
     fit = solve_normal(gram, n, names, shift)
-    fit.estimate = fit.estimate + np.array([centre["__y"] if t in names[:k1] else 0.0 for t in fit.terms])
+    of_first = np.array([t in names[:k1] for t in fit.terms])
+    fit.estimate = fit.estimate + np.where(of_first, centre["__y"], 0.0)
     return fit

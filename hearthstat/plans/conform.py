@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -170,24 +170,26 @@ def ownership_records(records: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ listings
 
 
-def listing_dedupe(listings: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+def listing_dedupe(listings: DataFrame, order_by: Column | None = None) -> DataFrame:
     """One row per parcel, year and unit: repeat listings of a unit combined.
 
-    First and last follow the listing date and then ``order_by``, which should
-    break all ties so that the result does not depend on row order. Prices are
-    monthly, ``list_rent`` is annual.
+    First and last follow ``order_by``, by default the listing ``date``. It
+    should settle ties, so that the result does not depend on row order, and be
+    of fixed width (see ``packed_order``). Prices are monthly, ``list_rent`` is
+    annual.
     """
     dated = listings.withColumn("date", F.coalesce("listed_on", "removed_on", "seen_on")).withColumn(
         "year", F.year("date")
     )
-    when = F.struct("date", *(order_by or []))
     return (
         dated.filter(F.col("year").isNotNull())
+        .withColumn("__order", F.col("date") if order_by is None else order_by)
         .groupBy("parcel_num", "year", "listing_unit_level_id")
         .agg(
             S.n_rows().alias("n_listings"),
-            F.max_by(F.struct("listed_on", "price_numeric"), when).alias("last"),
-            F.min_by("price_numeric", when).alias("first_price"),
+            F.max_by("listed_on", "__order").alias("seen_on"),
+            F.max_by("price_numeric", "__order").alias("last_price"),
+            F.min_by("price_numeric", "__order").alias("first_price"),
             S.mean_of("price_numeric", na_rm=True).alias("mean_price"),
             S.max_of("beds").alias("beds"),
             S.max_of("baths").alias("baths"),
@@ -198,8 +200,8 @@ def listing_dedupe(listings: DataFrame, order_by: list[str] | None = None) -> Da
             "year",
             "listing_unit_level_id",
             "n_listings",
-            F.col("last.listed_on").alias("seen_on"),
-            (F.col("last.price_numeric") * 12).alias("list_rent"),
+            "seen_on",
+            (F.col("last_price") * 12).alias("list_rent"),
             "first_price",
             "mean_price",
             "beds",

@@ -29,8 +29,10 @@ def read_table_csv(spark: SparkSession, path: str, schema: str | None = None) ->
     return df.drop(first) if first in ("", "_c0") else df
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Parquet table. A given schema saves the job that reads footers to find it."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
 
 
 def read_fixed_width(
