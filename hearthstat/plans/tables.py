@@ -20,7 +20,8 @@ from ..operators.series import (
 )
 from .conform import PERMIT_CLASSES
 
-by_size = C.rank_of("building_size", C.BUILDING_SIZES)
+# Fixed value: name of the renters' series.
+MEDIAN_RENT = "Median annual rental costs"
 
 # ---------------------------------------------------------------- households
 
@@ -34,10 +35,12 @@ def _series(df: DataFrame, value: str, estimate: str) -> DataFrame:
     return df.select("year", F.col(value).cast("double").alias("value"), F.lit(estimate).alias("estimate"))
 
 
-def _indexed_estimates(*series: DataFrame) -> DataFrame:
-    """Series stacked, each indexed to its first year."""
-    indexed = index_to_base(stack_rows(*series), {"value2": "value"}, ["estimate"])
-    return arrange(indexed, "estimate", "year")
+def _indexed_estimates(lead: tuple[str, DataFrame], rest: dict[str, DataFrame]) -> DataFrame:
+    """Series stacked, each indexed to its first year. The lead series is listed first."""
+    series = {lead[0]: lead[1], **rest}
+    stacked = stack_rows(*[_series(df, "value", name) for name, df in series.items()])
+    indexed = index_to_base(stacked, {"value2": "value"}, ["estimate"])
+    return arrange(indexed, F.col("estimate") != lead[0], "year", C.rank_of("estimate", list(series)))
 
 
 def market_index(households: DataFrame, min_year: int = 2010) -> DataFrame:
@@ -54,10 +57,13 @@ def market_index(households: DataFrame, min_year: int = 2010) -> DataFrame:
         {"rent": "rent", "income": "hh_income"},
         na_rm=True,
     )
+    rents = medians.filter(F.col("rent").isNotNull())
     return _indexed_estimates(
-        _series(medians.filter(F.col("rent").isNotNull()), "rent", "Median annual rental costs"),
-        _series(counts, "n", "Households"),
-        _series(medians, "income", "HH Income"),
+        (MEDIAN_RENT, rents.withColumnRenamed("rent", "value")),
+        {
+            "Households": counts.withColumnRenamed("n", "value"),
+            "HH Income": medians.withColumnRenamed("income", "value"),
+        },
     )
 
 
@@ -73,11 +79,14 @@ def near_poverty(
         S.sum_of("HHWT").alias("n"),
         S.sum_of(F.when(is_poor, F.col("HHWT")).otherwise(0)).alias("poor"),
     )
-    rents = grouped_median(recent.filter(F.col("ownership") == "Rent"), ["year"], {"rent": "housing_cost"})
+    rents = grouped_median(recent.filter(F.col("ownership") == "Rent"), ["year"], {"value": "housing_cost"})
+    poor = f"Households with income < {factor:g} times poverty threshold"
     return _indexed_estimates(
-        _series(rents, "rent", "Median annual rental costs"),
-        _series(counts, "n", "Households"),
-        _series(counts, "poor", f"Households with income < {factor:g} times poverty threshold"),
+        (MEDIAN_RENT, rents),
+        {
+            "Households": counts.withColumnRenamed("n", "value"),
+            poor: counts.withColumnRenamed("poor", "value"),
+        },
     )
 
 
@@ -116,7 +125,7 @@ def renters_by_size(households: DataFrame) -> DataFrame:
         .agg(S.sum_of("HHWT").alias("households"))
     )
     indexed = index_to_base(counts, {"household_index": "households"}, ["building_size"])
-    return arrange(indexed, "year", by_size)
+    return arrange(indexed, "year", C.rank_of("building_size", C.BUILDING_SIZES))
 
 
 def renters_by_year(renters: DataFrame) -> DataFrame:
