@@ -1,0 +1,523 @@
+"""Pipelines on small hand-made tables."""
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from hearthstat.functions import semantics as S
+from hearthstat.plans import conform, models, tables
+from hearthstat.sources import schemas
+
+
+def rows(df, *cols):
+    return sorted([tuple(r) for r in df.select(*(cols or df.columns)).collect()], key=repr)
+
+
+# ---------------------------------------------------------------- households
+
+
+def person(**kw):
+    base = dict(
+        YEAR=2020, HHWT=10, PERNUM=1, OWNERSHP=2, OWNERSHPD=22, RENT=1000.0, MORTAMT1=0.0,
+        OWNCOST=99999.0, HHINCOME=60000.0, UNITSSTR=4, MIGPUMA1=0,
+    )
+    base.update(kw)
+    return tuple(base.values())
+
+
+def people(spark, *persons):
+    return spark.createDataFrame([person(**p) for p in persons], schemas.HOUSEHOLDS)
+
+
+OWNER = dict(OWNERSHP=1, OWNERSHPD=13, RENT=0.0, MORTAMT1=2000.0, OWNCOST=2500.0)
+
+
+def test_household_limits(spark):
+    kept = [
+        {}, dict(RENT=115.0), dict(RENT=8887.0), OWNER, {**OWNER, "MORTAMT1": 10000.0}, dict(UNITSSTR=11),
+    ]
+    dropped = [
+        dict(RENT=114.0), dict(RENT=8888.0), {**OWNER, "MORTAMT1": 10001.0}, dict(PERNUM=2),
+        dict(OWNERSHPD=21), dict(RENT=0.0), dict(MORTAMT1=500.0), dict(HHINCOME=0.0), dict(HHINCOME=-5.0),
+        dict(RENT=None),
+    ]
+    assert conform.household_conform(people(spark, *kept)).count() == len(kept)
+    assert conform.household_conform(people(spark, *dropped)).count() == 0
+
+
+def test_household_columns(spark):
+    renter, owner, odd = (
+        conform.household_conform(people(spark, p)).first()
+        for p in ({"HHINCOME": 40000.0}, OWNER, dict(UNITSSTR=11, OWNERSHP=None))
+    )
+    assert (renter["housing_cost"], renter["ownership"], renter["burden"]) == (12000.0, "Rent", "Not burdened")
+    assert renter["housing_share"] == 0.3 and renter["building_size"] == "Single family"
+    assert (owner["housing_cost"], owner["ownership"], owner["burden"]) == (30000.0, "Own", "Burdened")
+    assert odd["building_size"] is None and odd["ownership"] is None
+
+
+def test_outmovers(spark):
+    moved = conform.outmover_conform(
+        people(spark, dict(MIGPUMA1=11600), dict(MIGPUMA1=11600, HHINCOME=0.0), dict(MIGPUMA1=5), {})
+    )
+    assert moved.count() == 2 and "building_size" not in moved.columns
+
+
+def test_market_index(spark):
+    hh = conform.household_conform(
+        people(
+            spark,
+            dict(YEAR=2009, RENT=400.0),
+            dict(YEAR=2010, RENT=900.0, HHINCOME=30000.0),
+            dict(YEAR=2010, RENT=1100.0, HHINCOME=50000.0),
+            dict(YEAR=2011, RENT=1500.0, HHINCOME=60000.0, HHWT=40),
+            {**OWNER, "YEAR": 2012},
+        )
+    )
+    got = [tuple(r) for r in tables.market_index(hh).select("year", "estimate", "value", "value2").collect()]
+    assert got == [
+        (2010, "Median annual rental costs", 12000.0, 100.0),
+        (2011, "Median annual rental costs", 18000.0, 150.0),
+        (2010, "Households", 20.0, 100.0),
+        (2010, "HH Income", 40000.0, 100.0),
+        (2011, "Households", 40.0, 200.0),
+        (2011, "HH Income", 60000.0, 150.0),
+        (2012, "Households", 10.0, 50.0),
+        (2012, "HH Income", 60000.0, 150.0),
+    ]
+
+
+def test_near_poverty_leaves_out_years_without_a_threshold(spark):
+    hh = conform.household_conform(
+        people(spark, dict(YEAR=2010, HHINCOME=26000.0), dict(YEAR=2010), dict(YEAR=2030, HHINCOME=500.0))
+    )
+    got = rows(
+        tables.near_poverty(hh, schemas.poverty_thresholds(spark)).filter("estimate <> 'Median annual rental costs'"),
+        "year", "estimate", "value",
+    )
+    assert set(got) == {
+        (2010, "Households", 20.0),
+        (2010, "Households with income < 1.5 times poverty threshold", 10.0),
+    }
+
+
+def test_counts_with_a_missing_weight_are_unknown(spark):
+    hh = conform.household_conform(people(spark, {}, dict(HHWT=None), dict(YEAR=2019)))
+    assert tables.household_count(hh).first()["n"] is None
+    assert tables.household_count(hh, 2019).first()["n"] == 10
+    assert tables.household_count(hh, 1990).first()["n"] == 0
+
+
+# ------------------------------------------------------------------- permits
+
+
+def permit(n, cls="Construction Permit", kind="Apartment", site="s1", new=3, demo=0, year=2010):
+    return (f"r{n}", site, 1.0, 2.0, "n", cls, kind, demo, new, None if new is None else new - demo, year)
+
+
+def test_permits(spark):
+    raw = spark.createDataFrame(
+        [
+            permit(1),
+            permit(1, site=None, new=4),
+            permit(2, kind="Townhouse", new=None, demo=2, cls="Demolition Permit"),
+            permit(3, kind="Townhouse", new=0, year=None),
+            permit(4, kind="Houseboat"),
+            permit(5, kind="Assisted Living"),
+            permit(6, cls="Other"),
+            permit(7, kind=None),
+        ],
+        schemas.PERMITS,
+    )
+    clean = conform.permit_conform(raw, schemas.permit_types(spark))
+    assert rows(clean, "record_number", "building_type", "building_size", "net_units") == [
+        ("r1", "Apartment", "2 - 4 units", 3),
+        ("r1", "Apartment", "2 - 4 units", 4),
+        ("r2", "Single-Family", None, None),
+        ("r3", "Single-Family", "Single family", 0),
+    ]
+    by_size = tables.permits_by_size(clean)
+    assert rows(by_size) == sorted(
+        [
+            ("2 - 4 units", 2010, 0, 7, 7, 1, 2),
+            (None, 2010, 2, 0, 0, 1, 1),
+            ("Single family", None, 0, 0, 0, 1, 1),
+        ],
+        key=repr,
+    )
+    assert rows(tables.gross_change(by_size)) == sorted(
+        [
+            ("2 - 4 units", "Additions", 7.0), ("2 - 4 units", "Demolitions", 0.0),
+            ("Single family", "Additions", 0.0), ("Single family", "Demolitions", 0.0),
+            (None, "Additions", 0.0), (None, "Demolitions", 2.0),
+        ],
+        key=repr,
+    )
+    assert tables.net_units(by_size, below=7).count() == 2
+
+
+# ----------------------------------------------------- roll, owners, listings
+
+
+@pytest.fixture(scope="module")
+def roll(spark):
+    apartments = spark.createDataFrame([("000001", "0001", 12), ("000001", "0002", 60)], "Major string, Minor string, NbrUnits int")
+    residential = spark.createDataFrame(
+        [("000001", "0001", 1), ("000002", "0001", 1), ("000002", "0002", 3), ("000009", "0009", 1), (None, None, 1)],
+        "Major string, Minor string, NbrLivingUnits int",
+    )
+    condos = spark.createDataFrame([("000003", "0001")] * 3 + [("000002", "0001")], "Major string, Minor string")
+    parcels = spark.createDataFrame(
+        [("000001", "0001", "C"), ("000001", "0002", "K"), ("000002", "0001", "R"), ("000002", "0002", "R")],
+        schemas.PARCELS,
+    )
+    return conform.tax_roll(apartments, residential, condos, parcels)
+
+
+def test_tax_roll(roll):
+    assert rows(roll) == sorted(
+        [
+            ("000001-0001", "5 - 19 units", "Commercial multi-unit", None),
+            ("000001-0001", "Single family", "Commercial multi-unit", None),
+            ("000002-0001", "Single family", "Single-family", None),
+            ("000002-0002", "2 - 4 units", "Small multi-unit", None),
+            ("000002-0001", None, "Residential condominium", True),
+        ]
+        + [("000003-0001", None, "Residential condominium", True)] * 3,
+        key=repr,
+    )
+
+
+@pytest.fixture(scope="module")
+def owners(spark):
+    properties = spark.createDataFrame(
+        [
+            ("000001-0001", 2, 13, "C", "t1", "1990"),
+            ("000002-0001", None, 1, "R", "t2", "unknown"),
+            ("000002-0002", 1, 3, "R", None, "1950"),
+            ("000003-0001", 1, 1, "R", "t1", None),
+        ],
+        schemas.PROPERTIES,
+    )
+    raw = spark.createDataFrame(
+        [
+            ("000001-0001", "A", "SEATTLE, WA", None, True),
+            ("000001-0001", "B", None, "KING, WA", False),
+            ("000002-0001", "B", None, "KING, WA", False),
+            ("000002-0002", None, "PORTLAND, OR", None, None),
+            ("000003-0001", None, "PORTLAND, OR", None, None),
+            ("000099-0001", "C", None, None, False),
+        ],
+        schemas.OWNERS,
+    )
+    residency = spark.createDataFrame([("0000020001",), ("0000020001",), ("0000990001",)], schemas.RESIDENCY)
+    return conform.owner_portfolio(raw, properties, residency)
+
+
+def test_owner_portfolio(owners):
+    got = rows(
+        owners, "parcel_num", "owner_names", "owner_residence", "owner_occupied",
+        "portfolio_parcels", "portfolio_buildings", "portfolio_units", "owner_type",
+    )
+    assert got == sorted(
+        [
+            ("000001-0001", "A", "Seattle", False, 1.0, 2.0, 13.0, "Midsized property manager"),
+            # Two residency rows double B's second parcel, and one missing building count hides the sum.
+            ("000001-0001", "B", "Seattle suburbs", False, 3.0, None, 15.0, "Midsized property manager"),
+            ("000002-0001", "B", "Seattle suburbs", True, 3.0, None, 15.0, "Midsized property manager"),
+            ("000002-0001", "B", "Seattle suburbs", True, 3.0, None, 15.0, "Midsized property manager"),
+            # Owners without a name are one group; whether a company is unknown, so there is no type.
+            ("000002-0002", None, "Not in WA", False, 2.0, 2.0, 4.0, None),
+            ("000003-0001", None, "Not in WA", False, 2.0, 2.0, 4.0, None),
+        ],
+        key=repr,
+    )
+
+
+def listing(parcel, unit, seen=None, listed=None, removed=None, price=1000.0, beds=1.0, baths=1.0, sqft=None):
+    def day(x):
+        return x and date.fromisoformat(x)
+
+    return (parcel, day(seen), day(listed), day(removed), price, beds, baths, sqft, unit)
+
+
+@pytest.fixture(scope="module")
+def rentals(spark):
+    raw = spark.createDataFrame(
+        [
+            listing("000001-0001", "u1", listed="2020-01-01", price=1000.0, sqft=500.0),
+            listing("000001-0001", "u1", listed="2020-03-01", price=1200.0, beds=2.0, sqft=600.0),
+            listing("000001-0001", "u1", removed="2020-02-01", price=None),
+            listing("000001-0001", "u2", seen="2020-06-01", price=1400.0, beds=2.0),
+            listing("000001-0001", None, seen="2020-06-01", price=1600.0, beds=2.0),
+            listing("000002-0001", "u1", listed="2020-05-01", price=10000.0, beds=0.5),
+            listing("000002-0001", "u2", listed="2020-05-01", price=10001.0),
+            listing("000002-0001", "u3", listed="2020-05-01", price=0.0),
+            listing("000002-0001", "u4", listed="2020-05-01", beds=None),
+            listing("000002-0001", "u4", listed="2020-06-01", beds=5.0),
+            listing("000002-0002", "u1", listed="2020-05-01"),
+            listing("000003-0001", "u1", listed="2018-12-31"),
+            listing("000003-0001", "u1", listed="2021-01-01", beds=7.0),
+            listing("000009-0009", "u1", listed="2021-01-01"),
+            listing("000003-0001", "u1"),
+        ],
+        schemas.LISTINGS,
+    )
+    return conform.listing_dedupe(raw)
+
+
+def test_listing_dedupe(rentals):
+    got = {(r["parcel_num"], r["year"], r["listing_unit_level_id"]): r for r in rentals.collect()}
+    assert len(got) == 11 and all(year for _, year, _ in got)
+    u1 = got["000001-0001", 2020, "u1"]
+    assert (u1["n_listings"], u1["seen_on"], u1["list_rent"], u1["first_price"], u1["mean_price"]) == (
+        3, date(2020, 3, 1), 14400.0, 1000.0, 1100.0,
+    )
+    assert (u1["beds"], u1["baths"], u1["sqft"]) == (2.0, 1.0, None)
+    assert got["000002-0001", 2020, "u4"]["beds"] is None
+
+
+def test_last_price_may_be_missing(spark):
+    raw = spark.createDataFrame(
+        [listing("p", "u", listed="2020-01-01"), listing("p", "u", listed="2020-02-01", price=None)],
+        schemas.LISTINGS,
+    )
+    row = conform.listing_dedupe(raw).first()
+    assert row["list_rent"] is None and row["first_price"] == 1000.0
+
+
+def naive_rental(rentals, roll, owners, min_year=2019):
+    """Row by row: join everything, filter, then group."""
+    from hearthstat.functions import classify as C
+
+    joined = rentals.join(roll, "parcel_num", "left").join(owners, "parcel_num", "left")
+    kept = joined.filter(
+        (F.col("list_rent") > 0) & (F.col("list_rent") / 12 <= 10000) & F.col("beds").isNotNull()
+        & F.col("property_type").isNotNull() & F.col("geo_id").isNotNull() & (F.col("year") >= min_year)
+    ).withColumn("bedrooms", C.bedrooms("beds"))
+    return kept.groupBy(*conform.RENTAL_KEYS).agg(
+        F.sum("n_listings").alias("listing_count"),
+        S.n_distinct("listing_unit_level_id").alias("unit_count"),
+        F.avg("list_rent").alias("annual_rent"),
+        F.avg("sqft").alias("square_feet"),
+    )
+
+
+def test_rental_data_equals_the_row_level_join(rentals, roll, owners):
+    got = conform.rental_data(rentals, roll, owners)
+    assert rows(got) == rows(naive_rental(rentals, roll, owners))
+    doubled = got.filter("parcel_num = '000002-0001' AND property_type = 'Single-family'").first()
+    assert doubled["listing_count"] == 2 and doubled["unit_count"] == 1
+    single = conform.rental_data(rentals, roll, owners, dedupe_dims=True)
+    assert single.filter("parcel_num = '000002-0001' AND property_type = 'Single-family'").first()["listing_count"] == 1
+
+
+def test_coverage_equals_the_row_level_join(rentals, roll):
+    naive = (
+        rentals.join(roll, "parcel_num", "full")
+        .groupBy("property_type")
+        .agg(
+            F.avg(F.col("n_listings").isNotNull().cast("double")).alias("coverage"),
+            F.coalesce(F.sum("n_listings"), F.lit(0)).alias("listings"),
+        )
+        .filter(F.col("property_type").isNotNull())
+    )
+    assert rows(tables.listing_coverage(rentals, roll)) == rows(naive)
+
+
+def test_rental_tables(rentals, roll, owners):
+    rental = conform.rental_data(rentals, roll, owners)
+    audit = tables.null_owner_audit(rental)
+    assert audit.columns[0] == "owner_type" and audit.count() == rental.filter("owner_type IS NULL").count()
+    by_type = dict(rows(tables.owners_by_type(rental)))
+    assert by_type["Midsized property manager"] == 2
+    assert tables.frequency(rental).agg(F.sum("listings")).first()[0] == rental.agg(F.sum("listing_count")).first()[0]
+    assert {r["portfolio"] for r in tables.rent_by_portfolio(rental).collect()} <= {"1", "2", "3", "4", "5 or more"}
+    complete = models.complete_cases(rental)
+    assert complete.schema["year_built"].dataType.simpleString() == "int"
+    assert complete.filter("bedrooms IS NULL OR building_size IS NULL OR baths IS NULL").count() == 0
+
+
+# ------------------------------------------------------------------ registry
+
+
+@pytest.fixture(scope="module")
+def reconciled(spark):
+    registry = spark.createDataFrame(
+        [
+            ("R1", "Active Registration", "00000100010000", "4"),
+            ("R2", "Active Registration", "0000010001", "x"),
+            ("R3", "Expired", "0000020001", "9"),
+            ("R4", "Active Registration", None, "2"),
+            ("R5", "Active Registration", "0000070001", "1"),
+        ],
+        schemas.REGISTRY,
+    )
+    rental = spark.createDataFrame(
+        [("000001-0001", 2021, 5), ("000001-0001", 2022, 1), ("000002-0001", 2021, 7), ("000003-0001", 2020, 9), (None, 2022, 3)],
+        "parcel_num string, year int, unit_count long",
+    )
+    return conform.registry_reconcile(registry, rental)
+
+
+def test_registry_reconcile(reconciled):
+    assert rows(reconciled, "record_id", "parcel_num", "registered_units", "listed_units") == sorted(
+        [
+            ("R1", "000001-00010000", 4.0, None),
+            ("R2", "000001-0001", None, 6),
+            ("R4", None, 2.0, 3),
+            ("R5", "000007-0001", 1.0, None),
+            (None, "000002-0001", None, 7),
+        ],
+        key=repr,
+    )
+
+
+def test_registry_compliance(reconciled, spark):
+    row = tables.registry_compliance(reconciled).first()
+    assert row.asDict() == {
+        "unregistered_units": 13, "parcels": 5, "registered_parcels": 5, "listed_units": 16,
+        "registered_units": 7.0, "unregistered_parcels": 0,
+    }
+    strict = tables.registry_compliance(reconciled, strict_count=True).first()
+    assert (strict["parcels"], strict["registered_parcels"]) == (4, 4)
+    unknown = reconciled.unionByName(
+        spark.createDataFrame([("R9", "x", None, None)], reconciled.schema)
+    )
+    assert tables.registry_compliance(unknown).first()["unregistered_units"] is None
+
+
+# ----------------------------------------------------------- ownership, flows
+
+
+def test_ownership_tables(spark):
+    records = conform.ownership_records(
+        spark.createDataFrame(
+            [
+                ("mom and pop", 2, 2015), ("mom and pop", None, 2015), ("mom and pop", 3, 2021),
+                ("trust", 50, 2015), ("large property manager", 90, None),
+            ],
+            schemas.OWNERSHIP_RECORDS,
+        )
+    )
+    index = tables.ownership_index(records)
+    assert rows(index) == [
+        (2015, "Mom-and-pop", 2, 2, 100.0, 100.0),
+        (2021, "Mom-and-pop", 1, 3, 150.0, 50.0),
+    ]
+    base = tables.owner_base_years(index)
+    assert base.columns == ["year", "owner_type", "owners", "units"]
+    assert rows(base)[0] == ("2015", "Mom-and-pop", 2, 2)
+
+
+def test_roll_flows(spark):
+    schema = "parcel_num string, building_size string, property_type string, units_count int"
+    before = spark.createDataFrame(
+        [("a", "S", "t", 1), ("b", "S", "t", 2), ("c", "M", "t", 4), ("d", "L", "t", 60), ("d", "L", "t", 5)], schema
+    )
+    after = spark.createDataFrame(
+        [("a", "S", "t", 1), ("c", "M", "t", 5), ("e", "S", "t", 7), ("b", "M", "t", 3), ("z", None, "t", None)], schema
+    )
+    assert rows(tables.roll_flows(before, after)) == sorted(
+        [
+            ("S", "t", 7, 2, 1, 2 / 7),
+            ("M", "t", 3, 0, 5, 0.0),
+            ("L", "t", 0, 65, 0, float("inf")),
+            (None, "t", 0, 0, 0, None),
+        ],
+        key=repr,
+    )
+
+
+def test_rent_by_size(spark):
+    hh = conform.household_conform(
+        people(spark, dict(HHWT=1), dict(HHWT=3, RENT=2000.0), dict(RENT=5000.0), OWNER)
+    )
+    rental = spark.createDataFrame(
+        [("Single family", 2021, 10.0), ("Single family", 2021, 20.0), ("Single family", 2020, 99.0), (None, 2021, 5.0)],
+        "building_size string, year int, annual_rent double",
+    )
+    assert rows(tables.rent_by_size(hh, rental)) == sorted(
+        [
+            ("Single family", 2021, 15.0, "Rental listings"),
+            ("Single family", 2020, 21000.0, "US Census IPUMS"),
+        ],
+        key=repr,
+    )
+
+
+# Published figures (fixed values): entrance, exit, exit to entrance ratio.
+FLOWS = [
+    (1652, 140, 0.0847457627118644),
+    (0, 0, None),
+    (85, 215, 2.52941176470588),
+    (53, 0, 0.0),
+    (0, 107, float("inf")),
+    (530, 1673, 3.15660377358491),
+]
+
+
+def test_published_ratios(spark):
+    df = spark.createDataFrame([f[:2] for f in FLOWS], "entrance int, exit int")
+    got = [r[0] for r in df.select(S.ratio("exit", "entrance")).collect()]
+    for value, (_, _, want) in zip(got, FLOWS):
+        assert value == (want if want is None else pytest.approx(want, rel=1e-12))
+
+
+# Published figures (fixed values): buildings of 20 to 49 units by year,
+# removed, added, net, permits, sites.
+PERMITS = [
+    (2006, 8, 104, 96, 3, 3),
+    (2007, 4, 298, 294, 9, 9),
+    (2008, 0, 282, 282, 8, 8),
+    (2009, 0, 399, 399, 12, 11),
+    (2010, 0, 136, 136, 5, 5),
+    (2011, 0, 76, 76, 3, 2),
+    (2012, 0, 254, 254, 8, 8),
+    (2013, 0, 408, 408, 11, 11),
+    (2014, 0, 271, 271, 7, 7),
+    (2015, 0, 519, 519, 16, 16),
+    (2016, 0, 767, 767, 22, 18),
+    (2017, 0, 633, 633, 18, 18),
+    (2018, 0, 617, 617, 18, 18),
+    (2019, 0, 522, 522, 14, 14),
+    (2020, 0, 312, 312, 10, 10),
+    (2021, 2, 475, 473, 14, 14),
+    (2022, 0, 81, 81, 2, 2),
+    (None, 0, 1188, 1188, 37, 33),
+]
+
+
+def test_published_gross_change(spark):
+    df = spark.createDataFrame(
+        [("20 - 49 units", *p) for p in PERMITS],
+        "building_size string, year int, units_removed long, units_added long, net_units long, permits long, sites long",
+    )
+    assert df.filter("units_added - units_removed <> net_units").count() == 0
+    assert rows(tables.gross_change(df)) == [
+        ("20 - 49 units", "Additions", 7342.0),
+        ("20 - 49 units", "Demolitions", 14.0),
+    ]
+
+
+# Published figures (fixed values): renter households by size, and the index.
+RENTERS = [
+    ("Single family", 25381, 30720, 121.03542019621),
+    ("2 - 4 units", 15030, 17447, 116.081170991351),
+    ("5 - 19 units", 35460, 40446, 114.060913705584),
+    ("20 - 49 units", 22691, 35344, 155.762196465559),
+    ("50 + units", 26089, 62449, 239.369082755184),
+]
+
+
+def test_published_renter_index(spark):
+    hh = spark.createDataFrame(
+        [(size, year, n, "Rent") for size, n05, n20, _ in RENTERS for year, n in ((2005, n05), (2020, n20))],
+        "building_size string, year int, HHWT int, ownership string",
+    )
+    table = tables.renters_by_size(hh)
+    got = [(r["building_size"], r["household_index"]) for r in table.collect()]
+    assert got[:5] == [(r[0], 100.0) for r in RENTERS]
+    assert [v for _, v in got[5:]] == pytest.approx([r[3] for r in RENTERS], rel=1e-12)
+    assert dict(rows(tables.renters_by_year(table)))[2020] == 186_406
