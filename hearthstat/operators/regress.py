@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Two-sided 95% normal quantile.
@@ -45,10 +45,12 @@ def group_mean_ols(df: DataFrame, y: str, factor: str, z: float = Z95) -> DataFr
             (F.coalesce(F.var_samp(y), F.lit(0.0)) * (F.count(F.lit(1)) - 1)).alias("__ss"),
         )
     )
-    # One row; attached as a scalar subquery instead of a window over all groups.
-    pooled = groups.agg(
-        F.try_divide(F.sum("__ss"), F.sum("n") - F.count(F.lit(1))).alias("s2")
-    ).scalar()
+    # As many rows as coefficients, so one task can pool them; a subquery would
+    # run everything below a second time.
+    every = Window.partitionBy()
+    pooled = F.try_divide(
+        F.sum("__ss").over(every), F.sum("n").over(every) - F.count(F.lit(1)).over(every)
+    )
     return groups.withColumn("std_error", F.sqrt(pooled / F.col("n"))).select(
         "term", "estimate", "std_error", *coefficient_columns(z), "n"
     )

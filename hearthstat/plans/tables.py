@@ -31,16 +31,13 @@ def household_count(households: DataFrame, year: int = 2020) -> DataFrame:
     return households.filter(F.col("YEAR") == year).agg(S.sum_of("HHWT").alias("n"))
 
 
-def _series(df: DataFrame, value: str, estimate: str) -> DataFrame:
-    return df.select("year", F.col(value).cast("double").alias("value"), F.lit(estimate).alias("estimate"))
-
-
-def _indexed_estimates(lead: tuple[str, DataFrame], rest: dict[str, DataFrame]) -> DataFrame:
-    """Series stacked, each indexed to its first year. The lead series is listed first."""
-    series = {lead[0]: lead[1], **rest}
-    stacked = stack_rows(*[_series(df, "value", name) for name, df in series.items()])
-    indexed = index_to_base(stacked, {"value2": "value"}, ["estimate"])
-    return arrange(indexed, F.col("estimate") != lead[0], "year", C.rank_of("estimate", list(series)))
+def _indexed_estimates(rents: DataFrame, rest: DataFrame, order: list[str]) -> DataFrame:
+    """Rents, then the other series by year, each indexed to its first year."""
+    rents = rents.select(
+        "year", F.lit(MEDIAN_RENT).alias("estimate"), F.col("rent").cast("double").alias("value")
+    )
+    indexed = index_to_base(stack_rows(rents, rest), {"value2": "value"}, ["estimate"])
+    return arrange(indexed, F.col("estimate") != MEDIAN_RENT, "year", C.rank_of("estimate", order))
 
 
 def market_index(households: DataFrame, min_year: int = 2010) -> DataFrame:
@@ -50,44 +47,37 @@ def market_index(households: DataFrame, min_year: int = 2010) -> DataFrame:
     out of the rent median are the owners, and both medians share one pass.
     """
     recent = households.filter(F.col("year") >= min_year)
-    counts = recent.groupBy("year").agg(S.sum_of("HHWT").alias("n"))
+    counts = recent.groupBy("year").agg(S.sum_of("HHWT").alias("Households"))
     medians = grouped_median(
         recent.withColumn("rent", F.when(F.col("ownership") == "Rent", F.col("housing_cost"))),
         ["year"],
-        {"rent": "rent", "income": "hh_income"},
+        {"rent": "rent", "HH Income": "hh_income"},
         na_rm=True,
     )
-    rents = medians.filter(F.col("rent").isNotNull())
-    return _indexed_estimates(
-        (MEDIAN_RENT, rents.withColumnRenamed("rent", "value")),
-        {
-            "Households": counts.withColumnRenamed("n", "value"),
-            "HH Income": medians.withColumnRenamed("income", "value"),
-        },
+    rest = stack_rows(
+        longer(counts, ["Households"], "estimate"),
+        longer(medians.drop("rent"), ["HH Income"], "estimate"),
     )
+    rents = medians.filter(F.col("rent").isNotNull())
+    return _indexed_estimates(rents, rest, ["Households", "HH Income"])
 
 
 def near_poverty(
     households: DataFrame, poverty: DataFrame, factor: float = 1.5, min_year: int = 2010
 ) -> DataFrame:
     """Households and those with income below ``factor`` times the poverty threshold, indexed."""
+    poor = f"Households with income < {factor:g} times poverty threshold"
     recent = households.filter(F.col("year") >= min_year)
     # The threshold table is a dozen literal rows, which Spark broadcasts by itself.
     with_line = natural_join(recent, poverty, "inner", on=["year"])
     is_poor = F.col("hh_income") < F.col("threshold") * factor
     counts = with_line.groupBy("year").agg(
-        S.sum_of("HHWT").alias("n"),
+        S.sum_of("HHWT").alias("Households"),
         S.sum_of(F.when(is_poor, F.col("HHWT")).otherwise(0)).alias("poor"),
     )
-    rents = grouped_median(recent.filter(F.col("ownership") == "Rent"), ["year"], {"value": "housing_cost"})
-    poor = f"Households with income < {factor:g} times poverty threshold"
-    return _indexed_estimates(
-        (MEDIAN_RENT, rents),
-        {
-            "Households": counts.withColumnRenamed("n", "value"),
-            poor: counts.withColumnRenamed("poor", "value"),
-        },
-    )
+    rents = grouped_median(recent.filter(F.col("ownership") == "Rent"), ["year"], {"rent": "housing_cost"})
+    rest = longer(counts, ["Households", "poor"], "estimate").replace("poor", poor, ["estimate"])
+    return _indexed_estimates(rents, rest, ["Households", poor])
 
 
 def tenure_medians(households: DataFrame, max_share: float = 0.8, weight: str = "HHWT") -> DataFrame:
