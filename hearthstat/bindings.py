@@ -36,147 +36,104 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
-def null_if(cond: Column, c: Column) -> Column:
-    return F.when(cond, F.lit(None)).otherwise(c)
-
-
-def _digits(key: str) -> Column:
-    """Ten-digit parcel number."""
-    return F.lpad(F.col(key).cast("string"), 10, "0")
-
-
-def _dashed(key: str) -> Column:
-    return F.concat(F.substring(_digits(key), 1, 6), F.lit("-"), F.substring(_digits(key), 7, 4))
+def dashed(key: str) -> str:
+    """Parcel number, six digits and four, of a whole-number key."""
+    return f"concat(lpad({key} div 10000, 6, '0'), '-', lpad({key} % 10000, 4, '0'))"
 
 
 # ---------------------------------------------------------------- raw inputs
 
 
 def raw_households(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
-    owner = F.col("l_linestatus") == "F"
-    none = F.col("l_returnflag") == "N"
-    mortgage = (F.col("l_partkey") * 17 + F.col("l_suppkey")) % 11000
-    rent = (F.col("l_partkey") * 13 + F.col("l_linenumber") * 7) % 9000
-    return l.select(
-        F.year("l_shipdate").alias("YEAR"),
-        (F.col("l_quantity").cast("int") - 1).alias("HHWT"),
-        F.col("l_linenumber").alias("PERNUM"),
-        F.when(owner, 1).otherwise(2).alias("OWNERSHP"),
-        F.when(owner & none, 12).when(owner, 13).when(none, 21).otherwise(22).alias("OWNERSHPD"),
-        null_if(
-            F.col("l_suppkey") % 50 == 49, F.when(owner, F.lit(0)).otherwise(rent).cast("double")
-        ).alias("RENT"),
-        F.when(owner, mortgage).otherwise(0).cast("double").alias("MORTAMT1"),
-        F.when(owner, mortgage + 200).otherwise(99999).cast("double").alias("OWNCOST"),
-        F.when(F.col("l_partkey") % 211 == 0, 0)
-        .when(F.col("l_partkey") % 223 == 0, -500)
-        .otherwise(F.floor("l_extendedprice"))
-        .cast("double")
-        .alias("HHINCOME"),
-        (F.col("l_partkey") % 11 + 1).cast("int").alias("UNITSSTR"),
-        F.when(F.col("l_suppkey") % 5 == 0, 11600).otherwise(0).alias("MIGPUMA1"),
+    mortgage = "(l_partkey * 17 + l_suppkey) % 11000"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "year(l_shipdate) AS YEAR",
+        "int(l_quantity) - 1 AS HHWT",
+        "l_linenumber AS PERNUM",
+        "if(l_linestatus = 'F', 1, 2) AS OWNERSHP",
+        """CASE WHEN l_linestatus = 'F' THEN if(l_returnflag = 'N', 12, 13)
+            ELSE if(l_returnflag = 'N', 21, 22) END AS OWNERSHPD""",
+        """CASE WHEN l_suppkey % 50 = 49 THEN NULL WHEN l_linestatus = 'F' THEN 0D
+            ELSE double((l_partkey * 13 + l_linenumber * 7) % 9000) END AS RENT""",
+        f"if(l_linestatus = 'F', double({mortgage}), 0D) AS MORTAMT1",
+        f"if(l_linestatus = 'F', double({mortgage} + 200), 99999D) AS OWNCOST",
+        """CASE WHEN l_partkey % 211 = 0 THEN 0D WHEN l_partkey % 223 = 0 THEN -500D
+            ELSE double(floor(l_extendedprice)) END AS HHINCOME""",
+        "int(l_partkey % 11 + 1) AS UNITSSTR",
+        "if(l_suppkey % 5 = 0, 11600, 0) AS MIGPUMA1",
     )
 
 
 def raw_permits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    flag = F.col("l_returnflag")
-    added = F.when(flag != "R", (F.col("l_partkey") * F.col("l_linenumber")) % 80).cast("int")
-    gone = F.when(flag == "R", F.col("l_linenumber")).otherwise(0)
-    return l.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").cast("string").alias("RECORDNUMBER"),
-        null_if(F.col("l_suppkey") == 0, F.col("l_suppkey")).cast("string").alias("DEVSITE_ID"),
-        F.col("l_tax").alias("X"),
-        F.col("l_discount").alias("Y"),
-        F.concat(F.lit("N"), F.col("l_suppkey") % 13).alias("NEIGHBORHOOD"),
-        F.when(flag == "A", "Construction Permit")
-        .when(flag == "R", "Demolition Permit")
-        .when(F.col("l_linestatus") == "O", "Phased Project Permit")
-        .otherwise("Site Preparation")
-        .alias("APTYPE"),
-        F.when(F.col("p_type") == "ECONOMY", "Detached Single-Family")
-        .when(F.col("p_type") == "SMALL", "Townhouse")
-        .when(F.col("p_type") == "LARGE", "Apartment")
-        .when(F.col("p_type") == "MEDIUM", "Multifamily Other")
-        .when(F.col("p_type") == "PROMO", "Congregate Housing")
-        .otherwise("Houseboat")
-        .alias("DWELTYPE"),
-        gone.alias("DEMO"),
-        added.alias("NEW"),
-        (added - gone).alias("NET_UNITS"),
-        null_if(F.year("l_shipdate") == 2001, F.year("l_shipdate")).alias("YEAR_FINAL"),
+    added = "if(l_returnflag <> 'R', int((l_partkey * l_linenumber) % 80), NULL)"
+    gone = "if(l_returnflag = 'R', l_linenumber, 0)"
+    return (
+        table(spark, sf_dir, "lineitem")
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .selectExpr(
+            "string(l_orderkey) AS RECORDNUMBER",
+            "string(nullif(l_suppkey, 0)) AS DEVSITE_ID",
+            "l_tax AS X",
+            "l_discount AS Y",
+            "concat('N', l_suppkey % 13) AS NEIGHBORHOOD",
+            """CASE WHEN l_returnflag = 'A' THEN 'Construction Permit'
+                WHEN l_returnflag = 'R' THEN 'Demolition Permit'
+                WHEN l_linestatus = 'O' THEN 'Phased Project Permit'
+                ELSE 'Site Preparation' END AS APTYPE""",
+            """CASE p_type WHEN 'ECONOMY' THEN 'Detached Single-Family' WHEN 'SMALL' THEN 'Townhouse'
+                WHEN 'LARGE' THEN 'Apartment' WHEN 'MEDIUM' THEN 'Multifamily Other'
+                WHEN 'PROMO' THEN 'Congregate Housing' ELSE 'Houseboat' END AS DWELTYPE""",
+            f"{gone} AS DEMO",
+            f"{added} AS NEW",
+            f"{added} - {gone} AS NET_UNITS",
+            "nullif(year(l_shipdate), 2001) AS YEAR_FINAL",
+        )
     )
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").withColumns(
-        {"Major": F.substring(_digits("p_partkey"), 1, 6), "Minor": F.substring(_digits("p_partkey"), 7, 4)}
-    )
+MAJOR_MINOR = ["lpad(p_partkey div 10000, 6, '0') AS Major", "lpad(p_partkey % 10000, 4, '0') AS Minor"]
 
 
 def raw_apartments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _parts(spark, sf_dir)
-        .filter(F.col("p_type").isin("LARGE", "PROMO"))
-        .select("Major", "Minor", (F.col("p_size") * 2).alias("NbrUnits"))
-    )
+    part = table(spark, sf_dir, "part").filter("p_type IN ('LARGE', 'PROMO')")
+    return part.selectExpr(*MAJOR_MINOR, "p_size * 2 AS NbrUnits")
 
 
 def raw_residential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = F.col("p_type").isin("SMALL", "MEDIUM", "STANDARD")
-    mixed = (F.col("p_type") == "PROMO") & (F.col("p_size") <= 10)
-    return (
-        _parts(spark, sf_dir)
-        .filter(small | mixed)
-        .select("Major", "Minor", (F.col("p_size") % 5).alias("NbrLivingUnits"))
+    """Small houses, and some apartment parcels a second time."""
+    part = table(spark, sf_dir, "part").filter(
+        "p_type IN ('SMALL', 'MEDIUM', 'STANDARD') OR (p_type = 'PROMO' AND p_size <= 10)"
     )
+    return part.selectExpr(*MAJOR_MINOR, "p_size % 5 AS NbrLivingUnits")
 
 
 def raw_condos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to three units per parcel."""
-    mixed = (F.col("p_type") == "MEDIUM") & (F.col("p_size") <= 7)
-    return (
-        _parts(spark, sf_dir)
-        .filter((F.col("p_type") == "ECONOMY") | mixed)
-        .select("Major", "Minor", F.explode(F.sequence(F.lit(1), F.col("p_size") % 3 + 1)).alias("Grade"))
-    )
+    part = table(spark, sf_dir, "part").filter("p_type = 'ECONOMY' OR (p_type = 'MEDIUM' AND p_size <= 7)")
+    return part.selectExpr(*MAJOR_MINOR, "explode(sequence(1, p_size % 3 + 1)) AS Grade")
 
 
 def raw_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _parts(spark, sf_dir)
-        .filter(F.col("p_brand") != "Brand#13")
-        .select(
-            "Major",
-            "Minor",
-            F.when(F.col("p_size") % 25 == 0, F.lit(None))
-            .when(F.col("p_size") % 25 == 1, "K")
-            .when(F.col("p_type").isin("LARGE", "PROMO"), "C")
-            .otherwise("R")
-            .alias("PropType"),
-        )
+    """Parcel types; the parcels of one brand are missing."""
+    part = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#13'")
+    return part.selectExpr(
+        *MAJOR_MINOR,
+        """CASE WHEN p_size % 25 = 0 THEN NULL WHEN p_size % 25 = 1 THEN 'K'
+            WHEN p_type IN ('LARGE', 'PROMO') THEN 'C' ELSE 'R' END AS PropType""",
     )
 
 
 def raw_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
-    return (
-        table(spark, sf_dir, "part")
-        .filter(F.col("p_brand") != "Brand#7")
-        .select(
-            _dashed("p_partkey").alias("parcel_num"),
-            F.nullif(size % 9 + 1, F.lit(9)).alias("nbr_bldgs"),
-            F.nullif(size, F.lit(49)).alias("units_count"),
-            F.col("p_type").alias("prop_type"),
-            null_if(size == 50, F.concat(F.lit("53033"), F.lpad((size % 40).cast("string"), 4, "0"))).alias(
-                "geo_id"
-            ),
-            F.when(size == 13, "unknown")
-            .when(size != 14, (F.col("p_partkey") % 120 + 1900).cast("string"))
-            .alias("year_built"),
-        )
+    part = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#7'")
+    return part.selectExpr(
+        f"{dashed('p_partkey')} AS parcel_num",
+        "nullif(p_size % 9 + 1, 9) AS nbr_bldgs",
+        "nullif(p_size, 49) AS units_count",
+        "p_type AS prop_type",
+        "if(p_size <> 50, concat('53033', lpad(p_size % 40, 4, '0')), NULL) AS geo_id",
+        """CASE p_size WHEN 13 THEN 'unknown' WHEN 14 THEN NULL
+            ELSE string(p_partkey % 120 + 1900) END AS year_built""",
     )
 
 
@@ -185,111 +142,84 @@ def raw_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey")
-    key, at = F.col("p_partkey"), F.col("n_nationkey")
-    brand = F.substring("p_brand", 7, 2).cast("int")
     first = (
-        part.join(customer, key == F.col("c_custkey"), "left")
-        .join(nation, F.col("c_nationkey") == at, "left")
-        .select(
-            _dashed("p_partkey").alias("parcel_num"),
-            null_if(
-                key % 97 == 0, F.concat(F.lit("OWNER "), F.floor(key / (key % 30 + 1)).cast("string"))
-            ).alias("owner_names"),
-            F.when(at < 5, "SEATTLE, WA 98101")
-            .when(at < 10, "BELLEVUE, WA 98004")
-            .when(at < 15, "SPOKANE, WA 99201")
-            .when(at < 20, "PORTLAND, OR 97201")
-            .alias("mail_last_line"),
-            F.when(at < 10, "KING, WA")
-            .when(at < 15, "SPOKANE, WA")
-            .when(at < 20, "MULTNOMAH, OR")
-            .alias("mail_county"),
-            F.when(brand <= 8, True).when(brand < 25, False).alias("corp_flag"),
+        part.join(customer, F.col("p_partkey") == F.col("c_custkey"), "left")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .selectExpr(
+            f"{dashed('p_partkey')} AS parcel_num",
+            """if(p_partkey % 97 <> 0, concat('OWNER ', p_partkey div (p_partkey % 30 + 1)), NULL)
+                AS owner_names""",
+            """CASE WHEN n_nationkey < 5 THEN 'SEATTLE, WA 98101' WHEN n_nationkey < 10 THEN 'BELLEVUE, WA 98004'
+                WHEN n_nationkey < 15 THEN 'SPOKANE, WA 99201'
+                WHEN n_nationkey < 20 THEN 'PORTLAND, OR 97201' END AS mail_last_line""",
+            """CASE WHEN n_nationkey < 10 THEN 'KING, WA' WHEN n_nationkey < 15 THEN 'SPOKANE, WA'
+                WHEN n_nationkey < 20 THEN 'MULTNOMAH, OR' END AS mail_county""",
+            """CASE WHEN int(substr(p_brand, 7, 2)) <= 8 THEN true
+                WHEN int(substr(p_brand, 7, 2)) < 25 THEN false END AS corp_flag""",
         )
     )
-    second = part.filter(F.col("p_brand") == "Brand#20").select(
-        _dashed("p_partkey").alias("parcel_num"),
-        F.concat(F.lit("TRUST "), F.col("p_size").cast("string")).alias("owner_names"),
-        F.lit(None).cast("string").alias("mail_last_line"),
-        F.lit("KING, WA").alias("mail_county"),
-        F.lit(True).alias("corp_flag"),
+    second = part.filter("p_brand = 'Brand#20'").selectExpr(
+        f"{dashed('p_partkey')} AS parcel_num",
+        "concat('TRUST ', p_size) AS owner_names",
+        "string(NULL) AS mail_last_line",
+        "'KING, WA' AS mail_county",
+        "true AS corp_flag",
     )
     return first.unionByName(second)
 
 
 def raw_residency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "part")
-        .filter(F.col("p_type").isin("SMALL", "STANDARD", "LARGE") & (F.col("p_size") <= 25))
-        .select(_digits("p_partkey").alias("parcel_num_standardized"))
-    )
+    part = table(spark, sf_dir, "part").filter("p_type IN ('SMALL', 'STANDARD', 'LARGE') AND p_size <= 25")
+    return part.selectExpr("lpad(p_partkey, 10, '0') AS parcel_num_standardized")
 
 
-# Columns that settle the order of listings on the same date.
-LISTING_TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with the columns that settle the order of those on the same date."""
+    kind = "(l_partkey + l_suppkey % 3)"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"if(l_quantity <> 47, {dashed('l_partkey')}, NULL) AS parcel_num",
+        """if(l_linenumber = 7 AND l_returnflag = 'A' AND l_linestatus = 'F', NULL,
+            date_add(date(l_shipdate), 10)) AS seen_on""",
+        "if(l_linenumber = 7, NULL, date(l_shipdate)) AS listed_on",
+        "if(l_linenumber = 7 AND l_returnflag = 'A', NULL, date_add(date(l_shipdate), 30)) AS removed_on",
+        "if(l_quantity <> 48, double(floor(l_extendedprice / 10)), NULL) AS price_numeric",
+        f"""CASE WHEN l_quantity = 46 THEN NULL WHEN l_partkey % 61 = 0 THEN 0.5D
+            ELSE double({kind} % 7) END AS beds""",
+        f"if(l_quantity <> 45, ({kind} % 4) * 0.5D + 1, NULL) AS baths",
+        f"if(l_quantity <> 44, double(({kind} % 20) * 50 + 300), NULL) AS sqft",
+        "concat('U', l_suppkey % 3) AS listing_unit_level_id",
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
+        "bigint(round(l_extendedprice * 100)) AS cents",
+    )
 
 
 def listing_order() -> Column:
-    cents = F.round(F.col("l_extendedprice") * 100)
     return packed_order(
         [(F.unix_date("date"), 5), (F.col("l_orderkey"), 12), (F.col("l_linenumber"), 1)],
-        [(F.col("l_suppkey"), 10), (cents, 8)],
-    )
-
-
-def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
-    on = F.to_date("l_shipdate")
-    unit = F.col("l_suppkey") % 3
-    kind = F.col("l_partkey") + unit
-    late, flag = F.col("l_linenumber") == 7, F.col("l_returnflag") == "A"
-    qty = F.col("l_quantity")
-    return l.select(
-        null_if(qty == 47, _dashed("l_partkey")).alias("parcel_num"),
-        null_if(late & flag & (F.col("l_linestatus") == "F"), F.date_add(on, 10)).alias("seen_on"),
-        null_if(late, on).alias("listed_on"),
-        null_if(late & flag, F.date_add(on, 30)).alias("removed_on"),
-        null_if(qty == 48, F.floor(F.col("l_extendedprice") / 10)).cast("double").alias("price_numeric"),
-        null_if(qty == 46, F.when(F.col("l_partkey") % 61 == 0, 0.5).otherwise(kind % 7)).alias("beds"),
-        null_if(qty == 45, (kind % 4) * 0.5 + 1).cast("double").alias("baths"),
-        null_if(qty == 44, (kind % 20) * 50 + 300).cast("double").alias("sqft"),
-        F.concat(F.lit("U"), unit.cast("string")).alias("listing_unit_level_id"),
-        *LISTING_TIES,
+        [(F.col("l_suppkey"), 10), (F.col("cents"), 8)],
     )
 
 
 def raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registrations; one market segment shares parcels in groups of ten."""
-    shared = F.col("c_mktsegment") == "FURNITURE"
-    parcel = F.when(shared, F.floor(F.col("c_custkey") / 10)).otherwise(F.col("c_custkey"))
-    return (
-        table(spark, sf_dir, "customer")
-        .withColumn("parcel", parcel)
-        .select(
-            F.concat(F.lit("REG-"), F.col("c_custkey").cast("string")).alias("RECORD_ID"),
-            F.when(F.col("c_mktsegment") == "MACHINERY", "Expired")
-            .otherwise("Active Registration")
-            .alias("RECORD_STATUS"),
-            null_if(F.col("c_nationkey") == 24, _digits("parcel")).alias("PARCEL_NBR"),
-            F.when(F.col("c_nationkey") == 23, "n/a")
-            .otherwise((F.col("c_custkey") % 40).cast("string"))
-            .alias("Registed_Units"),
-        )
+    parcel = "if(c_mktsegment = 'FURNITURE', c_custkey div 10, c_custkey)"
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('REG-', c_custkey) AS RECORD_ID",
+        "if(c_mktsegment = 'MACHINERY', 'Expired', 'Active Registration') AS RECORD_STATUS",
+        f"if(c_nationkey <> 24, lpad({parcel}, 10, '0'), NULL) AS PARCEL_NBR",
+        "if(c_nationkey = 23, 'n/a', string(c_custkey % 40)) AS Registed_Units",
     )
 
 
 def raw_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priority = F.col("o_orderpriority")
-    units = (F.col("o_custkey") % 60).cast("int")
-    return table(spark, sf_dir, "orders").select(
-        F.when(priority == "1-URGENT", "mom and pop")
-        .when(priority == "2-HIGH", "small property manager")
-        .when(priority == "3-MEDIUM", "midsized property manager")
-        .when(priority == "4-NOT SPECIFIED", "large property manager")
-        .otherwise("trust")
-        .alias("owner_type"),
-        F.nullif(units, F.lit(59)).alias("n_units"),
-        null_if(F.col("o_orderstatus") == "P", F.year("o_orderdate")).alias("roll_yr"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        """CASE o_orderpriority WHEN '1-URGENT' THEN 'mom and pop' WHEN '2-HIGH' THEN 'small property manager'
+            WHEN '3-MEDIUM' THEN 'midsized property manager'
+            WHEN '4-NOT SPECIFIED' THEN 'large property manager' ELSE 'trust' END AS owner_type""",
+        "nullif(int(o_custkey % 60), 59) AS n_units",
+        "if(o_orderstatus = 'P', NULL, year(o_orderdate)) AS roll_yr",
     )
 
 
@@ -322,7 +252,7 @@ def roll_snapshot(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     active = (
         table(spark, sf_dir, "lineitem")
         .filter(F.year("l_shipdate") == year)
-        .select(_dashed("l_partkey").alias("parcel_num"))
+        .selectExpr(f"{dashed('l_partkey')} AS parcel_num")
     )
     return roll(spark, sf_dir, keep_units=True).join(active, "parcel_num", "left_semi")
 
