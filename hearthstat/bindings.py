@@ -252,6 +252,8 @@ def roll_snapshot(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     active = (
         table(spark, sf_dir, "lineitem")
         .filter(F.year("l_shipdate") == year)
+        .select("l_partkey")
+        .distinct()
         .selectExpr(f"{dashed('l_partkey')} AS parcel_num")
     )
     return roll(spark, sf_dir, keep_units=True).join(active, "parcel_num", "left_semi")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 # The largest groups handled by broadcast. However big the table, a group that is
 # not among them has less than one row in HOT_KEYS.
-HOT_KEYS = 1000
+HOT_KEYS = 10_000
+# Rows of one key that a task may be left with in a skew-safe join.
+ROWS_PER_SALT = 1_000_000
 # Hot rows spread over this many hash values.
 SPREAD = 65536
 
@@ -29,10 +31,9 @@ def natural_join(
     """Join on all shared columns (or ``on``); each key appears once in the result.
 
     ``null_safe`` keys compare with ``<=>``, which Spark still plans as an
-    equi-join. Inner and left joins leave a skewed left side to adaptive
-    execution, which splits it. A full join cannot be split that way, so it is
-    a left join plus the right rows whose key the left side lacks; the second
-    part only needs the left side's distinct keys.
+    equi-join. For sides with few rows per key; see ``skew_join`` otherwise. A
+    full join is a left join plus the right rows whose key the left side lacks,
+    since adaptive execution can split a skewed left join but not a full one.
     """
     keys = shared_columns(left, right) if on is None else on
     if not keys:
@@ -54,6 +55,52 @@ def natural_join(
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    how: str = "inner",
+    on: list[str] | None = None,
+    size: Column | None = None,
+) -> DataFrame:
+    """``natural_join`` (inner, left or full) where a key may hold much of the left side.
+
+    Keys with more than ROWS_PER_SALT left rows are found by counting (combined
+    map-side) and broadcast, at most HOT_KEYS of them. Their left rows are
+    dealt out over several salts, and the right rows of just these keys are
+    repeated once per salt. The salt comes from the row's contents, so a retried
+    task deals a row the same way. ``size`` may weigh rows by another aggregate,
+    at least as large as the count, to share an aggregation already planned.
+    """
+    keys = shared_columns(left, right) if on is None else on
+    if how == "full":
+        matched = skew_join(left, right, "left", keys, size)
+        rest = natural_join(right, left.select(*keys).distinct(), "left_anti", keys)
+        return matched.unionByName(rest, allowMissingColumns=True)
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type {how!r}")
+
+    rows = F.count(F.lit(1)) if size is None else size
+    hot = (
+        left.groupBy(*keys)
+        .agg(rows.alias("__n"))
+        .orderBy(F.desc("__n"))
+        .limit(HOT_KEYS)
+        .filter(F.col("__n") > ROWS_PER_SALT)
+        .select(*keys, F.least(F.ceil(F.col("__n") / ROWS_PER_SALT), F.lit(SPREAD)).alias("__salts"))
+    )
+    dealt = natural_join(left, F.broadcast(hot), "left", keys).withColumn(
+        "__salt",
+        F.when(F.col("__salts").isNull(), F.lit(0).cast("long")).otherwise(
+            F.pmod(F.xxhash64(*left.columns), F.col("__salts"))
+        ),
+    )
+    repeated = natural_join(right, F.broadcast(hot), "left", keys).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))
+    )
+    joined = natural_join(dealt.drop("__salts"), repeated.drop("__salts"), how, [*keys, "__salt"])
+    return joined.drop("__salt")
+
+
 def with_group_totals(
     df: DataFrame, key: str, spread_by: str, totals: dict[str, Column]
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import semantics as S
-from ..operators.joins import natural_join, with_group_totals
+from ..operators.joins import natural_join, skew_join, with_group_totals
 from ..operators.series import stack_rows
 
 # Permit classes that change the housing stock.
@@ -98,7 +98,7 @@ def tax_roll(
         apartments.select(parcel, F.col("NbrUnits").alias("units_count")),
         residential.select(parcel, F.col("NbrLivingUnits").alias("units_count")),
     )
-    typed = natural_join(buildings, parcels.select(parcel, "PropType"), "inner")
+    typed = skew_join(buildings, parcels.select(parcel, "PropType"), "inner")
     every = stack_rows(typed, condos.select(parcel, F.lit(True).alias("condo")))
     return (
         every.withColumn("property_type", C.property_type("PropType", "units_count", "condo"))
@@ -125,16 +125,16 @@ def owner_portfolio(
 ) -> DataFrame:
     """One row per owner and parcel, with portfolio totals and the owner type.
 
-    Both lookups are by parcel, so properties and residency are joined first:
-    the owner rows then move once, and adaptive execution is free to split a
-    parcel with very many owner rows. Owners without a name form one group.
+    Both lookups are by parcel, so properties and residency are joined first and
+    the owner rows, of which a parcel may have very many, move once. Owners
+    without a name form one group.
     """
     occupied = residency.select(
         S.split_parcel_key("parcel_num_standardized", 10, paste_missing).alias("parcel_num"),
         F.lit(True).alias("owner_occupied"),
     )
     held = natural_join(properties, occupied, "left")
-    rows = natural_join(
+    rows = skew_join(
         owners.withColumn("owner_residence", C.owner_residence("mail_last_line", "mail_county")),
         held,
         "inner",
@@ -266,7 +266,8 @@ def rental_data(
     )
     holders = repeats(owners.filter(F.col("geo_id").isNotNull()), OWNER_ATTRIBUTES, "__owner")
     # Inner joins: an unmatched listing has no property type or tract and is left out anyway.
-    joined = natural_join(natural_join(apartment_types, roll_types), holders)
+    # A parcel may have very many holders; summing their repeats shares the aggregation above.
+    joined = skew_join(holders, natural_join(apartment_types, roll_types), size=F.sum("__owner"))
     return joined.select(
         *RENTAL_KEYS,
         (F.col("__listings") * F.col("__roll") * F.col("__owner")).alias("listing_count"),
@@ -291,4 +292,4 @@ def registry_reconcile(registry: DataFrame, rental: DataFrame, after_year: int =
         S.split_parcel_key("PARCEL_NBR", 14).alias("parcel_num"),
         S.numeric(registry, "Registed_Units").alias("registered_units"),
     )
-    return natural_join(active, listed, "full")
+    return skew_join(active, listed, "full")

@@ -79,11 +79,17 @@ POVERTY_THRESHOLDS = {
 }
 
 
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """Literal rows. Unlike a parallelised list, Spark knows their size and broadcasts them."""
+    literals = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {literals} AS t({columns})")
+
+
 def permit_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PERMIT_TYPES.items()), PERMIT_RECODE)
+    return _values(spark, list(PERMIT_TYPES.items()), "DWELTYPE, tr_type")
 
 
 def poverty_thresholds(spark: SparkSession, year_shift: int = 0) -> DataFrame:
     """Threshold by year; ``year_shift`` moves the series for data of other years."""
     rows = [(year + year_shift, amount) for year, amount in POVERTY_THRESHOLDS.items()]
-    return spark.createDataFrame(rows, "year int, threshold int")
+    return _values(spark, rows, "year, threshold")

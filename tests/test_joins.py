@@ -53,6 +53,42 @@ def test_join_without_shared_columns_is_refused(spark):
         joins.natural_join(spark.range(1), spark.range(1), "right")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "full"])
+@pytest.mark.parametrize("rows_per_salt", [10, 1_000_000])
+def test_skew_join_equals_a_plain_join(spark, monkeypatch, how, rows_per_salt):
+    monkeypatch.setattr(joins, "ROWS_PER_SALT", rows_per_salt)
+    # A third of the left rows share a key, and another third have none.
+    left = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 40))
+        .alias("k"),
+        F.col("id").alias("l"),
+    )
+    right = spark.createDataFrame(
+        [("hot", 1), ("hot", 2), (None, 3), ("k1", 4), ("k1", 5), ("absent", 6)], "k string, r int"
+    )
+    got = joins.skew_join(left, right, how)
+    want = left.alias("a").join(right.alias("b"), F.expr("a.k <=> b.k"), how)
+    assert got.columns == ["k", "l", "r"]
+    assert rows(got, "k", "l", "r") == rows(want, F.coalesce("a.k", "b.k"), "l", "r")
+
+
+def test_skew_join_deals_a_hot_key_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_PER_SALT", 10)
+    left = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("l"))
+    right = spark.createDataFrame([("hot", 1)], "k string, r int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = joins.skew_join(left, right)
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500
+    assert sum(r["count"] for r in sizes) == 1000
+
+
 @pytest.mark.parametrize("hot_keys", [1, 3, 1000])
 def test_group_totals_equal_a_window(spark, monkeypatch, hot_keys):
     monkeypatch.setattr(joins, "HOT_KEYS", hot_keys)
