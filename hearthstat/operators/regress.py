@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 # Widest design the k x k cross-product is formed for.
 MAX_TERMS = 4096
+# A factor marked wide is absorbed when it has more levels than this.
+ABSORB_FROM = 1000
 # A column whose remaining share of variation is below this is aliased.
 ALIAS_TOL = 1e-7
 
@@ -58,10 +62,15 @@ def group_mean_ols(df: DataFrame, y: str, factor: str, z: float = Z95) -> DataFr
 
 @dataclass
 class Factor:
-    """Categorical term. ``levels`` in order, or None to use the sorted values found."""
+    """Categorical term. ``levels`` in order, or None to use the sorted values found.
+
+    A ``wide`` factor (a census tract, say) may have any number of levels: past
+    ABSORB_FROM they are absorbed and their own coefficients not listed.
+    """
 
     name: str
     levels: list[str] | None = None
+    wide: bool = False
 
 
 @dataclass
@@ -70,12 +79,16 @@ class Fit:
 
     terms: list[str]
     estimate: np.ndarray
-    std_error: np.ndarray
+    cov: np.ndarray
     n: int
     df_residual: int
     sigma2: float
     aliased: list[str] = field(default_factory=list)
 
+    @property
+    def std_error(self) -> np.ndarray:
+        return np.sqrt(np.diag(self.cov))
+
     def table(self, spark: SparkSession, z: float = Z95, keep: int | None = None) -> DataFrame:
         """Coefficient table, optionally only the first ``keep`` terms."""
         rows = [
@@ -118,53 +131,39 @@ def _gram(df: DataFrame, cols: str) -> np.ndarray:
     return RowMatrix(vectors).computeGramianMatrix().toArray()
 
 
-def solve_normal(gram: np.ndarray, n: int, names: list[str], shift: np.ndarray | None = None) -> Fit:
+def solve_normal(gram: np.ndarray, n: int, names: list[str], absorbed: int = 0) -> Fit:
     """Solve from the cross-product of [X y], dropping aliased columns in term order.
 
-    ``shift`` is the square matrix A with X_used = X A; estimates are given for X.
+    ``absorbed`` counts fixed effects already taken out of X and y.
     """
     k = len(names)
     xtx, xty, yty = gram[:k, :k], gram[:k, k], gram[k, k]
     kept: list[int] = []
     chol = np.zeros((k, k))
     for j in range(k):
-        # Remaining variation of column j after the columns kept so far.
+        # Variation of column j left over after the columns kept so far.
         m = len(kept)
-        row = np.zeros(m)
-        if m:
-            row = np.linalg.solve(chol[:m, :m], xtx[kept, j])
+        row = np.linalg.solve(chol[:m, :m], xtx[kept, j]) if m else np.zeros(0)
         left = xtx[j, j] - row @ row
         if xtx[j, j] > 0 and left > ALIAS_TOL * xtx[j, j]:
             chol[m, :m] = row
             chol[m, m] = np.sqrt(left)
             kept.append(j)
-    a = xtx[np.ix_(kept, kept)]
-    inv = np.linalg.inv(a)
+    inv = np.linalg.inv(xtx[np.ix_(kept, kept)])
     beta = inv @ xty[kept]
-    dof = n - len(kept)
+    dof = n - len(kept) - absorbed
     sigma2 = float(max(yty - beta @ xty[kept], 0.0) / dof) if dof > 0 else float("nan")
-    cov = inv * sigma2
-    if shift is not None:
-        back = shift[np.ix_(kept, kept)]
-        beta, cov = back @ beta, back @ cov @ back.T
-    return Fit(
-        [names[j] for j in kept],
-        beta,
-        np.sqrt(np.diag(cov)),
-        n,
-        dof,
-        sigma2,
-        [names[j] for j in range(k) if j not in kept],
-    )
+    dropped = [names[j] for j in range(k) if j not in kept]
+    return Fit([names[j] for j in kept], beta, inv * sigma2, n, dof, sigma2, dropped)
 
 
 def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str]) -> Fit:
     """``y ~ 0 + first + terms``; a plain string is a numeric covariate.
 
-    Two jobs over the complete rows, which are kept while both run: factor
-    levels and means, and one cross-product over sparse vectors. Covariates are
-    centred before squaring, which keeps year-like columns from drowning the
-    rest, and the shift is undone on the coefficients.
+    Jobs over the complete rows, which are kept while they run: factor levels
+    and means, and one cross-product over sparse vectors (two where a wide
+    factor is absorbed). Covariates are centred before squaring, which keeps
+    year-like columns from drowning the rest; the shift is undone afterwards.
     """
     factors = [first, *[t for t in terms if isinstance(t, Factor)]]
     numbers = [t for t in terms if isinstance(t, str)]
@@ -178,19 +177,42 @@ def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str])
             data = data.filter(F.col(f.name).isin(f.levels))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit(data, first, factors, numbers, terms)
+        wide = [
+            f
+            for f in factors
+            if f.wide and data.select(f.name).distinct().limit(ABSORB_FROM + 1).count() > ABSORB_FROM
+        ]
+        if len(wide) > 1:
+            raise ValueError("only one wide factor can be absorbed")
+        if wide:
+            return _fit_within(data, first, [t for t in terms if t is not wide[0]], wide[0].name)
+        return _fit(data, first, terms)
     finally:
         data.unpersist()
 
 
-def _fit(
-    data: DataFrame, first: Factor, factors: list[Factor], numbers: list[str], terms: list[Factor | str]
-) -> Fit:
+@dataclass
+class _Design:
+    """Coded rows (vector column ``__x`` = terms then y) and what is known about them."""
+
+    rows: DataFrame
+    names: list[str]
+    levels: dict[str, list[str]]
+    n: int
+    centre: dict[str, float]
+
+
+def _code(
+    data: DataFrame, first: Factor, terms: list[Factor | str], full_first: bool, keep: tuple[str, ...] = ()
+) -> _Design:
+    """Dummies and centred covariates. ``full_first`` codes all levels of the first factor."""
+    factors = [first, *[t for t in terms if isinstance(t, Factor)]]
+    numbers = [t for t in terms if isinstance(t, str)]
     levels, n, centre = _profile(data, factors, [*numbers, "__y"])
     if n == 0:
         raise ValueError("no complete rows to fit")
-
     coded = data.select(
+        *keep,
         *[F.col(f.name) for f in factors],
         *[(F.col(c) - F.lit(centre[c])).alias(c) for c in [*numbers, "__y"]],
     )
@@ -202,31 +224,72 @@ def _fit(
             inputs.append(t)
             continue
         lv = levels[t.name]
-        used = lv if t is first else lv[1:]
-        if not used:
+        every = t is first and full_first
+        if not every and len(lv) == 1:
             continue
         # The encoder drops the last category, so the reference level goes last.
-        order = lv if t is first else lv[1:] + lv[:1]
+        order = lv if every else lv[1:] + lv[:1]
         index = StringIndexerModel.from_labels(order, inputCol=t.name, outputCol=f"__i_{t.name}")
-        one_hot = OneHotEncoder(
-            inputCol=f"__i_{t.name}", outputCol=f"__v_{t.name}", dropLast=t is not first
-        )
+        one_hot = OneHotEncoder(inputCol=f"__i_{t.name}", outputCol=f"__v_{t.name}", dropLast=not every)
         coded = index.transform(coded)
         coded = one_hot.fit(coded).transform(coded)
-        names += [f"{t.name}:{v}" for v in used]
+        names += [f"{t.name}:{v}" for v in (lv if every else lv[1:])]
         inputs.append(f"__v_{t.name}")
+    rows = VectorAssembler(inputCols=[*inputs, "__y"], outputCol="__x").transform(coded)
+    return _Design(rows.select(*keep, "__x"), names, levels, n, centre)
 
-    design = VectorAssembler(inputCols=[*inputs, "__y"], outputCol="__x").transform(coded)
-    gram = _gram(design, "__x")
 
+def _fit(data: DataFrame, first: Factor, terms: list[Factor | str]) -> Fit:
+    d = _code(data, first, terms, full_first=True)
+    fit = solve_normal(_gram(d.rows, "__x"), d.n, d.names)
     # The first factor's dummies add up to 1, so shifting a covariate (or y)
     # shifts exactly those coefficients.
-    k1 = len(levels[first.name])
-    shift = np.eye(len(names))
-    for j, name in enumerate(names):
-        if name in centre:
-            shift[:k1, j] -= centre[name]
-    fit = solve_normal(gram, n, names, shift)
-    of_first = np.array([t in names[:k1] for t in fit.terms])
-    fit.estimate = fit.estimate + np.where(of_first, centre["__y"], 0.0)
+    of_first = np.array([t in d.names[: len(d.levels[first.name])] for t in fit.terms])
+    back = np.eye(len(fit.terms))
+    for j, term in enumerate(fit.terms):
+        back[of_first, j] -= d.centre.get(term, 0.0)
+    fit.estimate = back @ fit.estimate + np.where(of_first, d.centre["__y"], 0.0)
+    fit.cov = back @ fit.cov @ back.T
     return fit
+
+
+def _fit_within(data: DataFrame, first: Factor, terms: list[Factor | str], group: str) -> Fit:
+    """The same fit with ``group`` as a further factor, its effects taken out.
+
+    The cross-product of deviations from group means is the total less that of
+    the group means, so no row meets its group's mean in a join and a large
+    group is no burden. Coefficients of the first factor are levels at the
+    group that sorts first, its reference level, and are put together from that
+    group's means.
+    """
+    d = _code(data, first, terms, full_first=False, keep=(group,))
+    means = d.rows.groupBy(group).agg(
+        Summarizer.mean(F.col("__x")).alias("__mean"), F.count(F.lit(1)).alias("__n")
+    )
+    weighted = means.select(
+        array_to_vector(
+            F.transform(vector_to_array("__mean"), lambda v: v * F.sqrt(F.col("__n").cast("double")))
+        ).alias("__x")
+    )
+    n_groups = means.count()
+    within = _gram(d.rows, "__x") - _gram(weighted, "__x")
+    fit = solve_normal(within, d.n, d.names, absorbed=n_groups)
+
+    base = means.orderBy(group).first()
+    shift = np.array([d.centre.get(t, 0.0) for t in [*d.names, "__y"]])
+    at_base = base["__mean"].toArray() + shift
+    kept = [d.names.index(t) for t in fit.terms]
+    m0, y0 = at_base[kept], at_base[-1]
+
+    levels = d.levels[first.name]
+    lead = [f"{first.name}:{v}" for v in levels if f"{first.name}:{v}" not in fit.aliased]
+    rest = [t for t in fit.terms if t not in lead]
+    combine = np.zeros((len(lead) + len(rest), len(fit.terms)))
+    for i, term in enumerate([*lead, *rest]):
+        if term in fit.terms:
+            combine[i, fit.terms.index(term)] = 1.0
+    is_lead = np.arange(len(combine)) < len(lead)
+    combine[is_lead] -= m0
+    estimate = combine @ fit.estimate + np.where(is_lead, y0, 0.0)
+    cov = combine @ fit.cov @ combine.T + np.outer(is_lead, is_lead) * fit.sigma2 / base["__n"]
+    return Fit([*lead, *rest], estimate, cov, d.n, fit.df_residual, fit.sigma2, fit.aliased)

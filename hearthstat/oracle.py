@@ -38,6 +38,25 @@ OWNER_TYPE_REPORT = """CASE
 OWNER_COLUMNS = """parcel_num, owner_residence, owner_occupied, prop_type, owner_names, geo_id,
     year_built, is_company, portfolio_parcels, portfolio_buildings, portfolio_units"""
 
+def _rental(roll: str, owners: str) -> str:
+    return f"""
+        SELECT parcel_num, year, bedrooms, baths, building_size, property_type, owner_names, owner_residence,
+            owner_occupied, geo_id, year_built, is_company, portfolio_parcels, portfolio_buildings,
+            portfolio_units, owner_type, CAST(sum(n_listings) AS BIGINT) AS listing_count,
+            count(DISTINCT listing_unit_level_id) + max(CASE WHEN listing_unit_level_id IS NULL THEN 1 ELSE 0 END)
+                AS unit_count,
+            avg(list_rent) AS annual_rent, avg(sqft) AS square_feet
+        FROM (SELECT r.*, t.building_size, t.property_type, o.owner_names, o.owner_residence, o.owner_occupied, o.geo_id,
+                o.year_built, o.is_company, o.portfolio_parcels, o.portfolio_buildings, o.portfolio_units, o.owner_type,
+                CASE WHEN beds = 0 THEN 'Studio' WHEN beds = 1 THEN '1 BR' WHEN beds = 2 THEN '2 BR'
+                    WHEN beds = 3 THEN '3 BR' WHEN beds = 4 THEN '4 BR' WHEN beds >= 5 THEN '5+ BR' END AS bedrooms
+            FROM rentals r LEFT JOIN {roll} t ON r.parcel_num IS NOT DISTINCT FROM t.parcel_num
+            LEFT JOIN {owners} o ON r.parcel_num IS NOT DISTINCT FROM o.parcel_num)
+        WHERE list_rent > 0 AND list_rent / 12 <= 10000 AND beds IS NOT NULL AND property_type IS NOT NULL
+            AND geo_id IS NOT NULL AND year >= 1997
+        GROUP BY ALL"""
+
+
 # name -> (views needed, body)
 VIEWS: dict[str, tuple[list[str], str]] = {
     "raw_households": ([], """
@@ -205,21 +224,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             CASE WHEN count(*) = count(baths) THEN max(baths) END AS baths,
             CASE WHEN count(*) = count(sqft) THEN max(sqft) END AS sqft
         FROM ranked GROUP BY parcel_num, year, listing_unit_level_id"""),
-    "rental": (["rentals", "roll", "owners"], """
-        SELECT parcel_num, year, bedrooms, baths, building_size, property_type, owner_names, owner_residence,
-            owner_occupied, geo_id, year_built, is_company, portfolio_parcels, portfolio_buildings,
-            portfolio_units, owner_type, CAST(sum(n_listings) AS BIGINT) AS listing_count,
-            count(DISTINCT listing_unit_level_id) + max(CASE WHEN listing_unit_level_id IS NULL THEN 1 ELSE 0 END)
-                AS unit_count,
-            avg(list_rent) AS annual_rent, avg(sqft) AS square_feet
-        FROM (SELECT r.*, t.building_size, t.property_type, o.* EXCLUDE (parcel_num),
-                CASE WHEN beds = 0 THEN 'Studio' WHEN beds = 1 THEN '1 BR' WHEN beds = 2 THEN '2 BR'
-                    WHEN beds = 3 THEN '3 BR' WHEN beds = 4 THEN '4 BR' WHEN beds >= 5 THEN '5+ BR' END AS bedrooms
-            FROM rentals r LEFT JOIN roll t ON r.parcel_num IS NOT DISTINCT FROM t.parcel_num
-            LEFT JOIN owners o ON r.parcel_num IS NOT DISTINCT FROM o.parcel_num)
-        WHERE list_rent > 0 AND list_rent / 12 <= 10000 AND beds IS NOT NULL AND property_type IS NOT NULL
-            AND geo_id IS NOT NULL AND year >= 1997
-        GROUP BY ALL"""),
+    "rental": (["rentals", "roll", "owners"], _rental("roll", "owners")),
+    "rental_deduped": (["rentals", "roll", "owners"], _rental(
+        "(SELECT DISTINCT parcel_num, building_size, property_type FROM roll)",
+        "(SELECT DISTINCT * EXCLUDE (prop_type) FROM owners)",
+    )),
     "complete": (["rental"], """
         SELECT * FROM rental WHERE bedrooms IS NOT NULL AND building_size IS NOT NULL
             AND baths IS NOT NULL AND year_built IS NOT NULL"""),
@@ -310,6 +319,18 @@ def _median_rent(key: str) -> str:
         GROUP BY {key}, bedrooms HAVING bedrooms IN ('1 BR', '2 BR', '3 BR') AND {key} IS NOT NULL"""
 
 
+def _compliance(parcels: str, registered: str) -> str:
+    return f"""SELECT CASE WHEN count(*) FILTER (registered_units IS NULL AND listed_units IS NULL) = 0
+                THEN CAST(coalesce(sum(listed_units) FILTER (registered_units IS NULL), 0) AS BIGINT) END
+                AS unregistered_units,
+            parcels, registered_parcels, CAST(coalesce(sum(listed_units), 0) AS BIGINT) AS listed_units,
+            coalesce(sum(registered_units), 0) AS registered_units,
+            parcels - registered_parcels AS unregistered_parcels
+        FROM reconciled,
+            (SELECT {parcels} AS parcels, {registered} AS registered_parcels FROM reconciled)
+        GROUP BY parcels, registered_parcels"""
+
+
 ROLL_COLUMNS = "parcel_num, building_size, property_type, condo"
 
 SQL: dict[str, str] = {
@@ -321,6 +342,7 @@ SQL: dict[str, str] = {
     "q05r_owner_type_report": with_views("SELECT * FROM owners_report", "owners_report"),
     "q06_listing_dedupe": with_views("SELECT * FROM rentals", "rentals"),
     "q07_rental_data": with_views("SELECT * FROM rental", "rental"),
+    "q07d_rental_data_deduped": with_views("SELECT * FROM rental_deduped", "rental_deduped"),
     "q08_listing_coverage": with_views(
         """SELECT property_type, avg(CASE WHEN n_listings IS NOT NULL THEN 1.0 ELSE 0.0 END) AS coverage,
             CAST(coalesce(sum(n_listings), 0) AS BIGINT) AS listings
@@ -410,18 +432,15 @@ SQL: dict[str, str] = {
         "rental", "households",
     ),
     "q23_registry_compliance": with_views(
-        """SELECT CASE WHEN count(*) FILTER (registered_units IS NULL AND listed_units IS NULL) = 0
-                THEN CAST(coalesce(sum(listed_units) FILTER (registered_units IS NULL), 0) AS BIGINT) END
-                AS unregistered_units,
-            parcels, registered_parcels, CAST(coalesce(sum(listed_units), 0) AS BIGINT) AS listed_units,
-            coalesce(sum(registered_units), 0) AS registered_units,
-            parcels - registered_parcels AS unregistered_parcels
-        FROM reconciled, (SELECT
-            count(DISTINCT parcel_num) + max(CASE WHEN parcel_num IS NULL THEN 1 ELSE 0 END) AS parcels,
-            count(DISTINCT record_id) + max(CASE WHEN record_id IS NULL THEN 1 ELSE 0 END) AS registered_parcels
-            FROM reconciled) GROUP BY parcels, registered_parcels""",
+        _compliance(
+            "count(DISTINCT parcel_num) + max(CASE WHEN parcel_num IS NULL THEN 1 ELSE 0 END)",
+            "count(DISTINCT record_id) + max(CASE WHEN record_id IS NULL THEN 1 ELSE 0 END)",
+        ),
         "reconciled",
     ),
+    "q23s_registry_compliance_strict": with_views(
+        _compliance("count(DISTINCT parcel_num)", "count(DISTINCT record_id)"), "reconciled"
+    ),
     "q24_rent_size_beds": with_views(_median_rent("building_size"), "rental"),
     "q24b_rent_owner_beds": with_views(_median_rent("owner_type"), "rental"),
     "q25_frequency": with_views(

@@ -11,7 +11,7 @@ from ..operators.regress import Factor, Fit, formula_ols, group_mean_ols
 BEDROOMS = Factor("bedrooms", C.BEDROOMS)
 BUILDING_SIZE = Factor("building_size", C.BUILDING_SIZES)
 OWNER_TYPE = Factor("owner_type", C.OWNER_TYPES)
-TRACT = Factor("geo_id")
+TRACT = Factor("geo_id", wide=True)
 
 
 def complete_cases(rental: DataFrame) -> DataFrame:

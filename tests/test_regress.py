@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hearthstat.operators import regress
 from hearthstat.operators.regress import Factor, formula_ols, group_mean_ols
 
 
@@ -89,3 +90,23 @@ def test_table_keeps_first_terms(rents, spark):
     table = fit.table(spark, keep=3).collect()
     assert [r["term"] for r in table] == ["g:low", "g:mid", "g:top"]
     assert all(r["ci_low"] < r["estimate"] < r["ci_high"] for r in table)
+
+
+def test_absorbed_factor_gives_the_same_coefficients(rents, monkeypatch):
+    df = rents.withColumn("tract", F.concat(F.lit("t"), (F.col("built") * 17 % 29).cast("string")))
+    wide = Factor("tract", wide=True)
+    terms = ["year", Factor("h"), wide, "built"]
+    listed = formula_ols(df, "y", Factor("g", ["top", "mid", "low"]), terms)
+    monkeypatch.setattr(regress, "ABSORB_FROM", 5)
+    absorbed = formula_ols(df, "y", Factor("g", ["top", "mid", "low"]), terms)
+    assert absorbed.terms == [t for t in listed.terms if not t.startswith("tract")]
+    at = [listed.terms.index(t) for t in absorbed.terms]
+    assert absorbed.estimate == pytest.approx(listed.estimate[at], rel=1e-6)
+    assert absorbed.std_error == pytest.approx(listed.std_error[at], rel=1e-6)
+    assert absorbed.df_residual == listed.df_residual
+
+
+def test_too_many_plain_levels_are_refused(rents, monkeypatch):
+    monkeypatch.setattr(regress, "MAX_TERMS", 5)
+    with pytest.raises(ValueError):
+        formula_ols(rents, "y", Factor("g"), [Factor("h")])
