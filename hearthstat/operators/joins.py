@@ -27,6 +27,7 @@ def natural_join(
     how: str = "inner",
     on: list[str] | None = None,
     null_safe: bool = True,
+    reshuffle: bool = False,
 ) -> DataFrame:
     """Join on all shared columns (or ``on``); each key appears once in the result.
 
@@ -34,6 +35,11 @@ def natural_join(
     equi-join. For sides with few rows per key; see ``skew_join`` otherwise. A
     full join is a left join plus the right rows whose key the left side lacks,
     since adaptive execution can split a skewed left join but not a full one.
+
+    Adaptive execution also only splits a skewed key where both sides come
+    straight from a shuffle, not where an earlier join on the key left its
+    partitioning. ``reshuffle`` joins on the key's hash as well, so that both
+    sides are shuffled for this join.
     """
     keys = shared_columns(left, right) if on is None else on
     if not keys:
@@ -45,6 +51,11 @@ def natural_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
 
+    if reshuffle:
+        key_hash = F.xxhash64(*keys).alias("__hash")
+        left, right = left.select("*", key_hash), right.select("*", key_hash)
+        return natural_join(left, right, how, [*keys, "__hash"], null_safe).drop("__hash")
+
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
 
     def same(k: str) -> Column:

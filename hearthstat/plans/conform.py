@@ -134,10 +134,11 @@ def owner_portfolio(
         F.lit(True).alias("owner_occupied"),
     )
     held = natural_join(properties, occupied, "left")
-    rows = skew_join(
+    rows = natural_join(
         owners.withColumn("owner_residence", C.owner_residence("mail_last_line", "mail_county")),
         held,
         "inner",
+        reshuffle=True,
     ).withColumn("owner_occupied", F.col("owner_occupied").isNotNull())
     rows = with_group_totals(
         rows.select(
@@ -266,8 +267,8 @@ def rental_data(
     )
     holders = repeats(owners.filter(F.col("geo_id").isNotNull()), OWNER_ATTRIBUTES, "__owner")
     # Inner joins: an unmatched listing has no property type or tract and is left out anyway.
-    # A parcel may have very many holders; summing their repeats shares the aggregation above.
-    joined = skew_join(holders, natural_join(apartment_types, roll_types), size=F.sum("__owner"))
+    # A parcel may have very many holders, hence the fresh shuffle.
+    joined = natural_join(holders, natural_join(apartment_types, roll_types), reshuffle=True)
     return joined.select(
         *RENTAL_KEYS,
         (F.col("__listings") * F.col("__roll") * F.col("__owner")).alias("listing_count"),

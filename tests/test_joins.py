@@ -120,3 +120,32 @@ def test_rows_of_a_hot_group_are_spread(spark, monkeypatch):
     plan = joins.with_group_totals(df, "owner", "parcel", {"n": S.n_rows()})
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "(__spread" in text and "= __zero" in text
+
+
+@pytest.mark.parametrize("reshuffle", [True, False])
+def test_fresh_shuffle_lets_a_hot_key_be_split_after_a_join(spark, reshuffle):
+    """The second join on a key is split by adaptive execution only with ``reshuffle``."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000).cast("string")
+        left = spark.range(0, 60_000, 1, 8).select(key.alias("k"), F.col("id").alias("l"))
+        small = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("a"))
+        other = spark.range(1000).select(F.col("id").cast("string").alias("k"), (-F.col("id")).alias("b"))
+        got = joins.natural_join(left, joins.natural_join(small, other), reshuffle=reshuffle)
+        assert got.collect() and got.columns == ["k", "l", "a", "b"]
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert ("skew=true" in plan) == reshuffle
+        assert got.count() == 60_000
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
