@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The largest groups handled by broadcast. However big the table, a group that is
-# not among them has less than one row in HOT_KEYS.
+# not among them has less than one row in HOT_KEYS, or less than HOT_ROWS rows.
 HOT_KEYS = 10_000
-# Rows of one key that a task may be left with in a skew-safe join.
-ROWS_PER_SALT = 1_000_000
+# Rows of one key that a task is readily left with.
+HOT_ROWS = 1_000_000
 # Hot rows spread over this many hash values.
 SPREAD = 65536
 
@@ -75,7 +75,7 @@ def skew_join(
 ) -> DataFrame:
     """``natural_join`` (inner, left or full) where a key may hold much of the left side.
 
-    Keys with more than ROWS_PER_SALT left rows are found by counting (combined
+    Keys with more than HOT_ROWS left rows are found by counting (combined
     map-side) and broadcast, at most HOT_KEYS of them. Their left rows are
     dealt out over several salts, and the right rows of just these keys are
     repeated once per salt. The salt comes from the row's contents, so a retried
@@ -94,10 +94,10 @@ def skew_join(
     hot = (
         left.groupBy(*keys)
         .agg(rows.alias("__n"))
+        .filter(F.col("__n") > HOT_ROWS)
         .orderBy(F.desc("__n"))
         .limit(HOT_KEYS)
-        .filter(F.col("__n") > ROWS_PER_SALT)
-        .select(*keys, F.least(F.ceil(F.col("__n") / ROWS_PER_SALT), F.lit(SPREAD)).alias("__salts"))
+        .select(*keys, F.least(F.ceil(F.col("__n") / HOT_ROWS), F.lit(SPREAD)).alias("__salts"))
     )
     dealt = natural_join(left, F.broadcast(hot), "left", keys).withColumn(
         "__salt",
@@ -120,13 +120,13 @@ def with_group_totals(
     A window over ``key`` would sort a whole group in one task. Here the groups
     are aggregated (combined map-side) and joined back. Rows of the largest
     groups get their totals from a broadcast and are then spread over
-    ``spread_by`` instead of going to their key's partition, so no task is left
-    with more than one group of at most 1/HOT_KEYS of all rows.
+    ``spread_by`` instead of going to their key's partition.
     """
     names = list(totals)
     grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in totals.items()])
     hot = (
-        grouped.orderBy(F.desc("__n"))
+        grouped.filter(F.col("__n") > HOT_ROWS)
+        .orderBy(F.desc("__n"))
         .limit(HOT_KEYS)
         .select(F.col(key).alias("__hot_key"), F.struct(*names, "__n").alias("__hot"))
     )

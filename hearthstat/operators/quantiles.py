@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Histogram bars per unit of log-value: a bar is about 0.1% wide, so money
-# amounts from 1 to ten million take some 16,000 bars.
-BARS = 1024
+# Histogram bars per unit of log-value: a bar is about 0.01% wide, so money
+# amounts from 1 to ten million take some 130,000 bars, and a bar at 50,000
+# spans about 6.
+BARS = 8192
 
 
 def _bar(value: Column) -> Column:

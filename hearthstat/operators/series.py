@@ -12,22 +12,28 @@ def arrange(df: DataFrame, *cols: str | Column) -> DataFrame:
 
 
 def index_to_base(
-    df: DataFrame, indexes: dict[str, str], by: list[str], order: str = "year"
+    df: DataFrame, indexes: dict[str, str], by: list[str], order: str = "year", base: int | None = None
 ) -> DataFrame:
-    """Add columns ``measure / first measure * 100`` within each ``by`` group.
+    """Add columns ``measure / base measure * 100`` within each ``by`` group.
 
-    ``indexes`` maps the new column to the measure. For already aggregated
-    tables: a group is one series with one row per period, so its window
-    partition holds only as many rows as there are periods.
+    ``indexes`` maps the new column to the measure. The base is the first
+    period, or the period ``base``. For already aggregated tables: a group is
+    one series with one row per period, so its window partition holds only as
+    many rows as there are periods.
     """
-    w = (
-        Window.partitionBy(*by)
-        .orderBy(F.asc_nulls_last(order))
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    series = Window.partitionBy(*by)
+    whole = series.orderBy(F.asc_nulls_last(order)).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
+
+    def at_base(measure: str) -> Column:
+        if base is None:
+            return F.first_value(measure).over(whole)
+        return F.max(F.when(F.col(order) == base, F.col(measure))).over(series)
+
     return df.withColumns(
         {
-            new: F.try_divide(F.col(m).cast("double"), F.first_value(m).over(w).cast("double")) * 100
+            new: F.try_divide(F.col(m).cast("double"), at_base(m).cast("double")) * 100
             for new, m in indexes.items()
         }
     )

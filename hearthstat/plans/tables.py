@@ -107,14 +107,16 @@ def sample_sizes(
     return table.withColumnsRenamed({str(c): f"ownershp_{c}" for c in codes})
 
 
-def renters_by_size(households: DataFrame) -> DataFrame:
-    """Renter households by building size and year, indexed to the first year."""
+def renters_by_size(households: DataFrame, base_year: int | None = None) -> DataFrame:
+    """Renter households by building size and year, indexed to the first (or a given) year."""
     counts = (
         households.filter(F.col("ownership") == "Rent")
         .groupBy("building_size", "year")
         .agg(S.sum_of("HHWT").alias("households"))
     )
-    indexed = index_to_base(counts, {"household_index": "households"}, ["building_size"])
+    indexed = index_to_base(
+        counts, {"household_index": "households"}, ["building_size"], base=base_year
+    )
     return arrange(indexed, "year", C.rank_of("building_size", C.BUILDING_SIZES))
 
 
@@ -167,8 +169,8 @@ def gross_change(by_size_year: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- ownership
 
 
-def ownership_index(records: DataFrame) -> DataFrame:
-    """Owners and units by owner type and year, indexed to the first year."""
+def ownership_index(records: DataFrame, base_year: int | None = None) -> DataFrame:
+    """Owners and units by owner type and year, indexed to the first (or a given) year."""
     counts = (
         records.filter(
             F.col("owner_type").isNotNull() & (F.col("owner_type") != C.OTHER) & F.col("year").isNotNull()
@@ -177,7 +179,7 @@ def ownership_index(records: DataFrame) -> DataFrame:
         .agg(S.n_rows().alias("owners"), S.sum_of("units", na_rm=True).alias("units"))
     )
     indexes = {"unit_index": "units", "owner_index": "owners"}
-    return arrange(index_to_base(counts, indexes, ["owner_type"]), "year", "owner_type")
+    return arrange(index_to_base(counts, indexes, ["owner_type"], base=base_year), "year", "owner_type")
 
 
 def owner_base_years(table: DataFrame, years: tuple[int, ...] = (2015, 2021)) -> DataFrame:

@@ -54,9 +54,9 @@ def test_join_without_shared_columns_is_refused(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "full"])
-@pytest.mark.parametrize("rows_per_salt", [10, 1_000_000])
-def test_skew_join_equals_a_plain_join(spark, monkeypatch, how, rows_per_salt):
-    monkeypatch.setattr(joins, "ROWS_PER_SALT", rows_per_salt)
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_skew_join_equals_a_plain_join(spark, monkeypatch, how, hot_rows):
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
     # A third of the left rows share a key, and another third have none.
     left = spark.range(900).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
@@ -74,7 +74,7 @@ def test_skew_join_equals_a_plain_join(spark, monkeypatch, how, rows_per_salt):
 
 
 def test_skew_join_deals_a_hot_key_over_salts(spark, monkeypatch):
-    monkeypatch.setattr(joins, "ROWS_PER_SALT", 10)
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
     left = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("l"))
     right = spark.createDataFrame([("hot", 1)], "k string, r int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -92,6 +92,7 @@ def test_skew_join_deals_a_hot_key_over_salts(spark, monkeypatch):
 @pytest.mark.parametrize("hot_keys", [1, 3, 1000])
 def test_group_totals_equal_a_window(spark, monkeypatch, hot_keys):
     monkeypatch.setattr(joins, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(joins, "HOT_ROWS", 0)
     df = spark.range(3000).select(
         F.concat(F.lit("p"), F.col("id").cast("string")).alias("parcel"),
         F.when(F.col("id") % 3 == 0, F.lit(None))
@@ -115,7 +116,7 @@ def test_group_totals_equal_a_window(spark, monkeypatch, hot_keys):
 
 def test_rows_of_a_hot_group_are_spread(spark, monkeypatch):
     """The shuffle key of the last join must keep the spread value."""
-    monkeypatch.setattr(joins, "HOT_KEYS", 1)
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
     df = spark.range(1000).select(F.col("id").alias("parcel"), F.lit("one").alias("owner"))
     plan = joins.with_group_totals(df, "owner", "parcel", {"n": S.n_rows()})
     text = plan._jdf.queryExecution().optimizedPlan().toString()

@@ -33,6 +33,15 @@ def test_index_reproduces_published_figures(owners):
     assert owners.filter("year = 2020").agg(F.sum("units")).first()[0] == 190_393
 
 
+def test_index_to_a_given_period(owners):
+    indexed = R.index_to_base(owners, {"u": "units"}, ["owner_type"], base=2020)
+    got = {(r["year"], r["owner_type"]): r["u"] for r in indexed.collect()}
+    assert got[2020, "Mom-and-pop"] == 100.0
+    assert got[2015, "Mom-and-pop"] == pytest.approx(35063 / 33816 * 100)
+    absent = R.index_to_base(owners, {"u": "units"}, ["owner_type"], base=1990)
+    assert {r["u"] for r in absent.collect()} == {None}
+
+
 def test_index_is_unknown_on_a_zero_or_missing_base(spark):
     df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 5.0), ("b", 1, None), ("b", 2, 5.0)], "g string, year int, x double")
     assert [r["i"] for r in R.index_to_base(df, {"i": "x"}, ["g"]).collect()] == [None] * 4
