@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 BARS = 8192
 
 
-def _bar(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BARS)
+def _bar(value: Column, bars: int) -> Column:
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * bars)
 
 
 def grouped_quantile(
@@ -37,12 +37,14 @@ def grouped_quantile(
     p: float = 0.5,
     weight: str | None = None,
     na_rm: bool = False,
+    bars: int = BARS,
 ) -> DataFrame:
     """One row per group with the ``p`` quantile of each measure.
 
     ``measures`` maps output names to input columns; they share one pass over
     the data. A NULL value makes the group's result NULL unless ``na_rm``,
-    where rows with a NULL value or weight are left out.
+    where rows with a NULL value or weight are left out. The result does not
+    depend on ``bars``; raise it where very many different values crowd together.
     """
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     names = list(measures)
@@ -75,7 +77,7 @@ def grouped_quantile(
     counts = (
         long.groupBy(*grp, "__v")
         .agg(F.sum("__w").alias("__w"))
-        .withColumn("__bar", _bar(F.col("__v")))
+        .withColumn("__bar", _bar(F.col("__v"), bars))
     )
     series = Window.partitionBy(*grp)
     running = series.orderBy(F.asc_nulls_first("__bar"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -14,7 +15,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     is not a number becomes NULL.
     """
     raw = spark.read.csv(path, header=True, quote='"', escape='"')
-    wanted = spark.createDataFrame([], schema).schema
+    wanted = T.StructType.fromDDL(schema)
     return raw.select(
         *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields]
     )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthstat.functions import semantics as S
+from hearthstat.operators import joins
 from hearthstat.plans import conform, models, tables
 from hearthstat.sources import schemas
 
@@ -189,8 +190,7 @@ def test_tax_roll(roll):
     )
 
 
-@pytest.fixture(scope="module")
-def owners(spark):
+def make_owners(spark):
     properties = spark.createDataFrame(
         [
             ("000001-0001", 2, 13, "C", "t1", "1990"),
@@ -215,6 +215,16 @@ def owners(spark):
     return conform.owner_portfolio(raw, properties, residency)
 
 
+@pytest.fixture(scope="module")
+def owners(spark):
+    return make_owners(spark)
+
+
+def test_hot_owners_change_nothing(spark, owners, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 1)
+    assert rows(make_owners(spark)) == rows(owners)
+
+
 def test_owner_portfolio(owners):
     got = rows(
         owners, "parcel_num", "owner_names", "owner_residence", "owner_occupied",

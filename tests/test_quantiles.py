@@ -79,6 +79,8 @@ def test_one_group_with_a_third_of_all_rows(spark):
         (F.col("id") * 31 % 7).alias("w"),
     )
     got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], {"q": "x"}, 0.5, "w").collect()}
+    coarse = grouped_quantile(df, ["g"], {"q": "x"}, 0.5, "w", bars=1).collect()
+    assert {r["g"]: r["q"] for r in coarse} == got
     pdf = df.toPandas()
     assert len(got) == pdf["g"].nunique()
     for g, part in pdf.groupby("g"):
