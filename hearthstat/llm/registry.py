@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import lines
+from hearthstat.llm import bpe, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op8_line_dedup": lines.op8_line_dedup,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
