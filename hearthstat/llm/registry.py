@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, lines
+from hearthstat.llm import bpe, decontam, lines, minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op8_line_dedup": lines.op8_line_dedup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_minhash_dedup": minhash.OP3_SQL,
         "op5_decontaminate": decontam.OP5_SQL,
         "op8_line_dedup": lines.OP8_SQL,
     }
