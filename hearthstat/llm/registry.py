@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, lines, minhash
+from hearthstat.llm import bpe, decontam, lines, minhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op5_decontaminate": decontam.op5_decontaminate,
+        "op6_url_filter": urls.op6_url_filter,
         "op8_line_dedup": lines.op8_line_dedup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_minhash_dedup": minhash.OP3_SQL,
         "op5_decontaminate": decontam.OP5_SQL,
+        "op6_url_filter": urls.OP6_SQL,
         "op8_line_dedup": lines.OP8_SQL,
     }
