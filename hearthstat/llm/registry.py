@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, lines, minhash, urls
+from hearthstat.llm import bpe, decontam, langid, lines, minhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": langid.op1_language_id,
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op6_url_filter": urls.op6_url_filter,
