@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, langid, lines, minhash, urls
+from hearthstat.llm import bpe, decontam, langid, lines, minhash, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op6_url_filter": urls.op6_url_filter,
+        "op7_quality": quality.op7_quality,
         "op8_line_dedup": lines.op8_line_dedup,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
