@@ -270,7 +270,7 @@ def apply(state: State, docs: DataFrame) -> DataFrame:
         if last:
             schema = schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
         else:
-            schema = schema.add("text", "string").add("_gone", "array<int>")
+            schema = schema.add("text", "string").add("_gone", T.ArrayType(T.IntegerType()))
         docs = docs.mapInArrow(
             partial(_drop, blocks=blocks, shards=state.shards, least=state.min_chars, last=last), schema
         )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, langid, lines, minhash, quality, urls
+from hearthstat.llm import bpe, decontam, langid, lines, minhash, quality, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op6_url_filter": urls.op6_url_filter,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": lines.op8_line_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
