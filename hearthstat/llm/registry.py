@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, langid, lines, minhash, quality, toxicity, urls
+from hearthstat.llm import bpe, decontam, langid, lines, minhash, quality, toxicity, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op2_embedding_dedup": vectors.op2_embedding_dedup,
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op6_url_filter": urls.op6_url_filter,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_embedding_dedup": vectors.OP2_SQL,
         "op3_minhash_dedup": minhash.OP3_SQL,
         "op5_decontaminate": decontam.OP5_SQL,
         "op6_url_filter": urls.OP6_SQL,
