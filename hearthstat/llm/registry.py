@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, langid, lines, minhash, quality, toxicity, urls, vectors
+from hearthstat.llm import bpe, decontam, langid, lines, minhash, pii, quality, toxicity, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": langid.op1_language_id,
         "op2_embedding_dedup": vectors.op2_embedding_dedup,
         "op3_minhash_dedup": minhash.op3_minhash_dedup,
+        "op4_pii": pii.op4_pii,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op6_url_filter": urls.op6_url_filter,
         "op7_quality": quality.op7_quality,
