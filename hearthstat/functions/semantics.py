@@ -133,7 +133,8 @@ def packed_order(high: list[tuple[Column, int]], low: list[tuple[Column, int]])
     Each part is a column and its largest number of digits; ``high`` and
     ``low`` may hold 18 digits each. A fixed-width key keeps ``min_by`` and
     ``max_by`` in a hash aggregate, where a struct would force a sort of the
-    raw rows.
+    raw rows. A number that is negative or has more digits raises an error, as it
+    would run into its neighbours.
     """
 
     def pack(parts: list[tuple[Column, int]]) -> Column:
@@ -141,7 +142,10 @@ def packed_order(high: list[tuple[Column, int]], low: list[tuple[Column, int]])
             raise ValueError("at most 18 digits fit in each half")
         out = F.lit(0).cast("long")
         for c, digits in parts:
-            out = out * F.lit(10**digits) + c.cast("long")
+            c = c.cast("long")
+            wide = F.concat(F.lit(f"not a number of up to {digits} digits: "), c.cast("string"))
+            fits = F.when((c < 0) | (c >= 10**digits), F.raise_error(wide).cast("long")).otherwise(c)
+            out = out * F.lit(10**digits) + fits
         return out
 
     scale = F.lit(10**18).cast("decimal(19,0)")

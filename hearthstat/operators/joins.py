@@ -1,4 +1,9 @@
-"""Equi-joins on shared columns where NULL matches NULL, safe under key skew."""
+"""Equi-joins on shared columns where NULL matches NULL, safe under key skew.
+
+A key that holds much of a table is left to adaptive execution, which splits its
+partition by what the tasks before wrote. Unlike a salt taken from the rows' contents,
+that also parts rows that are all alike.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The largest groups handled by broadcast. However big the table, a group that is
-# not among them has less than one row in HOT_KEYS, or less than HOT_ROWS rows.
-HOT_KEYS = 10_000
-# Rows of one key that a task is readily left with.
-HOT_ROWS = 1_000_000
-# Hot rows spread over this many hash values.
-SPREAD = 65536
-
-
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
     """Columns both sides have, in the left side's order."""
     return [c for c in left.columns if c in right.columns]
@@ -32,9 +28,9 @@ def natural_join(
     """Join on all shared columns (or ``on``); each key appears once in the result.
 
     ``null_safe`` keys compare with ``<=>``, which Spark still plans as an
-    equi-join. For sides with few rows per key; see ``skew_join`` otherwise. A
-    full join is a left join plus the right rows whose key the left side lacks,
-    since adaptive execution can split a skewed left join but not a full one.
+    equi-join. A full join is a left join plus the right rows whose key the left
+    side lacks, since adaptive execution can split a skewed left join but not a
+    full one.
 
     Adaptive execution also only splits a skewed key where both sides come
     straight from a shuffle, not where an earlier join on the key left its
@@ -45,7 +41,7 @@ def natural_join(
     if not keys:
         raise ValueError("the two sides share no column to join on")
     if how == "full":
-        matched = natural_join(left, right, "left", keys, null_safe)
+        matched = natural_join(left, right, "left", keys, null_safe, reshuffle)
         rest = natural_join(right, left.select(*keys).distinct(), "left_anti", keys, null_safe)
         return matched.unionByName(rest, allowMissingColumns=True)
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -66,86 +62,12 @@ def natural_join(
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    how: str = "inner",
-    on: list[str] | None = None,
-    size: Column | None = None,
-) -> DataFrame:
-    """``natural_join`` (inner, left or full) where a key may hold much of the left side.
-
-    Keys with more than HOT_ROWS left rows are found by counting (combined
-    map-side) and broadcast, at most HOT_KEYS of them. Their left rows are
-    dealt out over several salts, and the right rows of just these keys are
-    repeated once per salt. The salt comes from the row's contents, so a retried
-    task deals a row the same way. ``size`` may weigh rows by another aggregate,
-    at least as large as the count, to share an aggregation already planned.
-    """
-    keys = shared_columns(left, right) if on is None else on
-    if how == "full":
-        matched = skew_join(left, right, "left", keys, size)
-        rest = natural_join(right, left.select(*keys).distinct(), "left_anti", keys)
-        return matched.unionByName(rest, allowMissingColumns=True)
-    if how not in ("inner", "left"):
-        raise ValueError(f"unsupported join type {how!r}")
-
-    rows = F.count(F.lit(1)) if size is None else size
-    hot = (
-        left.groupBy(*keys)
-        .agg(rows.alias("__n"))
-        .filter(F.col("__n") > HOT_ROWS)
-        .orderBy(F.desc("__n"))
-        .limit(HOT_KEYS)
-        .select(*keys, F.least(F.ceil(F.col("__n") / HOT_ROWS), F.lit(SPREAD)).alias("__salts"))
-    )
-    dealt = natural_join(left, F.broadcast(hot), "left", keys).withColumn(
-        "__salt",
-        F.when(F.col("__salts").isNull(), F.lit(0).cast("long")).otherwise(
-            F.pmod(F.xxhash64(*left.columns), F.col("__salts"))
-        ),
-    )
-    repeated = natural_join(right, F.broadcast(hot), "left", keys).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))
-    )
-    joined = natural_join(dealt.drop("__salts"), repeated.drop("__salts"), how, [*keys, "__salt"])
-    return joined.drop("__salt")
-
-
-def with_group_totals(
-    df: DataFrame, key: str, spread_by: str, totals: dict[str, Column]
-) -> DataFrame:
+def with_group_totals(df: DataFrame, key: str, totals: dict[str, Column]) -> DataFrame:
     """Put per-group aggregates back on every row of the group.
 
     A window over ``key`` would sort a whole group in one task. Here the groups
-    are aggregated (combined map-side) and joined back. Rows of the largest
-    groups get their totals from a broadcast and are then spread over
-    ``spread_by`` instead of going to their key's partition.
+    are aggregated (combined map-side) and joined back by a fresh shuffle, in
+    which adaptive execution can split a large group.
     """
-    names = list(totals)
-    grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in totals.items()])
-    hot = (
-        grouped.filter(F.col("__n") > HOT_ROWS)
-        .orderBy(F.desc("__n"))
-        .limit(HOT_KEYS)
-        .select(F.col(key).alias("__hot_key"), F.struct(*names, "__n").alias("__hot"))
-    )
-    # Holds every group, so it does not matter which of several equal ones are hot.
-    every = grouped.select(
-        F.col(key).alias("__key"),
-        # Always 0, but not a literal: a folded constant would leave the join key.
-        F.least(F.col("__n"), F.lit(0)).cast("int").alias("__zero"),
-        F.struct(*names, "__n").alias("__any"),
-    )
-    is_hot = F.col("__hot").isNotNull()
-    rows = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot_key")), "left").withColumn(
-        "__spread", F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
-    )
-    rows = rows.join(
-        every,
-        (F.col("__spread") == F.col("__zero")) & F.col(key).eqNullSafe(F.col("__key")),
-        "left",
-    )
-    return rows.select(
-        *df.columns, *[F.coalesce(F.col(f"__hot.{n}"), F.col(f"__any.{n}")).alias(n) for n in names]
-    )
+    grouped = df.groupBy(key).agg(*[c.alias(n) for n, c in totals.items()])
+    return natural_join(df, grouped, "left", [key], reshuffle=True).select(*df.columns, *totals)

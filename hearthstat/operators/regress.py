@@ -1,32 +1,38 @@
 """No-intercept least squares with confidence intervals.
 
 The first factor is coded in full, every other factor against its first level,
-and rows with a missing value are left out. Work over the rows is one Spark
-aggregation in either form; only coefficient-sized matrices reach the driver.
+and rows with a missing value are left out. Columns that earlier ones determine
+are dropped in term order. Work over the rows is one Spark aggregation in either
+form; only matrices of the listed terms' size reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.classify import rank_of
+
 # Two-sided 95% normal quantile.
 Z95 = 1.959963984540054
-# Widest design the k x k cross-product is formed for.
-MAX_TERMS = 4096
-# A factor marked wide is absorbed when it has more levels than this.
-ABSORB_FROM = 1000
-# A column whose remaining share of variation is below this is aliased.
-ALIAS_TOL = 1e-7
+# The most listed terms, as their cross-product is solved on the driver. A factor of more
+# levels is absorbed; its coefficients are then rows of a distributed table.
+LISTED_TERMS = 4096
+# A column is aliased when what earlier ones leave of its squared length is less than this
+# share: a hundred-thousandth of the length, below which cross-products are rounding noise.
+ALIAS_TOL = 1e-10
 
 COEF_SCHEMA = "term string, estimate double, std_error double, ci_low double, ci_high double, n long"
 
@@ -37,8 +43,13 @@ def coefficient_columns(z: float = Z95) -> list[Column]:
     return [(F.col("estimate") - half).alias("ci_low"), (F.col("estimate") + half).alias("ci_high")]
 
 
-def group_mean_ols(df: DataFrame, y: str, factor: str, z: float = Z95) -> DataFrame:
-    """``y ~ 0 + factor`` in closed form: group means with the pooled variance."""
+def group_mean_ols(
+    df: DataFrame, y: str, factor: str, z: float = Z95, levels: list[str] | None = None, keep: int | None = None
+) -> DataFrame:
+    """``y ~ 0 + factor`` in closed form: group means with the pooled variance.
+
+    In order of ``levels``, others after them by name; optionally the first ``keep``.
+    """
     g = F.col(factor).cast("string")
     groups = (
         df.filter(F.col(y).isNotNull() & F.col(factor).isNotNull())
@@ -49,33 +60,36 @@ def group_mean_ols(df: DataFrame, y: str, factor: str, z: float = Z95) -> DataFr
             (F.coalesce(F.var_samp(y), F.lit(0.0)) * (F.count(F.lit(1)) - 1)).alias("__ss"),
         )
     )
-    # As many rows as coefficients, so one task can pool them; a subquery would
-    # run everything below a second time.
-    every = Window.partitionBy()
-    pooled = F.try_divide(
-        F.sum("__ss").over(every), F.sum("n").over(every) - F.count(F.lit(1)).over(every)
-    )
-    return groups.withColumn("std_error", F.sqrt(pooled / F.col("n"))).select(
-        "term", "estimate", "std_error", *coefficient_columns(z), "n"
-    )
+    # A single number over all levels; the shuffle that it reads is that of the groups.
+    pooled = groups.agg(F.try_divide(F.sum("__ss"), F.sum("n") - F.count(F.lit(1)))).scalar()
+    table = groups.withColumn("std_error", F.sqrt(pooled / F.col("n")))
+    order = [rank_of("term", levels)] if levels else []
+    table = table.orderBy(*[c.asc_nulls_last() for c in order], "term")
+    table = table.select("term", "estimate", "std_error", *coefficient_columns(z), "n")
+    return table if keep is None else table.limit(keep)
 
 
 @dataclass
 class Factor:
     """Categorical term. ``levels`` in order, or None to use the sorted values found.
 
-    A ``wide`` factor (a census tract, say) may have any number of levels: past
-    ABSORB_FROM they are absorbed and their own coefficients not listed.
+    An absorbed factor (a census tract, say) may have any number of levels. The
+    table of the fit is the same; one factor of a formula, not the first, can be
+    absorbed.
     """
 
     name: str
     levels: list[str] | None = None
-    wide: bool = False
+    absorb: bool = False
 
 
 @dataclass
 class Fit:
-    """Coefficients in term order; aliased terms are listed apart."""
+    """Coefficients in term order; aliased terms are listed apart.
+
+    ``effects`` holds those of an absorbed factor, as a table of the same columns.
+    They come after the first ``before`` terms.
+    """
 
     terms: list[str]
     estimate: np.ndarray
@@ -84,10 +98,12 @@ class Fit:
     df_residual: int
     sigma2: float
     aliased: list[str] = field(default_factory=list)
+    effects: DataFrame | None = None
+    before: int = 0
 
     @property
     def std_error(self) -> np.ndarray:
-        return np.sqrt(np.diag(self.cov))
+        return np.sqrt(np.maximum(np.diag(self.cov), 0.0))
 
     def table(self, spark: SparkSession, z: float = Z95, keep: int | None = None) -> DataFrame:
         """Coefficient table, optionally only the first ``keep`` terms."""
@@ -95,25 +111,31 @@ class Fit:
             (t, float(b), float(s), float(b - z * s), float(b + z * s), self.n)
             for t, b, s in zip(self.terms, self.estimate, self.std_error)
         ]
-        return spark.createDataFrame(rows[:keep], COEF_SCHEMA)
+        table = spark.createDataFrame(rows[:keep], COEF_SCHEMA)
+        if self.effects is None or keep is not None and keep <= self.before:
+            return table
+        if keep is not None:
+            raise ValueError(f"only the {self.before} terms before the absorbed factor have an order")
+        effects = self.effects.select("term", "estimate", "std_error", *coefficient_columns(z), "n")
+        return table.unionByName(effects)
 
 
 def _profile(data: DataFrame, factors: list[Factor], numbers: list[str]) -> tuple[dict, int, dict]:
     """Levels that occur in level order, row count, and column means, from one aggregation.
 
     Rows are combined per factor level, so what reaches the driver is one row
-    per level, at most MAX_TERMS + 1 of them.
+    per level, at most LISTED_TERMS + 1 of them.
     """
     tags = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f.name).alias("v")) for i, f in enumerate(factors)])
     rows = (
         data.select(F.explode(tags).alias("__t"), *numbers)
         .groupBy("__t.f", "__t.v")
         .agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in numbers])
-        .limit(MAX_TERMS + 1)
+        .limit(LISTED_TERMS + 1)
         .collect()
     )
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} factor levels")
+    if len(rows) > LISTED_TERMS:
+        raise ValueError(f"more than {LISTED_TERMS} factor levels; absorb the widest")
     levels = {}
     for i, f in enumerate(factors):
         seen = {r["v"] for r in rows if r["f"] == i}
@@ -131,27 +153,28 @@ def _gram(df: DataFrame, cols: str) -> np.ndarray:
     return RowMatrix(vectors).computeGramianMatrix().toArray()
 
 
-def solve_normal(gram: np.ndarray, n: int, names: list[str], absorbed: int = 0) -> Fit:
-    """Solve from the cross-product of [X y], dropping aliased columns in term order.
+def independent(gram: np.ndarray, scale: np.ndarray) -> list[int]:
+    """Columns that the kept ones before them do not determine, by elimination.
 
-    ``absorbed`` counts fixed effects already taken out of X and y.
+    ``scale`` holds the squared lengths that what is left is compared with.
     """
+    left = gram.copy()
+    kept = []
+    for j in range(len(left)):
+        if scale[j] > 0 and left[j, j] > ALIAS_TOL * scale[j]:
+            kept.append(j)
+            left[j + 1 :, j + 1 :] -= np.outer(left[j + 1 :, j], left[j, j + 1 :] / left[j, j])
+    return kept
+
+
+def solve_normal(gram: np.ndarray, n: int, names: list[str]) -> Fit:
+    """Solve from the cross-product of [X y], dropping aliased columns in term order."""
     k = len(names)
     xtx, xty, yty = gram[:k, :k], gram[:k, k], gram[k, k]
-    kept: list[int] = []
-    chol = np.zeros((k, k))
-    for j in range(k):
-        # Variation of column j left over after the columns kept so far.
-        m = len(kept)
-        row = np.linalg.solve(chol[:m, :m], xtx[kept, j]) if m else np.zeros(0)
-        left = xtx[j, j] - row @ row
-        if xtx[j, j] > 0 and left > ALIAS_TOL * xtx[j, j]:
-            chol[m, :m] = row
-            chol[m, m] = np.sqrt(left)
-            kept.append(j)
+    kept = independent(xtx, np.diag(xtx))
     inv = np.linalg.inv(xtx[np.ix_(kept, kept)])
     beta = inv @ xty[kept]
-    dof = n - len(kept) - absorbed
+    dof = n - len(kept)
     sigma2 = float(max(yty - beta @ xty[kept], 0.0) / dof) if dof > 0 else float("nan")
     dropped = [names[j] for j in range(k) if j not in kept]
     return Fit([names[j] for j in kept], beta, inv * sigma2, n, dof, sigma2, dropped)
@@ -161,12 +184,15 @@ def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str])
     """``y ~ 0 + first + terms``; a plain string is a numeric covariate.
 
     Jobs over the complete rows, which are kept while they run: factor levels
-    and means, and one cross-product over sparse vectors (two where a wide
-    factor is absorbed). Covariates are centred before squaring, which keeps
-    year-like columns from drowning the rest; the shift is undone afterwards.
+    and means, and one cross-product over sparse vectors. Covariates are centred
+    before squaring, which keeps year-like columns from drowning the rest; the
+    shift is undone afterwards.
     """
     factors = [first, *[t for t in terms if isinstance(t, Factor)]]
     numbers = [t for t in terms if isinstance(t, str)]
+    absorbed = [f for f in factors if f.absorb]
+    if len(absorbed) > 1 or first.absorb:
+        raise ValueError("one factor, and not the first, can be absorbed")
     data = df.select(
         F.col(y).cast("double").alias("__y"),
         *[F.col(f.name).cast("string").alias(f.name) for f in factors],
@@ -177,16 +203,7 @@ def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str])
             data = data.filter(F.col(f.name).isin(f.levels))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        wide = [
-            f
-            for f in factors
-            if f.wide and data.select(f.name).distinct().limit(ABSORB_FROM + 1).count() > ABSORB_FROM
-        ]
-        if len(wide) > 1:
-            raise ValueError("only one wide factor can be absorbed")
-        if wide:
-            return _fit_within(data, first, [t for t in terms if t is not wide[0]], wide[0].name)
-        return _fit(data, first, terms)
+        return _fit_within(data, first, terms, absorbed[0]) if absorbed else _fit(data, first, terms)
     finally:
         data.unpersist()
 
@@ -202,10 +219,8 @@ class _Design:
     centre: dict[str, float]
 
 
-def _code(
-    data: DataFrame, first: Factor, terms: list[Factor | str], full_first: bool, keep: tuple[str, ...] = ()
-) -> _Design:
-    """Dummies and centred covariates. ``full_first`` codes all levels of the first factor."""
+def _code(data: DataFrame, first: Factor, terms: list[Factor | str], keep: tuple[str, ...] = ()) -> _Design:
+    """Dummies, of all levels for the first factor, and centred covariates."""
     factors = [first, *[t for t in terms if isinstance(t, Factor)]]
     numbers = [t for t in terms if isinstance(t, str)]
     levels, n, centre = _profile(data, factors, [*numbers, "__y"])
@@ -224,7 +239,7 @@ def _code(
             inputs.append(t)
             continue
         lv = levels[t.name]
-        every = t is first and full_first
+        every = t is first
         if not every and len(lv) == 1:
             continue
         # The encoder drops the last category, so the reference level goes last.
@@ -239,11 +254,12 @@ def _code(
     return _Design(rows.select(*keep, "__x"), names, levels, n, centre)
 
 
-def _fit(data: DataFrame, first: Factor, terms: list[Factor | str]) -> Fit:
-    d = _code(data, first, terms, full_first=True)
-    fit = solve_normal(_gram(d.rows, "__x"), d.n, d.names)
-    # The first factor's dummies add up to 1, so shifting a covariate (or y)
-    # shifts exactly those coefficients.
+def _uncentred(fit: Fit, d: _Design, first: Factor) -> Fit:
+    """Undo the centring of covariates and y.
+
+    The first factor's dummies add up to 1, so shifting a covariate (or y)
+    shifts exactly those coefficients.
+    """
     of_first = np.array([t in d.names[: len(d.levels[first.name])] for t in fit.terms])
     back = np.eye(len(fit.terms))
     for j, term in enumerate(fit.terms):
@@ -253,43 +269,118 @@ def _fit(data: DataFrame, first: Factor, terms: list[Factor | str]) -> Fit:
     return fit
 
 
-def _fit_within(data: DataFrame, first: Factor, terms: list[Factor | str], group: str) -> Fit:
-    """The same fit with ``group`` as a further factor, its effects taken out.
+def _fit(data: DataFrame, first: Factor, terms: list[Factor | str]) -> Fit:
+    d = _code(data, first, terms)
+    return _uncentred(solve_normal(_gram(d.rows, "__x"), d.n, d.names), d, first)
+
+
+def _times(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        means = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(matrix))
+        product = pa.array((means @ matrix).tolist(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), product], ["g", "n", "p"])
+
 
-    The cross-product of deviations from group means is the total less that of
-    the group means, so no row meets its group's mean in a join and a large
-    group is no burden. Coefficients of the first factor are levels at the
-    group that sorts first, its reference level, and are put together from that
-    group's means.
+def _projected(means: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """(g, n, p): each group's means times a matrix."""
+    return means.mapInArrow(partial(_times, matrix=matrix), "g string, n long, p array<double>")
+
+
+def _fit_within(data: DataFrame, first: Factor, terms: list[Factor | str], absorbed: Factor) -> Fit:
+    """The same fit with the absorbed factor's levels taken out before solving.
+
+    The cross-product of deviations from group means is the total less that of the
+    group means, so no row meets its group's mean in a join and a large group is no
+    burden. Columns that vary within groups (W) are solved for from it. The others
+    that the listed form would keep, as they come before the factor and differ
+    between groups, are constant within groups once W's part is taken off (Z); the
+    intercept that the first factor contains is one of them. To each Z belongs a level
+    whose coefficient is no longer free: the reference level, and the last levels on
+    which the Z differ, which are those that term order drops. Setting these to 0
+    gives Z's coefficients, and the rest follows level by level.
     """
-    d = _code(data, first, terms, full_first=False, keep=(group,))
-    means = d.rows.groupBy(group).agg(
-        Summarizer.mean(F.col("__x")).alias("__mean"), F.count(F.lit(1)).alias("__n")
-    )
-    weighted = means.select(
-        array_to_vector(
-            F.transform(vector_to_array("__mean"), lambda v: v * F.sqrt(F.col("__n").cast("double")))
-        ).alias("__x")
+    group = absorbed.name
+    at = terms.index(absorbed)
+    rest = terms[:at] + terms[at + 1 :]
+    d = _code(data, first, rest, keep=(group,))
+    k = len(d.names)
+    early = {t.name if isinstance(t, Factor) else t for t in [first, *terms[:at]]}
+    n_early = sum(name in early or name.split(":")[0] in early for name in d.names)
+    means = (
+        d.rows.groupBy(F.col(group).alias("g"))
+        .agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(F.col("__x"))).alias("mean"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    root = F.sqrt(F.col("n").cast("double"))
+    weighted = means.select(array_to_vector(F.transform("mean", lambda v: v * root)).alias("__x"))
+    total = _gram(d.rows, "__x")
+    within = total - _gram(weighted, "__x")
     n_groups = means.count()
-    within = _gram(d.rows, "__x") - _gram(weighted, "__x")
-    fit = solve_normal(within, d.n, d.names, absorbed=n_groups)
-
-    base = means.orderBy(group).first()
-    shift = np.array([d.centre.get(t, 0.0) for t in [*d.names, "__y"]])
-    at_base = base["__mean"].toArray() + shift
-    kept = [d.names.index(t) for t in fit.terms]
-    m0, y0 = at_base[kept], at_base[-1]
-
-    levels = d.levels[first.name]
-    lead = [f"{first.name}:{v}" for v in levels if f"{first.name}:{v}" not in fit.aliased]
-    rest = [t for t in fit.terms if t not in lead]
-    combine = np.zeros((len(lead) + len(rest), len(fit.terms)))
-    for i, term in enumerate([*lead, *rest]):
-        if term in fit.terms:
-            combine[i, fit.terms.index(term)] = 1.0
-    is_lead = np.arange(len(combine)) < len(lead)
-    combine[is_lead] -= m0
-    estimate = combine @ fit.estimate + np.where(is_lead, y0, 0.0)
-    cov = combine @ fit.cov @ combine.T + np.outer(is_lead, is_lead) * fit.sigma2 / base["__n"]
-    return Fit([*lead, *rest], estimate, cov, d.n, fit.df_residual, fit.sigma2, fit.aliased)
+
+    scale = np.diag(total)[:k]
+    listed = [*independent(total[:n_early, :n_early], scale), *range(n_early, k)]
+    w = [listed[i] for i in independent(within[np.ix_(listed, listed)], scale[listed])]
+    z = [j for j in listed if j < n_early and j not in w]
+    inv = np.linalg.inv(within[np.ix_(w, w)])
+    beta = inv @ within[w, k]
+    dof = d.n - len(w) - n_groups
+    sigma2 = float(max(within[k, k] - beta @ within[w, k], 0.0) / dof) if dof > 0 else float("nan")
+    v = inv * sigma2
+
+    # Z of a group, from its means: the column less W's part in it.
+    of_w = inv @ within[np.ix_(w, z)]
+    z_of = np.zeros((k + 1, len(z)))
+    z_of[z, range(len(z))] = 1.0
+    z_of[w] -= of_w
+    # What a group's own level would be: mean of y less W's part.
+    level_of = np.zeros(k + 1)
+    level_of[k] = 1.0
+    level_of[w] = -beta
+
+    fixed = [means.orderBy("g").first()]
+    unit = z_of / np.sqrt(scale[z] / d.n)
+    while len(fixed) < len(z):
+        held = np.linalg.qr((np.array([r["mean"] for r in fixed]) @ unit).T)[0]
+        left = _projected(means, unit - unit @ held @ held.T)
+        size = F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)
+        last = left.filter(size > ALIAS_TOL).orderBy(F.desc("g")).select("g").first()
+        fixed.append(means.filter(F.col("g") == last["g"]).first())
+    m_fixed = np.array([r["mean"] for r in fixed])
+    n_fixed = np.array([r["n"] for r in fixed], float)
+    solve = np.linalg.inv(m_fixed @ z_of)
+    gamma = solve @ (m_fixed @ level_of)
+
+    # Listed coefficients from (beta, levels of the fixed groups).
+    kept = sorted([*w, *z])
+    to_w = np.zeros((len(kept), len(w)))
+    to_w[[kept.index(j) for j in w], range(len(w))] = 1.0
+    to_fixed = np.zeros((len(kept), len(z)))
+    to_fixed[[kept.index(j) for j in z]] = solve
+    to_fixed[[kept.index(j) for j in w]] = -of_w @ solve
+    through = to_w - to_fixed @ m_fixed[:, w]
+    cov = through @ v @ through.T + (to_fixed * (sigma2 / n_fixed)) @ to_fixed.T
+    estimate = np.zeros(len(kept))
+    estimate[[kept.index(j) for j in z]] = gamma
+    estimate[[kept.index(j) for j in w]] = beta - of_w @ gamma
+
+    # A level's coefficient, and the parts of its error, from the group's means.
+    share = z_of @ solve
+    pick = np.zeros((k + 1, len(w)))
+    pick[w, range(len(w))] = 1.0
+    parts = np.column_stack([
+        level_of - z_of @ gamma,
+        share * np.sqrt(sigma2 / n_fixed),
+        (pick - share @ m_fixed[:, w]) @ np.linalg.cholesky(v) if len(w) else pick,
+    ])
+    levels = _projected(means.filter(~F.col("g").isin([r["g"] for r in fixed])), parts)
+    error = F.aggregate(F.slice("p", 2, parts.shape[1]), F.lit(sigma2) / F.col("n"), lambda a, x: a + x * x)
+    effects = levels.select(
+        F.concat(F.lit(f"{group}:"), F.col("g")).alias("term"),
+        F.element_at("p", 1).alias("estimate"),
+        F.sqrt(error).alias("std_error"),
+        F.lit(d.n).cast("long").alias("n"),
+    )
+    names = [d.names[j] for j in kept]
+    dropped = [d.names[j] for j in range(k) if j not in kept]
+    fit = Fit(names, estimate, cov, d.n, dof, sigma2, dropped, effects, sum(j < n_early for j in kept))
+    return _uncentred(fit, d, first)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.semantics import ratio
+
 
 def arrange(df: DataFrame, *cols: str | Column) -> DataFrame:
     """Ascending sort with missing values last."""
@@ -17,7 +19,8 @@ def index_to_base(
     """Add columns ``measure / base measure * 100`` within each ``by`` group.
 
     ``indexes`` maps the new column to the measure. The base is the first
-    period, or the period ``base``. For already aggregated tables: a group is
+    period, or the period ``base``; over a base of 0 the index is infinite, or
+    NULL where the measure is 0 too. For already aggregated tables: a group is
     one series with one row per period, so its window partition holds only as
     many rows as there are periods.
     """
@@ -31,12 +34,7 @@ def index_to_base(
             return F.first_value(measure).over(whole)
         return F.max(F.when(F.col(order) == base, F.col(measure))).over(series)
 
-    return df.withColumns(
-        {
-            new: F.try_divide(F.col(m).cast("double"), at_base(m).cast("double")) * 100
-            for new, m in indexes.items()
-        }
-    )
+    return df.withColumns({new: ratio(m, at_base(m)) * 100 for new, m in indexes.items()})
 
 
 def longer(df: DataFrame, cols: list[str], names_to: str, values_to: str = "value") -> DataFrame:

@@ -18,22 +18,16 @@ def _dashed(k: str) -> str:
     return DASHED.format(k=k)
 
 
-OWNER_TYPE_CODE = """CASE
-    WHEN portfolio_parcels <= 3 AND (portfolio_buildings <= 6 OR portfolio_buildings IS NULL)
-         AND portfolio_units <= 10 AND NOT is_company THEN 'Mom-and-pop'
-    WHEN portfolio_parcels <= 3 AND (portfolio_buildings <= 6 OR portfolio_buildings IS NULL)
-         AND portfolio_units <= 10 AND is_company THEN 'Small property manager'
-    WHEN portfolio_parcels BETWEEN 3 AND 20 OR portfolio_units BETWEEN 11 AND 50
-         THEN 'Midsized property manager'
-    WHEN portfolio_parcels > 20 OR portfolio_units > 50 THEN 'Large property manager' END"""
-OWNER_TYPE_REPORT = """CASE
-    WHEN portfolio_parcels <= 3 AND (portfolio_buildings <= 6 OR portfolio_buildings IS NULL)
-         AND portfolio_units <= 10 AND NOT is_company THEN 'Mom-and-pop'
-    WHEN portfolio_parcels <= 3 AND (portfolio_buildings <= 6 OR portfolio_buildings IS NULL)
-         AND portfolio_units <= 10 AND is_company THEN 'Small property manager'
-    WHEN portfolio_parcels > 20 OR portfolio_units > 50 THEN 'Large property manager'
-    WHEN portfolio_parcels BETWEEN 4 AND 20 OR portfolio_units BETWEEN 11 AND 50
-         THEN 'Midsized property manager' END"""
+# A small holding: few parcels, buildings and units.
+MODEST = """(portfolio_parcels <= 3 AND (portfolio_buildings <= 6 OR portfolio_buildings IS NULL)
+         AND portfolio_units <= 10)"""
+SMALL_OWNERS = f"""CASE WHEN {MODEST} AND NOT is_company THEN 'Mom-and-pop'
+    WHEN {MODEST} AND is_company THEN 'Small property manager'"""
+LARGE_OWNERS = "WHEN portfolio_parcels > 20 OR portfolio_units > 50 THEN 'Large property manager'"
+MIDSIZED = "WHEN portfolio_parcels BETWEEN {least} AND 20 OR portfolio_units BETWEEN 11 AND 50 THEN 'Midsized property manager'"
+# The rules as applied and as reported, which differ in order and in one limit.
+OWNER_TYPE_CODE = f"{SMALL_OWNERS} {MIDSIZED.format(least=3)} {LARGE_OWNERS} END"
+OWNER_TYPE_REPORT = f"{SMALL_OWNERS} {LARGE_OWNERS} {MIDSIZED.format(least=4)} END"
 
 OWNER_COLUMNS = """parcel_num, owner_residence, owner_occupied, prop_type, owner_names, geo_id,
     year_built, is_company, portfolio_parcels, portfolio_buildings, portfolio_units"""
@@ -76,7 +70,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             CASE WHEN l_suppkey % 5 = 0 THEN 11600 ELSE 0 END AS "MIGPUMA1"
         FROM lineitem"""),
     "paying": (["raw_households"], """
-        SELECT "YEAR" AS year, "HHWT", "PERNUM", "OWNERSHP", "OWNERSHPD", "RENT", "MORTAMT1",
+        SELECT "YEAR" AS survey_year, "YEAR" AS year, "HHWT", "PERNUM", "OWNERSHP", "OWNERSHPD", "RENT", "MORTAMT1",
             CASE WHEN "OWNCOST" = 99999 THEN 0 ELSE "OWNCOST" END AS "OWNCOST", "HHINCOME" AS hh_income,
             "UNITSSTR", "MIGPUMA1",
             ("RENT" + CASE WHEN "OWNCOST" = 99999 THEN 0 ELSE "OWNCOST" END) * 12 AS housing_cost,
@@ -303,6 +297,75 @@ INDEXED = """SELECT year, CAST(value AS DOUBLE) AS value, estimate,
     CAST(value AS DOUBLE) / first_value(value) OVER (PARTITION BY estimate ORDER BY year) * 100 AS value2
     FROM ({rows})"""
 
+LEVELS = {
+    "owner_type": ["Large property manager", "Midsized property manager", "Small property manager", "Mom-and-pop"],
+    "bedrooms": ["Studio", "1 BR", "2 BR", "3 BR", "4 BR", "5+ BR"],
+    "building_size": ["Single family", "2 - 4 units", "5 - 19 units", "20 - 49 units", "50 + units"],
+}
+
+
+def _model(first: str, terms: list[str]) -> str:
+    """A regression by the sweep operator: one recursion step for each column of the cross-product."""
+    numbers = [t for t in terms if t in ("year", "baths", "year_built")]
+    every = [first, *terms]
+    factors = [t for t in every if t not in numbers]
+    lists = {t: "[" + ", ".join(f"'{v}'" for v in LEVELS[t]) + "]" for t in factors if t in LEVELS}
+    number = lambda t: f"TRY_CAST({t} AS DOUBLE)"
+    kept = [f"{t} IS NOT NULL" for t in ["annual_rent", *factors]] + [f"{number(t)} IS NOT NULL" for t in numbers]
+    kept += [f"{t} IN {v}" for t, v in lists.items()]
+    rank = " ".join(f"WHEN {every.index(t)} THEN list_position({v}, v)" for t, v in lists.items())
+    rank = f"CASE t {rank} END, " if rank else ""
+    named = "CASE t " + " ".join(f"WHEN {every.index(t)} THEN '{t}'" for t in factors) + " END"
+    return f""",
+        c AS MATERIALIZED (SELECT row_number() OVER () AS rid, CAST(annual_rent AS DOUBLE) AS y,
+            {", ".join([f"CAST({t} AS VARCHAR) AS {t}" for t in factors] + [f"{number(t)} AS {t}" for t in numbers])}
+            FROM complete WHERE {" AND ".join(kept)}),
+        f AS ({" UNION ALL ".join(f"SELECT rid, {every.index(t)} AS t, {t} AS v FROM c" for t in factors)}),
+        levels AS (SELECT t, v, row_number() OVER (PARTITION BY t ORDER BY {rank}v) AS o
+            FROM (SELECT DISTINCT t, v FROM f)),
+        cols AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t, o) AS k FROM (
+            SELECT t, o, v, {named} || ':' || v AS term, NULL AS mean FROM levels WHERE t = 0 OR o > 1
+            UNION ALL {" UNION ALL ".join(f"SELECT {every.index(t)}, 1, NULL, '{t}', (SELECT avg({t}) FROM c)" for t in numbers)})),
+        x AS MATERIALIZED (
+            SELECT rid, k, CAST(1 AS DOUBLE) AS val FROM f JOIN cols ON f.t = cols.t AND f.v = cols.v
+            UNION ALL {" UNION ALL ".join(f"SELECT rid, k, {t} - mean FROM c, cols WHERE term = '{t}'" for t in numbers)}
+            UNION ALL SELECT rid, (SELECT max(k) + 1 FROM cols), y - (SELECT avg(y) FROM c) FROM c),
+        products AS (SELECT a.k AS i, b.k AS j, sum(a.val * b.val) AS v FROM x a JOIN x b USING (rid) GROUP BY 1, 2),
+        places AS (SELECT unnest(range(1, (SELECT max(k) + 2 FROM cols))) AS k),
+        gram AS (SELECT a.k AS i, b.k AS j, coalesce(v, 0) AS v FROM places a CROSS JOIN places b
+            LEFT JOIN products ON i = a.k AND j = b.k),
+        sweep AS (
+            SELECT CAST(0 AS BIGINT) AS step, i, j, v, max(CASE WHEN i = j THEN v END) OVER (PARTITION BY i) AS size
+            FROM gram
+            UNION ALL
+            SELECT p, i, j, CASE WHEN d <= 1e-10 * least THEN v WHEN i = p AND j = p THEN -1 / d
+                WHEN i = p OR j = p THEN v / d ELSE v - ci * rj / d END, size
+            FROM (SELECT *, step + 1 AS p, max(CASE WHEN i = step + 1 AND j = step + 1 THEN v END) OVER () AS d,
+                    max(CASE WHEN i = step + 1 AND j = step + 1 THEN size END) OVER () AS least,
+                    max(CASE WHEN j = step + 1 THEN v END) OVER (PARTITION BY i) AS ci,
+                    max(CASE WHEN i = step + 1 THEN v END) OVER (PARTITION BY j) AS rj
+                FROM sweep WHERE step < (SELECT max(k) FROM cols))),
+        done AS MATERIALIZED (SELECT i, j, v FROM sweep WHERE step = (SELECT max(k) FROM cols)),
+        found AS MATERIALIZED (SELECT k, t, term, mean, b.v AS beta FROM cols
+            JOIN done a ON a.i = k AND a.j = k AND a.v < 0 JOIN done b ON b.i = k AND b.j = (SELECT max(k) + 1 FROM cols)),
+        fit AS (SELECT (SELECT count(*) FROM c) AS n, v / ((SELECT count(*) FROM c) - (SELECT count(*) FROM found)) AS s2
+            FROM done WHERE i = j AND i = (SELECT max(k) + 1 FROM cols)),
+        parts AS (SELECT k, k AS a, CAST(1 AS DOUBLE) AS w FROM found
+            UNION ALL SELECT f.k, g.k, -g.mean FROM found f, found g WHERE f.t = 0 AND g.mean IS NOT NULL),
+        est AS (SELECT p.k, sum(p.w * g.beta) AS b FROM parts p JOIN found g ON g.k = p.a GROUP BY 1),
+        spread AS (SELECT p.k, sum(-p.w * q.w * d.v) AS v FROM parts p JOIN parts q ON p.k = q.k
+            JOIN done d ON d.i = p.a AND d.j = q.a GROUP BY 1),
+        result AS (SELECT term, b + CASE WHEN t = 0 THEN (SELECT avg(y) FROM c) ELSE 0 END AS estimate,
+                sqrt(spread.v * s2) AS std_error, n
+            FROM found JOIN est ON est.k = found.k JOIN spread ON spread.k = found.k CROSS JOIN fit)
+        SELECT term, round(estimate, 2) AS estimate, round(std_error, 2) AS std_error,
+            round(estimate - 1.959963984540054 * std_error, 2) AS ci_low,
+            round(estimate + 1.959963984540054 * std_error, 2) AS ci_high, n FROM result"""
+
+
+def _fitted(first: str, terms: list[str]) -> str:
+    return with_views(_model(first, terms), "complete").replace("WITH ", "WITH RECURSIVE ", 1)
+
 
 def _means(source: str, factor: str, y: str = "annual_rent", where: str = "TRUE") -> str:
     return f"""SELECT term, round(estimate, 4) AS estimate, round(sqrt(s2 / n), 4) AS std_error,
@@ -501,4 +564,14 @@ SQL: dict[str, str] = {
         "households",
     ),
     "m51_listing_size": with_views(_means("complete", "building_size"), "complete"),
+    "m11_owner_type_model": _fitted(
+        "owner_type", ["year", "bedrooms", "baths", "geo_id", "building_size", "year_built"]
+    ),
+    "m21_residence_model": _fitted(
+        "owner_residence", ["bedrooms", "baths", "geo_id", "building_size", "year_built"]
+    ),
+    "m31_occupancy_model": _fitted(
+        "owner_occupied", ["bedrooms", "baths", "geo_id", "building_size", "year_built"]
+    ),
+    "m52_listing_size_model": _fitted("building_size", ["bedrooms", "baths", "geo_id", "year_built"]),
 }

@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import semantics as S
-from ..operators.joins import natural_join, skew_join, with_group_totals
+from ..operators.joins import natural_join, with_group_totals
 from ..operators.series import stack_rows
 
 # Permit classes that change the housing stock.
 PERMIT_CLASSES = ["Construction Permit", "Demolition Permit", "Phased Project Permit"]
 # Tenure detail codes of owners with and without a loan and of renters.
 TENURE_DETAIL = [11, 13, 20, 22]
+# The monthly payments taken for real, and the survey's code of the origin area.
+RENTS, MORTGAGES = (115, 8887), (115, 10000)
+ORIGIN = 11600
 
 
 # ---------------------------------------------------------------- households
 
 
 def _paying_households(people: DataFrame) -> DataFrame:
-    """One row per household that pays either rent or a mortgage, with its cost."""
+    """One row per household that pays either rent or a mortgage, with its cost.
+
+    The source's year stays beside the numeric ``year``, as ``survey_year``: the two
+    names would otherwise differ in case only.
+    """
     rent, mortgage = S.numeric(people, "RENT"), S.numeric(people, "MORTAMT1")
     pays_one = ((rent == 0) & (mortgage != 0)) | ((rent != 0) & (mortgage == 0))
+    people = people.withColumnRenamed("YEAR", "survey_year")
     kept = people.filter(
         F.col("OWNERSHPD").isin(TENURE_DETAIL)
         & (F.col("PERNUM") == 1)
-        & (rent.between(115, 8887) | mortgage.between(115, 10000))
+        & (rent.between(*RENTS) | mortgage.between(*MORTGAGES))
         & pays_one
     )
     cost = C.own_cost("OWNCOST")
@@ -35,7 +43,7 @@ def _paying_households(people: DataFrame) -> DataFrame:
             "OWNCOST": cost,
             "housing_cost": (rent + cost) * 12,
             "ownership": C.tenure("OWNERSHP"),
-            "year": S.numeric(people, "YEAR"),
+            "year": S.numeric(people, "survey_year"),
         }
     ).withColumnRenamed("HHINCOME", "hh_income")
 
@@ -51,7 +59,7 @@ def household_conform(people: DataFrame) -> DataFrame:
     )
 
 
-def outmover_conform(people: DataFrame, origin: int = 11600) -> DataFrame:
+def outmover_conform(people: DataFrame, origin: int = ORIGIN) -> DataFrame:
     """Households that moved away from the ``origin`` area."""
     return _paying_households(people.filter(F.col("MIGPUMA1") == origin))
 
@@ -146,7 +154,6 @@ def owner_portfolio(
             "geo_id", "year_built", F.col("corp_flag").alias("is_company"), "nbr_bldgs", "units_count",
         ),
         key="owner_names",
-        spread_by="parcel_num",
         totals={
             "portfolio_parcels": S.n_rows().cast("double"),
             "portfolio_buildings": S.sum_of("nbr_bldgs").cast("double"),
@@ -174,17 +181,18 @@ def ownership_records(records: DataFrame) -> DataFrame:
 def listing_dedupe(listings: DataFrame, order_by: Column | None = None) -> DataFrame:
     """One row per parcel, year and unit: repeat listings of a unit combined.
 
-    First and last follow ``order_by``, by default the listing ``date``. It
-    should settle ties, so that the result does not depend on row order, and be
-    of fixed width (see ``packed_order``). Prices are monthly, ``list_rent`` is
-    annual.
+    First and last follow ``order_by``. By default it is the listing ``date``,
+    and among those of a day the price, then the other dates, so that the result
+    does not depend on row order. One number (see ``packed_order``) saves the
+    sort that this default takes. Prices are monthly, ``list_rent`` is annual.
     """
+    by_date = F.struct("date", "price_numeric", "removed_on", "seen_on", "listed_on")
     dated = listings.withColumn("date", F.coalesce("listed_on", "removed_on", "seen_on")).withColumn(
         "year", F.year("date")
     )
     return (
         dated.filter(F.col("year").isNotNull())
-        .withColumn("__order", F.col("date") if order_by is None else order_by)
+        .withColumn("__order", by_date if order_by is None else order_by)
         .groupBy("parcel_num", "year", "listing_unit_level_id")
         .agg(
             S.n_rows().alias("n_listings"),
@@ -281,7 +289,9 @@ def rental_data(
 # ------------------------------------------------------------------ registry
 
 
-def registry_reconcile(registry: DataFrame, rental: DataFrame, after_year: int = 2020) -> DataFrame:
+def registry_reconcile(
+    registry: DataFrame, rental: DataFrame, after_year: int = 2020, paste_missing: bool = False
+) -> DataFrame:
     """Active registrations against listed parcels, both sides kept."""
     listed = (
         rental.filter(F.col("year") > after_year)
@@ -290,7 +300,7 @@ def registry_reconcile(registry: DataFrame, rental: DataFrame, after_year: int =
     )
     active = registry.filter(F.col("RECORD_STATUS") == "Active Registration").select(
         F.col("RECORD_ID").alias("record_id"),
-        S.split_parcel_key("PARCEL_NBR", 14).alias("parcel_num"),
+        S.split_parcel_key("PARCEL_NBR", 14, paste_missing).alias("parcel_num"),
         S.numeric(registry, "Registed_Units").alias("registered_units"),
     )
-    return skew_join(active, listed, "full")
+    return natural_join(active, listed, "full", reshuffle=True)

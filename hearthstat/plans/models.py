@@ -11,7 +11,7 @@ from ..operators.regress import Factor, Fit, formula_ols, group_mean_ols
 BEDROOMS = Factor("bedrooms", C.BEDROOMS)
 BUILDING_SIZE = Factor("building_size", C.BUILDING_SIZES)
 OWNER_TYPE = Factor("owner_type", C.OWNER_TYPES)
-TRACT = Factor("geo_id", wide=True)
+TRACT = Factor("geo_id", absorb=True)
 
 
 def complete_cases(rental: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def complete_cases(rental: DataFrame) -> DataFrame:
 
 
 def owner_type_means(rental: DataFrame) -> DataFrame:
-    return group_mean_ols(complete_cases(rental), "annual_rent", "owner_type")
+    return group_mean_ols(complete_cases(rental), "annual_rent", "owner_type", levels=C.OWNER_TYPES)
 
 
 def owner_type_model(rental: DataFrame) -> Fit:
@@ -64,12 +64,13 @@ def survey_size_means(households: DataFrame, max_share: float = 0.8) -> DataFram
     """Survey renters by building size, unweighted."""
     renters = households.filter((F.col("ownership") == "Rent") & (F.col("housing_share") < max_share))
     return group_mean_ols(
-        renters.withColumnRenamed("housing_cost", "annual_rent"), "annual_rent", "building_size"
-    )
+        renters.withColumnRenamed("housing_cost", "annual_rent"), "annual_rent", "building_size",
+        levels=C.BUILDING_SIZES,
+    )
 
 
 def listing_size_means(rental: DataFrame) -> DataFrame:
-    return group_mean_ols(complete_cases(rental), "annual_rent", "building_size")
+    return group_mean_ols(complete_cases(rental), "annual_rent", "building_size", levels=C.BUILDING_SIZES)
 
 
 def listing_size_model(rental: DataFrame) -> Fit:

@@ -28,7 +28,7 @@ MEDIAN_RENT = "Median annual rental costs"
 
 def household_count(households: DataFrame, year: int = 2020) -> DataFrame:
     """Weighted number of households in a year, to hold against the census."""
-    return households.filter(F.col("YEAR") == year).agg(S.sum_of("HHWT").alias("n"))
+    return households.filter(F.col("year") == year).agg(S.sum_of("HHWT").alias("n"))
 
 
 def _indexed_estimates(rents: DataFrame, rest: DataFrame, order: list[str]) -> DataFrame:
@@ -102,7 +102,7 @@ def sample_sizes(
     households: DataFrame, year: int = 2020, max_cost: float = 50000, codes: tuple[int, ...] = (1, 2)
 ) -> DataFrame:
     """Sample households by building size, one column per tenure code."""
-    kept = households.filter((F.col("housing_cost") < max_cost) & (F.col("YEAR") == year))
+    kept = households.filter((F.col("housing_cost") < max_cost) & (F.col("year") == year))
     table = wider(kept, ["building_size"], "OWNERSHP", list(codes), S.n_rows())
     return table.withColumnsRenamed({str(c): f"ownershp_{c}" for c in codes})
 

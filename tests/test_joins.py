@@ -53,10 +53,33 @@ def test_join_without_shared_columns_is_refused(spark):
         joins.natural_join(spark.range(1), spark.range(1), "right")
 
 
+SPLITTING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+@pytest.fixture
+def splitting(spark):
+    """Adaptive execution with limits that small tables reach."""
+    for k, v in SPLITTING.items():
+        spark.conf.set(k, v)
+    yield
+    for k in SPLITTING:
+        spark.conf.unset(k)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "full"])
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_skew_join_equals_a_plain_join(spark, monkeypatch, how, hot_rows):
-    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+def test_reshuffled_join_equals_a_plain_join(spark, how):
     # A third of the left rows share a key, and another third have none.
     left = spark.range(900).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
@@ -67,32 +90,13 @@ def test_skew_join_equals_a_plain_join(spark, monkeypatch, how, hot_rows):
     right = spark.createDataFrame(
         [("hot", 1), ("hot", 2), (None, 3), ("k1", 4), ("k1", 5), ("absent", 6)], "k string, r int"
     )
-    got = joins.skew_join(left, right, how)
+    got = joins.natural_join(left, right, how, reshuffle=True)
     want = left.alias("a").join(right.alias("b"), F.expr("a.k <=> b.k"), how)
     assert got.columns == ["k", "l", "r"]
     assert rows(got, "k", "l", "r") == rows(want, F.coalesce("a.k", "b.k"), "l", "r")
 
 
-def test_skew_join_deals_a_hot_key_over_salts(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_ROWS", 10)
-    left = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("l"))
-    right = spark.createDataFrame([("hot", 1)], "k string, r int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        got = joins.skew_join(left, right)
-        sizes = got.groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500
-    assert sum(r["count"] for r in sizes) == 1000
-
-
-@pytest.mark.parametrize("hot_keys", [1, 3, 1000])
-def test_group_totals_equal_a_window(spark, monkeypatch, hot_keys):
-    monkeypatch.setattr(joins, "HOT_KEYS", hot_keys)
-    monkeypatch.setattr(joins, "HOT_ROWS", 0)
+def test_group_totals_equal_a_window(spark):
     df = spark.range(3000).select(
         F.concat(F.lit("p"), F.col("id").cast("string")).alias("parcel"),
         F.when(F.col("id") % 3 == 0, F.lit(None))
@@ -101,9 +105,7 @@ def test_group_totals_equal_a_window(spark, monkeypatch, hot_keys):
         .alias("owner"),
         F.when(F.col("id") % 77 != 0, F.col("id") % 9).alias("units"),
     )
-    got = joins.with_group_totals(
-        df, "owner", "parcel", {"n": S.n_rows(), "units_total": S.sum_of("units")}
-    )
+    got = joins.with_group_totals(df, "owner", {"n": S.n_rows(), "units_total": S.sum_of("units")})
     w = Window.partitionBy("owner")
     want = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
         "units_total",
@@ -114,39 +116,27 @@ def test_group_totals_equal_a_window(spark, monkeypatch, hot_keys):
     assert rows(got, *cols) == rows(want, *cols)
 
 
-def test_rows_of_a_hot_group_are_spread(spark, monkeypatch):
-    """The shuffle key of the last join must keep the spread value."""
-    monkeypatch.setattr(joins, "HOT_ROWS", 10)
-    df = spark.range(1000).select(F.col("id").alias("parcel"), F.lit("one").alias("owner"))
-    plan = joins.with_group_totals(df, "owner", "parcel", {"n": S.n_rows()})
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "(__spread" in text and "= __zero" in text
+@pytest.mark.parametrize("owner", ["one", None])
+def test_identical_rows_of_one_group_are_parted(spark, splitting, owner):
+    """One owner, or none, with all rows on one parcel and alike: several tasks still share them."""
+    name = F.when(F.col("id") % 3 == 0, F.lit(owner)).otherwise((F.col("id") % 2000).cast("string"))
+    df = spark.range(0, 60_000, 1, 8).select(F.lit("same").alias("parcel"), name.alias("owner"))
+    got = joins.with_group_totals(df, "owner", {"n": S.n_rows()})
+    where = got.where(F.col("owner").eqNullSafe(F.lit(owner))).groupBy(F.spark_partition_id()).count()
+    sizes = [r["count"] for r in where.collect()]
+    assert len(sizes) > 1 and sum(sizes) == 20_000
+    got.collect()
+    assert "skew=true" in executed(got)
 
 
 @pytest.mark.parametrize("reshuffle", [True, False])
-def test_fresh_shuffle_lets_a_hot_key_be_split_after_a_join(spark, reshuffle):
+def test_fresh_shuffle_lets_a_hot_key_be_split_after_a_join(spark, splitting, reshuffle):
     """The second join on a key is split by adaptive execution only with ``reshuffle``."""
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
-        "spark.sql.shuffle.partitions": "8",
-    }
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000).cast("string")
-        left = spark.range(0, 60_000, 1, 8).select(key.alias("k"), F.col("id").alias("l"))
-        small = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("a"))
-        other = spark.range(1000).select(F.col("id").cast("string").alias("k"), (-F.col("id")).alias("b"))
-        got = joins.natural_join(left, joins.natural_join(small, other), reshuffle=reshuffle)
-        assert got.collect() and got.columns == ["k", "l", "a", "b"]
-        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        assert ("skew=true" in plan) == reshuffle
-        assert got.count() == 60_000
-    finally:
-        for k in conf:
-            spark.conf.unset(k)
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000).cast("string")
+    left = spark.range(0, 60_000, 1, 8).select(key.alias("k"), F.col("id").alias("l"))
+    small = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("a"))
+    other = spark.range(1000).select(F.col("id").cast("string").alias("k"), (-F.col("id")).alias("b"))
+    got = joins.natural_join(left, joins.natural_join(small, other), reshuffle=reshuffle)
+    assert got.collect() and got.columns == ["k", "l", "a", "b"]
+    assert ("skew=true" in executed(got)) == reshuffle
+    assert got.count() == 60_000

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthstat.functions import semantics as S
-from hearthstat.operators import joins
 from hearthstat.plans import conform, models, tables
 from hearthstat.sources import schemas
 
@@ -220,11 +219,6 @@ def owners(spark):
     return make_owners(spark)
 
 
-def test_hot_owners_change_nothing(spark, owners, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_ROWS", 1)
-    assert rows(make_owners(spark)) == rows(owners)
-
-
 def test_owner_portfolio(owners):
     got = rows(
         owners, "parcel_num", "owner_names", "owner_residence", "owner_occupied",

@@ -92,21 +92,126 @@ def test_table_keeps_first_terms(rents, spark):
     assert all(r["ci_low"] < r["estimate"] < r["ci_high"] for r in table)
 
 
-def test_absorbed_factor_gives_the_same_coefficients(rents, monkeypatch):
-    df = rents.withColumn("tract", F.concat(F.lit("t"), (F.col("built") * 17 % 29).cast("string")))
-    wide = Factor("tract", wide=True)
-    terms = ["year", Factor("h"), wide, "built"]
-    listed = formula_ols(df, "y", Factor("g", ["top", "mid", "low"]), terms)
-    monkeypatch.setattr(regress, "ABSORB_FROM", 5)
-    absorbed = formula_ols(df, "y", Factor("g", ["top", "mid", "low"]), terms)
-    assert absorbed.terms == [t for t in listed.terms if not t.startswith("tract")]
-    at = [listed.terms.index(t) for t in absorbed.terms]
-    assert absorbed.estimate == pytest.approx(listed.estimate[at], rel=1e-6)
-    assert absorbed.std_error == pytest.approx(listed.std_error[at], rel=1e-6)
-    assert absorbed.df_residual == listed.df_residual
-
-
-def test_too_many_plain_levels_are_refused(rents, monkeypatch):
-    monkeypatch.setattr(regress, "MAX_TERMS", 5)
+def tract_rents(spark, n, tracts):
+    """Rows in tracts of uneven size; covariates that vary, and some that are constant within tracts."""
+    tract = F.pmod(F.col("id") * F.col("id") + F.col("id") % 11, F.lit(tracts))
+    noise = (F.col("id") * 7919 % 1009).cast("double")
+    return spark.range(n).select(
+        F.concat(F.lit("t"), F.lpad(tract.cast("string"), 5, "0")).alias("tract"),
+        F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") * 31 % 3 + 1).cast("int")).alias("g"),
+        F.element_at(F.array(*map(F.lit, "pqrs")), (F.col("id") * 17 % 4 + 1).cast("int")).alias("h"),
+        (F.col("id") * 13 % 23 + 2000).cast("double").alias("year"),
+        F.sqrt(tract.cast("double") + 1).alias("root"),
+        ((tract * 37 % 101) / 3).alias("third"),
+        F.log(tract * 53 % 97 + 2).alias("log"),
+        (noise + tract * 13 % 29 * 40 + F.col("id") * 13 % 23 * 5).alias("y"),
+    )
+
+
+def both_ways(df, first, terms):
+    """The table with the tracts listed, and with them absorbed."""
+    spark = df.sparkSession
+    tables = []
+    for absorb in (False, True):
+        own = [Factor("tract", absorb=absorb) if t == "tract" else t for t in terms]
+        fit = formula_ols(df, "y", first, own)
+        tables.append(({r["term"]: r for r in fit.table(spark).collect()}, fit))
+    return tables
+
+
+FORMULAS = {
+    "plain": ["year", Factor("h"), "tract"],
+    "constant after": ["year", "tract", "root", "third", Factor("h")],
+    "constant before": ["root", "year", "tract", Factor("h")],
+    "several before": ["root", "third", "year", "log", "tract", Factor("h"), "twice"],
+}
+
+
+@pytest.mark.parametrize("formula", FORMULAS)
+def test_absorbed_factor_gives_the_same_table(spark, formula):
+    df = tract_rents(spark, 4000, 29).withColumn("twice", F.col("root") * 2 + F.col("year"))
+    (listed, plain), (absorbed, fit) = both_ways(df, Factor("g"), FORMULAS[formula])
+    assert set(absorbed) == set(listed)
+    for term, row in listed.items():
+        assert absorbed[term]["estimate"] == pytest.approx(row["estimate"], rel=1e-6, abs=1e-5)
+        assert absorbed[term]["std_error"] == pytest.approx(row["std_error"], rel=1e-6)
+        assert absorbed[term]["n"] == row["n"]
+    assert (fit.df_residual, fit.sigma2) == (plain.df_residual, pytest.approx(plain.sigma2))
+    assert fit.terms == [t for t in plain.terms if not t.startswith("tract:")]
+
+
+def test_first_factor_constant_within_tracts(spark):
+    kind = F.element_at(F.array(*map(F.lit, "abc")), (F.substring("tract", 5, 2).cast("int") % 3 + 1).cast("int"))
+    df = tract_rents(spark, 4000, 30).withColumn("g", kind)
+    (listed, _), (absorbed, _) = both_ways(df, Factor("g"), ["year", "tract"])
+    assert set(absorbed) == set(listed)
+    for term, row in listed.items():
+        assert absorbed[term]["estimate"] == pytest.approx(row["estimate"], rel=1e-6, abs=1e-5)
+        assert absorbed[term]["std_error"] == pytest.approx(row["std_error"], rel=1e-6)
+
+
+def test_five_thousand_levels(spark):
+    """More levels than can be listed; against the within estimator and group means."""
+    df = tract_rents(spark, 60_000, 5000)
+    df = df.withColumn("tract", F.concat(F.lit("t"), F.lpad((F.col("year") * 7919 + F.hash("y", "h") % 5000).cast("long") % 5000, 5, "0")))
+    fit = formula_ols(df, "y", Factor("g"), ["year", Factor("h"), Factor("tract", absorb=True), "third"])
+    pdf = df.toPandas()
+    cols = ["year", "third", "y"]
+    for f, levels in (("g", "bc"), ("h", "qrs")):
+        for v in levels:
+            pdf[f"{f}:{v}"] = (pdf[f] == v).astype(float)
+            cols.append(f"{f}:{v}")
+    means = pdf.groupby("tract")[cols].transform("mean")
+    names = [c for c in cols if c != "y"]
+    x, y = (pdf[names] - means[names]).to_numpy(), (pdf["y"] - means["y"]).to_numpy()
+    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+    got = dict(zip(fit.terms, fit.estimate))
+    assert got["year"] == pytest.approx(beta[0], rel=1e-6)
+    assert got["third"] == pytest.approx(beta[1], rel=1e-6)
+    table = {r["term"]: r for r in fit.table(spark).collect()}
+    groups = pdf.groupby("tract")[cols].mean()
+    level = groups["y"] - groups[names].to_numpy() @ beta
+    assert len(table) == len(fit.terms) + len(groups) - 1
+    for t in groups.index[[1, 7, -1]]:
+        assert table[f"tract:{t}"]["estimate"] == pytest.approx(level[t] - level.iloc[0], rel=1e-6, abs=1e-6)
+
+
+def test_dummies_that_differ_in_one_row_are_both_kept(spark):
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"),
+        (F.col("id") % 5 == 0).cast("double").alias("one"),
+        ((F.col("id") % 5 == 0) & (F.col("id") != 40)).cast("double").alias("other"),
+        (F.col("id") * 7919 % 1009).cast("double").alias("y"),
+    )
+    assert formula_ols(df, "y", Factor("g"), ["one", "other"]).aliased == []
+
+
+def test_absorbed_terms_have_no_order(spark, rents):
+    fit = formula_ols(rents, "y", Factor("g"), ["year", Factor("h", absorb=True), "built"])
+    assert [r["term"] for r in fit.table(spark, keep=2).collect()] == ["g:low", "g:mid"]
+    with pytest.raises(ValueError):
+        fit.table(spark, keep=6)
+    with pytest.raises(ValueError):
+        formula_ols(rents, "y", Factor("g", absorb=True), ["year"])
+
+
+def test_solving_many_terms_is_quick():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 1500))
+    x[:, 700] = x[:, 3] + x[:, 5]
+    fit = regress.solve_normal(x.T @ x, 3000, [f"x{i}" for i in range(1499)])
+    assert fit.aliased == ["x700"]
+
+
+def test_too_many_listed_levels_are_refused(rents, monkeypatch):
+    monkeypatch.setattr(regress, "LISTED_TERMS", 5)
     with pytest.raises(ValueError):
         formula_ols(rents, "y", Factor("g"), [Factor("h")])
+    assert formula_ols(rents, "y", Factor("g"), [Factor("h", absorb=True)]).effects.count() == 3
+
+
+def test_group_means_in_order_of_levels(rents):
+    got = [r["term"] for r in group_mean_ols(rents, "y", "g", levels=["top", "low", "mid"]).collect()]
+    assert got == ["top", "low", "mid"]
+    kept = group_mean_ols(rents, "y", "g", levels=["top", "low", "mid"], keep=2).collect()
+    assert [r["term"] for r in kept] == ["top", "low"]

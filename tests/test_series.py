@@ -42,9 +42,12 @@ def test_index_to_a_given_period(owners):
     assert {r["u"] for r in absent.collect()} == {None}
 
 
-def test_index_is_unknown_on_a_zero_or_missing_base(spark):
-    df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 5.0), ("b", 1, None), ("b", 2, 5.0)], "g string, year int, x double")
-    assert [r["i"] for r in R.index_to_base(df, {"i": "x"}, ["g"]).collect()] == [None] * 4
+def test_index_over_a_zero_or_missing_base(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 0.0), ("a", 2, 5.0), ("a", 3, -5.0), ("b", 1, None), ("b", 2, 5.0)], "g string, year int, x double"
+    )
+    got = R.index_to_base(df, {"i": "x"}, ["g"]).orderBy("g", "year").collect()
+    assert [r["i"] for r in got] == [None, float("inf"), float("-inf"), None, None]
 
 
 def test_longer_and_wider_are_inverse(owners):
