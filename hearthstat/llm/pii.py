@@ -91,7 +91,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _normal(context: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(context), "[0-9]", "0"), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(F.ltrim(F.lower(context)), "[0-9]", "0"), r"\s+", " ")
 
 
 def _patterns(mention: Column) -> Column:
