@@ -6,8 +6,8 @@ are the words that the two classes hold at significantly different rates; a text
 weight for one is (1 + log tf) * idf, with document frequencies counted over all
 documents. Example vectors go into blocks of similar ones; for every term the index
 holds each block's highest weight. A text's terms bound the cosine that a block can
-reach, so blocks are read from the highest bound down until no other can hold one of
-the K nearest: the result is exact, ties going to the smaller id.
+reach, so after the blocks with the highest bounds only those are read that can still
+hold one of the K nearest: the result is exact, ties going to the smaller id.
 
 Neighbours vote with the inverse of their distance. The votes are turned into scores by
 the isotonic curve that the examples' own votes (each without itself) give, so that a
@@ -40,7 +40,8 @@ EXAMPLES = 4000
 #: The most terms, least significance of one, and fewest examples that hold it.
 TERMS, SIGNIFICANT, FEWEST = 4096, 5.0, 4
 K = 15
-BLOCK = 64
+#: Examples of a block, and blocks that are read to begin with.
+BLOCK, PROBED = 64, 4
 #: Neighbours nearer than this vote as if this far; votes start from PRIOR votes for the overall share.
 NEAREST, PRIOR = 0.05, 1.0
 
@@ -113,31 +114,46 @@ class BlockMax:
         weight = np.concatenate([*(vectors[i][1] for i in order), np.zeros(0)])
         by = np.argsort(term, kind="stable")
         self.row, self.weight = row[by], weight[by]
-        cell = term[by] * self.blocks + row[by] // BLOCK
-        self.first = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
+        self.block = self.row // BLOCK
+        self.first = np.searchsorted(term[by], np.arange(n_terms + 1))
         self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
+        np.maximum.at(self.most, (term[by], self.block), self.weight)
         self.order = np.array(order)
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the marked blocks that share a term, and their cosines."""
+        scores = np.zeros(len(self.ids))
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            a, b = self.first[t], self.first[t + 1]
+            read = blocks[self.block[a:b]]
+            scores[self.row[a:b][read]] += w * self.weight[a:b][read]
+        rows = np.flatnonzero(scores > 0)
+        return rows, np.round(scores[rows], 12)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple:
-        """Rows and cosines of the k nearest examples, apart from the id `without`; only cosines over 0 count."""
+        """Rows and cosines of the k nearest examples, apart from the id `without`; only cosines over 0 count.
+
+        The blocks of the highest bounds are read first; then, at once, all others whose
+        bound reaches the k-th cosine found in them.
+        """
         bound = weights @ self.most[terms]
         best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                a, b = self.first[t * self.blocks + block : t * self.blocks + block + 2]
-                scores[self.row[a:b] - block * BLOCK] += w * self.weight[a:b]
-            rows = np.flatnonzero(scores > 0)
-            scores, rows = scores[rows], rows + block * BLOCK
+        unread = bound > 0
+        for first in (True, False):
+            blocks = unread & (bound >= (best[-1] - 1e-9 if len(best) == k else 0))
+            if first and blocks.sum() > PROBED:
+                blocks = np.zeros(self.blocks, bool)
+                blocks[np.argpartition(-bound, PROBED)[:PROBED]] = True
+            rows, scores = self._scores(terms, weights, blocks)
+            unread &= ~blocks
             if without is not None:
                 other = self.ids[rows] != without
                 scores, rows = scores[other], rows[other]
-            rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, np.round(scores, 12)])
+            rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, scores])
             top = np.lexsort((self.ids[rows], -scores))[:k]
             best_rows, best = rows[top], scores[top]
+            if not unread.any():
+                break
         return best_rows, best
 
 
@@ -247,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(terms, index, labels_by_row, masses, share, bare_share, (np.zeros(0), np.zeros(0)))
     if not kept:
         return model
-    asked = rows.where(F.size("terms") > 0).select("doc_id", "terms", "weights").repartition("doc_id")
+    asked = rows.where(F.size("terms") > 0).select("doc_id", "terms", "weights").repartition(32, "doc_id")
     voted = asked.mapInArrow(partial(_votes, shared=spark.sparkContext.broadcast(model)), "doc_id long, vote double")
     votes = {r[0]: r[1] for r in voted.collect()}
     curve = isotonic(np.array([votes[i] for i in index.ids.tolist()]), labels_by_row, masses)
