@@ -48,12 +48,6 @@ def max_of(c: Column | str, na_rm: bool = False) -> Column:
     return F.max(c) if na_rm else strict(F.max(c), c)
 
 
-def share_of(flag: Column | str) -> Column:
-    """Share of rows where the flag is true (NULL when a flag is NULL)."""
-    flag = as_col(flag)
-    return strict(F.avg(flag.cast("double")), flag)
-
-
 def n_rows() -> Column:
     return F.count(F.lit(1))
 
@@ -118,12 +112,12 @@ def split_parcel_key(c: Column | str, stop: int, paste_missing: bool = False) ->
 
 
 def ratio(num: Column | str, den: Column | str) -> Column:
-    """num/den with x/0 = ±infinity and 0/0 = NULL."""
+    """num/den with x/0 = ±infinity and 0/0 = NULL; NULL where either is."""
     num, den = as_col(num).cast("double"), as_col(den).cast("double")
     return (
         F.when(den != 0, F.try_divide(num, den))
-        .when(num > 0, F.lit(float("inf")))
-        .when(num < 0, F.lit(float("-inf")))
+        .when((den == 0) & (num > 0), F.lit(float("inf")))
+        .when((den == 0) & (num < 0), F.lit(float("-inf")))
     )
 
 
@@ -133,20 +127,21 @@ def packed_order(high: list[tuple[Column, int]], low: list[tuple[Column, int]])
     Each part is a column and its largest number of digits; ``high`` and
     ``low`` may hold 18 digits each. A fixed-width key keeps ``min_by`` and
     ``max_by`` in a hash aggregate, where a struct would force a sort of the
-    raw rows. A number that is negative or has more digits raises an error, as it
-    would run into its neighbours.
+    raw rows. A number with more digits raises an error, and so does a negative one
+    unless it comes first, as it would run into its neighbours.
     """
 
-    def pack(parts: list[tuple[Column, int]]) -> Column:
+    def pack(parts: list[tuple[Column, int]], signed: bool = False) -> Column:
         if sum(d for _, d in parts) > 18:
             raise ValueError("at most 18 digits fit in each half")
         out = F.lit(0).cast("long")
-        for c, digits in parts:
+        for i, (c, digits) in enumerate(parts):
             c = c.cast("long")
+            least = 1 - 10**digits if signed and i == 0 else 0
             wide = F.concat(F.lit(f"not a number of up to {digits} digits: "), c.cast("string"))
-            fits = F.when((c < 0) | (c >= 10**digits), F.raise_error(wide).cast("long")).otherwise(c)
+            fits = F.when((c < least) | (c >= 10**digits), F.raise_error(wide).cast("long")).otherwise(c)
             out = out * F.lit(10**digits) + fits
         return out
 
     scale = F.lit(10**18).cast("decimal(19,0)")
-    return pack(high).cast("decimal(19,0)") * scale + pack(low).cast("decimal(19,0)")
+    return pack(high, signed=True).cast("decimal(19,0)") * scale + pack(low).cast("decimal(19,0)")

@@ -38,6 +38,7 @@ def grouped_quantile(
     weight: str | None = None,
     na_rm: bool = False,
     bars: int = BARS,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group with the ``p`` quantile of each measure.
 
@@ -45,14 +46,20 @@ def grouped_quantile(
     the data. A NULL value makes the group's result NULL unless ``na_rm``,
     where rows with a NULL value or weight are left out. The result does not
     depend on ``bars``; raise it where very many different values crowd together.
+
+    ``totals`` are columns summed over all rows of each group in the same pass; a
+    NULL among them makes the total NULL.
     """
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     names = list(measures)
+    sums = {f"__t{i}": c for i, c in enumerate((totals or {}).values())}
+    holes = [f"{t}_null" for t in sums]
     grp = [f"__k{i}" for i in range(len(keys))] + ["__m"]
 
     long = df.select(
         *[F.col(k).alias(g) for k, g in zip(keys, grp)],
         w.alias("__w"),
+        *[c.alias(t) for t, c in sums.items()],
         F.explode(
             F.array(
                 *[
@@ -66,6 +73,7 @@ def grouped_quantile(
         F.col("__x.m").alias("__m"),
         F.when(~F.isnan("__x.v"), F.col("__x.v")).alias("__v"),
         "__w",
+        *sums,
     )
     if na_rm:
         # Keep a zero-weight marker so that a group of only NULLs still appears.
@@ -76,19 +84,28 @@ def grouped_quantile(
 
     counts = (
         long.groupBy(*grp, "__v")
-        .agg(F.sum("__w").alias("__w"))
+        .agg(
+            F.sum("__w").alias("__w"),
+            *[F.sum(t).alias(t) for t in sums],
+            *[F.bool_or(F.col(t).isNull()).alias(h) for t, h in zip(sums, holes)],
+        )
         .withColumn("__bar", _bar(F.col("__v"), bars))
     )
     series = Window.partitionBy(*grp)
     running = series.orderBy(F.asc_nulls_first("__bar"))
     histogram = (
         counts.groupBy(*grp, "__bar")
-        .agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0)).alias("__bw"))
+        .agg(
+            F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0)).alias("__bw"),
+            *[F.sum(t).alias(t) for t in sums],
+            *[F.bool_or(h).alias(h) for h in holes],
+        )
         .withColumns(
             {
                 "__upto": F.sum("__bw").over(running.rowsBetween(Window.unboundedPreceding, 0)),
                 "__n": F.sum("__bw").over(series),
                 "__has_null": F.bool_or(F.col("__bar").isNull()).over(series),
+                **{t: F.when(~F.bool_or(h).over(series), F.sum(t).over(series)) for t, h in zip(sums, holes)},
             }
         )
     )
@@ -113,7 +130,7 @@ def grouped_quantile(
     # A group without any weight keeps its bars and ends up NULL.
     wanted = histogram.filter(holds("__lo") | holds("__hi") | (F.col("__n") == 0)).select(
         *[F.col(g).alias(f"__r{g}") for g in [*grp, "__bar"]],
-        "__before", "__lo", "__hi", "__frac", "__has_null",
+        "__before", "__lo", "__hi", "__frac", "__has_null", *[F.col(t).alias(f"__r{t}") for t in sums],
     )
     same = F.lit(True)
     for g in [*grp, "__bar"]:
@@ -135,6 +152,7 @@ def grouped_quantile(
             value_at("__hi").alias("hi"),
             F.max("__frac").alias("frac"),
             F.bool_or("__has_null").alias("has_null"),
+            *[F.max(f"__r{t}").alias(t) for t in sums],
         )
     )
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
@@ -143,10 +161,19 @@ def grouped_quantile(
     return (
         picked.withColumn("__q", value)
         .groupBy(*grp[:-1])
-        .agg(*[F.max(F.when(F.col("__m") == i, F.col("__q"))).alias(n) for i, n in enumerate(names)])
+        .agg(
+            *[F.max(F.when(F.col("__m") == i, F.col("__q"))).alias(n) for i, n in enumerate(names)],
+            *[F.max(F.when(F.col("__m") == 0, F.col(t))).alias(n) for t, n in zip(sums, totals or {})],
+        )
         .withColumnsRenamed(dict(zip(grp, keys)))
     )
 
 
-def grouped_median(df: DataFrame, keys: list[str], measures: dict[str, str], na_rm: bool = False) -> DataFrame:
-    return grouped_quantile(df, keys, measures, 0.5, None, na_rm)
+def grouped_median(
+    df: DataFrame,
+    keys: list[str],
+    measures: dict[str, str],
+    na_rm: bool = False,
+    totals: dict[str, Column] | None = None,
+) -> DataFrame:
+    return grouped_quantile(df, keys, measures, 0.5, None, na_rm, totals=totals)

@@ -44,19 +44,19 @@ def market_index(households: DataFrame, min_year: int = 2010) -> DataFrame:
     """Households, median income and median rent by year, indexed. Medians are unweighted.
 
     Conformed households always have a cost and an income, so the NULLs left
-    out of the rent median are the owners, and both medians share one pass.
+    out of the rent median are the owners; both medians and the count share one pass.
     """
     recent = households.filter(F.col("year") >= min_year)
-    counts = recent.groupBy("year").agg(S.sum_of("HHWT").alias("Households"))
     medians = grouped_median(
         recent.withColumn("rent", F.when(F.col("ownership") == "Rent", F.col("housing_cost"))),
         ["year"],
         {"rent": "rent", "HH Income": "hh_income"},
         na_rm=True,
+        totals={"Households": F.col("HHWT")},
     )
     rest = stack_rows(
-        longer(counts, ["Households"], "estimate"),
-        longer(medians.drop("rent"), ["HH Income"], "estimate"),
+        longer(medians.select("year", "Households"), ["Households"], "estimate"),
+        longer(medians.select("year", "HH Income"), ["HH Income"], "estimate"),
     )
     rents = medians.filter(F.col("rent").isNotNull())
     return _indexed_estimates(rents, rest, ["Households", "HH Income"])
@@ -69,13 +69,22 @@ def near_poverty(
     poor = f"Households with income < {factor:g} times poverty threshold"
     recent = households.filter(F.col("year") >= min_year)
     # The threshold table is a dozen literal rows, which Spark broadcasts by itself.
-    with_line = natural_join(recent, poverty, "inner", on=["year"])
-    is_poor = F.col("hh_income") < F.col("threshold") * factor
-    counts = with_line.groupBy("year").agg(
-        S.sum_of("HHWT").alias("Households"),
-        S.sum_of(F.when(is_poor, F.col("HHWT")).otherwise(0)).alias("poor"),
+    with_line = natural_join(recent, poverty, "left", on=["year"])
+    lined = F.col("threshold").isNotNull()
+    is_poor = lined & (F.col("hh_income") < F.col("threshold") * factor)
+    by_year = grouped_median(
+        with_line.withColumn("rent", F.when(F.col("ownership") == "Rent", F.col("housing_cost"))),
+        ["year"],
+        {"rent": "rent"},
+        na_rm=True,
+        totals={
+            "Households": F.col("HHWT"),
+            "poor": F.when(is_poor, F.col("HHWT")).otherwise(0),
+            "lined": lined.cast("int"),
+        },
     )
-    rents = grouped_median(recent.filter(F.col("ownership") == "Rent"), ["year"], {"rent": "housing_cost"})
+    counts = by_year.filter(F.col("lined") > 0).select("year", "Households", "poor")
+    rents = by_year.filter(F.col("rent").isNotNull())
     rest = longer(counts, ["Households", "poor"], "estimate").replace("poor", poor, ["estimate"])
     return _indexed_estimates(rents, rest, ["Households", poor])
 
@@ -154,13 +163,14 @@ def net_units(by_size_year: DataFrame, below: int = 10000) -> DataFrame:
 
 def gross_change(by_size_year: DataFrame) -> DataFrame:
     """Units added and demolished by building size over all years."""
-    gross = by_size_year.select(
-        "building_size",
-        F.col("units_added").alias("Additions"),
-        F.col("units_removed").alias("Demolitions"),
+    gross = by_size_year.withColumnsRenamed(
+        {"units_added": "Gross dwelling units added", "units_removed": "Gross dwelling units removed"}
     )
+    columns = columns_containing(gross, "Gross")
+    names = {"Gross dwelling units added": "Additions", "Gross dwelling units removed": "Demolitions"}
     return (
-        longer(gross, ["Additions", "Demolitions"], "change")
+        longer(gross.select("building_size", *columns), columns, "change")
+        .replace(names, subset=["change"])
         .groupBy("building_size", "change")
         .agg(S.sum_of("value", na_rm=True).alias("gross_change"))
     )

@@ -12,9 +12,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Spark binds a schema to CSV columns by position, so the file's columns are
     read as text and only the wanted ones are selected and converted. Text that
-    is not a number becomes NULL.
+    is not a number becomes NULL. In a folder all files must have the first one's
+    header; another is an error.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"')
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', enforceSchema=False)
     wanted = T.StructType.fromDDL(schema)
     return raw.select(
         *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields]

@@ -47,6 +47,27 @@ HEADINGS = {
     "exit_to_entrance": "Exit to entrance ratio",
     "coverage": "Coverage",
     "portfolio": "Owner properties",
+    "listed_units": "Listed unit count",
+    "change": "Change",
+    "gross_change": "Gross change",
+    "median_rent": "Median annual rental costs",
+    "hh_income": "HH Income",
+    "housing_share": "Housing share of HH income",
+    "burden": "Burden",
+    "building_type": "Building type",
+    "owner_names": "Owner names",
+    "owner_residence": "Owner residence",
+    "owner_occupied": "Owner occupied",
+    "is_company": "Owner is company",
+    "geo_id": "Census tract",
+    "year_built": "Year structure built",
+    "portfolio_parcels": "Owner portfolio: parcels",
+    "portfolio_buildings": "Owner portfolio: buildings",
+    "portfolio_units": "Owner portfolio: units",
+    "listing_count": "Listing count",
+    "unit_count": "Unit count",
+    "annual_rent": "Annual rental costs",
+    "square_feet": "Square feet",
 }
 
 

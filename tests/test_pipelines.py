@@ -282,6 +282,32 @@ def test_listing_dedupe(rentals):
     assert got["000002-0001", 2020, "u4"]["beds"] is None
 
 
+def test_default_listing_order_settles_ties(spark):
+    """Listings of one unit on one day, in any order of rows and partitions."""
+    day = "date '2020-05-01'"
+    rows_of = spark.range(60).selectExpr(
+        "'p' AS parcel_num", f"{day} AS seen_on", f"if(id % 3 = 0, NULL, {day}) AS listed_on",
+        f"date_add({day}, int(id % 4)) AS removed_on", "double(id * 7 % 5 + 1) AS price_numeric",
+        "1D AS beds", "1D AS baths", "500D AS sqft", "'u' AS listing_unit_level_id",
+    ).filter("coalesce(listed_on, removed_on, seen_on) = date '2020-05-01'")
+    results = {
+        tuple(conform.listing_dedupe(rows_of.orderBy(F.rand(seed)).repartition(n)).first())
+        for seed, n in ((1, 1), (2, 3), (3, 7), (4, 2))
+    }
+    assert len(results) == 1
+
+
+def test_registry_with_missing_parcels_pasted(spark):
+    registry = spark.createDataFrame(
+        [("R1", "Active Registration", None, "3")],
+        "RECORD_ID string, RECORD_STATUS string, PARCEL_NBR string, Registed_Units string",
+    )
+    rental = spark.createDataFrame([], "parcel_num string, year int, unit_count long")
+    plain = conform.registry_reconcile(registry, rental).first()
+    assert plain["parcel_num"] is None
+    assert conform.registry_reconcile(registry, rental, paste_missing=True).first()["parcel_num"] == "NA-NA"
+
+
 def test_last_price_may_be_missing(spark):
     raw = spark.createDataFrame(
         [listing("p", "u", listed="2020-01-01"), listing("p", "u", listed="2020-02-01", price=None)],

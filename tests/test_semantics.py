@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthstat.functions import semantics as S
@@ -32,11 +33,11 @@ def test_distinct_count_takes_missing_as_a_value(spark):
     assert agg(df.limit(0), S.n_distinct("x")) == (0,)
 
 
-def test_share_and_weighted_mean(spark):
+def test_weighted_mean(spark):
     df = spark.createDataFrame([(True, 10.0, 1), (False, 40.0, 2)], "f boolean, x double, w int")
-    assert agg(df, S.share_of("f"), S.weighted_mean("x", "w")) == (0.5, 30.0)
+    assert agg(df, S.weighted_mean("x", "w")) == (30.0,)
     holes = df.union(spark.createDataFrame([(None, 1.0, None)], df.schema))
-    assert agg(holes, S.share_of("f"), S.weighted_mean("x", "w")) == (None, None)
+    assert agg(holes, S.weighted_mean("x", "w")) == (None,)
     weightless = spark.createDataFrame([(1.0, 0)], "x double, w int")
     assert agg(weightless, S.weighted_mean("x", "w")) == (None,)
 
@@ -87,3 +88,11 @@ def test_packed_order_sorts_like_its_parts(spark):
     df = spark.createDataFrame(rows, "a int, b long, c long")
     key = S.packed_order([(F.col("a"), 5), (F.col("b"), 12)], [(F.col("c"), 10)])
     assert [tuple(r) for r in df.orderBy(key).collect()] == sorted(rows)
+
+
+@pytest.mark.parametrize("value", [100_000, -1])
+def test_packed_order_refuses_what_does_not_fit(spark, value):
+    key = S.packed_order([(F.col("a"), 5)], [(F.col("a"), 6)])
+    assert spark.createDataFrame([(99_999,), (None,)], "a int").select(key).count() == 2
+    with pytest.raises(Exception, match="digits"):
+        spark.createDataFrame([(value,)], "a int").select(key).collect()

@@ -137,3 +137,46 @@ def test_dates_survive(spark, tmp_path):
     )
     row = readers.read_csv(spark, str(path), schemas.LISTINGS).first()
     assert row["seen_on"] == date(2020, 1, 5) and row["listed_on"] is None and row["baths"] == 1.5
+
+
+# The published headings of the tables that are written, by output column.
+PUBLISHED = {
+    "Q16": (["building_size", "year", "households", "household_index"],
+            ["Building size", "Year", "Households", "Households (100 = base)"]),
+    "Q17": (["building_size", "year", "units_removed", "units_added", "net_units", "permits", "sites"],
+            ["Building size", "Year", "Gross dwelling units removed", "Gross dwelling units added",
+             "Net dwelling units", "Total permits", "Total development sites"]),
+    "Q20": (["year", "owner_type", "owners", "units", "unit_index", "owner_index"],
+            ["Year", "Owner type", "Owners", "Units", "Indexed unit count", "Indexed owner count"]),
+    "Q22": (["building_size", "year", "housing_cost", "data_source"],
+            ["Building size", "Year", "Housing cost", "Data source"]),
+    "Q23": (["unregistered_units", "parcels", "registered_parcels", "listed_units", "registered_units",
+             "unregistered_parcels"],
+            ["Unregistered units", "Parcels", "Registered parcels", "Listed unit count", "Registered units",
+             "Unregistered parcels"]),
+    "Q24": (["owner_type", "bedrooms", "median_rent"], ["Owner type", "Bedrooms", "Median annual rental costs"]),
+    "Q7": (["parcel_num", "year", "bedrooms", "baths", "building_size", "property_type", "owner_names",
+            "owner_residence", "owner_occupied", "geo_id", "year_built", "is_company", "portfolio_parcels",
+            "portfolio_buildings", "portfolio_units", "owner_type", "listing_count", "unit_count", "annual_rent",
+            "square_feet"],
+           ["Parcel number", "Year", "Bedrooms", "Baths", "Building size", "Property type", "Owner names",
+            "Owner residence", "Owner occupied", "Census tract", "Year structure built", "Owner is company",
+            "Owner portfolio: parcels", "Owner portfolio: buildings", "Owner portfolio: units", "Owner type",
+            "Listing count", "Unit count", "Annual rental costs", "Square feet"]),
+}
+
+
+@pytest.mark.parametrize("table", PUBLISHED)
+def test_headings(spark, table):
+    from hearthstat.sources.writers import with_headings
+
+    columns, headings = PUBLISHED[table]
+    assert with_headings(spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))).columns == headings
+
+
+def test_files_of_a_folder_must_agree_on_columns(spark, tmp_path):
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "y,x\n3,4\n")):
+        (tmp_path / name).write_text(text)
+    with pytest.raises(Exception):
+        read_csv_rows = readers.read_csv(spark, str(tmp_path), "x int, y int").collect()
+        assert not read_csv_rows
