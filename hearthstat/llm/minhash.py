@@ -15,12 +15,13 @@ only; what links is 100 * intersection >= percent * union on the full sets. As o
 components are asked for, candidates are taken in rounds, so that a key with very many
 texts never turns into all its pairs:
 
-1. each text is compared with a few others of its key that all texts of the key
-   choose alike (the first in several fixed orders), which is linear in the texts;
+1. each text is compared with two of its key: the smallest id, and the text that shares
+   the most keys with others (the original of a family of copies), which is linear;
 2. the linked are joined into components; a key whose texts are all in one is done;
-3. in the other keys, each text outside the key's main component is compared with
-   every near one in another component. Nothing is dropped: any link between two
-   components is found, as one of the two texts is outside the main one.
+3. the texts of the other keys, with those that they share such keys with, make groups.
+   In each group every text outside its largest component is compared with all the
+   group's texts, block by block inside tasks, which only return who is connected to
+   whom. Any link between two components is found, as one of its texts is outside.
 
 Nulls: a null or wordless text has an empty set and links with nothing; a row without
 an id keeps its set size and gets a null component. Rows that repeat an id are one
@@ -34,19 +35,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthstat.llm.components import components
-from hearthstat.llm.staging import small, stage
+from hearthstat.llm.staging import roots, runs, small, stage
 from hearthstat.llm.texts import M64, WHITE, mix, seeds, signed, slices, word_table, words
 
 WORDS = word_table(WHITE)
 CHUNKS, PARTS, BITS = 6, 4, 16
 #: Parts in which near signatures may differ; guaranteed by one error in some chunk.
 NEAR = CHUNKS * 2 - 1
-#: Orders in which a key's first text is compared with all its others, in the first round.
-CENTRES = 4
+#: Texts of a block in the last round, and shingles compared at once.
+BLOCK, SHARED = 256, 4096
 
 _FACTORS = seeds(CHUNKS * PARTS, 2) | np.uint64(1)
 _SHIFTS = seeds(CHUNKS * PARTS, 3)
@@ -112,17 +113,6 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), sets], ["node", "shingles"])
 
 
-def differing(prefix_a: str, prefix_b: str) -> Column:
-    """In how many parts two signatures differ: the lowest bit of each 16 gathers those above it."""
-    total = F.lit(0)
-    for s in _SIGNATURE:
-        x = F.col(f"{prefix_a}{s}").bitwiseXOR(F.col(f"{prefix_b}{s}"))
-        for step in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
-
-
 def _keys(nodes: DataFrame) -> DataFrame:
     """Each node under its 24 keys: a chunk with one part left out."""
     lane = (1 << BITS) - 1
@@ -136,10 +126,6 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*entries)).alias("e")).select("node", "e.v", "e.k")
 
 
-def _order(i: int) -> Column:
-    return F.xxhash64(F.lit(i), F.col("node"))
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full sets are near enough."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -150,6 +136,75 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Who is connected by links between the two sides of each piece of work."""
+    for run in runs(batches, 3):
+        side, node = run.column(3).to_numpy(), run.column(4).to_numpy()
+        place = run.column(5).offsets.to_numpy()
+        shingle = run.column(5).values.to_numpy()[place[0] : place[-1]]
+        size, row = np.diff(place), np.repeat(np.arange(len(node)), np.diff(place))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            continue
+        at = np.zeros(len(node), np.int64)
+        at[left], at[right] = np.arange(len(left)), np.arange(len(right))
+        # Only shingles of both sides can be common.
+        known = np.intersect1d(shingle[side[row] == 0], shingle[side[row] == 1])
+        column = np.minimum(np.searchsorted(known, shingle), max(len(known) - 1, 0))
+        both = known[column] == shingle if len(known) else np.zeros(len(shingle), bool)
+        row, column = row[both], column[both]
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, len(known), SHARED):
+            a, b = np.searchsorted(column, (start, start + SHARED))
+            x = np.zeros((len(left), SHARED), np.float32)
+            y = np.zeros((len(right), SHARED), np.float32)
+            own, which = row[a:b], column[a:b] - start
+            first = side[own] == 0
+            x[at[own[first]], which[first]] = 1
+            y[at[own[~first]], which[~first]] = 1
+            common += x @ y.T
+        common = common.astype(np.int64)
+        union = size[left][:, None] + size[right][None, :] - common
+        a, b = np.nonzero(common * 100 >= union * percent)
+        a, b = left[a], right[b]
+        root = roots(len(node), a, b)
+        used = np.flatnonzero(root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(node[root[used]])], ["a", "b"])
+
+
+def _rest(filed: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Further links, between components that share a key; None if no key has several."""
+    own = stage(filed.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = own.groupBy("v", "k").agg(F.min("component").alias("m0"), F.max("component").alias("m1"))
+    mixed = stage(own.join(mixed.where("m0 <> m1").select("v", "k"), ["v", "k"]).select("node", "first", "component"))
+    if not mixed.limit(1).count():
+        return None
+    together = components(mixed.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    nodes = mixed.select("node", "component").distinct().join(
+        together.select("node", F.col("component").alias("s")), "node"
+    )
+    nodes = stage(nodes)
+    sizes = nodes.groupBy("s", "component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    groups = stage(
+        sizes.groupBy("s").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    ).select("s", "main", blocks(F.col("n") - F.col("most")).alias("gx"), blocks(F.col("n")).alias("gy"))
+    placed = nodes.join(groups, "s")
+    mine = lambda g: F.pmod(F.xxhash64("node"), F.col(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    outside = placed.where("component <> main")
+    work = outside.select("s", mine("gx").alias("i"), every("gy").alias("j"), F.lit(0).alias("side"), "node")
+    work = work.unionByName(
+        placed.select("s", every("gx").alias("i"), mine("gy").alias("j"), F.lit(1).alias("side"), "node")
+    )
+    keys = ["s", "i", "j"]
+    work = work.join(sets, "node").select(*keys, "side", "node", "shingles").repartition(*keys)
+    work = work.sortWithinPartitions(*keys)
+    return stage(work.mapInArrow(partial(_compared, percent=percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
 
@@ -166,48 +221,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         .agg(F.min("doc_id").alias("node"), *(F.min(s).alias(s) for s in _SIGNATURE))
     )
     keys = _keys(nodes)
-    heads = [F.min_by("node", _order(i)).alias(f"h{i}") for i in range(1, CENTRES)]
-    shared = stage(
-        keys.groupBy("v", "k")
-        .agg(F.min("node").alias("h0"), F.max("node").alias("last"), *heads)
-        .where("h0 <> last").drop("last")
-    )
-    filed = stage(keys.join(shared, ["v", "k"]))
-    centres = F.explode(F.array(*(f"h{i}" for i in range(CENTRES)))).alias("other")
+    shared = keys.groupBy("v", "k").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("first")).where("m > 1")
+    filed = stage(keys.join(stage(shared), ["v", "k"]))
+    company = stage(filed.groupBy("node").agg(F.sum("m").alias("company")))
+    hub = filed.join(company, "node").groupBy("v", "k").agg(F.max_by("node", "company").alias("hub"))
+    other = F.explode(F.array("first", "hub")).alias("other")
     tried = stage(
-        filed.select("node", centres).where("node <> other")
+        filed.join(stage(hub), ["v", "k"]).select("node", other).where("node <> other")
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     )
-    members = stage(filed.select("node").distinct())
-    wanted = small(members.select(F.col("node").alias("doc_id")))
-    # Ids of several rows have a set for each; any of them is checked.
+    wanted = small(stage(company.select(F.col("node").alias("doc_id"))))
+    # An id of several rows has a set for each.
     sets = stage(docs.join(wanted, "doc_id").mapInArrow(partial(_sets, size=size), "node long, shingles array<long>"))
     links = stage(_linked(tried, sets, percent).distinct())
     group = components(links)
-
-    # What the first round left: keys whose texts are in several components.
-    own = filed.select("v", "k", "node", "h0").join(group, "node", "left")
-    own = stage(own.withColumn("component", F.coalesce("component", "node")))
-    mixed = (
-        own.groupBy("v", "k").agg(F.min("component").alias("m0"), F.max("component").alias("m1"))
-        .where("m0 <> m1").select("v", "k")
-    )
-    mixed = own.join(mixed, ["v", "k"])
-    sizes = mixed.groupBy("v", "k", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("v", "k").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    mixed = stage(mixed.drop("h0").join(nodes.select("node", *_SIGNATURE), "node"))
-    outside = mixed.join(main, ["v", "k"]).where("component <> main").drop("main")
-    outside = outside.select("v", "k", *(F.col(c).alias(f"x_{c}") for c in ("node", "component", *_SIGNATURE)))
-    rest = (
-        outside.join(mixed, ["v", "k"])
-        .where((F.col("x_component") != F.col("component")) & (differing("x_", "") <= NEAR))
-        .select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = stage(_linked(stage(rest), sets, percent))
-    links = links.unionByName(more)
-    group = components(links) if more.limit(1).count() else group
+    more = _rest(filed, group, sets, percent)
+    if more is not None:
+        # Only whole components are still to be joined.
+        ends = more
+        for end in ("a", "b"):
+            own = group.select(F.col("node").alias(end), F.col("component").alias("c"))
+            ends = ends.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        wider = components(ends).select(F.col("node").alias("component"), F.col("component").alias("w"))
+        joined = group.join(wider, "component", "left").select("node", F.coalesce("w", "component").alias("component"))
+        alone = wider.select(F.col("component").alias("node"), F.col("w").alias("component"))
+        group = joined.unionByName(alone.join(group, "node", "left_anti"))
 
     found = nodes.select(*same, "node").join(group, "node", "left")
     found = found.select(*same, F.coalesce("component", "node").alias("component_id"))

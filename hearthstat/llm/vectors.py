@@ -29,16 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthstat.llm.components import components
-from hearthstat.llm.staging import small, stage
+from hearthstat.llm.staging import roots, runs, small, stage
 from hearthstat.llm.texts import seeds
 
 MISS = 1e-4
 BUCKET = 64
 BLOCK = 1024
 
-WORK = "t int, code long, i int, j int"
-
-
 def plan(n: int, cosine: float) -> tuple[int, int]:
     """Bits and tables for n vectors."""
     agree = 1 - math.acos(cosine) / math.pi
@@ -104,28 +101,10 @@ def _hashed(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterat
             )
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows, one (t, code, i, j) at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1).astype(np.int64)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = batch.slice(a, b - a)
-            if held and [c[0].as_py() for c in held[0].columns[:4]] != keys[a].tolist():
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _linked(batches: Iterator[pa.RecordBatch], bits: int, tables: int, cosine: float) -> Iterator[pa.RecordBatch]:
     hashes = Hashes(bits, tables)
     out: list[np.ndarray] = []
-    for run in _runs(batches):
+    for run in runs(batches, 4):
         if run.num_rows < 2:
             continue
         t, _, i, j = (int(run.column(c)[0].as_py()) for c in range(4))
@@ -150,15 +129,7 @@ def _linked(batches: Iterator[pa.RecordBatch], bits: int, tables: int, cosine: f
                 new = (codes[x] != codes[y]).all(1)
                 np.add.at(links, x[new], mass[y[new]])
                 np.add.at(links, y[new], mass[x[new]])
-            root = np.arange(len(used))
-            while True:
-                low = root.copy()
-                np.minimum.at(low, place[0], root[place[1]])
-                np.minimum.at(low, place[1], root[place[0]])
-                low = low[low]
-                if (low == root).all():
-                    break
-                root = low
+            root = roots(len(used), *place)
             out.append(np.stack([own, links, own[root]], axis=1))
         if sum(map(len, out)) > 10_000:
             yield _answer(out)
