@@ -7,15 +7,18 @@ key. Rounds grow with the logarithm of the graph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hearthstat.llm.staging import stage
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return row[0], row[1]
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The table written, with its rows' number and sum of hashes, which are taken while writing."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+    written = stage(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("sum")))
+    return written, (seen.get.get("n", 0), seen.get.get("sum"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,21 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-links, repeated and reversed links are allowed; rows with a null end are ignored.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(
-        F.col("a").isNotNull() & (F.col("a") != F.col("b")) & edges["a"].isNotNull() & edges["b"].isNotNull()
-    )
-    e = stage(e.distinct())
-    state = _state(e)
+    e = edges.where("a is not null and b is not null and a <> b")
+    e, state = _counted(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stage(linked.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        state, before = _state(e), state
-        if state == before:
+        e, after = _counted(linked.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        if after == state:
             break
+        state = after
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
