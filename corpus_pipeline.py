@@ -14,6 +14,7 @@ the input are kept.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,33 +25,52 @@ from hearthstat.llm.staging import small, stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _keeping_columns(step: Stage) -> Stage:
+    """The stage, with further columns out of the way of the operators' own and back in place after it."""
+
+    @wraps(step)
+    def kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        hidden = [c if c in CORE else f"_further{i}" for i, c in enumerate(names)]
+        return step(spark, docs.toDF(*hidden), sf_dir).select(*hidden).toDF(*names)
+
+    return kept
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@_keeping_columns
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is usual for their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.classify(docs, labels.where("quality = 1"))
-    return judged.where("keep").select(docs.columns)
+    return judged.where("keep")
 
 
+@_keeping_columns
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that ten or more documents hold."""
-    return _recounted(lines.dedup_lines(docs, min_docs=10).select(docs.columns))
+    return _recounted(lines.dedup_lines(docs, min_docs=10))
 
 
+@_keeping_columns
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
     groups = minhash.near_duplicates(docs, percent=80)
     copies = stage(groups.where("not kept and doc_id is not null").select("doc_id"))
-    return docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(copies), "doc_id", "left_anti")
 
 
+@_keeping_columns
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the passages that the benchmark has too."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _recounted(decontam.scan(docs, benchmark, cut=True).select(docs.columns))
+    return _recounted(decontam.scan(docs, benchmark, cut=True))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

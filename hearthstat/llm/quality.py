@@ -13,10 +13,11 @@ n-grams of all texts are never shuffled against it.
 A text's perplexity is taken with PRIOR symbols of its language's trusted mean added,
 so that a short text needs more than a few odd symbols to stand out. It is rejected
 if that exceeds the threshold of its language: the QUANTILE of trusted texts' values.
-Languages with fewer than ENOUGH trusted texts use those of all.
+Languages with fewer than ENOUGH trusted texts use those of all; with fewer than ENOUGH
+in all languages, nothing is rejected.
 
 A null or empty text has no perplexity (null) and is kept, as nothing speaks against
-it; a null language is a language of its own. Without trusted text all is kept. Rows
+it; a null language is a language of its own. Rows
 are kept apart even if they repeat. Output columns replace input columns of the same
 name.
 """
@@ -182,13 +183,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     trusted = stage(score(examples, model).where("n_symbols > 0").select("lang", "n_symbols", "log_p"))
     rate = F.sum("log_p") / F.sum(F.col("n_symbols") + 1)
     means = trusted.groupBy("lang").agg(rate.alias("mean"), F.count(F.lit(1)).alias("n"))
-    every = trusted.agg(rate.alias("mean")).first()["mean"]
+    all_trusted = trusted.agg(rate.alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    every = all_trusted["mean"]
     means = {r["lang"]: r["mean"] if r["n"] >= ENOUGH else every for r in _few(means)}
     raw = _perplexity(means, every)
     limits = trusted.withColumn("p", raw).groupBy("lang").agg(
         F.percentile_approx("p", QUANTILE, 10000).alias("limit"), F.count(F.lit(1)).alias("n")
     )
     overall = trusted.withColumn("p", raw).agg(F.percentile_approx("p", QUANTILE, 10000)).first()[0]
+    overall = overall if all_trusted["n"] >= ENOUGH else None
     limits = {r["lang"]: r["limit"] if r["n"] >= ENOUGH else overall for r in _few(limits)}
     threshold = _by_lang(limits, overall)
     scored = score(docs, model).withColumn("perplexity", F.when(F.col("n_symbols") > 0, _perplexity(means, every)))

@@ -31,6 +31,7 @@ def planted(spark, tmp_path_factory):
     rows += [(300, rows[0][1]), (301, rows[1][1] + " And more.")]
     rows += [(310 + i, prose(rnd) + "\nA line that stands in many texts.\n" + prose(rnd, 30)) for i in range(12)]
     rows += [(400, prose(rnd) + " " + PASSAGE + ". " + prose(rnd)), (401, None), (402, ""), (None, prose(rnd))]
+    labels += [(i, 1, 0) for i in (*range(310, 322), 400)]
     path = str(tmp_path_factory.mktemp("planted"))
     full = [(i, t, "en", "s", None if t is None else len(t), "x") for i, t in rows]
     spark.createDataFrame(full, docs.SCHEMA + ", keep string").write.parquet(f"{path}/documents.parquet")
@@ -47,6 +48,7 @@ def test_stages_decide(spark, planted):
         if name != "tokens":
             assert df.columns == columns
             texts[name] = {r["doc_id"]: r for r in df.collect()}
+            assert {r["keep"] for r in texts[name].values()} == {"x"}
     ids = {name: set(rows) for name, rows in texts.items()}
     clean = {*range(160), *range(310, 322), 400, 401, 402, None}
     assert clean <= ids["quality"] and not ids["quality"] & {200, 201}
@@ -64,7 +66,7 @@ def test_stages_decide(spark, planted):
 
 
 def test_run_is_the_stages_in_turn(spark, planted):
-    assert corpus_pipeline.run(spark, planted).count() == 175
+    assert corpus_pipeline.run(spark, planted).count() == 176
 
 
 def test_odd_and_empty_tables(spark, tmp_path):
