@@ -35,7 +35,7 @@ from hearthstat.llm.texts import mix, slices
 #: The largest vocabulary that is broadcast, in entries.
 MAX_VOCABULARY = 1_000_000
 #: Merged pre-tokens that a task remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -106,12 +106,19 @@ class Model:
         for order, ((gram, share), (context, weight)) in enumerate(zip(self.shares, self.backoffs)):
             lower = np.ones(SYMBOLS**order, np.float32)
             lower[context] = weight
-            # A context's lower-order distribution is that of its last symbols.
-            rows = p.reshape(-1, SYMBOLS) if order else p.reshape(1, SYMBOLS)
-            rows = np.tile(rows, (SYMBOLS, 1)) if order > 1 else np.repeat(rows, SYMBOLS**order, 0)
-            p = (rows * lower[:, None]).ravel()
-            p[gram] += share
-        return np.log(np.maximum(p, 1e-12)).astype(np.float16)
+            # A context's lower-order distribution is that of its last symbols. The table is made for
+            # one first symbol of the contexts at a time, so that little more than itself is in memory.
+            parts = SYMBOLS if order else 1
+            last = order == len(self.shares) - 1
+            out = np.empty(SYMBOLS ** (order + 1), np.float16 if last else np.float32)
+            size = len(out) // parts
+            for i, weights in enumerate(lower.reshape(parts, -1)):
+                part = (p.reshape(len(weights), -1) * weights[:, None]).ravel()
+                own = gram // size == i
+                part[gram[own] % size] += share[own]
+                out[i * size : (i + 1) * size] = np.log(np.maximum(part, 1e-12)) if last else part
+            p = out
+        return p
 
 
 def train(texts: DataFrame) -> Model | None:
