@@ -1,20 +1,22 @@
 """Quality filter: the perplexity of a text under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over symbols: UTF-8 bytes folded into 64 classes that keep letters,
-case, digits, blanks and kinds of punctuation apart, with n-grams of up to ORDER
-symbols. All trusted text is counted: tasks add up the n-grams of their texts, Spark
-adds up the rest, derives the lower orders' continuation counts, the discounts from
-counts of counts, and joins each n-gram with its context's totals, shard by shard.
-
-What has been counted is at most 64 ** ORDER numbers, 16.8 million, whatever the
-corpus holds; so the model can be broadcast, and a text is scored where it lies. The
-n-grams of all texts are never shuffled against it.
+The model is over word bigrams of all trusted text (see wordgrams), counted and joined
+with the texts' bigrams in shards, so that it grows with the corpus. Words that it has
+not seen after another, or not at all, fall back to their spelling: a Kneser-Ney model
+over symbols, UTF-8 bytes folded into 64 classes that keep letters, case, digits, blanks
+and kinds of punctuation apart, with n-grams of up to ORDER symbols. That part is at
+most 64 ** ORDER numbers and is broadcast. Spellings are not normalized over where words
+end, so a perplexity is to be compared with others of the same run.
+
+Trusted texts are scored as if they had not been learned from: without their own bigram
+counts, and with the spelling of the other half of the trusted texts. So their values
+are on one scale with those of other texts, and thresholds can be taken from them.
 
 A text's perplexity is taken with PRIOR symbols of its language's trusted mean added,
 so that a short text needs more than a few odd symbols to stand out. It is rejected
 if that exceeds the threshold of its language: the QUANTILE of trusted texts' values.
 Languages with fewer than ENOUGH trusted texts use those of all; with fewer than ENOUGH
-in all languages, nothing is rejected.
+in all languages, nothing is rejected. Documents of a language without any are kept.
 
 A null or empty text has no perplexity (null) and is kept, as nothing speaks against
 it; a null language is a language of its own. Rows
@@ -24,6 +26,7 @@ name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -34,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthstat.llm.staging import small, stage
+from hearthstat.llm import wordgrams
+from hearthstat.llm.staging import clean, small, stage
 from hearthstat.llm.texts import slices
 
 ORDER = 4
@@ -176,37 +180,98 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(partial(_scored, shared=docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
+class Spelling:
+    """Models whose tables are made once in each process, as they are several times the models' size."""
+
+    def __init__(self, models: list[Model | None]):
+        self.models, self.made = models, None
+
+    def tables(self) -> list[np.ndarray | None]:
+        if self.made is None:
+            self.made = [None if m is None else m.table() for m in self.models]
+        return self.made
+
+
+def _spelling(docs: DataFrame, models: list[Model | None]):
+    """Logarithms of the symbols' probabilities and of the ends', by the model of each text's fold; -1: the last one."""
+    shared = docs.sparkSession.sparkContext.broadcast(Spelling(models))
+
+    def spell(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grams, place = ngrams(data, offsets)
+        tables = shared.value.tables()
+        model = np.repeat(fold % len(tables), np.diff(place))
+        out = np.full(len(grams), -np.log(SYMBOLS))
+        for i, table in enumerate(tables):
+            if table is not None:
+                out[model == i] = table[grams[model == i]]
+        ends = place[1:] - 1
+        return np.delete(out, ends), out[ends]
+
+    return spell
+
+
+def held_out(docs: DataFrame, ids: DataFrame) -> DataFrame | None:
+    """(_key, log_p) of the texts of `docs` (_key, doc_id, text), those with `ids` scored without themselves.
+
+    None if there is nothing to learn from.
+    """
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    texts = docs.where("length(text) > 0").join(small(ids.withColumn("fold", fold)), "doc_id", "left")
+    texts = texts.select("_key", F.coalesce("fold", F.lit(-1)).alias("fold"), "text")
+    known = texts.where("fold >= 0")
+    bytes_of = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    size, taught = texts.agg(bytes_of, F.coalesce(F.sum(F.when(F.col("fold") >= 0, F.octet_length("text"))), F.lit(0))).first()
+    if not taught:
+        return None
+    spelled = [train(known.where(F.col("fold") == 1)), train(known.where(F.col("fold") == 0)), train(known)]
+    spelling = _spelling(docs, spelled)
+    del spelled
+    clean(docs.sparkSession)
+    counted = wordgrams.train(known, taught)
+    clean(docs.sparkSession)
+    scores = wordgrams.score(texts, counted, spelling, size)
+    # Rows that repeat a document have one value.
+    return stage(scores.groupBy("_key").agg(F.max("log_p").alias("log_p")))
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang, ...) with n_symbols, perplexity, threshold and keep.
 
     `trusted_ids` holds the doc_id of the documents to learn from.
     """
     added = ["n_symbols", "perplexity", "threshold", "keep"]
-    docs = docs.drop(*added, "_trusted", "log_p")
+    docs = docs.drop(*added, "_trusted", "_key", "log_p")
     names = docs.columns
     ids = stage(trusted_ids.select("doc_id").where("doc_id is not null").distinct())
-    examples = docs.select("doc_id", "lang", "text").join(small(ids), "doc_id", "left_semi")
-    model = train(examples)
-    trusted = stage(score(examples, model).where("n_symbols > 0").select("lang", "n_symbols", "log_p"))
-    rate = F.sum("log_p") / F.sum(F.col("n_symbols") + 1)
-    means = trusted.groupBy("lang").agg(rate.alias("mean"), F.count(F.lit(1)).alias("n"))
-    all_trusted = trusted.agg(rate.alias("mean"), F.count(F.lit(1)).alias("n")).first()
-    every = all_trusted["mean"]
-    means = {r["lang"]: r["mean"] if r["n"] >= ENOUGH else every for r in _few(means)}
-    raw = _perplexity(means, every)
-    limits = trusted.withColumn("p", raw).groupBy("lang").agg(
-        F.percentile_approx("p", QUANTILE, 10000).alias("limit"), F.count(F.lit(1)).alias("n")
-    )
-    overall = trusted.withColumn("p", raw).agg(F.percentile_approx("p", QUANTILE, 10000)).first()[0]
-    overall = overall if all_trusted["n"] >= ENOUGH else None
-    limits = {r["lang"]: r["limit"] if r["n"] >= ENOUGH else overall for r in _few(limits)}
-    threshold = _by_lang(limits, overall)
-    scored = score(docs, model).withColumn("perplexity", F.when(F.col("n_symbols") > 0, _perplexity(means, every)))
+    docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("n_symbols", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    scores = held_out(docs.select("_key", "doc_id", "text"), ids)
+    if scores is None:
+        none = F.lit(None).cast("double")
+        return docs.withColumns({"perplexity": none, "threshold": none, "keep": F.lit(True)}).select(*names, *added)
+    scores = small(scores)
+    trusted = docs.where("n_symbols > 0").select("_key", "doc_id", "lang", "n_symbols").join(small(ids), "doc_id", "left_semi")
+    trusted = stage(trusted.join(scores, "_key").select("lang", "n_symbols", "log_p"))
+    rate = (F.sum("log_p") / F.sum(F.col("n_symbols") + 1)).alias("mean")
+    means = {r["lang"]: r["mean"] for r in _few(trusted.groupBy("lang").agg(rate))}
+    every = trusted.agg(rate).first()["mean"]
+    perplexity = _perplexity(means, every)
+    threshold = _by_lang(thresholds(trusted.select("lang", F.log(perplexity).alias("x"))), None)
+    scored = docs.join(scores, "_key", "left")
+    scored = scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, perplexity))
     scored = scored.withColumn("threshold", threshold.cast("double"))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return scored.withColumn("keep", keep).select(*names, *added)
 
 
+def thresholds(trusted: DataFrame) -> dict:
+    """By language, the QUANTILE of the logarithms `x` of trusted texts' held-out perplexities, as a perplexity."""
+    quantile = F.percentile_approx("x", QUANTILE, 10000)
+    n, overall = trusted.agg(F.count(F.lit(1)), quantile).first()
+    rows = _few(trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), quantile.alias("q"))) if n >= ENOUGH else []
+    return {r["lang"]: math.exp(r["q"] if r["n"] >= ENOUGH else overall) for r in rows}
+
+
 def _few(by_lang: DataFrame, most: int = 10_000) -> list:
     """The rows of a table by language, if these are few."""
     rows = by_lang.limit(most + 1).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,12 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Have the shuffle files and broadcasts removed that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the (staged) table has at most so many rows; else a plain join follows."""
     return F.broadcast(df) if df.count() <= rows else df

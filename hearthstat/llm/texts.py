@@ -102,3 +102,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each stretch, capitals kept apart; equal bytes have equal hashes."""
+    up, down = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])

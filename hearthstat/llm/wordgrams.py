@@ -1,0 +1,351 @@
+"""Word bigrams of all trusted text, counted and looked up in shards; nothing is bounded but a shard's share.
+
+A word is a run of letters, digits and bytes beyond ASCII, or a run of other signs, with
+the white space before it; words thus make up the whole text, and their hashes keep
+capitals apart. Counts lie in a staged table of SHARD-sized buckets by the hash of a
+bigram's first word, which grows with the trusted text. It never comes to the driver.
+
+Texts are scored in up to PASSES passes, each a part of the documents by hash. In a pass, texts are
+dealt into chunks; a chunk asks every bucket for its distinct words and bigrams, so that
+a frequent one is asked for once a chunk, and the answers come back to the chunk, where
+each document's logarithms are added up. What a pass shuffles can be cleaned after it.
+
+A word's probability is that of the interpolated modified Kneser-Ney model of order 2;
+below the single words lies the probability of their spelling, taken from a model over
+symbols. Trusted texts are scored without themselves: their own counts are taken off
+the bigrams' counts, the contexts' totals and the continuation counts first. Discounts
+and the totals of the empty context stay those of all texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hearthstat.llm.staging import clean, stage
+from hearthstat.llm.texts import BASE, hashed, mix, slices
+
+#: The most parts of the documents that are scored one after the other, and bytes of text that make one.
+PASSES, PASS_BYTES = 8, 32 << 20
+#: Bytes of text whose words are asked for at once, and whose bigrams make one bucket.
+CHUNK_BYTES, SHARD = 1 << 20, 8 << 20
+#: The least discount.
+LEAST = 0.1
+
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+
+_GRAMS = "bucket int, words binary, sizes binary, seconds binary"
+_TOTALS = [*(f"pairs{k}" for k in range(5)), *(f"words{k}" for k in range(5))]
+_MODEL = f"{_GRAMS}, counts binary, stats binary, " + ", ".join(f"{c} long" for c in _TOTALS)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, first byte, end and hash of each word."""
+    kind = _CLASS[data]
+    first = np.ones(len(data), bool)
+    first[1:] = (kind[:-1] != 0) & (kind[1:] != kind[:-1])
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    return np.searchsorted(offsets, starts, side="right") - 1, starts, ends, hashed(data, starts, ends)
+
+
+class Grams:
+    """The distinct words and bigrams of some texts, sorted, and where each word and bigram of a text stands among them.
+
+    Each text's first word follows the word 0.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.doc, self.starts, self.ends, own = tokens(data, offsets)
+        self.words, at = np.unique(np.append(own, np.uint64(0)), return_inverse=True)
+        self.second = at[:-1]
+        self.first = np.append(at[-1:], self.second[:-1])[: len(own)]
+        begins = np.ones(len(own), bool)
+        begins[1:] = self.doc[1:] != self.doc[:-1]
+        self.first[begins] = at[-1]
+        pairs = self.first * len(self.words) + self.second
+        self.pairs, self.pair, self.counts = np.unique(pairs, return_inverse=True, return_counts=True)
+
+    def rows(self, buckets: int) -> Iterator[tuple]:
+        """For each bucket: its number, words, bigrams of each, second words and counts."""
+        sizes = np.bincount(self.pairs // len(self.words), minlength=len(self.words))
+        seconds = self.words[self.pairs % len(self.words)]
+        bucket = _bucket(self.words, buckets)
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        ends = np.append(0, np.cumsum(sizes))
+        for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            x, y = int(ends[i]), int(ends[j])
+            if j > i:
+                yield b, self.words[i:j], sizes[i:j], seconds[x:y], self.counts[x:y]
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Hashes as they are; other numbers after their width, in as few bytes as the largest needs."""
+    if x.dtype == np.uint64:
+        return x.tobytes()
+    x = x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
+    return bytes([x.itemsize]) + x.tobytes()
+
+
+def _unpacked(blob: bytes, kind: type) -> np.ndarray:
+    if kind is np.uint64:
+        return np.frombuffer(blob, kind)
+    return np.frombuffer(blob, f"u{blob[0]}", offset=1).astype(kind)
+
+
+def _blobs(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [_unpacked(x.as_py(), kind) for x in table.column(name)]
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, kind)])
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out, at = np.unique(keys, return_inverse=True)
+    return out, np.bincount(at, values, len(out)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0), CHUNK_BYTES):
+            for b, *own in Grams(data, offsets).rows(buckets):
+                blobs = [pa.array([_packed(x)], pa.binary()) for x in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int32()), *blobs], ["bucket", "words", "sizes", "seconds", "counts"]
+                )
+
+
+def _merged(key: tuple, table: pa.Table) -> pa.Table:
+    """One bucket's bigrams, each once."""
+    words, sizes = _joined(_blobs(table, "words", np.uint64), np.uint64), _joined(_blobs(table, "sizes", np.int64), np.int64)
+    first = np.repeat(words, sizes)
+    second = _joined(_blobs(table, "seconds", np.uint64), np.uint64)
+    counts = _joined(_blobs(table, "counts", np.int64), np.int64)
+    order = np.lexsort((second, first))
+    first, second, counts = first[order], second[order], counts[order]
+    new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(first)])
+    counts = np.add.reduceat(counts, new) if len(new) else counts
+    words, sizes = np.unique(first[new], return_counts=True)
+    blobs = [words, sizes.astype(np.int64), second[new], counts]
+    names = ["words", "sizes", "seconds", "counts"]
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32())} | {n: pa.array([_packed(x)], pa.binary()) for n, x in zip(names, blobs)})
+
+
+def _continued(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """In how many of a bucket's bigrams each word is the second."""
+    for batch in batches:
+        for blob in batch.column(0):
+            words, n = np.unique(np.frombuffer(blob.as_py(), np.uint64), return_counts=True)
+            cut = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
+            own = [(b, words[i:j], n[i:j]) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _, _ in own], pa.int32()), pa.array([w.tobytes() for _, w, _ in own], pa.binary()),
+                 pa.array([_packed(n) for _, _, n in own], pa.binary())],
+                ["bucket", "words", "n"],
+            )
+
+
+def _finished(key: tuple, grams: pa.Table, continued: pa.Table) -> pa.Table:
+    """A bucket with its words' stats: total, bigrams seen once, twice, more often, continuation count."""
+    if grams.num_rows:
+        grams = _merged(key, grams)
+        grams = {n: _unpacked(grams.column(n)[0].as_py(), k) for n, k in _KINDS.items()}
+    else:
+        grams = {n: np.zeros(0, k) for n, k in _KINDS.items()}
+    ended, n = _summed(_joined(_blobs(continued, "words", np.uint64), np.uint64), _joined(_blobs(continued, "n", np.int64), np.int64))
+    words = np.union1d(grams["words"], ended)
+    stats = np.zeros((5, len(words)), np.int64)
+    sizes = np.zeros(len(words), np.int64)
+    at = np.searchsorted(words, grams["words"])
+    sizes[at] = grams["sizes"]
+    owner = np.repeat(np.arange(len(words)), sizes)
+    counts = grams["counts"]
+    stats[0] = np.bincount(owner, counts, len(words))
+    for k in (1, 2, 3):
+        stats[k] = np.bincount(owner[np.minimum(counts, 3) == k], minlength=len(words))
+    stats[4, np.searchsorted(words, ended)] = n
+    blobs = {"words": words, "sizes": sizes, "seconds": grams["seconds"], "counts": counts, "stats": stats}
+    out = {"bucket": pa.array([key[0].as_py()], pa.int32())}
+    out |= {name: pa.array([_packed(x)], pa.binary()) for name, x in blobs.items()}
+    for name, values in (("pairs", counts), ("words", stats[4])):
+        sums = [int((values > 0).sum()), *(int((values == k).sum()) for k in (1, 2, 3, 4))]
+        out |= {f"{name}{k}": pa.array([s], pa.int64()) for k, s in enumerate(sums)}
+    return pa.table(out).select(["bucket", "words", "sizes", "seconds", "counts", "stats", *_TOTALS])
+
+
+_KINDS = {"words": np.uint64, "sizes": np.int64, "seconds": np.uint64, "counts": np.int64}
+
+
+def _discounts(k: list[int]) -> np.ndarray:
+    """Of what was seen 0, 1, 2 and more times, from the numbers of all and of those seen 1 to 4 times.
+
+    Few counts can suggest none, but something has to be left for what was not seen.
+    """
+    y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0.0
+    off = [min(max(c - (c + 1) * y * k[c + 1] / k[c], LEAST), float(c)) if k[c] else max(y, LEAST) for c in (1, 2, 3)]
+    return np.array([0.0, *off])
+
+
+class Model:
+    """The staged buckets, and what holds for all of them."""
+
+    def __init__(self, table: DataFrame, buckets: int):
+        self.table, self.buckets = table, buckets
+        row = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _TOTALS)).first()
+        pairs, words = [row[f"pairs{k}"] for k in range(5)], [row[f"words{k}"] for k in range(5)]
+        off, low = _discounts(pairs), _discounts(words)
+        # By kind of word: the share of the empty context that its discounts leave to spelling.
+        more = words[0] - words[1] - words[2]
+        left = (low[1] * words[1] + low[2] * words[2] + low[3] * more) / pairs[0] if pairs[0] else 1.0
+        self.numbers = (off, low, max(pairs[0], 1), left)
+
+
+def train(texts: DataFrame, size: int) -> Model:
+    """From all rows of a column `text` that holds about `size` bytes."""
+    buckets = max(16, -(-size // SHARD))
+    counted = texts.select("text").mapInArrow(partial(_counted, buckets=buckets), f"{_GRAMS}, counts binary")
+    merged = counted.groupBy("bucket").applyInArrow(_merged, f"{_GRAMS}, counts binary")
+    continued = merged.select("seconds").mapInArrow(
+        partial(_continued, buckets=buckets), "bucket int, words binary, n binary"
+    )
+    table = counted.groupBy("bucket").cogroup(continued.groupBy("bucket")).applyInArrow(_finished, _MODEL)
+    return Model(stage(table), buckets)
+
+
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    (part,) = slices(table.column("text"), 1 << 62)
+    return part[2], part[3]
+
+
+def _asked(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
+    own = [x[:4] for x in Grams(*_texts(table)).rows(buckets)]
+    out = {"chunk": pa.array([key[0].as_py()] * len(own), pa.int64()), "bucket": pa.array([x[0] for x in own], pa.int32())}
+    for i, name in enumerate(["words", "sizes", "seconds"], 1):
+        out[name] = pa.array([_packed(x[i]) for x in own], pa.binary())
+    return pa.table(out)
+
+
+def _at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(BASE) + second)
+
+
+def _answered(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
+    kinds = {**_KINDS, "stats": np.int64}
+    if model.num_rows:
+        own = {n: _unpacked(model.column(n)[0].as_py(), k) for n, k in kinds.items()}
+    else:
+        own = {n: np.zeros(0, k) for n, k in kinds.items()}
+    stats = own["stats"].reshape(5, -1)
+    pairs = _pair(np.repeat(own["words"], own["sizes"]), own["seconds"])
+    order = np.argsort(pairs)
+    pairs, counts = pairs[order], own["counts"][order]
+    out = {"chunk": [], "bucket": [], "counts": [], "stats": []}
+    columns = (_blobs(asked, n, _KINDS[n]) for n in ("words", "sizes", "seconds"))
+    for chunk, words, sizes, seconds in zip(asked.column("chunk").to_pylist(), *columns):
+        n, s = np.zeros(len(seconds), np.int64), np.zeros((5, len(words)), np.int64)
+        at, there = _at(own["words"], words)
+        s[:, there] = stats[:, at[there]]
+        at, there = _at(pairs, _pair(np.repeat(words, sizes), seconds))
+        n[there] = counts[at[there]]
+        for name, x in zip(out, (chunk, key[0].as_py(), _packed(n), _packed(s))):
+            out[name].append(x)
+    return pa.table(
+        [pa.array(x, t) for x, t in zip(out.values(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], list(out)
+    )
+
+
+def logs(grams: Grams, counts: np.ndarray, stats: np.ndarray, out: np.ndarray, spelled: np.ndarray, numbers: tuple) -> np.ndarray:
+    """The logarithm of each word's probability after the one before it.
+
+    `counts` of the distinct bigrams and `stats` of the distinct words; the counts of
+    texts marked in `out` are taken off for their own words. `spelled` holds the
+    logarithms of the words' probabilities by spelling.
+    """
+    off, low, total, left = numbers
+    entry, at, n = np.unique(grams.doc * len(grams.pairs) + grams.pair, return_inverse=True, return_counts=True)
+    doc, pair = entry // len(grams.pairs), entry % len(grams.pairs)
+    n = np.where(out[doc], n, 0)
+    before = counts[pair]
+    after = np.maximum(before - n, 0)
+    first, second = grams.pairs[pair] // len(grams.words), grams.pairs[pair] % len(grams.words)
+    _, group = np.unique(doc * len(grams.words) + first, return_inverse=True)
+    context = stats[:4, first].astype(float)
+    context[0] -= np.bincount(group, n)[group]
+    for k in (1, 2, 3):
+        change = (np.minimum(after, 3) == k).astype(float) - (np.minimum(before, 3) == k)
+        context[k] += np.bincount(group, change)[group]
+    _, group = np.unique(doc * len(grams.words) + second, return_inverse=True)
+    ended = np.maximum(stats[4, second] - np.bincount(group, (before > 0) & (after == 0))[group], 0)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = context[0] > 0
+        share = np.where(seen, (after - off[np.minimum(after, 3)]) / context[0], 0.0)
+        weight = np.where(seen, (off[1:] @ context[1:]) / context[0], 1.0)
+        alone = (ended - low[np.minimum(ended, 3).astype(np.int64)]) / total
+        known = np.log(share + weight * alone)[at]
+        return np.logaddexp(known, np.log(weight * left)[at] + spelled)
+
+
+def _judged(key: tuple, table: pa.Table, answers: pa.Table, numbers: tuple, spelling) -> pa.Table:
+    data, offsets = _texts(table)
+    grams = Grams(data, offsets)
+    answers = answers.sort_by("bucket")
+    counts = _joined(_blobs(answers, "counts", np.int64), np.int64)
+    stats = np.concatenate([x.reshape(5, -1) for x in _blobs(answers, "stats", np.int64)], axis=1)
+    fold = table.column("fold").to_numpy()
+    spelled, end = spelling(data, offsets, fold)
+    sums = np.append(0.0, np.cumsum(spelled))
+    own = logs(grams, counts, stats, fold >= 0, sums[grams.ends] - sums[grams.starts], numbers)
+    log_p = np.bincount(grams.doc, own, len(offsets) - 1) + end
+    return pa.table({"_key": table.column("_key"), "log_p": pa.array(log_p)})
+
+
+def score(docs: DataFrame, model: Model, spelling, size: int) -> DataFrame:
+    """(_key, log_p) of distinct `docs` (_key, fold, text without empty ones) that hold about `size` bytes.
+
+    Texts with a fold from 0 were trained on and are scored without themselves.
+    `spelling(data, offsets, fold)` gives the logarithms of the texts' symbols and of their ends.
+    """
+    spark = docs.sparkSession
+    passes = min(PASSES, max(1, -(-size // PASS_BYTES)))
+    chunks = passes * max(1, -(-size // (CHUNK_BYTES * passes)))
+    docs = docs.withColumn("chunk", F.pmod("_key", F.lit(chunks)))
+    buckets, numbers = model.buckets, model.numbers
+    ask = lambda key, table: _asked(key, table, buckets)
+    judge = lambda key, table, answers: _judged(key, table, answers, numbers, spelling)
+    parts = []
+    for turn in range(passes):
+        own = docs.where(F.pmod("chunk", F.lit(passes)) == turn)
+        asked = own.groupBy("chunk").applyInArrow(ask, f"chunk long, {_GRAMS}")
+        answers = asked.groupBy("bucket").cogroup(model.table.select(*_KINDS, "bucket", "stats").groupBy("bucket"))
+        answers = answers.applyInArrow(_answered, "chunk long, bucket int, counts binary, stats binary")
+        out = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, "_key long, log_p double")
+        parts.append(stage(out))
+        # The pass's shuffle files go when nothing refers to it.
+        del own, asked, answers, out
+        clean(spark)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole

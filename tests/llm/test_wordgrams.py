@@ -1,0 +1,90 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from hearthstat.llm import quality, wordgrams
+
+TEXTS = ["The cat sat. The cat sat on a mat", "a dog sat on the mat, the cat ran", "the the cat", "é ñ the cat sat"]
+
+
+def cut(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, a, b, _ = wordgrams.tokens(data, np.array([0, len(data)]))
+    return [bytes(data[x:y]).decode() for x, y in zip(a, b)]
+
+
+def test_words_make_up_the_text():
+    assert cut("The cat's 2 mats. \n") == ["The", " cat", "'", "s", " 2", " mats", ".", " \n"]
+    assert cut(" é!? Ñ") == [" é", "!?", " Ñ"]
+
+
+def textbook(texts, own, numbers):
+    """The logarithm of a text's probability, its own counts taken off if it is one of `texts`."""
+    off, low, total, left = numbers
+    pairs = lambda t: Counter(zip([None, *cut(t)], cut(t)))
+    counts = sum((pairs(t) for t in texts), Counter())
+    if own in texts:
+        counts = +(counts - pairs(own))
+    out = 0.0
+    for v, w in zip([None, *cut(own)], cut(own)):
+        after = [c for (a, _), c in counts.items() if a == v]
+        ended = sum(b == w for _, b in counts)
+        alone = (ended - low[min(ended, 3)]) / total + left * 1e-3
+        if after:
+            c = counts[v, w]
+            out += math.log((c - off[min(c, 3)] + sum(off[min(x, 3)] for x in after) * alone) / sum(after))
+        else:
+            out += math.log(alone)
+    return out
+
+
+@pytest.mark.parametrize("buckets", [8 << 20, 4])
+def test_against_the_recursion(spark, monkeypatch, buckets):
+    monkeypatch.setattr(wordgrams, "SHARD", buckets)
+    monkeypatch.setattr(wordgrams, "PASS_BYTES", 40)
+    model = wordgrams.train(spark.createDataFrame([(t,) for t in TEXTS], "text string"), sum(map(len, TEXTS)))
+    more = ["The cat ran on the moon", "!"]
+    rows = [(i, i % 2 if i < len(TEXTS) else -1, t) for i, t in enumerate(TEXTS + more)]
+
+    def spell(data, offsets, fold):
+        out = np.zeros(len(data))
+        for i in range(len(offsets) - 1):
+            piece = data[offsets[i] : offsets[i + 1]]
+            _, starts, _, _ = wordgrams.tokens(piece, np.array([0, len(piece)]))
+            out[offsets[i] + starts] = math.log(1e-3)
+        return out, np.zeros(len(offsets) - 1)
+
+    got = wordgrams.score(spark.createDataFrame(rows, "_key long, fold int, text string"), model, spell, 100)
+    got = {r["_key"]: r["log_p"] for r in got.collect()}
+    assert len(got) == len(rows)
+    for i, _, t in rows:
+        assert got[i] == pytest.approx(textbook(TEXTS, t, model.numbers)), t
+
+
+def sentences(rnd, n, words):
+    """Each word is followed by one of three."""
+    at, out = rnd.randrange(len(words)), []
+    for _ in range(n):
+        out.append(words[at])
+        at = (at * 7 + rnd.randrange(3)) % len(words)
+    return out
+
+
+def salad(spark, seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("aeioulnrst") for _ in range(6)) for _ in range(300)]
+    texts = [sentences(rnd, 150, words) for _ in range(260)]
+    rows = [(i, "en", " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, "en", " ".join(rnd.sample(t, len(t)))) for i, t in enumerate(texts[200:])]
+    return spark.createDataFrame(rows, "doc_id long, lang string, text string")
+
+
+def test_shuffled_words_are_junk(spark):
+    df = salad(spark, 1)
+    out = {r["doc_id"]: r["keep"] for r in quality.classify(df, df.where("doc_id < 200")).collect()}
+    held_out = np.mean([out[i] for i in range(200, 260)])
+    shuffled = np.mean([out[i] for i in range(1000, 1060)])
+    assert held_out > 0.95 and shuffled < 0.05
