@@ -14,9 +14,9 @@ are on one scale with those of other texts, and thresholds can be taken from the
 
 A text's perplexity is taken with PRIOR symbols of its language's trusted mean added,
 so that a short text needs more than a few odd symbols to stand out. It is rejected
-if that exceeds the threshold of its language: the QUANTILE of trusted texts' values.
-Languages with fewer than ENOUGH trusted texts use those of all; with fewer than ENOUGH
-in all languages, nothing is rejected. Documents of a language without any are kept.
+if that exceeds the threshold of its language (see thresholds): the QUANTILE of trusted
+texts' values, shrunk towards the spread of all languages by their number. Documents of
+a language without trusted texts have no threshold and are kept.
 
 A null or empty text has no perplexity (null) and is kept, as nothing speaks against
 it; a null language is a language of its own. Rows
@@ -45,7 +45,8 @@ ORDER = 4
 SYMBOLS = 64
 PRIOR = 128
 QUANTILE = 0.998
-ENOUGH = 50
+#: Texts that the spread of all languages counts for in one; those that WIDE counts for in all.
+FEW, FEWEST, WIDE = 50, 10, 0.5
 
 
 def _fold() -> np.ndarray:
@@ -265,11 +266,23 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 
 
 def thresholds(trusted: DataFrame) -> dict:
-    """By language, the QUANTILE of the logarithms `x` of trusted texts' held-out perplexities, as a perplexity."""
+    """By language, from the logarithms `x` of trusted texts' held-out perplexities: the highest one that is kept.
+
+    A language's quantile lies above its mean by what its own texts show and, with the
+    weight of FEW texts, by what those of all languages show about their own means. That
+    in turn starts from WIDE, with the weight of FEWEST texts. The fewer its texts, the
+    less is its mean known, which widens the distance.
+    """
     quantile = F.percentile_approx("x", QUANTILE, 10000)
-    n, overall = trusted.agg(F.count(F.lit(1)), quantile).first()
-    rows = _few(trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), quantile.alias("q"))) if n >= ENOUGH else []
-    return {r["lang"]: math.exp(r["q"] if r["n"] >= ENOUGH else overall) for r in rows}
+    rows = _few(trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), quantile.alias("q")))
+    # A text's distance from a mean that it is part of is too short.
+    scale = {r["lang"]: (r["n"] / (r["n"] - 1)) ** 0.5 if r["n"] > 1 else 0.0 for r in rows}
+    mean, scale = _by_lang({r["lang"]: r["mean"] for r in rows}, None), _by_lang(scale, None)
+    apart = trusted.select(((F.col("x") - mean) * scale).alias("x"), scale.alias("scale")).where("scale > 0")
+    n, pooled = apart.agg(F.count(F.lit(1)), quantile).first()
+    pooled = (n * (pooled or 0.0) + FEWEST * WIDE) / (n + FEWEST)
+    distance = {r["lang"]: (r["n"] * (r["q"] - r["mean"]) + FEW * pooled) / (r["n"] + FEW) for r in rows}
+    return {r["lang"]: math.exp(r["mean"] + distance[r["lang"]] * (1 + 1 / r["n"]) ** 0.5) for r in rows}
 
 
 def _few(by_lang: DataFrame, most: int = 10_000) -> list:

@@ -88,3 +88,25 @@ def test_shuffled_words_are_junk(spark):
     held_out = np.mean([out[i] for i in range(200, 260)])
     shuffled = np.mean([out[i] for i in range(1000, 1060)])
     assert held_out > 0.95 and shuffled < 0.05
+
+
+def test_few_trusted_texts_of_a_language(spark):
+    """No number of trusted texts switches the filter: junk goes, unlabelled clean text stays."""
+    rnd = random.Random(4)
+    rows, trusted = [], []
+    for lang, letters, n in (("en", "aeioulnrst", 90), ("xx", "йцукенгшщз", 4), ("yy", "αβγδεζηθικ", 0)):
+        words = ["".join(rnd.choice(letters) for _ in range(5)) for _ in range(60)]
+        for i in range(n + 30):
+            rows.append((len(rows), lang, " ".join(sentences(rnd, 150, words))))
+            trusted += [len(rows) - 1] if i < n else []
+        rows.append((len(rows) + 1000, lang, "### $$$ %%% 123 &&& @@@ !!! " * 30))
+    df = spark.createDataFrame([(i - 1000 if i >= 1000 else i, lang, t) for i, lang, t in rows], "doc_id long, lang string, text string")
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    for own in (ids, ids.where("doc_id < 20")):
+        known = {"en", "xx"} if own is ids else {"en"}
+        out = quality.classify(df, own).collect()
+        for r in out:
+            junk = rows[r["doc_id"]][2].startswith("#")
+            assert not (junk and r["keep"]) or r["lang"] not in known
+            assert r["keep"] or junk or r["lang"] == "en"
+        assert np.mean([r["keep"] for r in out if not rows[r["doc_id"]][2].startswith("#")]) > 0.95
