@@ -7,8 +7,8 @@ makes them backtrack or recurse: where a form repeats a separated group, separat
 that can't belong to a match are first overwritten, one sign by one.
 
 Contexts are learned by bootstrapping. A mention is a token with at least four digits;
-its patterns are the two words before it with the signs attached to it, and these
-together with the word after it. Mentions that lie in a known form are seeds. Over the graph of patterns and
+its patterns are the two words, and the one word, before it with the signs attached to
+it, and these together with the word after it; other mentions are words like any. Mentions that lie in a known form are seeds. Over the graph of patterns and
 mentioned values, a pattern's confidence is the mean of its values', weighed down by
 FEW, and a value's is the chance that any of its patterns is right, in ROUNDS rounds.
 Patterns of at least SUPPORT distinct values and CONFIDENT confidence make their other
@@ -28,6 +28,8 @@ from hearthstat.llm.staging import stage
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SUPPORT, CONFIDENT, FEW = 5, 0.7, 1.0
+#: Signs before and after a mention in which its context lies.
+LEFT, RIGHT = 64, 32
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
@@ -44,15 +46,12 @@ SPANS = "array<struct<s:int,e:int,v:string,left:string,right:string>>"
 
 
 def _found(text: Column, pattern: str, ok=None) -> Column:
-    """Matches of a pattern that hold at least one sign each, with their places and what lies between them.
+    """Matches of a pattern that hold at least one sign each, with their places and the text around them.
 
     The pieces that `split` leaves and the matches alternate, so places are sums of lengths.
     """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.arrays_zip(
-        F.slice(pieces, 1, F.size(pieces) - 1).alias("a"), matches.alias("m"),
-        F.slice(pieces, 2, F.size(pieces) - 1).alias("b"),
-    )
+    rows = F.arrays_zip(F.slice(pieces, 1, F.size(pieces) - 1).alias("a"), matches.alias("m"))
 
     def add(state: Column, row: Column) -> Column:
         start = state["pos"] + F.length(row["a"])
@@ -60,7 +59,8 @@ def _found(text: Column, pattern: str, ok=None) -> Column:
         new = F.array(
             F.struct(
                 start.alias("s"), end.alias("e"), row["m"].alias("v"),
-                F.right(row["a"], F.lit(48)).alias("left"), F.left(row["b"], F.lit(32)).alias("right"),
+                F.substring(text, F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT))).alias("left"),
+                F.substring(text, end + 1, F.lit(RIGHT)).alias("right"),
             )
         )
         new = F.when(ok(row["m"]), new).otherwise(F.array().cast(SPANS)) if ok else new
@@ -96,12 +96,15 @@ def _normal(context: Column) -> Column:
 
 def _patterns(mention: Column) -> Column:
     """The contexts of a mention that say anything."""
-    before = F.regexp_extract(mention["left"], r"(?:(?:^|\s)\S{1,24}\s+\S{1,24}\s+)?[^\sA-Za-z0-9]*$", 0)
-    after = F.regexp_extract(mention["right"], r"^[^\sA-Za-z0-9]*(?:\s+\S{1,24})?", 0)
-    before, after = _normal(before), _normal(after)
-    # What follows says too little by itself: a common word follows almost anything.
-    both = F.array(F.concat(F.lit("<"), before), F.concat(before, F.lit(">"), after))
-    return F.when(before.rlike(r"\S"), F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
+    after = _normal(F.regexp_extract(mention["right"], r"^[^\sA-Za-z0-9]*(?:\s+\S{1,24})?", 0))
+    near = r"[^\sA-Za-z0-9]*$"
+    out = []
+    for words in (r"(?:(?:^|\s)\S{1,24}\s+\S{1,24}\s+)?", r"(?:(?:^|\s)\S{1,24}\s+)?"):
+        before = _normal(F.regexp_extract(mention["left"], words + near, 0))
+        # What follows says too little by itself: a common word follows almost anything.
+        both = F.array(F.concat(F.lit("<"), before), F.concat(before, F.lit(">"), after))
+        out.append(F.when(before.rlike(r"\S"), both).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*out))
 
 
 def _mentions(text: Column, known: Column) -> Column:

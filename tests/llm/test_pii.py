@@ -112,3 +112,13 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = pii.op4_pii(spark, sf_dir).select(F.count("*"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_contexts_at_starts_and_after_other_mentions(spark):
+    texts = [f"ssn 1234567{i:02d} host 10.0.12.{i} done" for i in range(20)]
+    texts += [f"mail bob{i:04d}@x.org acct 98765{i:02d}" for i in range(20)]
+    texts += ["mail 555012345 acct 9876599", "ssn 123456789 host 2001-0199x done"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: [(s["kind"], s["s"], s["e"]) for s in r["spans"]] for r in pii.find(df).collect()}
+    assert out[40] == [("id", 5, 14)]
+    assert out[41] == [("id", 19, 29)]
