@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.llm import bpe, decontam, langid, lines, minhash, pii, quality, toxicity, urls, vectors
+from hearthstat.llm import (
+    bpe, decontam, digests, langid, lines, minhash, pii, quality, toxicity, trie, urls, vectors, whitening
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,9 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_fingerprints": digests.op12_fingerprints,
+        "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
@@ -33,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontam.OP5_SQL,
         "op6_url_filter": urls.OP6_SQL,
         "op8_line_dedup": lines.OP8_SQL,
+        "op13_prefix_trie": trie.OP13_SQL,
     }

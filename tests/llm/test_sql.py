@@ -12,5 +12,5 @@ def test_matches_sql(spark, sf_dir, name):
     assert compare.differences(df, compare.connect(sf_dir), registry.oracle_sql()[name]) == []
 
 
-def test_all_ten_are_registered():
-    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))

@@ -1,0 +1,115 @@
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from hearthstat.llm import whitening
+from hearthstat.llm.spectrum import above, leading
+
+SCHEMA = "vec_id long, embedding array<float>, label int, n int, whitened string"
+
+
+def brute(rows):
+    """Exact sums and moments by fractions; components by numpy."""
+    kept = [(k, v) for k, v in rows if v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v)]
+    x = [[int(np.floor(1024 * float(np.float32(c)))) + 100_000 for c in v] for _, v in kept]
+    n, dim = len(x), len(x[0])
+    sums = [sum(r[j] for r in x) for j in range(dim)]
+    mean = [Fraction(s, n) for s in sums]
+    cov = [[float(sum((r[i] - mean[i]) * (r[j] - mean[j]) for r in x) / n) for j in range(dim)] for i in range(dim)]
+    e, w = np.linalg.eigh(np.array(cov))
+    e, w = e[::-1][:8], w[:, ::-1][:, :8]
+    z = np.array([[float(c - m) for c, m in zip(r, mean)] for r in x]) @ w / np.sqrt(e)
+    dev = [sum((n * c - s) ** 2 for c, s in zip(r, sums)) for r in x]
+    return kept, n, dev, z, e / np.trace(np.array(cov))
+
+
+def query(spark, tmp_path, rows):
+    df = spark.createDataFrame([(k, v, None, 3, "mine") for k, v in rows], SCHEMA)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    return whitening.op11_whitening(spark, str(tmp_path))
+
+
+def test_against_fractions_and_numpy(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 12)) @ rng.normal(size=(12, 12)) * 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (7, x[9].tolist()), (None, x[1].tolist())]
+    odd = [(900, None), (901, []), (902, [None] * 12), (903, [float("nan")] * 12), (904, [float("inf")] + [0.0] * 11)]
+    kept, n, dev, z, share = brute(rows)
+    got = query(spark, tmp_path, rows + odd).collect()
+    assert len(got) == len(kept) * 8
+    assert {r["n"] for r in got} == {n}
+    assert len({r["identity_error"] for r in got}) == 1 and got[0]["identity_error"] < 1e-9
+    want = sorted((-1 if k is None else k, d, i + 1, abs(round(v, 6))) for (k, _), d, zs in zip(kept, dev, z) for i, v in enumerate(zs))
+    have = sorted((-1 if r["vec_id"] is None else r["vec_id"], r["deviation"], r["component"], abs(round(r["whitened"], 6))) for r in got)
+    assert [w[:3] for w in want] == [h[:3] for h in have]
+    assert [w[3] for w in want] == pytest.approx([h[3] for h in have], abs=2e-6)
+    for r in got:
+        assert r["explained"] == pytest.approx(share[r["component"] - 1], rel=1e-9)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [])], [(1, [0.5, 0.25])], [(1, [0.5]), (2, [0.5])]])
+def test_nothing_to_whiten(spark, tmp_path, rows):
+    got = query(spark, tmp_path, rows)
+    assert got.collect() == []
+    assert dict(got.dtypes) == {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint",
+                                "whitened": "double", "explained": "double", "identity_error": "double"}
+
+
+def test_commonest_length_and_missing_components(spark, tmp_path):
+    rows = [(i, [float(i), 1.0]) for i in range(5)] + [(9, [1.0, 2.0, 3.0])] * 2 + [(8, [1e30, 1.0])]
+    got = query(spark, tmp_path, rows).collect()
+    assert sorted((r["vec_id"], r["component"], round(abs(r["whitened"]), 6)) for r in got) == [
+        (0, 1, 1.414214), (1, 1, 0.707107), (2, 1, 0.0), (3, 1, 0.707107), (4, 1, 1.414214)
+    ]
+    assert got[0]["explained"] == pytest.approx(1.0)
+
+
+def test_sums_stay_exact_with_wide_numbers():
+    rng = np.random.default_rng(1)
+    d = rng.integers(-(1 << 40), 1 << 40, size=(50, 3))
+    assert (whitening.products(d) == d.T.astype(object) @ d.astype(object)).all()
+    small = rng.integers(-(1 << 24), 1 << 24, size=(500, 3))
+    assert (whitening.products(small) == small.T.astype(object) @ small.astype(object)).all()
+    n, left = 10**9, [5, -7, 11]
+    assert whitening.deviations(d, n, left) == [sum((n * int(v) - s) ** 2 for v, s in zip(r, left)) for r in d]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64])
+def test_inertia_counts(n):
+    rng = np.random.default_rng(n)
+    for _ in range(5):
+        a = rng.normal(size=(n, n))
+        a = a + a.T
+        for s in (-1.0, 0.0, 0.3):
+            assert above(a, s) == (np.linalg.eigvalsh(a) > s).sum()
+
+
+def spectra():
+    rng = np.random.default_rng(5)
+    yield "random", rng.uniform(0, 1, 40)
+    yield "decades", 10.0 ** -np.arange(10)
+    yield "equal", np.ones(12)
+    yield "pairs", np.repeat([5.0, 3.0, 3.0 - 1e-9, 1.0], 3)
+    yield "near", 1 + np.arange(10) * 1e-10
+    yield "low rank", np.r_[3.0, 2.0, np.zeros(20)]
+
+
+@pytest.mark.parametrize("name, e", list(spectra()), ids=lambda x: x if isinstance(x, str) else "")
+def test_leading_pairs(name, e):
+    rng = np.random.default_rng(8)
+    q = np.linalg.qr(rng.normal(size=(len(e), len(e))))[0]
+    a = (q * e) @ q.T
+    a = (a + a.T) / 2
+    values, vectors = leading(a, 8)
+    want = np.sort(e)[::-1][:8]
+    assert values == pytest.approx(want[want > 0], rel=1e-9, abs=1e-13)
+    assert np.abs(vectors.T @ vectors - np.eye(len(values))).max() < 1e-11
+    assert np.abs(a @ vectors - vectors * values).max() < 1e-12
+
+
+def test_zero_and_diagonal():
+    assert leading(np.zeros((4, 4)), 2)[0].tolist() == []
+    values, vectors = leading(np.diag([1.0, 3.0, 2.0]), 3)
+    assert values == pytest.approx([3.0, 2.0, 1.0])
+    assert np.abs(vectors) == pytest.approx(np.array([[0, 0, 1], [1, 0, 0], [0, 1, 0]]))
