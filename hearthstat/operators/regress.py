@@ -8,31 +8,28 @@ form; only matrices of the listed terms' size reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import rank_of
+from .absorb import fit_absorbed
+from .linear import gram, independent, independent_columns, triangle
+from .polynomials import Poly, orthogonal
 
 # Two-sided 95% normal quantile.
 Z95 = 1.959963984540054
 # The most listed terms, as their cross-product is solved on the driver. A factor of more
 # levels is absorbed; its coefficients are then rows of a distributed table.
 LISTED_TERMS = 4096
-# A column is aliased when what earlier ones leave of its squared length is less than this
-# share: a hundred-thousandth of the length, below which cross-products are rounding noise.
-ALIAS_TOL = 1e-10
+# The most listed terms for which rows are factored orthogonally. With more, their
+# cross-product is solved, which tells columns apart to a hundredth of that only.
+QR_TERMS = 256
 
 COEF_SCHEMA = "term string, estimate double, std_error double, ci_low double, ci_high double, n long"
 
@@ -60,8 +57,11 @@ def group_mean_ols(
             (F.coalesce(F.var_samp(y), F.lit(0.0)) * (F.count(F.lit(1)) - 1)).alias("__ss"),
         )
     )
-    # A single number over all levels; the shuffle that it reads is that of the groups.
-    pooled = groups.agg(F.try_divide(F.sum("__ss"), F.sum("n") - F.count(F.lit(1)))).scalar()
+    # Over the levels' rows, which the table lists and sorts anyway; the table is read once.
+    levels_all = Window.partitionBy(F.lit(0))
+    pooled = F.try_divide(
+        F.sum("__ss").over(levels_all), F.sum("n").over(levels_all) - F.count(F.lit(1)).over(levels_all)
+    )
     table = groups.withColumn("std_error", F.sqrt(pooled / F.col("n")))
     order = [rank_of("term", levels)] if levels else []
     table = table.orderBy(*[c.asc_nulls_last() for c in order], "term")
@@ -73,9 +73,9 @@ def group_mean_ols(
 class Factor:
     """Categorical term. ``levels`` in order, or None to use the sorted values found.
 
-    An absorbed factor (a census tract, say) may have any number of levels. The
-    table of the fit is the same; one factor of a formula, not the first, can be
-    absorbed.
+    An absorbed factor (a census tract, say) may have any number of levels, in the order
+    of their names. The table of the fit is the same; one or two factors of a formula, not
+    the first, can be absorbed.
     """
 
     name: str
@@ -83,12 +83,21 @@ class Factor:
     absorb: bool = False
 
 
+@dataclass
+class Effects:
+    """An absorbed factor's coefficients: ``size`` rows (level, estimate, std_error) after the first ``before`` terms."""
+
+    name: str
+    before: int
+    rows: DataFrame
+    size: int
+
+
 @dataclass
 class Fit:
     """Coefficients in term order; aliased terms are listed apart.
 
-    ``effects`` holds those of an absorbed factor, as a table of the same columns.
-    They come after the first ``before`` terms.
+    ``absorbed`` holds those of absorbed factors, as distributed tables.
     """
 
     terms: list[str]
@@ -98,26 +107,39 @@ class Fit:
     df_residual: int
     sigma2: float
     aliased: list[str] = field(default_factory=list)
-    effects: DataFrame | None = None
-    before: int = 0
+    absorbed: list[Effects] = field(default_factory=list)
 
     @property
     def std_error(self) -> np.ndarray:
         return np.sqrt(np.maximum(np.diag(self.cov), 0.0))
 
+    @property
+    def effects(self) -> DataFrame | None:
+        """All coefficients of absorbed factors, with the terms' names."""
+        return reduce(DataFrame.unionByName, [self._named(e, e.rows) for e in self.absorbed]) if self.absorbed else None
+
+    def _named(self, effects: Effects, rows: DataFrame) -> DataFrame:
+        term = F.concat(F.lit(f"{effects.name}:"), F.col("level")).alias("term")
+        return rows.select(term, "estimate", "std_error", F.lit(self.n).cast("long").alias("n"))
+
     def table(self, spark: SparkSession, z: float = Z95, keep: int | None = None) -> DataFrame:
-        """Coefficient table, optionally only the first ``keep`` terms."""
-        rows = [
-            (t, float(b), float(s), float(b - z * s), float(b + z * s), self.n)
-            for t, b, s in zip(self.terms, self.estimate, self.std_error)
-        ]
-        table = spark.createDataFrame(rows[:keep], COEF_SCHEMA)
-        if self.effects is None or keep is not None and keep <= self.before:
-            return table
-        if keep is not None:
-            raise ValueError(f"only the {self.before} terms before the absorbed factor have an order")
-        effects = self.effects.select("term", "estimate", "std_error", *coefficient_columns(z), "n")
-        return table.unionByName(effects)
+        """Coefficient table, optionally only the first ``keep`` terms, as if all levels were listed."""
+        rows = [(t, float(b), float(s), self.n) for t, b, s in zip(self.terms, self.estimate, self.std_error)]
+        cuts = [e.before for e in self.absorbed]
+        parts, left = [], keep
+        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+            some = rows[a:b] if left is None else rows[a:b][:left]
+            if some:
+                parts.append(spark.createDataFrame(some, "term string, estimate double, std_error double, n long"))
+            left = None if left is None else left - len(some)
+            if i < len(self.absorbed) and left != 0:
+                e = self.absorbed[i]
+                parts.append(self._named(e, e.rows if left is None else e.rows.orderBy("level").limit(left)))
+                left = None if left is None else left - min(left, e.size)
+        if not parts:
+            return spark.createDataFrame([], COEF_SCHEMA)
+        table = reduce(DataFrame.unionByName, parts)
+        return table.select("term", "estimate", "std_error", *coefficient_columns(z), "n")
 
 
 def _profile(data: DataFrame, factors: list[Factor], numbers: list[str]) -> tuple[dict, int, dict]:
@@ -147,26 +169,6 @@ def _profile(data: DataFrame, factors: list[Factor], numbers: list[str]) -> tupl
     return levels, n, means
 
 
-def _gram(df: DataFrame, cols: str) -> np.ndarray:
-    """Cross-product of a vector column: partial sums per partition, tree-combined."""
-    vectors = MLUtils.convertVectorColumnsFromML(df.select(cols), cols)
-    return RowMatrix(vectors).computeGramianMatrix().toArray()
-
-
-def independent(gram: np.ndarray, scale: np.ndarray) -> list[int]:
-    """Columns that the kept ones before them do not determine, by elimination.
-
-    ``scale`` holds the squared lengths that what is left is compared with.
-    """
-    left = gram.copy()
-    kept = []
-    for j in range(len(left)):
-        if scale[j] > 0 and left[j, j] > ALIAS_TOL * scale[j]:
-            kept.append(j)
-            left[j + 1 :, j + 1 :] -= np.outer(left[j + 1 :, j], left[j, j + 1 :] / left[j, j])
-    return kept
-
-
 def solve_normal(gram: np.ndarray, n: int, names: list[str]) -> Fit:
     """Solve from the cross-product of [X y], dropping aliased columns in term order."""
     k = len(names)
@@ -180,19 +182,35 @@ def solve_normal(gram: np.ndarray, n: int, names: list[str]) -> Fit:
     return Fit([names[j] for j in kept], beta, inv * sigma2, n, dof, sigma2, dropped)
 
 
-def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str]) -> Fit:
-    """``y ~ 0 + first + terms``; a plain string is a numeric covariate.
+def solve_triangle(factor: np.ndarray, n: int, names: list[str]) -> Fit:
+    """Solve from the triangular factor of [X y], dropping aliased columns in term order."""
+    k = len(names)
+    kept, basis, r = independent_columns(factor, k)
+    along = basis.T @ factor[:, k]
+    left = factor[:, k] - basis @ along
+    inv = np.linalg.inv(r)
+    dof = n - len(kept)
+    sigma2 = float(left @ left / dof) if dof > 0 else float("nan")
+    dropped = [names[j] for j in range(k) if j not in kept]
+    return Fit([names[j] for j in kept], inv @ along, inv @ inv.T * sigma2, n, dof, sigma2, dropped)
+
+
+Term = Factor | Poly | str
+
+
+def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Term]) -> Fit:
+    """``y ~ 0 + first + terms``; a plain string is a numeric covariate, a ``Poly`` orthogonal polynomials of one.
 
     Jobs over the complete rows, which are kept while they run: factor levels
-    and means, and one cross-product over sparse vectors. Covariates are centred
-    before squaring, which keeps year-like columns from drowning the rest; the
-    shift is undone afterwards.
+    and means, and one orthogonal factorisation, or cross-product where factors
+    are absorbed or terms are many. Covariates are centred before that, which
+    keeps year-like columns from drowning the rest; the shift is undone afterwards.
     """
     factors = [first, *[t for t in terms if isinstance(t, Factor)]]
-    numbers = [t for t in terms if isinstance(t, str)]
+    numbers = list(dict.fromkeys(t if isinstance(t, str) else t.name for t in terms if not isinstance(t, Factor)))
     absorbed = [f for f in factors if f.absorb]
-    if len(absorbed) > 1 or first.absorb:
-        raise ValueError("one factor, and not the first, can be absorbed")
+    if len(absorbed) > 2 or first.absorb:
+        raise ValueError("one or two factors, and not the first, can be absorbed")
     data = df.select(
         F.col(y).cast("double").alias("__y"),
         *[F.col(f.name).cast("string").alias(f.name) for f in factors],
@@ -203,7 +221,18 @@ def formula_ols(df: DataFrame, y: str, first: Factor, terms: list[Factor | str])
             data = data.filter(F.col(f.name).isin(f.levels))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit_within(data, first, terms, absorbed[0]) if absorbed else _fit(data, first, terms)
+        listed: list[Factor | str] = []
+        curves = {}
+        for t in terms:
+            if isinstance(t, Poly):
+                columns = orthogonal(data, t.name, t.degree).columns(F.col(t.name))
+                names = [t.term(j + 1) for j in range(t.degree)]
+                curves |= dict(zip(names, columns))
+                listed += names
+            else:
+                listed.append(t)
+        coded = data.withColumns(curves) if curves else data
+        return _fit_absorbed(coded, first, listed) if absorbed else _fit(coded, first, listed)
     finally:
         data.unpersist()
 
@@ -271,116 +300,28 @@ def _uncentred(fit: Fit, d: _Design, first: Factor) -> Fit:
 
 def _fit(data: DataFrame, first: Factor, terms: list[Factor | str]) -> Fit:
     d = _code(data, first, terms)
-    return _uncentred(solve_normal(_gram(d.rows, "__x"), d.n, d.names), d, first)
-
-
-def _times(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        means = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(matrix))
-        product = pa.array((means @ matrix).tolist(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), product], ["g", "n", "p"])
-
-
-def _projected(means: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """(g, n, p): each group's means times a matrix."""
-    return means.mapInArrow(partial(_times, matrix=matrix), "g string, n long, p array<double>")
-
-
-def _fit_within(data: DataFrame, first: Factor, terms: list[Factor | str], absorbed: Factor) -> Fit:
-    """The same fit with the absorbed factor's levels taken out before solving.
-
-    The cross-product of deviations from group means is the total less that of the
-    group means, so no row meets its group's mean in a join and a large group is no
-    burden. Columns that vary within groups (W) are solved for from it. The others
-    that the listed form would keep, as they come before the factor and differ
-    between groups, are constant within groups once W's part is taken off (Z); the
-    intercept that the first factor contains is one of them. To each Z belongs a level
-    whose coefficient is no longer free: the reference level, and the last levels on
-    which the Z differ, which are those that term order drops. Setting these to 0
-    gives Z's coefficients, and the rest follows level by level.
-    """
-    group = absorbed.name
-    at = terms.index(absorbed)
-    rest = terms[:at] + terms[at + 1 :]
-    d = _code(data, first, rest, keep=(group,))
-    k = len(d.names)
-    early = {t.name if isinstance(t, Factor) else t for t in [first, *terms[:at]]}
-    n_early = sum(name in early or name.split(":")[0] in early for name in d.names)
-    means = (
-        d.rows.groupBy(F.col(group).alias("g"))
-        .agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(F.col("__x"))).alias("mean"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    root = F.sqrt(F.col("n").cast("double"))
-    weighted = means.select(array_to_vector(F.transform("mean", lambda v: v * root)).alias("__x"))
-    total = _gram(d.rows, "__x")
-    within = total - _gram(weighted, "__x")
-    n_groups = means.count()
-
-    scale = np.diag(total)[:k]
-    listed = [*independent(total[:n_early, :n_early], scale), *range(n_early, k)]
-    w = [listed[i] for i in independent(within[np.ix_(listed, listed)], scale[listed])]
-    z = [j for j in listed if j < n_early and j not in w]
-    inv = np.linalg.inv(within[np.ix_(w, w)])
-    beta = inv @ within[w, k]
-    dof = d.n - len(w) - n_groups
-    sigma2 = float(max(within[k, k] - beta @ within[w, k], 0.0) / dof) if dof > 0 else float("nan")
-    v = inv * sigma2
-
-    # Z of a group, from its means: the column less W's part in it.
-    of_w = inv @ within[np.ix_(w, z)]
-    z_of = np.zeros((k + 1, len(z)))
-    z_of[z, range(len(z))] = 1.0
-    z_of[w] -= of_w
-    # What a group's own level would be: mean of y less W's part.
-    level_of = np.zeros(k + 1)
-    level_of[k] = 1.0
-    level_of[w] = -beta
-
-    fixed = [means.orderBy("g").first()]
-    unit = z_of / np.sqrt(scale[z] / d.n)
-    while len(fixed) < len(z):
-        held = np.linalg.qr((np.array([r["mean"] for r in fixed]) @ unit).T)[0]
-        left = _projected(means, unit - unit @ held @ held.T)
-        size = F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)
-        last = left.filter(size > ALIAS_TOL).orderBy(F.desc("g")).select("g").first()
-        fixed.append(means.filter(F.col("g") == last["g"]).first())
-    m_fixed = np.array([r["mean"] for r in fixed])
-    n_fixed = np.array([r["n"] for r in fixed], float)
-    solve = np.linalg.inv(m_fixed @ z_of)
-    gamma = solve @ (m_fixed @ level_of)
-
-    # Listed coefficients from (beta, levels of the fixed groups).
-    kept = sorted([*w, *z])
-    to_w = np.zeros((len(kept), len(w)))
-    to_w[[kept.index(j) for j in w], range(len(w))] = 1.0
-    to_fixed = np.zeros((len(kept), len(z)))
-    to_fixed[[kept.index(j) for j in z]] = solve
-    to_fixed[[kept.index(j) for j in w]] = -of_w @ solve
-    through = to_w - to_fixed @ m_fixed[:, w]
-    cov = through @ v @ through.T + (to_fixed * (sigma2 / n_fixed)) @ to_fixed.T
-    estimate = np.zeros(len(kept))
-    estimate[[kept.index(j) for j in z]] = gamma
-    estimate[[kept.index(j) for j in w]] = beta - of_w @ gamma
-
-    # A level's coefficient, and the parts of its error, from the group's means.
-    share = z_of @ solve
-    pick = np.zeros((k + 1, len(w)))
-    pick[w, range(len(w))] = 1.0
-    parts = np.column_stack([
-        level_of - z_of @ gamma,
-        share * np.sqrt(sigma2 / n_fixed),
-        (pick - share @ m_fixed[:, w]) @ np.linalg.cholesky(v) if len(w) else pick,
-    ])
-    levels = _projected(means.filter(~F.col("g").isin([r["g"] for r in fixed])), parts)
-    error = F.aggregate(F.slice("p", 2, parts.shape[1]), F.lit(sigma2) / F.col("n"), lambda a, x: a + x * x)
-    effects = levels.select(
-        F.concat(F.lit(f"{group}:"), F.col("g")).alias("term"),
-        F.element_at("p", 1).alias("estimate"),
-        F.sqrt(error).alias("std_error"),
-        F.lit(d.n).cast("long").alias("n"),
-    )
-    names = [d.names[j] for j in kept]
-    dropped = [d.names[j] for j in range(k) if j not in kept]
-    fit = Fit(names, estimate, cov, d.n, dof, sigma2, dropped, effects, sum(j < n_early for j in kept))
+    if len(d.names) <= QR_TERMS:
+        return _uncentred(solve_triangle(triangle(d.rows, "__x", len(d.names) + 1), d.n, d.names), d, first)
+    return _uncentred(solve_normal(gram(d.rows, "__x"), d.n, d.names), d, first)
+
+
+def _fit_absorbed(data: DataFrame, first: Factor, terms: list[Factor | str]) -> Fit:
+    """The same fit with one or two factors' levels taken out before solving."""
+    absorbed = [t.name for t in terms if isinstance(t, Factor) and t.absorb]
+    rest = [t for t in terms if not (isinstance(t, Factor) and t.absorb)]
+    d = _code(data, first, rest, keep=tuple(absorbed))
+    place: list[int] = []
+    for i, t in enumerate([first, *terms]):
+        if isinstance(t, Factor) and t.absorb:
+            continue
+        width = 1 if isinstance(t, str) else len(d.levels[t.name]) - (i > 0)
+        place += [sum(isinstance(u, Factor) and u.absorb for u in terms[: max(i - 1, 0)])] * width
+    solved = fit_absorbed(d.rows, absorbed, place, d.n)
+    names = [d.names[j] for j in solved.kept]
+    dropped = [d.names[j] for j in range(len(d.names)) if j not in solved.kept]
+    effects = [
+        Effects(f, sum(place[j] <= i for j in solved.kept), rows, size)
+        for i, (f, rows, size) in enumerate(zip(absorbed, solved.effects, solved.levels))
+    ]
+    fit = Fit(names, solved.estimate, solved.cov, d.n, solved.dof, solved.sigma2, dropped, effects)
     return _uncentred(fit, d, first)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import ratio
+from .staging import checkpointed
 
 
 def arrange(df: DataFrame, *cols: str | Column) -> DataFrame:
@@ -13,6 +14,32 @@ def arrange(df: DataFrame, *cols: str | Column) -> DataFrame:
     return df.orderBy(*[F.asc_nulls_last(c) if isinstance(c, str) else c.asc_nulls_last() for c in cols])
 
 
+def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "row", start: int = 1) -> DataFrame:
+    """Rows numbered from ``start``, in ``order`` or, without one, as they lie (a sorted table's own order).
+
+    Rows are dealt into ranges of the order, which also part rows that are all alike, and
+    keep their place in the range; each range is then moved by the rows before it. Only
+    one number for every range reaches the driver. The rows are written once to the
+    checkpoint folder, so that a range has the same rows in both steps.
+    """
+    rows = df
+    if order is not None:
+        rows = df.withColumn("__tie", F.monotonically_increasing_id())
+        order = [*order, F.col("__tie")]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")
+    rows = checkpointed(rows.withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    sizes = rows.groupBy(part.alias("part")).count().orderBy("part").collect()
+    offsets, at = [], start
+    for r in sizes:
+        offsets.append((r["part"], at))
+        at += r["count"]
+    before = df.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    placed = rows.join(F.broadcast(before), part == F.col("__part"))
+    within = F.col("__place").bitwiseAND((1 << 33) - 1)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + within).alias(name))
+
+
 def index_to_base(
     df: DataFrame, indexes: dict[str, str], by: list[str], order: str = "year", base: int | None = None
 ) -> DataFrame:
