@@ -7,13 +7,17 @@ amounts are whole numbers, so sums and means come out the same in any order.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.semantics import packed_order
+from .operators.staging import shared_dir
 from .plans import conform
 from .sources.readers import read_parquet
 from .sources.schemas import permit_types
+from .sources.writers import stage_bucketed
 
 
 SCHEMAS = {
@@ -275,9 +279,29 @@ def rental(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the folder's tables as they are now: paths, sizes and times of change."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    state = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files)
+    return hashlib.sha256(repr(state).encode()).hexdigest()[:16]
+
+
+def staged_rental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rental data as the analyses read it: published once in buckets of parcels by year, then shared.
+
+    It is staged again when a table of the folder has changed. Files lie in the shared
+    folder, so every executor reads them.
+    """
+    name = f"rental_{_state(spark, sf_dir)}"
+    if spark.catalog.tableExists(name):
+        return spark.table(name).select(*conform.RENTAL_COLUMNS)
+    return stage_bucketed(rental(spark, sf_dir), name, "parcel_num", "year", path=f"{shared_dir(spark)}/{name}")
+
+
 def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform.ownership_records(raw_ownership(spark, sf_dir))
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform.registry_reconcile(raw_registry(spark, sf_dir), rental(spark, sf_dir), after_year=1999)
+    return conform.registry_reconcile(raw_registry(spark, sf_dir), staged_rental(spark, sf_dir), after_year=1999)

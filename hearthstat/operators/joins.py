@@ -7,10 +7,18 @@ that also parts rows that are all alike.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Parts into which a full join deals the rows of a key.
+SPREAD = 8
+
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
     """Columns both sides have, in the left side's order."""
@@ -28,9 +36,8 @@ def natural_join(
     """Join on all shared columns (or ``on``); each key appears once in the result.
 
     ``null_safe`` keys compare with ``<=>``, which Spark still plans as an
-    equi-join. A full join is a left join plus the right rows whose key the left
-    side lacks, since adaptive execution can split a skewed left join but not a
-    full one.
+    equi-join. A full join, which adaptive execution cannot split, deals the left
+    side's rows of a key into parts by itself (see ``_full``).
 
     Adaptive execution also only splits a skewed key where both sides come
     straight from a shuffle, not where an earlier join on the key left its
@@ -41,9 +48,7 @@ def natural_join(
     if not keys:
         raise ValueError("the two sides share no column to join on")
     if how == "full":
-        matched = natural_join(left, right, "left", keys, null_safe, reshuffle)
-        rest = natural_join(right, left.select(*keys).distinct(), "left_anti", keys, null_safe)
-        return matched.unionByName(rest, allowMissingColumns=True)
+        return _full(left, right, keys, null_safe)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
 
@@ -62,6 +67,38 @@ def natural_join(
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with a part: the first of each key in part 0, the others in turn."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
+        first = np.unique(np.stack(numbers), axis=1, return_index=True)[1]
+        part = np.arange(batch.num_rows, dtype=np.int32) % SPREAD
+        part[first] = 0
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "__part"])
+
+
+def _full(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
+    """Full join that reads each side once and parts the left side's rows of a key.
+
+    Left rows go to SPREAD parts of their key and right rows, of which a key should have
+    few, to all of them. Some left row of every key is in part 0, so a right row without a
+    partner there has none anywhere, and elsewhere it does not count.
+    """
+    schema = T.StructType([*left.schema.fields, T.StructField("__part", T.IntegerType())])
+    dealt = left.mapInArrow(partial(_dealt, keys=keys), schema).withColumn("__left", F.lit(True))
+    copies = right.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) if null_safe else F.col(k) == F.col(f"__r_{k}") for k in keys]
+    joined = dealt.join(copies, reduce(Column.__and__, same, F.col("__part") == F.col("__copy")), "full")
+    kept = joined.filter(F.col("__left").isNotNull() | (F.col("__copy") == 0))
+    both = [F.when(F.col("__left"), F.col(k)).otherwise(F.col(f"__r_{k}")).alias(k) for k in keys]
+    rest = [c for c in right.columns if c not in keys]
+    return kept.select(*[both[keys.index(c)] if c in keys else F.col(c) for c in left.columns], *rest)
+
+
 def with_group_totals(df: DataFrame, key: str, totals: dict[str, Column]) -> DataFrame:
     """Put per-group aggregates back on every row of the group.
 

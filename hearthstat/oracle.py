@@ -513,6 +513,15 @@ SQL: dict[str, str] = {
         FROM rental GROUP BY property_type, bedrooms""",
         "rental",
     ),
+    "q24s_rent_sketched": with_views(
+        "SELECT bedrooms, count(*) AS records, TRUE AS within_error FROM rental GROUP BY bedrooms", "rental"
+    ),
+    "q25s_parcels_sketched": with_views(
+        """SELECT property_type, count(DISTINCT parcel_num) + max(CASE WHEN parcel_num IS NULL THEN 1 ELSE 0 END) AS parcels,
+            TRUE AS within_error
+        FROM rental GROUP BY property_type""",
+        "rental",
+    ),
     "q26_owner_base_years": with_views(
         """SELECT CAST(year AS VARCHAR) AS year, owner_type, owners, units FROM ownership_index
         WHERE year IN (1996, 2000)""",

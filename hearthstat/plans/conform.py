@@ -225,6 +225,7 @@ RENTAL_KEYS = [
     "owner_residence", "owner_occupied", "geo_id", "year_built", "is_company", "portfolio_parcels",
     "portfolio_buildings", "portfolio_units", "owner_type",
 ]
+RENTAL_COLUMNS = [*RENTAL_KEYS, "listing_count", "unit_count", "annual_rent", "square_feet"]
 OWNER_ATTRIBUTES = [
     "owner_names", "owner_residence", "owner_occupied", "geo_id", "year_built", "is_company",
     "portfolio_parcels", "portfolio_buildings", "portfolio_units", "owner_type",
@@ -303,4 +304,4 @@ def registry_reconcile(
         S.split_parcel_key("PARCEL_NBR", 14, paste_missing).alias("parcel_num"),
         S.numeric(registry, "Registed_Units").alias("registered_units"),
     )
-    return natural_join(active, listed, "full", reshuffle=True)
+    return natural_join(active, listed, "full")

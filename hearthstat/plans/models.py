@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
-from ..operators.regress import Factor, Fit, formula_ols, group_mean_ols
+from ..operators.regress import Factor, Fit, Poly, Term, formula_ols, group_mean_ols
 
 BEDROOMS = Factor("bedrooms", C.BEDROOMS)
 BUILDING_SIZE = Factor("building_size", C.BUILDING_SIZES)
@@ -21,16 +21,22 @@ def complete_cases(rental: DataFrame) -> DataFrame:
     )
 
 
+def _curve(name: str, degree: int) -> Term:
+    """A covariate, or its orthogonal polynomials from the second degree on."""
+    return name if degree == 1 else Poly(name, degree)
+
+
 def owner_type_means(rental: DataFrame) -> DataFrame:
     return group_mean_ols(complete_cases(rental), "annual_rent", "owner_type", levels=C.OWNER_TYPES)
 
 
-def owner_type_model(rental: DataFrame) -> Fit:
+def owner_type_model(rental: DataFrame, degree: int = 1) -> Fit:
+    """``degree`` above 1 gives year and year built as polynomials, which the published formula only seems to."""
     return formula_ols(
         complete_cases(rental),
         "annual_rent",
         OWNER_TYPE,
-        ["year", BEDROOMS, "baths", TRACT, BUILDING_SIZE, "year_built"],
+        [_curve("year", degree), BEDROOMS, "baths", TRACT, BUILDING_SIZE, _curve("year_built", degree)],
     )
 
 
@@ -38,12 +44,12 @@ def residence_means(rental: DataFrame) -> DataFrame:
     return group_mean_ols(complete_cases(rental), "annual_rent", "owner_residence")
 
 
-def residence_model(rental: DataFrame) -> Fit:
+def residence_model(rental: DataFrame, degree: int = 1) -> Fit:
     return formula_ols(
         complete_cases(rental),
         "annual_rent",
         Factor("owner_residence"),
-        [BEDROOMS, "baths", TRACT, BUILDING_SIZE, "year_built"],
+        [BEDROOMS, "baths", TRACT, BUILDING_SIZE, _curve("year_built", degree)],
     )
 
 
@@ -51,12 +57,12 @@ def occupancy_means(rental: DataFrame) -> DataFrame:
     return group_mean_ols(complete_cases(rental), "annual_rent", "owner_occupied")
 
 
-def occupancy_model(rental: DataFrame) -> Fit:
+def occupancy_model(rental: DataFrame, degree: int = 1) -> Fit:
     return formula_ols(
         complete_cases(rental),
         "annual_rent",
         Factor("owner_occupied"),
-        [BEDROOMS, "baths", TRACT, BUILDING_SIZE, "year_built"],
+        [BEDROOMS, "baths", TRACT, BUILDING_SIZE, _curve("year_built", degree)],
     )
 
 
@@ -73,10 +79,10 @@ def listing_size_means(rental: DataFrame) -> DataFrame:
     return group_mean_ols(complete_cases(rental), "annual_rent", "building_size", levels=C.BUILDING_SIZES)
 
 
-def listing_size_model(rental: DataFrame) -> Fit:
+def listing_size_model(rental: DataFrame, degree: int = 1) -> Fit:
     return formula_ols(
         complete_cases(rental),
         "annual_rent",
         BUILDING_SIZE,
-        [BEDROOMS, "baths", TRACT, "year_built"],
+        [BEDROOMS, "baths", TRACT, _curve("year_built", degree)],
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import semantics as S
 from ..operators.joins import natural_join
+from ..operators import sketches as K
 from ..operators.quantiles import grouped_median, grouped_quantile
 from ..operators.series import (
     arrange,
@@ -31,12 +32,19 @@ def household_count(households: DataFrame, year: int = 2020) -> DataFrame:
     return households.filter(F.col("year") == year).agg(S.sum_of("HHWT").alias("n"))
 
 
-def _indexed_estimates(rents: DataFrame, rest: DataFrame, order: list[str]) -> DataFrame:
-    """Rents, then the other series by year, each indexed to its first year."""
-    rents = rents.select(
-        "year", F.lit(MEDIAN_RENT).alias("estimate"), F.col("rent").cast("double").alias("value")
+def _indexed_estimates(by_year: DataFrame, series: dict[str, tuple[Column, Column]], order: list[str]) -> DataFrame:
+    """A row for each year and series (value, and whether the year has it), rents first, each indexed to its first year.
+
+    All series are taken from a year's row at once, so the table under it is computed once.
+    """
+    rows = F.array(
+        *[
+            F.when(has, F.struct(F.lit(name).alias("estimate"), value.cast("double").alias("value")))
+            for name, (value, has) in series.items()
+        ]
     )
-    indexed = index_to_base(stack_rows(rents, rest), {"value2": "value"}, ["estimate"])
+    stacked = by_year.select("year", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    indexed = index_to_base(stacked, {"value2": "value"}, ["estimate"])
     return arrange(indexed, F.col("estimate") != MEDIAN_RENT, "year", C.rank_of("estimate", order))
 
 
@@ -54,12 +62,13 @@ def market_index(households: DataFrame, min_year: int = 2010) -> DataFrame:
         na_rm=True,
         totals={"Households": F.col("HHWT")},
     )
-    rest = stack_rows(
-        longer(medians.select("year", "Households"), ["Households"], "estimate"),
-        longer(medians.select("year", "HH Income"), ["HH Income"], "estimate"),
-    )
-    rents = medians.filter(F.col("rent").isNotNull())
-    return _indexed_estimates(rents, rest, ["Households", "HH Income"])
+    always = F.lit(True)
+    series = {
+        MEDIAN_RENT: (F.col("rent"), F.col("rent").isNotNull()),
+        "Households": (F.col("Households"), always),
+        "HH Income": (F.col("HH Income"), always),
+    }
+    return _indexed_estimates(medians, series, ["Households", "HH Income"])
 
 
 def near_poverty(
@@ -83,10 +92,13 @@ def near_poverty(
             "lined": lined.cast("int"),
         },
     )
-    counts = by_year.filter(F.col("lined") > 0).select("year", "Households", "poor")
-    rents = by_year.filter(F.col("rent").isNotNull())
-    rest = longer(counts, ["Households", "poor"], "estimate").replace("poor", poor, ["estimate"])
-    return _indexed_estimates(rents, rest, ["Households", poor])
+    known = F.coalesce(F.col("lined") > 0, F.lit(False))
+    series = {
+        MEDIAN_RENT: (F.col("rent"), F.col("rent").isNotNull()),
+        "Households": (F.col("Households"), known),
+        poor: (F.col("poor"), known),
+    }
+    return _indexed_estimates(by_year, series, ["Households", poor])
 
 
 def tenure_medians(households: DataFrame, max_share: float = 0.8, weight: str = "HHWT") -> DataFrame:
@@ -296,6 +308,54 @@ def frequency(rental: DataFrame) -> DataFrame:
     )
 
 
+def rental_sketches(rental: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches by year and ``by`` for later tables: rents, parcels, and parcels with their owners."""
+    return K.sketches(
+        rental, ["year", *by], {"rents": "annual_rent"},
+        {"parcels": ["parcel_num"], "owners": ["owner_names"]},
+    )
+
+
+def rent_from_sketches(rental: DataFrame) -> DataFrame:
+    """Rents by bedrooms from yearly sketches, held against the exact ranks.
+
+    ``within_error`` says whether the merged sketch's median has a rank within its stated
+    error: the share of rents below it is at most a half plus that, of those up to it at
+    least a half less that.
+    """
+    stored = rental_sketches(rental, ["bedrooms"])
+    medians = K.merged(stored, ["bedrooms"], ["rents"]).select("bedrooms", K.quantile_of("rents").alias("__median"))
+    placed = natural_join(rental.select("bedrooms", "annual_rent"), medians, "left")
+    return (
+        placed.groupBy("bedrooms")
+        .agg(
+            S.n_rows().alias("records"),
+            F.avg((F.col("annual_rent") < F.col("__median")).cast("double")).alias("__below"),
+            F.avg((F.col("annual_rent") <= F.col("__median")).cast("double")).alias("__upto"),
+        )
+        .select(
+            "bedrooms",
+            "records",
+            ((F.col("__below") <= 0.5 + K.rank_error()) & (F.col("__upto") >= 0.5 - K.rank_error())).alias("within_error"),
+        )
+    )
+
+
+def parcels_from_sketches(rental: DataFrame) -> DataFrame:
+    """Distinct parcels by property type from yearly sketches, held against the exact count.
+
+    ``within_error`` says whether the union of the years' sketches is within four standard errors.
+    """
+    stored = rental_sketches(rental, ["property_type"])
+    union = K.merged(stored, ["property_type"], distinct=["parcels"])
+    exact = rental.groupBy("property_type").agg(S.n_distinct("parcel_num").alias("parcels"))
+    return natural_join(exact, union.select("property_type", K.distinct_of("parcels").alias("__estimate"))).select(
+        "property_type",
+        "parcels",
+        (F.abs(F.col("__estimate") - F.col("parcels")) <= 4 * K.distinct_error() * F.col("parcels")).alias("within_error"),
+    )
+
+
 def rent_by_portfolio(rental: DataFrame) -> DataFrame:
     """Mean rent, listings, units and parcels by the number of parcels owned."""
     return rental.groupBy(C.portfolio_bucket("portfolio_parcels").alias("portfolio")).agg(

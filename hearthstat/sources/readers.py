@@ -24,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_table_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Result table: 'NA' is missing and an unnamed row-number column is dropped."""
-    reader = spark.read.option("nullValue", "NA")
+    reader = spark.read.option("nullValue", "NA").option("escape", '"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     df = reader.csv(path, header=True)
     first = df.columns[0]

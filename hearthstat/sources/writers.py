@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.regress import Fit
+from ..operators.series import numbered
 
 # Published column headings.
 HEADINGS = {
@@ -84,10 +86,48 @@ def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, headings: bool = True) -> None:
-    """Result table as CSV with 'NA' for missing values."""
+def stage_bucketed(
+    df: DataFrame, table: str, by: str, partition_by: str, buckets: int | None = None, path: str | None = None
+) -> DataFrame:
+    """Publish a table in buckets of ``by`` within partitions, so that grouping and joining on it need no shuffle.
+
+    The catalog keeps the layout under the name ``table``; files lie in ``path``, or in the
+    warehouse. Rows are rebalanced by bucket first, which writes few files and still parts
+    the rows of a hot key over several. Returns the table as read back.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.hint("rebalance", buckets, by).write.mode("overwrite").partitionBy(partition_by).bucketBy(buckets, by)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return spark.table(table).select(*df.columns)
+
+
+def replace_partitions(df: DataFrame, table: str) -> None:
+    """Put ``df`` in the place of those partitions of a staged table that it has rows for; the others stay."""
+    spark = df.sparkSession
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        df.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(mode, before)
+    spark.catalog.refreshTable(table)
+
+
+def write_csv(df: DataFrame, path: str, headings: bool = True, row_numbers: bool = False) -> None:
+    """Result table as CSV with 'NA' for missing values.
+
+    ``row_numbers`` puts a nameless column before the others, which counts the rows from 1
+    in the table's order.
+    """
     out = with_headings(df) if headings else df
-    out.write.mode("overwrite").csv(path, header=True, nullValue="NA", emptyValue="")
+    if row_numbers:
+        out = numbered(out, name="__row")
+        out = out.select(F.col("__row").cast("string").alias(""), *[F.col(f"`{c}`") for c in out.columns[:-1]])
+    out.write.mode("overwrite").csv(path, header=True, nullValue="NA", emptyValue="", escape='"')
 
 
 def write_model(spark: SparkSession, fit: Fit | DataFrame, path: str) -> None:

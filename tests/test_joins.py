@@ -145,3 +145,38 @@ def test_fresh_shuffle_lets_a_hot_key_be_split_after_a_join(spark, splitting, re
     assert got.collect() and got.columns == ["k", "l", "a", "b"]
     assert ("skew=true" in executed(got)) == reshuffle
     assert got.count() == 60_000
+
+
+def test_full_join_reads_each_side_once_and_parts_a_hot_key(spark):
+    key = F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.col("id") % 500).cast("string")
+    left = spark.range(0, 9000, 1, 3).select(key.alias("k"), F.lit("same").alias("l"))
+    right = spark.range(600).select(F.col("id").cast("string").alias("k"), F.col("id").alias("r"))
+    right = right.unionByName(right.limit(20)).unionByName(spark.createDataFrame([(None, -1)], "k string, r long"))
+    for null_safe in (True, False):
+        got = joins.natural_join(left, right, "full", null_safe=null_safe)
+        same = "a.k <=> b.k" if null_safe else "a.k = b.k"
+        want = left.alias("a").join(right.alias("b"), F.expr(same), "full")
+        assert got.columns == ["k", "l", "r"]
+        assert rows(got, "k", "l", "r") == rows(want, F.coalesce("a.k", "b.k"), "l", "r")
+    plan = joins.natural_join(left, right, "full")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 9000") == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        hot = joins.natural_join(left, right, "full").filter("k IS NULL AND l = 'same'").groupBy(F.spark_partition_id()).count()
+        sizes = [r["count"] for r in hot.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 6000 and len(sizes) >= 4 and max(sizes) <= 3000
+
+
+def test_full_join_of_empty_sides(spark):
+    left, right = spark.createDataFrame([("a", 1)], "k string, l int"), spark.createDataFrame([("b", 2)], "k string, r int")
+    assert rows(joins.natural_join(left, right, "full"), "k", "l", "r") == rows(
+        spark.createDataFrame([("a", 1, None), ("b", None, 2)], "k string, l int, r int"), "k", "l", "r"
+    )
+    assert joins.natural_join(left.limit(0), right, "full").collect()[0]["r"] == 2
+    assert joins.natural_join(left, right.limit(0), "full").collect()[0]["l"] == 1
+    two = left.withColumn("j", F.lit(None).cast("int"))
+    assert joins.natural_join(two, two.select("k", "j", F.lit(9).alias("r")), "full").collect()[0].asDict() == {"k": "a", "l": 1, "j": None, "r": 9}

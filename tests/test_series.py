@@ -75,3 +75,23 @@ def test_arrange_puts_missing_last(spark):
 def test_column_selection(owners):
     assert R.columns_between(owners, "owner_type", "units") == ["owner_type", "owners", "units"]
     assert R.columns_containing(owners, "OWNER") == ["owner_type", "owners"]
+
+
+def test_rows_are_numbered_in_order_over_partitions(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 613).alias("k"), F.col("id"))
+    got = R.numbered(df.repartition(6), [F.desc("k"), F.asc("id")], "number", start=0).collect()
+    want = sorted(df.collect(), key=lambda r: (-r["k"], r["id"]))
+    assert [(r["k"], r["id"]) for r in sorted(got, key=lambda r: r["number"])] == [tuple(r) for r in want]
+    assert sorted(r["number"] for r in got) == list(range(5000))
+
+
+def test_rows_that_are_all_alike_are_numbered_in_several_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.numbered(spark.range(4000).select(F.lit("same").alias("k")), [F.col("k")])
+        parts = got.groupBy(F.spark_partition_id()).count().collect()
+        assert sorted(r["row"] for r in got.collect()) == list(range(1, 4001))
+        assert len(parts) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert R.numbered(spark.range(0), [F.col("id")]).collect() == []

@@ -1,10 +1,13 @@
 import gzip
 import math
+import os
+import shutil
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from hearthstat import bindings
 from hearthstat.operators.regress import Factor, formula_ols
 from hearthstat.sources import readers, schemas, writers
 
@@ -180,3 +183,70 @@ def test_files_of_a_folder_must_agree_on_columns(spark, tmp_path):
     with pytest.raises(Exception):
         read_csv_rows = readers.read_csv(spark, str(tmp_path), "x int, y int").collect()
         assert not read_csv_rows
+
+
+def test_row_numbers_follow_the_tables_order(spark, tmp_path):
+    """The published shape: a nameless first column that counts the rows, then the headings."""
+    df = spark.range(300).select(
+        F.concat(F.lit('size, "'), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit('"')).alias("building_size"),
+        (F.col("id") * 7 % 11).cast("int").alias("year"),
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("units"),
+    ).orderBy(F.desc("building_size"))
+    path = str(tmp_path / "t.csv")
+    writers.write_csv(df, path, row_numbers=True)
+    lines = [line for f in sorted((tmp_path / "t.csv").glob("part*")) for line in f.read_text().splitlines()]
+    assert lines[0] == ",Building size,Year,Units"
+    assert lines[1] == '1,"size, ""299""",3,299' and lines[3] == '3,"size, ""297""",0,NA'
+    body = [line for line in lines if not line.startswith(",")]
+    assert [int(line.split(",")[0]) for line in body] == list(range(1, 301))
+    back = readers.read_table_csv(spark, path)
+    assert back.columns == ["Building size", "Year", "Units"]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    writers.write_csv(df.limit(0), str(tmp_path / "none.csv"), row_numbers=True)
+    assert readers.read_table_csv(spark, str(tmp_path / "none.csv"), "a int, b string, c int, d int").count() == 0
+
+
+def rental_like(spark, n=4000, years=(2000, 2001, 2002)):
+    year = F.element_at(F.array(*map(F.lit, years)), (F.col("id") % len(years) + 1).cast("int"))
+    parcel = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 > 0, F.concat(F.lit("p"), F.col("id") % 90))
+    return spark.range(n).select(parcel.alias("parcel_num"), year.alias("year"), F.col("id").alias("rent"))
+
+
+def test_bucketed_table_is_grouped_without_a_shuffle(spark, tmp_path):
+    df = rental_like(spark)
+    staged = writers.stage_bucketed(df, "staged_rent", "parcel_num", "year", 4, str(tmp_path / "rent"))
+    assert staged.columns == df.columns and staged.exceptAll(df).count() == 0 and staged.count() == df.count()
+    by_parcel = staged.groupBy("parcel_num").agg(F.sum("rent"))
+    joined = staged.join(staged.groupBy("parcel_num").agg(F.max("rent").alias("most")), "parcel_num")
+    for plan in (by_parcel, joined.hint("merge")):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in df.groupBy("parcel_num").agg(F.sum("rent"))._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE staged_rent")
+
+
+def test_one_year_of_a_staged_table_is_replaced(spark, tmp_path):
+    df = rental_like(spark)
+    writers.stage_bucketed(df, "staged_year", "parcel_num", "year", 4, str(tmp_path / "rent"))
+    new = rental_like(spark, 200, (2001, 2005)).withColumn("rent", -F.col("rent"))
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    writers.replace_partitions(new, "staged_year")
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+    want = df.filter("year <> 2001").unionByName(new)
+    got = spark.table("staged_year").select(*df.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in got.groupBy("parcel_num").count()._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE staged_year")
+
+
+def test_analyses_share_one_staged_table(spark, sf_dir, tmp_path):
+    shutil.copytree(sf_dir, tmp_path / "sf")
+    folder = str(tmp_path / "sf")
+    staged = bindings.staged_rental(spark, folder)
+    plain = bindings.rental(spark, folder)
+    assert staged.columns == plain.columns and staged.schema.simpleString() == plain.schema.simpleString()
+    assert staged.exceptAll(plain).count() == 0 and staged.count() == plain.count()
+    again = bindings.staged_rental(spark, folder)
+    assert again.inputFiles() and sorted(again.inputFiles()) == sorted(staged.inputFiles())
+    orders = tmp_path / "sf" / "orders.parquet"
+    os.utime(orders, (1, 1))
+    assert set(bindings.staged_rental(spark, folder).inputFiles()).isdisjoint(staged.inputFiles())
