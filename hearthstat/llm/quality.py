@@ -1,238 +1,56 @@
 """Quality filter: the perplexity of a text under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over word bigrams of all trusted text (see wordgrams), counted and joined
-with the texts' bigrams in shards, so that it grows with the corpus. Words that it has
-not seen after another, or not at all, fall back to their spelling: a Kneser-Ney model
-over symbols, UTF-8 bytes folded into 64 classes that keep letters, case, digits, blanks
-and kinds of punctuation apart, with n-grams of up to ORDER symbols. That part is at
-most 64 ** ORDER numbers and is broadcast. Spellings are not normalized over where words
-end, so a perplexity is to be compared with others of the same run.
-
-Trusted texts are scored as if they had not been learned from: without their own bigram
-counts, and with the spelling of the other half of the trusted texts. So their values
-are on one scale with those of other texts, and thresholds can be taken from them.
-
-A text's perplexity is taken with PRIOR symbols of its language's trusted mean added,
-so that a short text needs more than a few odd symbols to stand out. It is rejected
-if that exceeds the threshold of its language (see thresholds): the QUANTILE of trusted
-texts' values, shrunk towards the spread of all languages by their number. Documents of
-a language without trusted texts have no threshold and are kept.
+The model is over n-grams of bytes of all trusted text (see ngrams), counted and joined
+with the texts' n-grams in shards, so that it grows with the corpus. Texts fall into two
+folds by a hash of their contents, and each is scored by the trusted texts of the other
+fold. So trusted texts have values on one scale with those of other texts, and
+thresholds can be taken from them.
+
+A text's perplexity is taken with PRIOR bytes of its language's trusted mean added,
+so that a short text needs more than a few odd bytes to stand out. It is rejected
+if that exceeds the threshold of its language (see thresholds): LEEWAY times the QUANTILE
+of trusted texts' values, shrunk towards the spread of all languages by their number.
+Documents of a language without trusted texts have no threshold and are kept.
 
 A null or empty text has no perplexity (null) and is kept, as nothing speaks against
-it; a null language is a language of its own. Rows
-are kept apart even if they repeat. Output columns replace input columns of the same
-name.
+it; a null language is a language of its own. Rows are kept apart even if they repeat.
+Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import partial
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hearthstat.llm import wordgrams
+from hearthstat.llm import ngrams
 from hearthstat.llm.staging import clean, small, stage
-from hearthstat.llm.texts import slices
 
-ORDER = 4
-SYMBOLS = 64
 PRIOR = 128
 QUANTILE = 0.998
 #: Texts that the spread of all languages counts for in one; those that WIDE counts for in all.
 FEW, FEWEST, WIDE = 50, 10, 0.5
-
-
-def _fold() -> np.ndarray:
-    """A symbol for each byte; 0 is the end of a text."""
-    out = np.zeros(256, np.uint8)
-    for i, group in enumerate([" ", "\n", "\t\r\v\f", ".", ",", "'\"", "!?", "-", "0123456789", ":;()"]):
-        out[[ord(c) for c in group]] = i + 1
-    for i in range(26):
-        out[ord("a") + i] = 11 + i
-        # Capitals share symbols, as there are not enough; which one follows which still shows.
-        out[ord("A") + i] = 37 + i % 13
-    out[(out == 0) & (np.arange(256) < 128)] = 50
-    beyond = np.arange(128, 256)
-    out[128:192] = 51 + beyond[:64] % 8
-    out[192:] = 59 + beyond[64:] % 5
-    return out
-
-
-_FOLD = _fold()
-
-
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each symbol of each text, its end mark included; the texts' first places.
-
-    A text starts as if after ends of text.
-    """
-    n = np.diff(offsets) + 1
-    place = np.concatenate([[0], np.cumsum(n)])
-    symbols = np.zeros(place[-1], np.int32)
-    keep = np.ones(place[-1], bool)
-    keep[place[1:] - 1] = False
-    symbols[keep] = _FOLD[data]
-    out = symbols.copy()
-    age = np.arange(len(symbols)) - np.repeat(place[:-1], n)
-    for back in range(1, ORDER):
-        before = np.zeros_like(symbols)
-        before[back:] = symbols[:-back]
-        out += np.where(age >= back, before, 0) << np.int32(6 * back)
-    return out, place
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
-            own = np.diff(offsets) > 0
-            grams, place = ngrams(data, offsets)
-            grams = grams[np.repeat(own, np.diff(place))]
-            gram, n = np.unique(grams, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int32()), pa.array(n, pa.int64())], ["gram", "n"])
-
-
-@dataclass(frozen=True)
-class Model:
-    """For each order from 1: seen n-grams with their share after discounts, contexts with their back-off weight."""
-
-    shares: list[tuple[np.ndarray, np.ndarray]]
-    backoffs: list[tuple[np.ndarray, np.ndarray]]
-
-    def table(self) -> np.ndarray:
-        """The logarithm of the probability of each n-gram's last symbol."""
-        p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-        for order, ((gram, share), (context, weight)) in enumerate(zip(self.shares, self.backoffs)):
-            lower = np.ones(SYMBOLS**order, np.float32)
-            lower[context] = weight
-            # A context's lower-order distribution is that of its last symbols. The table is made for
-            # one first symbol of the contexts at a time, so that little more than itself is in memory.
-            parts = SYMBOLS if order else 1
-            last = order == len(self.shares) - 1
-            out = np.empty(SYMBOLS ** (order + 1), np.float16 if last else np.float32)
-            size = len(out) // parts
-            for i, weights in enumerate(lower.reshape(parts, -1)):
-                part = (p.reshape(len(weights), -1) * weights[:, None]).ravel()
-                own = gram // size == i
-                part[gram[own] % size] += share[own]
-                out[i * size : (i + 1) * size] = np.log(np.maximum(part, 1e-12)) if last else part
-            p = out
-        return p
-
-
-def train(texts: DataFrame) -> Model | None:
-    """From all rows of a column `text`; None if they hold no symbol."""
-    counts = texts.select("text").mapInArrow(_counted, "gram int, n long")
-    table = stage(counts.groupBy("gram").agg(F.sum("n").alias("n")))
-    if not table.limit(1).count():
-        return None
-    shares, backoffs = [], []
-    for order in range(ORDER, 0, -1):
-        kinds = {f"k{k}": F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)}
-        k = table.agg(*(c.alias(name) for name, c in kinds.items())).first()
-        y = k["k1"] / (k["k1"] + 2 * k["k2"]) if k["k1"] else 0.0
-        off = [
-            min(max(c - (c + 1) * y * k[f"k{c + 1}"] / k[f"k{c}"], 0.0), float(c)) if k[f"k{c}"] else y
-            for c in (1, 2, 3)
-        ]
-        discount = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
-        context = F.shiftright("gram", 6) if order > 1 else F.lit(0)
-        rows = table.select("gram", "n", context.alias("context"), discount.alias("off"))
-        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("left"))
-        seen = rows.join(totals, "context").select(
-            "gram", ((F.col("n") - F.col("off")) / F.col("total")).cast("float").alias("share")
-        ).toPandas()
-        left = totals.select("context", (F.col("left") / F.col("total")).cast("float").alias("weight")).toPandas()
-        shares.append((seen["gram"].to_numpy(), seen["share"].to_numpy()))
-        backoffs.append((left["context"].to_numpy(), left["weight"].to_numpy()))
-        # One order down, an n-gram counts once for each symbol seen before it.
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << 6 * (order - 1)) - 1)).alias("gram")
-        table = stage(table.select(shorter).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))) if order > 1 else table
-    return Model(shares[::-1], backoffs[::-1])
-
-
-def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    table = None
-    for batch in batches:
-        table = shared.value.table() if table is None else table
-        names = batch.schema.names
-        for begin, end, data, offsets in slices(batch.column(names.index("text"))):
-            grams, place = ngrams(data, offsets)
-            sums = np.concatenate([[0.0], np.cumsum(table[grams], dtype=np.float64)])
-            part = batch.slice(begin, end - begin)
-            out = {n: part.column(n) for n in names}
-            out["n_symbols"] = pa.array(np.diff(offsets), pa.int64())
-            out["log_p"] = pa.array(sums[place[1:]] - sums[place[:-1]])
-            yield pa.RecordBatch.from_pydict(out)
-
-
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with n_symbols and log_p, the logarithm of the text's probability (with its end)."""
-    docs = docs.drop("n_symbols", "log_p")
-    if model is None:
-        return docs.withColumns({"n_symbols": F.lit(0).cast("long"), "log_p": F.lit(0.0)})
-    schema = T.StructType(list(docs.schema)).add("n_symbols", "long").add("log_p", "double")
-    return docs.mapInArrow(partial(_scored, shared=docs.sparkSession.sparkContext.broadcast(model)), schema)
-
-
-class Spelling:
-    """Models whose tables are made once in each process, as they are several times the models' size."""
-
-    def __init__(self, models: list[Model | None]):
-        self.models, self.made = models, None
-
-    def tables(self) -> list[np.ndarray | None]:
-        if self.made is None:
-            self.made = [None if m is None else m.table() for m in self.models]
-        return self.made
-
-
-def _spelling(docs: DataFrame, models: list[Model | None]):
-    """Logarithms of the symbols' probabilities and of the ends', by the model of each text's fold; -1: the last one."""
-    shared = docs.sparkSession.sparkContext.broadcast(Spelling(models))
-
-    def spell(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        grams, place = ngrams(data, offsets)
-        tables = shared.value.tables()
-        model = np.repeat(fold % len(tables), np.diff(place))
-        out = np.full(len(grams), -np.log(SYMBOLS))
-        for i, table in enumerate(tables):
-            if table is not None:
-                out[model == i] = table[grams[model == i]]
-        ends = place[1:] - 1
-        return np.delete(out, ends), out[ends]
-
-    return spell
+#: How far above that a text may be: a line or a passage of a kind that trusted texts lack does not make junk of a text.
+LEEWAY = 1.25
 
 
 def held_out(docs: DataFrame, ids: DataFrame) -> DataFrame | None:
-    """(_key, log_p) of the texts of `docs` (_key, doc_id, text), those with `ids` scored without themselves.
+    """(_key, log_p) of the texts of `docs` (_key, doc_id, text), each by the trusted texts of the other fold.
 
     None if there is nothing to learn from.
     """
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
-    texts = docs.where("length(text) > 0").join(small(ids.withColumn("fold", fold)), "doc_id", "left")
-    texts = texts.select("_key", F.coalesce("fold", F.lit(-1)).alias("fold"), "text")
-    known = texts.where("fold >= 0")
-    bytes_of = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
-    size, taught = texts.agg(bytes_of, F.coalesce(F.sum(F.when(F.col("fold") >= 0, F.octet_length("text"))), F.lit(0))).first()
-    if not taught:
+    texts = docs.where("length(text) > 0").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)))
+    known = texts.join(small(ids), "doc_id", "left_semi")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if not known.limit(1).count():
         return None
-    spelled = [train(known.where(F.col("fold") == 1)), train(known.where(F.col("fold") == 0)), train(known)]
-    spelling = _spelling(docs, spelled)
-    del spelled
-    clean(docs.sparkSession)
-    counted = wordgrams.train(known, taught)
-    clean(docs.sparkSession)
-    scores = wordgrams.score(texts, counted, spelling, size)
+    model = ngrams.train(known.select((1 - F.col("fold")).alias("fold"), "text"))
+    scores = ngrams.score(texts.select("_key", "fold", "text"), model, size)
     # Rows that repeat a document have one value.
-    return stage(scores.groupBy("_key").agg(F.max("log_p").alias("log_p")))
+    scores = stage(scores.groupBy("_key").agg(F.max("log_p").alias("log_p")))
+    clean(docs.sparkSession)
+    return scores
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -282,7 +100,7 @@ def thresholds(trusted: DataFrame) -> dict:
     n, pooled = apart.agg(F.count(F.lit(1)), quantile).first()
     pooled = (n * (pooled or 0.0) + FEWEST * WIDE) / (n + FEWEST)
     distance = {r["lang"]: (r["n"] * (r["q"] - r["mean"]) + FEW * pooled) / (r["n"] + FEW) for r in rows}
-    return {r["lang"]: math.exp(r["mean"] + distance[r["lang"]] * (1 + 1 / r["n"]) ** 0.5) for r in rows}
+    return {r["lang"]: LEEWAY * math.exp(r["mean"] + distance[r["lang"]] * (1 + 1 / r["n"]) ** 0.5) for r in rows}
 
 
 def _few(by_lang: DataFrame, most: int = 10_000) -> list:

@@ -31,7 +31,6 @@ def planted(spark, tmp_path_factory):
     rows += [(300, rows[0][1]), (301, rows[1][1] + " And more.")]
     rows += [(310 + i, prose(rnd) + "\nA line that stands in many texts.\n" + prose(rnd, 30)) for i in range(12)]
     rows += [(400, prose(rnd) + " " + PASSAGE + ". " + prose(rnd)), (401, None), (402, ""), (None, prose(rnd))]
-    labels += [(i, 1, 0) for i in (*range(310, 322), 400)]
     path = str(tmp_path_factory.mktemp("planted"))
     full = [(i, t, "en", "s", None if t is None else len(t), "x") for i, t in rows]
     spark.createDataFrame(full, docs.SCHEMA + ", keep string").write.parquet(f"{path}/documents.parquet")

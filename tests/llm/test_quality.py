@@ -1,83 +1,41 @@
 import math
-import random
-from collections import Counter
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from hearthstat.llm import quality
 from tests.llm import docs
 
-TEXTS = ["The cat sat on the mat.\nIt was a cat.", "A dog ran to the cat!", "the the the end", "Éa ñ 12, 34"]
-
-
-def kneser_ney(texts, order):
-    """p(symbols) by the textbook recursion over dictionaries."""
-    rows = [[0] * (order - 1) + [int(quality._FOLD[b]) for b in t.encode()] + [0] for t in texts]
-    counts = {order: Counter(tuple(r[i - order + 1 : i + 1]) for r in rows for i in range(order - 1, len(r)))}
-    for n in range(order - 1, 0, -1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    off, totals, left = {}, {}, {}
-    for n in range(1, order + 1):
-        k = Counter(counts[n].values())
-        y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0.0
-        off[n] = [min(max(c - (c + 1) * y * k[c + 1] / k[c], 0.0), c) if k[c] else y for c in (1, 2, 3)]
-        totals[n], left[n] = Counter(), Counter()
-        for g, c in counts[n].items():
-            totals[n][g[:-1]] += c
-            left[n][g[:-1]] += off[n][min(c, 3) - 1]
-
-    def p(gram):
-        n = len(gram)
-        if not n:
-            return 1 / quality.SYMBOLS
-        total = totals[n].get(gram[:-1], 0)
-        if not total:
-            return p(gram[1:])
-        c = counts[n].get(gram, 0)
-        own = (c - off[n][min(c, 3) - 1]) / total if c else 0.0
-        return own + left[n][gram[:-1]] / total * p(gram[1:])
-
-    return p
-
-
-@pytest.fixture(scope="module")
-def model(spark):
-    return quality.train(spark.createDataFrame([(t,) for t in [*TEXTS, None, ""]], "text string"))
-
-
-def test_table_against_the_recursion(model):
-    table = np.exp(model.table().astype(float))
-    p = kneser_ney(TEXTS, quality.ORDER)
-    rnd = random.Random(1)
-    seen = [tuple(int(x) for x in np.unravel_index(g, (64,) * 4)) for g in model.shares[-1][0][:200].tolist()]
-    for gram in seen + [tuple(rnd.randrange(64) for _ in range(4)) for _ in range(200)]:
-        at = int(np.ravel_multi_index(gram, (64,) * 4))
-        assert table[at] == pytest.approx(p(gram), rel=2e-2)
-
-
-def test_probabilities_sum_to_one(model):
-    rows = np.exp(model.table().astype(float)).reshape(-1, 64).sum(1)
-    assert rows == pytest.approx(np.ones(len(rows)), rel=1e-2)
-
-
-def test_score_is_the_sum_over_the_text(spark, model):
-    table = model.table().astype(float)
-    (row,) = quality.score(spark.createDataFrame([("cat é",)], "text string"), model).collect()
-    symbols = [0, 0, 0, *(int(quality._FOLD[b]) for b in "cat é".encode()), 0]
-    expected = sum(table[int(np.ravel_multi_index(symbols[i - 3 : i + 1], (64,) * 4))] for i in range(3, len(symbols)))
-    assert row["n_symbols"] == 6 and row["log_p"] == pytest.approx(expected)
-
 
 def test_junk_goes_and_clean_text_stays(spark, sf_dir):
-    out = quality.op7_quality(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    """On labels that were not learned from. Words repeated many times are plausible to n-grams, hence a few stay."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    df = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    out = quality.classify(df, labels.where("quality = 1 and doc_id % 3 > 0"))
     rows = out.join(labels, "doc_id").collect()
-    kept = {q: [r["keep"] for r in rows if r["quality"] == q] for q in (0, 1)}
-    assert np.mean(kept[1]) > 0.95 and np.mean(kept[0]) < 0.5
+    kept = {q: [r["keep"] for r in rows if r["quality"] == q and (not q or r["doc_id"] % 3 == 0)] for q in (0, 1)}
+    assert len(kept[0]) > 40 and len(kept[1]) > 80
+    assert np.mean(kept[1]) > 0.97 and np.mean(kept[0]) < 0.15
     assert all(math.isfinite(r["perplexity"]) for r in rows if r["n_symbols"])
 
 
+def test_the_query_covers_every_document(spark, sf_dir):
+    out = quality.op7_quality(spark, sf_dir)
+    assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert out.where(F.col("perplexity").isNull() & (F.col("n_symbols") > 0)).count() == 0
+
+
+def test_a_text_does_not_teach_its_copies(spark):
+    """Trusted text and its exact copies are scored by other texts only."""
+    rows = [(i, "en", f"common words of text number {i} and the end") for i in range(40)]
+    odd = "zq xj kv wq " * 20
+    rows += [(100 + i, "en", odd) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    out = {r["doc_id"]: r["perplexity"] for r in quality.classify(df, df).collect()}
+    assert min(out[100 + i] for i in range(5)) > 3 * max(out[i] for i in range(40))
+
+
 def test_odd_rows(spark):
     df = docs.odd(spark, "keep")
     out = quality.classify(df, df.where("lang = 'en'")).collect()
