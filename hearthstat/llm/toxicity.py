@@ -2,21 +2,27 @@
 
 Examples are a bounded sample of the labelled documents (EXAMPLES of each class, those
 with the smallest hashes of their ids), weighted back to the classes' sizes. The terms
-are the words that the two classes hold at significantly different rates; a text's
-weight for one is (1 + log tf) * idf, with document frequencies counted over all
-documents. Example vectors go into blocks of similar ones; for every term the index
-holds each block's highest weight. A text's terms bound the cosine that a block can
-reach, so after the blocks with the highest bounds only those are read that can still
-hold one of the K nearest: the result is exact, ties going to the smaller id.
-
-Neighbours vote with the inverse of their distance. The votes are turned into scores by
-the isotonic curve that the examples' own votes (each without itself) give, so that a
-score is a share of toxic documents. A text without any term has the share that such
+are all words of the examples; none is left out. A text's weight for one is
+(1 + log tf) * idf * relevance: document frequencies are counted over all documents, and
+the relevance says how far the term's rates in the two classes lie apart, 1 for the most
+of words, so that a few telling words weigh up against many others while copies of an
+example stay near it whatever their words.
+
+Example vectors go into blocks of similar ones; for every term the index holds each
+block's highest weight. A text's terms bound the cosine that a block can reach, so after
+the blocks with the highest bounds only those are read that can still hold one of the K
+nearest: the result is exact, ties going to the smaller id.
+
+Neighbours vote with the inverse square of their distance. The votes are turned into
+scores by the isotonic curve that the examples' own votes (each without itself) give, so
+that a score is a share of toxic documents; beyond the examples' votes the curve runs on
+to 0 at no vote and to 1 at all. A text without any term has the share that such
 examples have. Neighbours and their cosines are returned as evidence.
 
 A null or empty text has no terms; rows with a null id or label teach nothing; without
 examples of both classes, the score is the share of toxic ones, or 0 without any.
-Output columns replace input columns of the same name.
+Output columns replace input columns of the same name. The model, as large as the
+examples' texts, passes through the driver and is broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +42,7 @@ from hearthstat.llm.staging import small, stage
 from hearthstat.llm.texts import signed, slices, words
 
 #: The most examples of a class.
-EXAMPLES = 4000
-#: The most terms, least significance of one, and fewest examples that hold it.
-TERMS, SIGNIFICANT, FEWEST = 4096, 5.0, 4
+EXAMPLES = 2000
 K = 15
 #: Examples of a block, and blocks that are read to begin with.
 BLOCK, PROBED = 64, 4
@@ -73,25 +77,23 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _frequencies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """In how many of a task's texts each term occurs."""
-    total = None
+    vocabulary = shared.value
+    total = np.zeros(len(vocabulary), np.int64)
     for batch in batches:
-        vocabulary = shared.value
-        total = np.zeros(len(vocabulary), np.int64) if total is None else total
         for _, _, data, offsets in slices(batch.column(0)):
             total += np.bincount(_terms_of(data, offsets, vocabulary)[1], minlength=len(vocabulary))
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
 
 
 @dataclass(frozen=True)
 class Terms:
     vocabulary: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    weights: np.ndarray
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Terms and unit weights of each text."""
         doc, term, count = _terms_of(data, offsets, self.vocabulary)
-        weight = (1 + np.log(count)) * self.idf[term]
+        weight = (1 + np.log(count)) * self.weights[term]
         bounds = np.searchsorted(doc, np.arange(len(offsets)))
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -100,33 +102,39 @@ class Terms:
         return out
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of runs that start at `first` and are `n` long, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMax:
-    """An inverted index over unit vectors in blocks, with each term's highest weight in each block."""
+    """An inverted index over unit vectors in blocks, with each term's highest weight in each block that has it."""
 
     def __init__(self, ids: list[int], vectors: list[tuple], n_terms: int):
-        # Like next to like: by heaviest term, then the whole list of terms.
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), vectors[i][0].tolist()))
+        # Like next to like: by the heaviest terms, of which the first weighs most.
+        order = sorted(range(len(ids)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:4]].tolist())
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.blocks = -(-len(order) // BLOCK)
-        lengths = [len(vectors[i][0]) for i in order]
-        row = np.repeat(np.arange(len(order)), lengths)
+        row = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
         term = np.concatenate([*(vectors[i][0] for i in order), np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([*(vectors[i][1] for i in order), np.zeros(0)])
         by = np.argsort(term, kind="stable")
-        self.row, self.weight = row[by], weight[by]
-        self.block = self.row // BLOCK
-        self.first = np.searchsorted(term[by], np.arange(n_terms + 1))
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (term[by], self.block), self.weight)
+        self.row, self.weight, term = row[by], weight[by], term[by]
+        # An entry is a term in a block: its rows, and the highest weight among them.
+        entry = term * max(self.blocks, 1) + self.row // BLOCK
+        start = np.flatnonzero(np.diff(entry, prepend=-1))
+        self.start = np.append(start, len(entry))
+        self.block = (entry[start] % max(self.blocks, 1)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(term[start], np.arange(n_terms + 1))
         self.order = np.array(order)
 
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the marked blocks that share a term, and their cosines."""
-        scores = np.zeros(len(self.ids))
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            a, b = self.first[t], self.first[t + 1]
-            read = blocks[self.block[a:b]]
-            scores[self.row[a:b][read]] += w * self.weight[a:b][read]
+    def _scores(self, entries: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that share a term in these entries, and their cosines."""
+        n = self.start[entries + 1] - self.start[entries]
+        at = _runs(self.start[entries], n)
+        scores = np.bincount(self.row[at], self.weight[at] * np.repeat(weights, n), len(self.ids))
         rows = np.flatnonzero(scores > 0)
         return rows, np.round(scores[rows], 12)
 
@@ -136,7 +144,10 @@ class BlockMax:
         The blocks of the highest bounds are read first; then, at once, all others whose
         bound reaches the k-th cosine found in them.
         """
-        bound = weights @ self.most[terms]
+        n = self.first[terms + 1] - self.first[terms]
+        entries, weights = _runs(self.first[terms], n), np.repeat(weights, n)
+        block = self.block[entries]
+        bound = np.bincount(block, self.most[entries] * weights, self.blocks)
         best_rows, best = np.zeros(0, np.int64), np.zeros(0)
         unread = bound > 0
         for first in (True, False):
@@ -144,7 +155,8 @@ class BlockMax:
             if first and blocks.sum() > PROBED:
                 blocks = np.zeros(self.blocks, bool)
                 blocks[np.argpartition(-bound, PROBED)[:PROBED]] = True
-            rows, scores = self._scores(terms, weights, blocks)
+            own = blocks[block]
+            rows, scores = self._scores(entries[own], weights[own])
             unread &= ~blocks
             if without is not None:
                 other = self.ids[rows] != without
@@ -169,13 +181,14 @@ class Model:
 
     def vote(self, vector: tuple, without: int | None = None) -> tuple[float, list[int], list[float]]:
         rows, cosines = self.index.nearest(*vector, K, without)
-        force = self.masses[rows] / np.maximum(1 - cosines, NEAREST)
+        force = self.masses[rows] / np.maximum(1 - cosines, NEAREST) ** 2
         unit = PRIOR * self.masses.mean() if len(self.masses) else PRIOR
         vote = (force @ self.labels[rows] + unit * self.share) / (force.sum() + unit)
         return float(vote), self.index.ids[rows].tolist(), cosines.tolist()
 
     def score(self, vote: float) -> float:
-        return float(np.interp(vote, *self.curve)) if len(self.curve[0]) else vote
+        x, y = self.curve
+        return float(np.interp(vote, [0.0, *x, 1.0], [0.0, *y, 1.0])) if len(x) else vote
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray, masses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +211,8 @@ def _vectors(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             own = shared.value.vectors(data, offsets)
             part = batch.slice(begin, end - begin)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([t.tolist() for t, _ in own], pa.list_(pa.int32())),
-                 pa.array([w.tolist() for _, w in own], pa.list_(pa.float64()))],
+                [part.column(0), part.column(1), pa.array([t.astype(np.int64).tobytes() for t, _ in own], pa.binary()),
+                 pa.array([w.tobytes() for _, w in own], pa.binary())],
                 ["doc_id", "toxic", "terms", "weights"],
             )
 
@@ -208,7 +221,7 @@ def _votes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     for batch in batches:
         model: Model = shared.value
         rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-        votes = [model.vote((np.array(t), np.array(w)), without=i)[0] for i, t, w in rows]
+        votes = [model.vote((np.frombuffer(t, np.int64), np.frombuffer(w)), without=i)[0] for i, t, w in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["doc_id", "vote"])
 
 
@@ -229,33 +242,28 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     share = mass.get(1, 0.0) * taken.get(1, 0) / total if total else 0.0
 
     n1, n0 = taken.get(1, 0), taken.get(0, 0)
-    vocabulary = np.zeros(0, np.uint64)
+    vocabulary, weights = np.zeros(0, np.uint64), np.zeros(0)
     if n1 and n0:
         held = examples.select("toxic", "text").mapInArrow(_distinct_words, "toxic int, term long")
-        counts = held.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        chosen = counts.where(F.col("a") + F.col("b") >= FEWEST).withColumn("z", _significance(n1, n0))
-        chosen = chosen.where(F.col("z") >= SIGNIFICANT).orderBy(F.col("z").desc(), "term").limit(TERMS).collect()
-        vocabulary = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
-    n_docs = docs.count()
-    found = np.zeros(len(vocabulary))
-    if len(vocabulary):
-        partial_counts = docs.select("text").mapInArrow(
-            partial(_frequencies, shared=spark.sparkContext.broadcast(vocabulary)), "i int, n long"
-        )
-        for i, n in partial_counts.groupBy("i").agg(F.sum("n")).collect():
-            found[i] = n
-    terms = Terms(vocabulary, np.log((1 + n_docs) / (1 + found)) + 1)
+        counts = held.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).toArrow()
+        hashes = counts.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        vocabulary = hashes[order]
+        apart = relevance(*(counts.column(c).to_numpy()[order] for c in "ab"), n1, n0)
+        found = _frequency(docs, vocabulary)
+        weights = (np.log((1 + docs.count()) / (1 + found)) + 1) * apart
+    terms = Terms(vocabulary, weights)
 
     rows = examples.mapInArrow(
         partial(_vectors, shared=spark.sparkContext.broadcast(terms)),
-        "doc_id long, toxic int, terms array<int>, weights array<double>",
+        "doc_id long, toxic int, terms binary, weights binary",
     )
     rows = stage(rows)
-    bare = {r[0]: r[1] for r in rows.where(F.size("terms") == 0).groupBy("toxic").count().collect()}
+    bare = {r[0]: r[1] for r in rows.where("length(terms) = 0").groupBy("toxic").count().collect()}
     bare_total = sum(mass[y] * n for y, n in bare.items())
     bare_share = mass.get(1, 0.0) * bare.get(1, 0) / bare_total if bare_total else share
-    kept = rows.where(F.size("terms") > 0).orderBy("doc_id").collect()
-    vectors = [(np.array(r["terms"]), np.array(r["weights"])) for r in kept]
+    kept = rows.where("length(terms) > 0").orderBy("doc_id").collect()
+    vectors = [(np.frombuffer(r["terms"], np.int64), np.frombuffer(r["weights"])) for r in kept]
     index = BlockMax([r["doc_id"] for r in kept], vectors, len(vocabulary))
     by_row = [kept[i]["toxic"] for i in index.order.tolist()]
     labels_by_row = np.array(by_row, float)
@@ -263,20 +271,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(terms, index, labels_by_row, masses, share, bare_share, (np.zeros(0), np.zeros(0)))
     if not kept:
         return model
-    asked = rows.where(F.size("terms") > 0).select("doc_id", "terms", "weights").repartition(32, "doc_id")
+    asked = rows.where("length(terms) > 0").select("doc_id", "terms", "weights").repartition(32, "doc_id")
     voted = asked.mapInArrow(partial(_votes, shared=spark.sparkContext.broadcast(model)), "doc_id long, vote double")
     votes = {r[0]: r[1] for r in voted.collect()}
     curve = isotonic(np.array([votes[i] for i in index.ids.tolist()]), labels_by_row, masses)
     return Model(terms, index, labels_by_row, masses, share, bare_share, curve)
 
 
-def _significance(n1: int, n0: int) -> Column:
-    """How far a term's rates in the two classes lie apart: the root of chi squared, corrected for small counts."""
-    a, b = F.col("a"), F.col("b")
-    n, held = n1 + n0, a + b
-    apart = F.greatest(F.abs(a * n0 - b * n1) - n / 2, F.lit(0.0))
-    rest = F.greatest(F.lit(n) - held, F.lit(1))
-    return apart * F.sqrt(F.lit(float(n)) / (held.cast("double") * rest * float(n1) * float(n0)))
+def _frequency(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How many documents hold each term; tasks' counts are added up in a tree."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    counted = docs.select("text").mapInArrow(partial(_frequencies, shared=shared), "n binary")
+    return counted.rdd.map(lambda r: np.frombuffer(r["n"], np.int64)).treeReduce(np.add, 3)
+
+
+def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How far a term's rates in the two classes lie apart: the root of chi squared, corrected for small counts, at least 1."""
+    n, held = float(n1 + n0), a + b
+    apart = np.maximum(np.abs(a * float(n0) - b * float(n1)) - n / 2, 0)
+    return np.maximum(apart * np.sqrt(n / (held * np.maximum(n - held, 1.0) * n1 * n0)), 1.0)
 
 
 def _judged(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,59 @@ def test_toxic_texts_are_found(spark):
     assert all(r["evidence"] and r["evidence"][0] % 6 == 0 for r in out if r["predicted"])
 
 
+def test_near_copies_of_examples_with_words_of_their_own_are_found(spark):
+    """Each toxic example has insults that no other text has; no term is too rare to count."""
+    rnd = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        w = docs.words(rnd, rnd.randrange(30, 60), 3000)
+        if i >= 300:
+            w[rnd.randrange(len(w))] = f"insult{i}"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i >= 300)))
+        if i % 3 == 0 or i >= 300:
+            near = list(w)
+            near[rnd.randrange(len(w))] = "changed"
+            rows.append((1000 + i, " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = toxicity.score(df, toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert all(got[1000 + i]["predicted"] == 1 for i in range(300, 400))
+    assert all(got[1000 + i]["predicted"] == 0 for i in range(0, 300, 3))
+    assert all(got[1000 + i]["evidence"][0] == i for i in (*range(0, 300, 3), *range(300, 400)))
+
+
+def test_cosines_from_texts_equal_plain_python(spark):
+    """All words of the examples, frequencies over all documents."""
+    df, labels = corpus(spark, 150)
+    model = toxicity.learn(df, labels)
+    rows = {r["doc_id"]: r["text"].lower().rstrip(".").split() for r in df.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.dropna().collect() if r["doc_id"] in rows}
+    vocabulary = sorted({w for i in known for w in rows[i]})
+    holds = {w: [sum(w in rows[i] for i, t in known.items() if t == y) for y in (1, 0)] for w in vocabulary}
+    n1 = sum(known.values())
+    n0 = len(known) - n1
+    weight = {}
+    for w, (a, b) in holds.items():
+        n = n1 + n0
+        apart = max(abs(a * n0 - b * n1) - n / 2, 0)
+        z = apart * (n / ((a + b) * max(n - a - b, 1) * n1 * n0)) ** 0.5
+        weight[w] = (np.log((1 + len(rows)) / (1 + sum(w in x for x in rows.values()))) + 1) * max(z, 1)
+
+    def vector(text):
+        v = {w: (1 + np.log(text.count(w))) * weight[w] for w in set(text) if w in weight}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    examples = {i: vector(rows[i]) for i in known}
+    for r in toxicity.score(df, model).collect():
+        own = vector(rows[r["doc_id"]])
+        cosines = {i: sum(x * e.get(w, 0.0) for w, x in own.items()) for i, e in examples.items()}
+        best = sorted((-round(c, 12), i) for i, c in cosines.items() if c > 0)[:15]
+        assert r["cosines"] == pytest.approx([-c for c, _ in best], abs=1e-9)
+        assert [i for i, c in zip(r["evidence"], r["cosines"]) if c > 0.5] == [i for c, i in best if -c > 0.5]
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     df, labels = corpus(spark, 300)
     one = toxicity.score(df, toxicity.learn(df, labels)).select("doc_id", "score").collect()
