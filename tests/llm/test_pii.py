@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,16 +91,53 @@ def test_bootstrapping_against_loops(spark):
     assert all(got[p] == pytest.approx(expected[p]) for p in got)
 
 
+def spans(df):
+    return {r["doc_id"]: [(s["kind"], s["s"], s["e"]) for s in r["spans"]] for r in pii.find(df).collect()}
+
+
 def test_contexts_find_unseen_identifiers(spark):
     texts = [f"Call him. His phone: +1 (555) 010-{i:04d} please" for i in range(20)]
-    texts += ["Call him. His phone: 0049/555-0199x please", "The year 20240 was good", "phone 555-0199"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    df = df.unionByName(spark.createDataFrame([(99, "+1 (555) 010-4444 190.137.223.7 and")], df.schema))
-    out = {r["doc_id"]: [(s["kind"], s["s"], s["e"]) for s in r["spans"]] for r in pii.find(df).collect()}
-    assert all(len(out[i]) == 1 for i in range(20))
-    assert out[21] == out[22] == []
-    # Too many digits for a phone number, but what stands after "+0 (000) " elsewhere always is one.
-    assert ("id", 9, 17) in out[99]
+    texts += ["His phone: 0049/555-0199x", "His phone: 555-0199", "The year 20240 was good", "phones 555-0199"]
+    texts += [f"write to the address bob{'abcdefghijklmnopqrst'[i]}@example.org soon" for i in range(20)]
+    texts += ["write to the address bobzz(at)xorg", "our home address is 12 Street"]
+    out = spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(len(out[i]) == 1 for i in (*range(20), *range(24, 44)))
+    assert out[20] == [("id", 11, 25)] and out[21] == [("id", 11, 19)]
+    assert out[22] == out[23] == out[45] == []
+    assert out[44] == [("id", 21, 34)]
+
+
+def test_values_of_other_contexts_teach_further_ones(spark):
+    """Words of any length are contexts; what a trusted context holds makes another one trusted."""
+    word = "account" * 9
+    texts = [f"{word}: x{i}@example.org, done" for i in range(30)]
+    texts += [f"{word}: key#{i}" for i in range(10)]
+    texts += [f"token key#{i} ok" for i in range(10)] + ["token key#99 ok", "other key#98 ok"]
+    out = spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(out[30 + i] == [("id", 65, 70)] for i in range(10))
+    assert out[50] == [("id", 6, 12)] and out[51] == []
+
+
+def test_a_slot_that_mostly_holds_other_things_finds_nothing(spark):
+    texts = [f"call 10.0.0.{i} now" for i in range(10)] + [f"call 7{i}x now" for i in range(40)]
+    out = spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(len(out[i]) == (i < 10) for i in range(50))
+
+
+def test_many_mentions_in_one_text_are_linear(spark):
+    """200,000 mentions and as many known forms, in seconds."""
+    texts = ["id 12345678 " * 200_000, "a@b.c " * 100_000, "10.0.0.1 x9 " * 60_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    start = time.perf_counter()
+    got = {r["doc_id"]: r["n"] for r in pii.find(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got[0] == 0 and got[1] == 100_000 and got[2] >= 60_000
+    assert time.perf_counter() - start < 120
+
+
+def test_hostile_tokens(spark):
+    texts = ["a-" * 30_000, "(" * 30_000 + "a1", "a" * 50_000 + "1", "-" * 40_000, "a." * 30_000 + "9" + "." * 30_000]
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(out) == 5
 
 
 def test_odd_rows(spark):
