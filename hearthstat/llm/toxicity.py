@@ -46,6 +46,8 @@ EXAMPLES = 2000
 K = 15
 #: Examples of a block, and blocks that are read to begin with.
 BLOCK, PROBED = 64, 4
+#: Examples that hold a term at least for it to be a column, and cosines that are worked on at once.
+FREQUENT, CELLS = 64, 1 << 20
 #: Neighbours nearer than this vote as if this far; votes start from PRIOR votes for the overall share.
 NEAREST, PRIOR = 0.05, 1.0
 
@@ -109,7 +111,11 @@ def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMax:
-    """An inverted index over unit vectors in blocks, with each term's highest weight in each block that has it."""
+    """An inverted index over unit vectors in blocks, with each frequent term's highest weight in each block.
+
+    Terms of many examples have their weights as columns of a matrix, as most blocks hold
+    them; the others have lists of rows, which are short.
+    """
 
     def __init__(self, ids: list[int], vectors: list[tuple], n_terms: int):
         # Like next to like: by the heaviest terms, of which the first weighs most.
@@ -119,54 +125,77 @@ class BlockMax:
         row = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
         term = np.concatenate([*(vectors[i][0] for i in order), np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([*(vectors[i][1] for i in order), np.zeros(0)])
+        size = np.bincount(term, minlength=n_terms)
+        frequent = np.flatnonzero(size > max(FREQUENT, len(order) // 16))
+        self.column = np.full(n_terms, -1)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = self.column[term] >= 0
+        self.matrix = np.zeros((self.blocks * BLOCK, len(frequent)))
+        self.matrix[row[dense], self.column[term[dense]]] = weight[dense]
+        self.most = self.matrix.reshape(self.blocks, BLOCK, len(frequent)).max(1).T if self.blocks else np.zeros((0, 0))
+        row, term, weight = row[~dense], term[~dense], weight[~dense]
         by = np.argsort(term, kind="stable")
-        self.row, self.weight, term = row[by], weight[by], term[by]
-        # An entry is a term in a block: its rows, and the highest weight among them.
-        entry = term * max(self.blocks, 1) + self.row // BLOCK
-        start = np.flatnonzero(np.diff(entry, prepend=-1))
-        self.start = np.append(start, len(entry))
-        self.block = (entry[start] % max(self.blocks, 1)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.first = np.searchsorted(term[start], np.arange(n_terms + 1))
-        self.order = np.array(order)
-
-    def _scores(self, entries: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that share a term in these entries, and their cosines."""
-        n = self.start[entries + 1] - self.start[entries]
-        at = _runs(self.start[entries], n)
-        scores = np.bincount(self.row[at], self.weight[at] * np.repeat(weights, n), len(self.ids))
-        rows = np.flatnonzero(scores > 0)
-        return rows, np.round(scores[rows], 12)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple:
-        """Rows and cosines of the k nearest examples, apart from the id `without`; only cosines over 0 count.
-
-        The blocks of the highest bounds are read first; then, at once, all others whose
-        bound reaches the k-th cosine found in them.
-        """
-        n = self.first[terms + 1] - self.first[terms]
-        entries, weights = _runs(self.first[terms], n), np.repeat(weights, n)
-        block = self.block[entries]
-        bound = np.bincount(block, self.most[entries] * weights, self.blocks)
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
+        self.row, self.weight = row[by], weight[by]
+        self.first = np.searchsorted(term[by], np.arange(n_terms + 1))
+        self.order = np.array(order, dtype=np.int64)
+
+    def nearest(self, vectors: list[tuple], k: int, without: list[int | None] | None = None) -> list[tuple]:
+        """For each vector the rows and cosines of its k nearest examples, apart from the id `without`; only cosines over 0 count."""
+        if not self.blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        out: list[tuple] = []
+        step = max(1, CELLS // (self.blocks * BLOCK))
+        for at in range(0, len(vectors), step):
+            out += self._some(vectors[at : at + step], k, without[at : at + step] if without else None)
+        return out
+
+    def _some(self, vectors: list[tuple], k: int, without: list[int | None] | None) -> list[tuple]:
+        """The blocks of the highest bounds are read first; then, at once, all others whose bound reaches the k-th cosine found."""
+        n, wide = len(vectors), self.blocks * BLOCK
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors])
+        weight = np.concatenate([w for _, w in vectors])
+        column = self.column[term]
+        asked = np.zeros((n, self.matrix.shape[1]))
+        asked[doc[column >= 0], column[column >= 0]] = weight[column >= 0]
+        # Rows of rare terms are few and read at once.
+        rare = column < 0
+        sizes = self.first[term[rare] + 1] - self.first[term[rare]]
+        at = _runs(self.first[term[rare]], sizes)
+        cells = np.repeat(doc[rare] * wide, sizes) + self.row[at]
+        scores = np.bincount(cells, self.weight[at] * np.repeat(weight[rare], sizes), n * wide)
+        scores = scores.reshape(n, self.blocks, BLOCK)
+        bound = asked @ self.most + scores.max(2)
         unread = bound > 0
+        found = np.full((n, wide), -1.0)
+        taken = np.full((n, 1), -np.inf)
         for first in (True, False):
-            blocks = unread & (bound >= (best[-1] - 1e-9 if len(best) == k else 0))
-            if first and blocks.sum() > PROBED:
-                blocks = np.zeros(self.blocks, bool)
-                blocks[np.argpartition(-bound, PROBED)[:PROBED]] = True
-            own = blocks[block]
-            rows, scores = self._scores(entries[own], weights[own])
+            blocks = unread & (bound >= taken - 1e-9)
+            if first and self.blocks > PROBED:
+                near = np.argpartition(-bound, PROBED, axis=1)[:, :PROBED]
+                probed = np.zeros_like(blocks)
+                np.put_along_axis(probed, near, True, axis=1)
+                blocks &= probed
+            for b in np.flatnonzero(blocks.any(0)).tolist():
+                rows = np.flatnonzero(blocks[:, b])
+                own = slice(b * BLOCK, (b + 1) * BLOCK)
+                found[rows, own] = np.round(scores[rows, b] + asked[rows] @ self.matrix[own].T, 12)
             unread &= ~blocks
-            if without is not None:
-                other = self.ids[rows] != without
-                scores, rows = scores[other], rows[other]
-            rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, scores])
-            top = np.lexsort((self.ids[rows], -scores))[:k]
-            best_rows, best = rows[top], scores[top]
-            if not unread.any():
-                break
-        return best_rows, best
+            if first:
+                for i, other in enumerate(without or []):
+                    found[i, np.flatnonzero(self.ids == other)] = -1.0
+                if wide > k:
+                    taken = np.partition(found, -k, axis=1)[:, -k, None]
+                taken = np.where(taken > 0, taken, -np.inf)
+        for i, other in enumerate(without or []):
+            found[i, np.flatnonzero(self.ids == other)] = -1.0
+        out = []
+        last = np.partition(found, -k, axis=1)[:, -k] if wide > k else np.full(n, -1.0)
+        for i in range(n):
+            rows = np.flatnonzero((found[i] > 0) & (found[i] >= last[i]))
+            top = rows[np.lexsort((self.ids[rows], -found[i, rows]))][:k]
+            out.append((top, found[i, top]))
+        return out
 
 
 @dataclass(frozen=True)
@@ -179,12 +208,15 @@ class Model:
     bare: float  # of toxic documents among those without a term
     curve: tuple[np.ndarray, np.ndarray]  # votes and the scores that they stand for
 
-    def vote(self, vector: tuple, without: int | None = None) -> tuple[float, list[int], list[float]]:
-        rows, cosines = self.index.nearest(*vector, K, without)
-        force = self.masses[rows] / np.maximum(1 - cosines, NEAREST) ** 2
+    def votes(self, vectors: list[tuple], without: list[int | None] | None = None) -> list[tuple[float, list[int], list[float]]]:
+        """For each vector the vote, the nearest examples' ids and their cosines."""
         unit = PRIOR * self.masses.mean() if len(self.masses) else PRIOR
-        vote = (force @ self.labels[rows] + unit * self.share) / (force.sum() + unit)
-        return float(vote), self.index.ids[rows].tolist(), cosines.tolist()
+        out = []
+        for rows, cosines in self.index.nearest(vectors, K, without):
+            force = self.masses[rows] / np.maximum(1 - cosines, NEAREST) ** 2
+            vote = (force @ self.labels[rows] + unit * self.share) / (force.sum() + unit)
+            out.append((float(vote), self.index.ids[rows].tolist(), cosines.tolist()))
+        return out
 
     def score(self, vote: float) -> float:
         x, y = self.curve
@@ -220,8 +252,9 @@ def _vectors(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
 def _votes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         model: Model = shared.value
-        rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-        votes = [model.vote((np.frombuffer(t, np.int64), np.frombuffer(w)), without=i)[0] for i, t, w in rows]
+        ids, terms, weights = (batch.column(i).to_pylist() for i in range(3))
+        vectors = [(np.frombuffer(t, np.int64), np.frombuffer(w)) for t, w in zip(terms, weights)]
+        votes = [vote for vote, _, _ in model.votes(vectors, without=ids)] if ids else []
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["doc_id", "vote"])
 
 
@@ -299,8 +332,7 @@ def _judged(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         for begin, end, data, offsets in slices(batch.column(names.index("text"))):
             part = batch.slice(begin, end - begin)
             scores, ids, cosines = [], [], []
-            for vector in model.terms.vectors(data, offsets):
-                vote, near, cos = model.vote(vector) if len(vector[0]) else (None, [], [])
+            for vote, near, cos in model.votes(model.terms.vectors(data, offsets)):
                 scores.append(model.bare if not near else model.score(vote))
                 ids.append(near)
                 cosines.append(cos)

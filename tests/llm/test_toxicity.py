@@ -16,9 +16,10 @@ def vectors(rnd, n, terms=30):
     return out
 
 
-@pytest.mark.parametrize("block", [4, 64])
-def test_nearest_are_exact(monkeypatch, block):
-    monkeypatch.setattr(toxicity, "BLOCK", block)
+@pytest.mark.parametrize("block, frequent, cells", [(4, 1000, 1 << 20), (64, 64, 1 << 20), (4, 20, 900), (16, 0, 1)])
+def test_nearest_are_exact(monkeypatch, block, frequent, cells):
+    for name, value in (("BLOCK", block), ("FREQUENT", frequent), ("CELLS", cells)):
+        monkeypatch.setattr(toxicity, name, value)
     rnd = np.random.default_rng(block)
     examples = vectors(rnd, 300)
     examples += examples[:40]  # ties
@@ -26,15 +27,17 @@ def test_nearest_are_exact(monkeypatch, block):
     dense = np.zeros((len(examples), 30))
     for i, (t, w) in enumerate(examples):
         dense[i, t] = w
-    for t, w in vectors(rnd, 60):
-        q = np.zeros(30)
-        q[t] = w
-        scores = np.round(dense @ q, 12)
-        for without in (None, int(scores.argmax())):
-            order = [i for i in np.lexsort((np.arange(len(scores)), -scores)) if scores[i] > 0 and i != without][:15]
-            rows, cosines = index.nearest(t, w, 15, without)
-            assert cosines == pytest.approx(scores[order], abs=1e-9)
-            assert index.ids[rows].tolist() == [int(i) for i in order]
+    asked = [*vectors(rnd, 60), (np.zeros(0, np.int64), np.zeros(0))]
+    every = np.zeros((len(asked), 30))
+    for i, (t, w) in enumerate(asked):
+        every[i, t] = w
+    scores = np.round(dense @ every.T, 12).T
+    for without in (None, scores.argmax(1).tolist()):
+        for i, (rows, cosines) in enumerate(index.nearest(asked, 15, without)):
+            other = None if without is None else without[i]
+            order = [j for j in np.lexsort((np.arange(len(examples)), -scores[i])) if scores[i, j] > 0 and j != other][:15]
+            assert cosines == pytest.approx(scores[i, order], abs=1e-9)
+            assert index.ids[rows].tolist() == [int(j) for j in order]
 
 
 def test_isotonic_curve():
