@@ -19,9 +19,13 @@ texts never turns into all its pairs:
    the most keys with others (the original of a family of copies), which is linear;
 2. the linked are joined into components; a key whose texts are all in one is done;
 3. the texts of the other keys, with those that they share such keys with, make groups.
-   In each group every text outside its largest component is compared with all the
-   group's texts, block by block inside tasks, which only return who is connected to
-   whom. Any link between two components is found, as one of its texts is outside.
+   In each group the signature of every text outside its largest component is compared
+   with those of all the group's texts, block by block inside tasks, and so are sketches
+   of 128 further minima, which near sets miss with odds of 4e-6. Only texts with
+   a near one in another component go on. Their full sets are compared in the same blocks
+   by tasks that only return who is connected to whom. Any link between two components
+   is found, as one of its texts is outside. So texts that share a template, and with it
+   keys, but are not near, cost a few bytes each and never meet in full.
 
 Nulls: a null or wordless text has an empty set and links with nothing; a row without
 an id keeps its set size and gets a null component. Rows that repeat an id are one
@@ -48,6 +52,8 @@ CHUNKS, PARTS, BITS = 6, 4, 16
 NEAR = CHUNKS * 2 - 1
 #: Texts of a block in the last round, and shingles compared at once.
 BLOCK, SHARED = 256, 4096
+#: Minima of 8 bits of a text's sketch, and standard deviations by which two near sets' may agree less than expected.
+SKETCH, DEVIATIONS = 128, 4.5
 
 _FACTORS = seeds(CHUNKS * PARTS, 2) | np.uint64(1)
 _SHIFTS = seeds(CHUNKS * PARTS, 3)
@@ -91,6 +97,17 @@ def signatures(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows of SKETCH minima of 8 bits."""
+    full = np.flatnonzero(np.diff(place))
+    out = np.zeros((len(place) - 1, SKETCH), np.uint8)
+    if len(full):
+        for i, (factor, shift) in enumerate(zip(seeds(SKETCH, 6) | np.uint64(1), seeds(SKETCH, 7))):
+            x = hashes * factor + shift
+            out[full, i] = mix(np.minimum.reduceat(x ^ (x >> np.uint64(32)), place[full])) >> np.uint64(56)
+    return out
+
+
 def _signed_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, end, data, offsets in slices(batch.column(1)):
@@ -110,7 +127,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         for begin, end, data, offsets in slices(batch.column(1)):
             hashes, place = _distinct(*shingles(data, offsets, size))
             sets = pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(signed(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), sets], ["node", "shingles"])
+            own = pa.array([x.tobytes() for x in sketches(hashes, place)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), sets, own], ["node", "shingles", "sketch"])
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -174,7 +192,40 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(node[root[used]])], ["a", "b"])
 
 
-def _rest(filed: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The texts of each piece of work that have a near signature in another component on the other side."""
+    for run in runs(batches, 3):
+        side, node, component = (run.column(c).to_numpy() for c in (3, 4, 5))
+        parts = np.stack([run.column(c).to_numpy() for c in range(6, 6 + CHUNKS)], axis=1).astype(np.int64).view(np.uint16)
+        sketch = np.frombuffer(b"".join(run.column(6 + CHUNKS).to_pylist()), np.uint8).reshape(len(node), SKETCH)
+        share = percent / 100
+        least = SKETCH * share - DEVIATIONS * (SKETCH * share * (1 - share)) ** 0.5
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        keep = np.zeros(len(node), bool)
+        for at in range(0, len(right), BLOCK):
+            some = right[at : at + BLOCK]
+            differ = (parts[left][:, None, :] != parts[some][None, :, :]).sum(2)
+            a, b = np.nonzero((differ <= NEAR) & (component[left][:, None] != component[some][None, :]))
+            for at_pair in range(0, len(a), 1 << 16):
+                x, y = left[a[at_pair : at_pair + (1 << 16)]], some[b[at_pair : at_pair + (1 << 16)]]
+                alike = (sketch[x] == sketch[y]).sum(1) >= least
+                keep[x[alike]] = keep[y[alike]] = True
+        kept = run.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays(kept.columns[:5], ["s", "i", "j", "side", "node"])
+
+
+def _near_work(work: DataFrame, placed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the work (s, i, j, side, node) what signatures and sketches leave to be compared in full."""
+    keys = ["s", "i", "j"]
+    known = placed.select("node", "component").distinct().join(nodes.select("node", *_SIGNATURE), "node")
+    known = known.join(sets.select("node", "sketch"), "node")
+    asked = work.join(known, "node").select(*keys, "side", "node", "component", *_SIGNATURE, "sketch")
+    asked = asked.repartition(*keys).sortWithinPartitions(*keys)
+    kind = dict(work.dtypes)
+    return asked.mapInArrow(partial(_near, percent=percent), ", ".join(f"{c} {kind[c]}" for c in (*keys, "side", "node"))).distinct()
+
+
+def _rest(filed: DataFrame, group: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Further links, between components that share a key; None if no key has several."""
     own = stage(filed.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = own.groupBy("v", "k").agg(F.min("component").alias("m0"), F.max("component").alias("m1"))
@@ -200,6 +251,7 @@ def _rest(filed: DataFrame, group: DataFrame, sets: DataFrame, percent: int) ->
         placed.select("s", every("gx").alias("i"), mine("gy").alias("j"), F.lit(1).alias("side"), "node")
     )
     keys = ["s", "i", "j"]
+    work = stage(_near_work(work, placed, known, sets, percent))
     work = work.join(sets, "node").select(*keys, "side", "node", "shingles").repartition(*keys)
     work = work.sortWithinPartitions(*keys)
     return stage(work.mapInArrow(partial(_compared, percent=percent), "a long, b long"))
@@ -232,10 +284,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     )
     wanted = small(stage(company.select(F.col("node").alias("doc_id"))))
     # An id of several rows has a set for each.
-    sets = stage(docs.join(wanted, "doc_id").mapInArrow(partial(_sets, size=size), "node long, shingles array<long>"))
+    sets = stage(docs.join(wanted, "doc_id").mapInArrow(partial(_sets, size=size), "node long, shingles array<long>, sketch binary"))
     links = stage(_linked(tried, sets, percent).distinct())
     group = components(links)
-    more = _rest(filed, group, sets, percent)
+    more = _rest(filed, group, nodes, sets, percent)
     if more is not None:
         # Only whole components are still to be joined.
         ends = more

@@ -64,6 +64,28 @@ def test_near_signatures_share_a_key():
         assert differs.reshape(minhash.CHUNKS, minhash.PARTS).sum(1).min() <= 1
 
 
+def test_texts_of_a_template_do_not_meet_in_full(spark, monkeypatch):
+    """Half of each text is common: they share keys, but signatures tell them apart."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rnd = random.Random(11)
+    common = docs.words(rnd, 60)
+    texts = [" ".join([*common, *docs.words(rnd, 60, 10**6)]) for _ in range(400)]
+    texts += family(rnd, 25, 14) + family(rnd, 25, 9)
+    met = []
+    plain = minhash._near_work
+
+    def counted(work, *rest):
+        out = plain(work, *rest).cache()
+        met.append((work.count(), out.select("node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(minhash, "_near_work", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert answers(minhash.near_duplicates(df, 85)) == brute(texts, 85)
+    ((asked, left),) = met
+    assert asked > 800 and left <= 50
+
+
 def test_signature_is_an_estimate():
     rnd = np.random.default_rng(2)
     errors = []
