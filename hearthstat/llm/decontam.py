@@ -1,8 +1,10 @@
 """Benchmark decontamination: an FM-index for each shard of training texts, searched for the benchmark's windows.
 
 A window is `size` consecutive words of an item, or the whole of a shorter item.
-Items go to the tasks in blocks of at most BLOCK_WORDS words (usually one), so what
-is broadcast stays bounded. A shard is the few megabytes of a task's rows that are
+Items go to the tasks in blocks of at most BLOCK_WORDS words (or one item), usually one
+block. Further ones are searched for in passes of their own, one after the other, each
+over a staged table of the documents with the words hit so far; so the driver and the
+tasks hold one block at a time, however large the benchmark is. A shard is the few megabytes of a task's rows that are
 in memory anyway: its words become symbols, where all words that no item of the
 block has are one separator, as no window can reach over them; for the same reason
 stretches shorter than the shortest window are left out. Windows are searched
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthstat.llm.fmindex import FMIndex
+from hearthstat.llm.staging import stage
 from hearthstat.llm.texts import slices, word_table, words
 
 #: All but digits, letters and what lies beyond ASCII separates words.
@@ -35,6 +38,8 @@ WORDS[ord("A") : ord("Z") + 1] = True  # lower-cased before they are cut
 BLOCK_WORDS = 1_000_000
 
 ADDED = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>"
+#: What a pass leaves to the next one: stretches of words hit, and items.
+SO_FAR = "_hit array<struct<a:int,b:int>>, _items array<long>"
 
 
 def blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -106,46 +111,88 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _scan_slice(data: np.ndarray, offsets: np.ndarray, windows: list[Windows]) -> tuple:
-    """Per text: words, hit words, items, spans in bytes of the text."""
-    starts, ends, hashes, first = words(data, offsets, WORDS)
-    n_docs = len(offsets) - 1
-    doc = np.repeat(np.arange(n_docs), np.diff(first))
-    change = np.zeros(len(starts) + 1, np.int64)
-    items: list[set] = [set() for _ in range(n_docs)] if windows else [()] * n_docs
-    for block in windows:
-        word, window = block.find(hashes, doc)
-        np.add.at(change, word, 1)
-        np.add.at(change, word + block.lengths[window], -1)
+def _edges(hit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last words of the stretches that are hit."""
+    same = doc[1:] == doc[:-1]
+    before = np.concatenate([[False], hit[:-1] & same])[: len(hit)]
+    after = np.concatenate([hit[1:] & same, [False]])[-len(hit) :] if len(hit) else before
+    return np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+
+
+class Found:
+    """The words of a slice's texts, which of them are hit, and by which items."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.offsets = offsets
+        self.starts, self.ends, self.hashes, self.first = words(data, offsets, WORDS)
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.change = np.zeros(len(self.starts) + 1, np.int64)
+        self.items: list[set] = [set() for _ in range(len(offsets) - 1)]
+
+    def recall(self, hit: list, items: list) -> None:
+        """What earlier passes have found."""
+        for d, (own, known) in enumerate(zip(hit, items)):
+            self.items[d].update(known or ())
+            for stretch in own or ():
+                self.change[self.first[d] + stretch["a"]] += 1
+                self.change[self.first[d] + stretch["b"]] -= 1
+
+    def search(self, block: Windows) -> None:
+        word, window = block.find(self.hashes, self.doc)
+        np.add.at(self.change, word, 1)
+        np.add.at(self.change, word + block.lengths[window], -1)
         n = block.first[window + 1] - block.first[window]
         owner = block.owners[np.repeat(block.first[window], n) + _spread(n)]
-        pairs = np.unique(np.repeat(doc[word], n) * len(block.ids) + owner)
+        pairs = np.unique(np.repeat(self.doc[word], n) * len(block.ids) + owner)
         for d, i in zip((pairs // len(block.ids)).tolist(), (pairs % len(block.ids)).tolist()):
             if block.ids[i] is not None:
-                items[d].add(block.ids[i])
-    hit = np.cumsum(change)[:-1] > 0
-    total = np.concatenate([[0], np.cumsum(hit)])
-    edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (doc[1:] == doc[:-1])]))
-    after = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (doc[1:] == doc[:-1]), [False]]))
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for d, a, b in zip(doc[edge].tolist(), starts[edge].tolist(), ends[after].tolist()):
-        base = int(offsets[d])
-        spans.setdefault(d, []).append((a - base, b - base))
-    return np.diff(first), np.diff(total[first]), items, spans
-
-
-def _scan(batches: Iterator[pa.RecordBatch], shared: list, size: int, cut: bool) -> Iterator[pa.RecordBatch]:
+                self.items[d].add(block.ids[i])
+
+    @property
+    def hit(self) -> np.ndarray:
+        return np.cumsum(self.change)[:-1] > 0
+
+    def stretches(self) -> list[list[dict]]:
+        """Per text, from and to which of its words it is hit."""
+        out: list[list[dict]] = [[] for _ in self.items]
+        for a, b in zip(*(x.tolist() for x in _edges(self.hit, self.doc))):
+            d = int(self.doc[a])
+            out[d].append({"a": a - int(self.first[d]), "b": b + 1 - int(self.first[d])})
+        return out
+
+    def spans(self) -> dict[int, list[tuple[int, int]]]:
+        """By text, the hit stretches in bytes."""
+        spans: dict[int, list[tuple[int, int]]] = {}
+        edge, after = _edges(self.hit, self.doc)
+        for d, a, b in zip(self.doc[edge].tolist(), self.starts[edge].tolist(), self.ends[after].tolist()):
+            base = int(self.offsets[d])
+            spans.setdefault(d, []).append((a - base, b - base))
+        return spans
+
+
+def _scan(batches: Iterator[pa.RecordBatch], shared, size: int, cut: bool, last: bool) -> Iterator[pa.RecordBatch]:
     windows = None
     for batch in batches:
-        if windows is None:
-            windows = [Windows(*x.value, size) for x in shared]
-        where = batch.schema.get_field_index("text")
-        for begin, end, data, offsets in slices(batch.column(where)):
-            n_words, n_hit, items, spans = _scan_slice(data, offsets, windows)
+        if windows is None and shared is not None:
+            windows = Windows(*shared.value, size)
+        names = batch.schema.names
+        for begin, end, data, offsets in slices(batch.column(names.index("text"))):
             part = batch.slice(begin, end - begin)
-            out = {name: part.column(name) for name in part.schema.names}
-            points: list[list] = [[] for _ in n_words]
-            if spans:
+            found = Found(data, offsets)
+            if "_hit" in names:
+                found.recall(*(part.column(names.index(c)).to_pylist() for c in ("_hit", "_items")))
+            if windows is not None:
+                found.search(windows)
+            out = {name: part.column(i) for i, name in enumerate(names) if name not in ("_hit", "_items")}
+            items = pa.array([sorted(x) for x in found.items], pa.list_(pa.int64()))
+            if not last:
+                out["_hit"] = pa.array(found.stretches(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+                out["_items"] = items
+                yield pa.RecordBatch.from_pydict(out)
+                continue
+            total = np.concatenate([[0], np.cumsum(found.hit)])
+            points: list[list] = [[] for _ in found.items]
+            if spans := found.spans():
                 texts = out["text"].to_pylist() if cut else None
                 for d, own in spans.items():
                     raw = data[offsets[d] : offsets[d + 1]]
@@ -157,8 +204,8 @@ def _scan(batches: Iterator[pa.RecordBatch], shared: list, size: int, cut: bool)
                         texts[d] = b"".join(kept).decode()
                 if cut:
                     out["text"] = pa.array(texts, pa.string())
-            out["n_words"], out["n_hit"] = pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())
-            out["items"] = pa.array([sorted(x) for x in items], pa.list_(pa.int64()))
+            out["n_words"] = pa.array(np.diff(found.first), pa.int64())
+            out["n_hit"], out["items"] = pa.array(np.diff(total[found.first]), pa.int64()), items
             out["spans"] = pa.array(
                 points, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             )
@@ -170,12 +217,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, cut: bool = Fals
 
     With `cut`, the spans are taken out of the text. `item_id` must be an integer.
     """
-    spark = docs.sparkSession
-    added = T._parse_datatype_string(ADDED)
-    docs = docs.drop(*added.names)
-    shared = [spark.sparkContext.broadcast(block) for block in blocks(benchmark)]
-    schema = T.StructType([*docs.schema, *added])
-    return docs.mapInArrow(partial(_scan, shared=shared, size=size, cut=cut), schema)
+    added, so_far = T._parse_datatype_string(ADDED), T._parse_datatype_string(SO_FAR)
+    docs = docs.drop(*added.names, *so_far.names)
+    columns = list(docs.schema)
+
+    def search(rows: DataFrame, block: tuple | None, last: bool) -> DataFrame:
+        shared = None if block is None else docs.sparkSession.sparkContext.broadcast(block)
+        step = partial(_scan, shared=shared, size=size, cut=cut, last=last)
+        return rows.mapInArrow(step, T.StructType([*columns, *(added if last else so_far)]))
+
+    waiting = None
+    for block in blocks(benchmark):
+        if waiting is not None:
+            docs = stage(search(docs, waiting, False))
+        waiting = block
+    return search(docs, waiting, True)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
