@@ -9,10 +9,13 @@ state is two tables in the shared folder:
   `min_docs` documents hold, and the few other keys that the filter mistakes for
   one of them. A filter with its exceptions therefore answers exactly.
 
-Documents are rewritten in one pass over them, asking the filters, which are
-broadcast in groups of bounded size (one pass for each group); no text is
-shuffled. Adding or removing documents puts in or takes out those keys whose
-count crosses `min_docs`.
+Where all filters together are small (FILTER_BYTES), they are broadcast and documents
+are rewritten in one pass, without a shuffle of text. Otherwise documents are dealt into
+chunks of about CHUNK_BYTES; a chunk sends its distinct keys to their shards, whose
+filters answer which of them go, and rewrites its texts by the answers. So a line that
+very many documents hold is asked for once a chunk, and no filter leaves its shard.
+Adding or removing documents puts in or takes out those keys whose count crosses
+`min_docs`; shards that this makes too large are parted into twice as many.
 
 A null text has one empty line and stays null; an empty line is never dropped;
 a text whose lines all go becomes empty. Repeated rows count as documents of
@@ -40,8 +43,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 #: Keys of one shard on average when a state is made.
 SHARD_KEYS = 250_000
-#: Bytes of filters and exceptions broadcast at once.
-GROUP_BYTES = 64 << 20
+#: The most bytes of filters and exceptions that are broadcast, and bytes of text in a chunk otherwise.
+FILTER_BYTES, CHUNK_BYTES = 64 << 20, 32 << 20
 
 COUNTS = "shard int, k1 long, k2 long, n long"
 FILTERS = "shard int, buckets int, slots binary, exceptions binary"
@@ -167,6 +170,7 @@ def _shard_filter(
 
 def change(state: State, docs: DataFrame, sign: int = 1) -> State:
     """The state after adding (1) or taking out (-1) documents."""
+    state = _parted(state)
     delta = line_counts(docs, state.min_chars).select(
         F.pmod(F.col("k2"), F.lit(state.shards)).cast("int").alias("shard"), "k1", "k2", (F.col("n") * sign).alias("n")
     )
@@ -184,6 +188,17 @@ def change(state: State, docs: DataFrame, sign: int = 1) -> State:
     return State(counts, filters, state.shards, state.min_docs, state.min_chars)
 
 
+def _parted(state: State) -> State:
+    """The same with twice as many shards as long as these hold too many keys on average; filters are then made anew."""
+    shards, keys = state.shards, state.counts.count()
+    while keys > 2 * SHARD_KEYS * shards:
+        shards *= 2
+    if shards == state.shards:
+        return state
+    counts = state.counts.withColumn("shard", F.pmod(F.col("k2"), F.lit(shards)).cast("int"))
+    return State(counts, state.filters.limit(0), shards, state.min_docs, state.min_chars)
+
+
 def _fill(key: tuple, rows: pd.DataFrame, held: pd.DataFrame, buckets: int, min_docs: int) -> pd.DataFrame:
     if not len(rows):
         return held
@@ -202,81 +217,130 @@ def build(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shards: int |
     return change(empty, docs, 1)
 
 
-def _drop(batches: Iterator[pa.RecordBatch], blocks, shards: int, least: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Mark the lines that the filters of some shards hold; in the last pass, take all marked ones out."""
+def _keys_of(batch: pa.RecordBatch) -> tuple[list[bytes], list[list[bytes]], bytes, np.ndarray]:
+    """Texts, their lines, the digests of the lines' keys, and the latter as pairs of numbers."""
+    raw = list(_texts(batch.column(batch.schema.get_field_index("text"))))
+    lines = [text.split(b"\n") for text in raw]
+    digests = b"".join(xxhash.xxh3_128_digest(line.lower().strip(WHITE)) for doc in lines for line in doc)
+    return raw, lines, digests, np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def _held(cuckoo: Cuckoo, exceptions: set[bytes], digests: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the digests, of whose first halves `keys` are made, the filter holds and not by mistake."""
+    found = cuckoo.holds(np.ascontiguousarray(keys).view(np.uint64))
+    found[found] = [digests[16 * i : 16 * i + 16] not in exceptions for i in np.flatnonzero(found).tolist()]
+    return found
+
+
+def _exceptions(blob: bytes) -> set[bytes]:
+    return {blob[i : i + 16] for i in range(0, len(blob), 16)}
+
+
+def _rewritten(batch: pa.RecordBatch, raw: list[bytes], lines: list[list[bytes]], gone: np.ndarray, least: int) -> dict:
+    """The batch's columns without the lines marked, but for lines too short to have a key."""
+    first = np.cumsum([0, *map(len, lines)])
+    for a, doc in zip(first.tolist(), lines):
+        for j in np.flatnonzero(gone[a : a + len(doc)]).tolist():
+            key = doc[j].lower().strip(WHITE)
+            gone[a + j] = bool(key) and _long_enough(key, least)
+    n_dropped = np.add.reduceat(gone, first[:-1], dtype=np.int64) if len(lines) else np.zeros(0, np.int64)
+    kept = [
+        b"\n".join(line for line, g in zip(doc, gone[a : a + len(doc)].tolist()) if not g) if d else text
+        for a, doc, text, d in zip(first.tolist(), lines, raw, n_dropped.tolist())
+    ]
+    null = batch.column(batch.schema.get_field_index("text")).is_null().to_pylist()
+    rest = {name: batch.column(name) for name in batch.schema.names if name not in ("text", "_chunk")}
+    return rest | {
+        "text": pa.array([None if x else t for t, x in zip(kept, null)], pa.binary()).cast(pa.string()),
+        "n_lines": pa.array(np.diff(first), pa.int64()), "n_dropped": pa.array(n_dropped),
+    }
+
+
+def _drop(batches: Iterator[pa.RecordBatch], blocks, shards: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Take out the lines that the broadcast filters hold."""
     held = None
     for batch in batches:
         if held is None:
-            held = {
-                s: (Cuckoo(n, slots), set(np.frombuffer(more, np.dtype("V16")).tolist()))
-                for s, n, slots, more in blocks.value
-            }
-        column = batch.schema.get_field_index("text")
-        raw = list(_texts(batch.column(column)))
-        lines = [text.split(b"\n") for text in raw]
-        digests = b"".join(xxhash.xxh3_128_digest(line.lower().strip(WHITE)) for doc in lines for line in doc)
-        pairs = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            held = {s: (Cuckoo(n, slots), _exceptions(more)) for s, n, slots, more in blocks.value}
+        raw, lines, digests, pairs = _keys_of(batch)
         shard = np.mod(pairs[:, 1], shards)
         gone = np.zeros(len(pairs), bool)
         for s, (cuckoo, exceptions) in held.items():
             at = np.flatnonzero(shard == s)
-            at = at[cuckoo.holds(np.ascontiguousarray(pairs[at, 0]).view(np.uint64))]
-            gone[at] = [digests[16 * i : 16 * i + 16] not in exceptions for i in at.tolist()]
-        first = np.cumsum([0, *map(len, lines)])
-        marked = batch.column(batch.schema.get_field_index("_gone")).to_pylist()
-        for i, (a, doc) in enumerate(zip(first.tolist(), lines)):
-            for j in np.flatnonzero(gone[a : a + len(doc)]).tolist():
-                key = doc[j].lower().strip(WHITE)
-                if not key or not _long_enough(key, least):
-                    gone[a + j] = False
-            gone[[a + j for j in marked[i] or ()]] = True
-        rest = {name: batch.column(name) for name in batch.schema.names if name not in ("text", "_gone")}
-        if not last:
-            where = [np.flatnonzero(gone[a : a + len(doc)]).tolist() for a, doc in zip(first.tolist(), lines)]
-            rest |= {"text": batch.column(column), "_gone": pa.array(where, pa.list_(pa.int32()))}
-        else:
-            n_dropped = np.add.reduceat(gone, first[:-1], dtype=np.int64) if len(lines) else np.zeros(0, np.int64)
-            kept = [
-                b"\n".join(line for line, g in zip(doc, gone[a : a + len(doc)].tolist()) if not g) if d else text
-                for a, doc, text, d in zip(first.tolist(), lines, raw, n_dropped.tolist())
-            ]
-            null = batch.column(column).is_null().to_pylist()
-            rest |= {
-                "text": pa.array([None if x else t for t, x in zip(kept, null)], pa.binary()).cast(pa.string()),
-                "n_lines": pa.array(np.diff(first)), "n_dropped": pa.array(n_dropped),
-            }
-        yield pa.RecordBatch.from_pydict(rest)
+            own = b"".join(digests[16 * i : 16 * i + 16] for i in at.tolist())
+            gone[at] = _held(cuckoo, exceptions, own, pairs[at, 0])
+        yield pa.RecordBatch.from_pydict(_rewritten(batch, raw, lines, gone, least))
+
+
+def _asked(number: int, table: pa.Table, shards: int) -> pa.Table:
+    """A chunk's distinct keys, by shard."""
+    distinct = {digests[i : i + 16] for batch in table.to_batches() for digests in [_keys_of(batch)[2]] for i in range(0, len(digests), 16)}
+    by_shard: dict[int, list[bytes]] = {}
+    for key in sorted(distinct):
+        by_shard.setdefault(int.from_bytes(key[8:], "little", signed=True) % shards, []).append(key)
+    return pa.table({
+        "_chunk": pa.array([number] * len(by_shard), pa.int64()),
+        "shard": pa.array(list(by_shard), pa.int32()),
+        "keys": pa.array([b"".join(k) for k in by_shard.values()], pa.binary()),
+    })
+
+
+def _answered(asked: pa.Table, filters: pa.Table) -> pa.Table:
+    """Those of the asked keys that go."""
+    chunks, out = [], []
+    for row in filters.to_pylist():
+        cuckoo, exceptions = Cuckoo(row["buckets"], row["slots"]), _exceptions(row["exceptions"])
+        for chunk, keys in zip(asked.column("_chunk").to_pylist(), asked.column("keys").to_pylist()):
+            gone = _held(cuckoo, exceptions, keys, np.frombuffer(keys, np.int64).reshape(-1, 2)[:, 0])
+            chunks.append(chunk)
+            out.append(b"".join(keys[16 * i : 16 * i + 16] for i in np.flatnonzero(gone).tolist()))
+    return pa.table({"_chunk": pa.array(chunks, pa.int64()), "keys": pa.array(out, pa.binary())})
+
+
+def _judged(table: pa.Table, answers: pa.Table, least: int) -> pa.Table:
+    keys = set().union(*(_exceptions(k) for k in answers.column("keys").to_pylist()))
+    out = []
+    for batch in table.to_batches():
+        raw, lines, digests, pairs = _keys_of(batch)
+        gone = np.array([digests[i : i + 16] in keys for i in range(0, len(digests), 16)], bool)
+        out.append(pa.RecordBatch.from_pydict(_rewritten(batch, raw, lines, gone, least)))
+    return pa.Table.from_batches(out)
+
+
+def _by_shards(state: State, docs: DataFrame, schema: T.StructType) -> DataFrame:
+    """Documents rewritten with the filters left in their shards."""
+    shards, least = state.shards, state.min_chars
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    # Written, so that a row is in the same chunk when it asks and when it is judged.
+    rows = stage(docs.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(chunks))))
+
+    def ask(number: tuple, table: pa.Table) -> pa.Table:
+        return _asked(number[0].as_py(), table, shards)
+
+    def answer(number: tuple, asked: pa.Table, filters: pa.Table) -> pa.Table:
+        return _answered(asked, filters)
+
+    def judge(number: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return _judged(table, answers, least)
+
+    asked = rows.groupBy("_chunk").applyInArrow(ask, "_chunk long, shard int, keys binary")
+    answers = asked.groupBy("shard").cogroup(state.filters.groupBy("shard")).applyInArrow(answer, "_chunk long, keys binary")
+    return rows.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(judge, schema)
 
 
 def apply(state: State, docs: DataFrame) -> DataFrame:
     """The documents without the lines that `min_docs` documents of the state hold, and n_lines, n_dropped."""
-    spark = docs.sparkSession
-    sizes = state.filters.select("shard", (F.length("slots") + F.length("exceptions") + 64).alias("b"))
-    groups, room = [[]], GROUP_BYTES
-    for shard, size in sizes.orderBy("shard").toLocalIterator():
-        if size > room and groups[-1]:
-            groups.append([])
-            room = GROUP_BYTES
-        groups[-1].append(shard)
-        room -= size
-    docs = docs.drop("n_lines", "n_dropped", "_gone")
+    size = state.filters.agg(F.sum(F.length("slots") + F.length("exceptions") + 64)).first()[0] or 0
+    docs = docs.drop("n_lines", "n_dropped", "_chunk")
     names = docs.columns
-    docs = docs.withColumn("_gone", F.lit(None).cast("array<int>"))
-    for i, group in enumerate(groups):
-        last = i == len(groups) - 1
-        rows = state.filters.where(F.col("shard").isin(group)).collect()
-        blocks = spark.sparkContext.broadcast([(r[0], r[1], bytes(r[2]), bytes(r[3])) for r in rows])
-        schema = T.StructType([f for f in docs.schema if f.name not in ("text", "_gone")])
-        if last:
-            schema = schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
-        else:
-            schema = schema.add("text", "string").add("_gone", T.ArrayType(T.IntegerType()))
-        docs = docs.mapInArrow(
-            partial(_drop, blocks=blocks, shards=state.shards, least=state.min_chars, last=last), schema
-        )
-        if not last:
-            docs = stage(docs)
-    return docs.select(*names, "n_lines", "n_dropped")
+    schema = T.StructType([f for f in docs.schema if f.name != "text"])
+    schema = schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
+    if size > FILTER_BYTES:
+        return _by_shards(state, docs, schema).select(*names, "n_lines", "n_dropped")
+    blocks = [(r[0], r[1], bytes(r[2]), bytes(r[3])) for r in state.filters.collect()]
+    step = partial(_drop, blocks=docs.sparkSession.sparkContext.broadcast(blocks), shards=state.shards, least=state.min_chars)
+    return docs.mapInArrow(step, schema).select(*names, "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

@@ -43,10 +43,29 @@ def test_against_plain_python(spark):
     assert rows(lines.dedup_lines(frame(spark, texts), min_docs=10)) == brute(texts, 10)
 
 
-def test_filters_in_several_groups(spark, monkeypatch):
-    monkeypatch.setattr(lines, "GROUP_BYTES", 1)
+@pytest.mark.parametrize("chunk", [500, 32 << 20])
+def test_filters_too_large_to_broadcast(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lines, "FILTER_BYTES", 1)
+    monkeypatch.setattr(lines, "CHUNK_BYTES", chunk)
     texts = sample(2)
     assert rows(lines.dedup_lines(frame(spark, texts), min_docs=10)) == brute(texts, 10)
+    odd = docs.odd(spark, "n_lines")
+    got = {(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(odd, 2).collect()}
+    monkeypatch.setattr(lines, "FILTER_BYTES", 64 << 20)
+    assert got == {(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(odd, 2).collect()}
+    monkeypatch.setattr(lines, "FILTER_BYTES", 1)
+    assert lines.dedup_lines(docs.empty(spark)).count() == 0
+
+
+def test_shards_are_parted_when_documents_come(spark, monkeypatch):
+    first, second = sample(5, 40), sample(6, 90)
+    state = lines.build(frame(spark, first), min_docs=12)
+    monkeypatch.setattr(lines, "SHARD_KEYS", max(1, state.counts.count() // (5 * state.shards)))
+    both = lines.change(state, frame(spark, second))
+    assert both.shards >= 2 * state.shards
+    assert rows(lines.apply(both, frame(spark, first))) == brute(first, 12, first + second)
+    back = lines.change(both, frame(spark, second), -1)
+    assert rows(lines.apply(back, frame(spark, first))) == brute(first, 12)
 
 
 def test_documents_come_and_go(spark):
