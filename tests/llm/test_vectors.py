@@ -58,3 +58,16 @@ def test_tables_reach_the_odds():
 def test_planes_are_normal():
     x = vectors.planes(64, 8, 30)
     assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03
+
+
+def test_recall_against_all_pairs(spark, sf_dir):
+    """Every vector's links, against all cosines of the larger table."""
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    df = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    want = dict(zip((r["vec_id"] for r in rows), ((x @ x.T >= 0.95).sum(1) - 1).tolist()))
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df).collect()}
+    assert sum(got.values()) >= 0.999 * sum(want.values()) > 0
+    assert all(got[i] <= n for i, n in want.items())
