@@ -392,3 +392,16 @@ def test_group_means_in_order_of_levels(rents):
     assert got == ["top", "low", "mid"]
     kept = group_mean_ols(rents, "y", "g", levels=["top", "low", "mid"], keep=2).collect()
     assert [r["term"] for r in kept] == ["top", "low"]
+
+
+def test_models_with_polynomials_nest_the_published_ones(spark, sf_dir):
+    from hearthstat import bindings
+    from hearthstat.plans import models
+
+    rental = bindings.rental(spark, sf_dir).cache()
+    plain, curved = (models.listing_size_model(rental, degree=d) for d in (1, 2))
+    assert "year_built" in plain.terms and "year_built" not in curved.terms
+    assert [t for t in curved.terms if t.startswith("poly(")] == ["poly(year_built, 2)1", "poly(year_built, 2)2"]
+    assert curved.df_residual == plain.df_residual - 1
+    assert curved.sigma2 * curved.df_residual <= plain.sigma2 * plain.df_residual * (1 + 1e-9)
+    rental.unpersist()
