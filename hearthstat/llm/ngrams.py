@@ -38,7 +38,7 @@ CHUNK, BLOCK = 48 << 20, 1 << 20
 #: The least discount; something has to be left for what was not seen.
 LEAST = 0.1
 #: N-grams that a task holds before it sends its counts.
-HELD = 1 << 21
+HELD = 1 << 20
 #: A key is fold, order and n-gram; keys are dealt to shards by their remainder of a prime.
 FOLD, LENGTH, PRIME = 56, 48, 1_000_003
 
@@ -52,9 +52,11 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep[place[1:] - 1] = False
     symbols[keep] = data
     out = symbols.copy()
-    age = np.arange(len(symbols)) - np.repeat(place[:-1], n)
     for back in range(1, ORDER):
-        out[back:] |= np.where(age[back:] >= back, symbols[:-back], 0) << np.uint64(8 * back)
+        out[back:] |= symbols[:-back] << np.uint64(8 * back)
+    # A text's first n-grams reach into the text before.
+    for age in range(min(ORDER - 1, n.max(initial=0))):
+        out[place[:-1][n > age] + age] &= np.uint64(_mask(age + 1))
     return out, place
 
 
@@ -66,12 +68,35 @@ def key(fold: int, order: int, gram: np.ndarray) -> np.ndarray:
     return gram | np.uint64(fold << FOLD | order << LENGTH)
 
 
+def _parted(x: np.ndarray) -> np.ndarray:
+    """Which of sorted numbers differ from the one before. (`np.unique` hashes, which takes ten times as long and more memory.)"""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """All different numbers, sorted."""
+    x = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+    return x[_parted(x)]
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All different numbers, sorted, and where among them each one is."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = _parted(ordered)
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
 def _rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    keys, at = _numbered(np.concatenate([k for k, _ in parts]))
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
@@ -198,26 +223,25 @@ def _pieces(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             at = end
 
 
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
 def _asked(number: int, table: pa.Table, shards: int) -> pa.Table:
     """A chunk's distinct n-grams of all orders, by shard."""
     held: list[np.ndarray] = []
     for _, data, offsets in _pieces(table):
-        held.append(np.unique(grams(data, offsets)[0]))
-        if sum(map(len, held)) > 2 * HELD:
+        held.append(_distinct([grams(data, offsets)[0]]))
+        if sum(map(len, held)) > 2 * max(HELD, len(held[0])):
             held = [_distinct(held)]
     gram = _distinct(held)
     fold, keys = number % 2, []
     for order in range(ORDER, -1, -1):
         # Shorter ones are ends of longer ones, and contexts their starts, which are ends too but for texts' first bytes.
         keys.append(key(fold, order, gram))
-        gram = np.unique(np.concatenate([gram & np.uint64(_mask(max(order - 1, 0))), gram >> np.uint64(8)])) if order else gram
-    keys = np.sort(np.concatenate(keys))
-    shard = (keys % np.uint64(PRIME) % np.uint64(shards)).astype(np.int64)
-    own = [(s, keys[shard == s]) for s in np.unique(shard).tolist()]
+        gram = _distinct([gram & np.uint64(_mask(max(order - 1, 0))), gram >> np.uint64(8)]) if order else gram
+    # Lower orders have lower keys. A stable sort by shard leaves those of a shard in their order.
+    keys = np.concatenate(keys[::-1])
+    shard = (keys % np.uint64(PRIME) % np.uint64(shards)).astype(np.int32 if shards > 1 << 15 else np.int16)
+    order = np.argsort(shard, kind="stable")
+    numbers, cuts = np.unique(shard[order], return_index=True)
+    own = list(zip(numbers.tolist(), np.split(keys[order], cuts[1:])))
     return pa.table({
         "chunk": pa.array([number] * len(own), pa.int64()),
         "shard": pa.array([s for s, _ in own], pa.int64()),
@@ -255,14 +279,18 @@ class Lookup:
         return np.where(self.keys[at] == keys, values[at], 0.0)
 
     def logs(self, gram: np.ndarray, fold: int) -> np.ndarray:
-        """The logarithm of the probability of each n-gram's last byte after the others."""
-        p = np.full(len(gram), 1 / 256)
-        for order in range(1, ORDER + 1):
-            own = gram & np.uint64(_mask(order))
-            weight = self._at(key(fold, order - 1, own >> np.uint64(8)), self.weights)
-            # A context that was never seen leaves everything to the shorter one.
-            p = np.where(weight > 0, self._at(key(fold, order, own), self.shares) + weight * p, p)
-        return np.log(p)
+        """The logarithm of the probability of each (sorted) n-gram's last byte after the others."""
+        return np.log(self._p(gram, fold, ORDER))
+
+    def _p(self, gram: np.ndarray, fold: int, order: int) -> np.ndarray:
+        if not order:
+            return np.full(len(gram), 1 / 256)
+        # Shorter ones are fewer, and sorted ones are found faster.
+        shorter, at = _numbered(gram & np.uint64(_mask(order - 1)))
+        p = self._p(shorter, fold, order - 1)[at]
+        weight = self._at(key(fold, order - 1, gram >> np.uint64(8)), self.weights)
+        # A context that was never seen leaves everything to the shorter one.
+        return np.where(weight > 0, self._at(key(fold, order, gram), self.shares) + weight * p, p)
 
 
 def _judged(number: int, texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -274,7 +302,7 @@ def _judged(number: int, texts: pa.Table, answers: pa.Table) -> pa.Table:
     ids, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
     for own, data, offsets in _pieces(texts):
         gram, place = grams(data, offsets)
-        distinct, at = np.unique(gram, return_inverse=True)
+        distinct, at = _numbered(gram)
         sums = np.concatenate([[0.0], np.cumsum(lookup.logs(distinct, fold)[at])])
         ids.append(own)
         logs.append(sums[place[1:]] - sums[place[:-1]])

@@ -143,3 +143,16 @@ def test_few_trusted_texts_of_a_language(spark):
             assert not (junk and r["keep"]) or r["lang"] not in known
             assert r["keep"] or junk or r["lang"] == "en"
         assert np.mean([r["keep"] for r in out if not rows[r["doc_id"]][2].startswith("#")]) > 0.95
+
+
+def test_shorter_ngrams_are_looked_up_once_a_block(spark, monkeypatch):
+    """Not again for each longer one that ends with them."""
+    model = ngrams.train(spark.createDataFrame([(0, t) for t in TEXTS], "fold long, text string")).toPandas()
+    lookup = ngrams.Lookup(model["key"].to_numpy().astype(np.uint64), model["share"].to_numpy(), model["weight"].to_numpy())
+    sought, at = [], ngrams.Lookup._at
+    monkeypatch.setattr(ngrams.Lookup, "_at", lambda self, keys, values: sought.append(len(keys)) or at(self, keys, values))
+    gram = np.unique(np.random.default_rng(1).choice(np.frombuffer(b"abcd", np.uint8), (4000, 8)), axis=0)
+    gram[:, :2] = 0
+    gram = np.unique(np.ascontiguousarray(gram[:, ::-1]).view("<u8").ravel())
+    assert np.isfinite(lookup.logs(gram, 0)).all()
+    assert sorted(sought) == sorted(2 * [len(np.unique(gram & np.uint64((1 << 8 * k) - 1))) for k in range(1, 7)])
