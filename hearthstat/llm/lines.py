@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthstat.llm.staging import stage
-from hearthstat.llm.texts import mix, signed
+from hearthstat.llm.texts import mix, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -45,6 +45,8 @@ SLOTS = 4
 SHARD_KEYS = 250_000
 #: The most bytes of filters and exceptions that are broadcast, and bytes of text in a chunk otherwise.
 FILTER_BYTES, CHUNK_BYTES = 64 << 20, 32 << 20
+#: Bytes of text that are cut into lines at once; a batch of Spark's may hold much more.
+PIECE_BYTES = 1 << 20
 
 COUNTS = "shard int, k1 long, k2 long, n long"
 FILTERS = "shard int, buckets int, slots binary, exceptions binary"
@@ -116,6 +118,13 @@ def _line_keys(text: bytes) -> list[bytes]:
     return [line.strip(WHITE) for line in text.lower().split(b"\n")]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with about PIECE_BYTES of text at a time, as lists of lines take several times the text's memory."""
+    for batch in batches:
+        for begin, end, *_ in slices(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
+            yield batch.slice(begin, end - begin)
+
+
 def _texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text."""
     for x in column.cast(pa.binary()):
@@ -127,7 +136,7 @@ def _long_enough(key: bytes, least: int) -> bool:
 
 
 def _distinct_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _pieces(batches):
         digests = []
         for text in _texts(batch.column(0)):
             digests += [xxhash.xxh3_128_digest(k) for k in set(_line_keys(text)) if k and _long_enough(k, least)]
@@ -259,7 +268,7 @@ def _rewritten(batch: pa.RecordBatch, raw: list[bytes], lines: list[list[bytes]]
 def _drop(batches: Iterator[pa.RecordBatch], blocks, shards: int, least: int) -> Iterator[pa.RecordBatch]:
     """Take out the lines that the broadcast filters hold."""
     held = None
-    for batch in batches:
+    for batch in _pieces(batches):
         if held is None:
             held = {s: (Cuckoo(n, slots), _exceptions(more)) for s, n, slots, more in blocks.value}
         raw, lines, digests, pairs = _keys_of(batch)
@@ -274,7 +283,7 @@ def _drop(batches: Iterator[pa.RecordBatch], blocks, shards: int, least: int) ->
 
 def _asked(number: int, table: pa.Table, shards: int) -> pa.Table:
     """A chunk's distinct keys, by shard."""
-    distinct = {digests[i : i + 16] for batch in table.to_batches() for digests in [_keys_of(batch)[2]] for i in range(0, len(digests), 16)}
+    distinct = {digests[i : i + 16] for batch in _pieces(table.to_batches()) for digests in [_keys_of(batch)[2]] for i in range(0, len(digests), 16)}
     by_shard: dict[int, list[bytes]] = {}
     for key in sorted(distinct):
         by_shard.setdefault(int.from_bytes(key[8:], "little", signed=True) % shards, []).append(key)
@@ -300,7 +309,7 @@ def _answered(asked: pa.Table, filters: pa.Table) -> pa.Table:
 def _judged(table: pa.Table, answers: pa.Table, least: int) -> pa.Table:
     keys = set().union(*(_exceptions(k) for k in answers.column("keys").to_pylist()))
     out = []
-    for batch in table.to_batches():
+    for batch in _pieces(table.to_batches()):
         raw, lines, digests, pairs = _keys_of(batch)
         gone = np.array([digests[i : i + 16] in keys for i in range(0, len(digests), 16)], bool)
         out.append(pa.RecordBatch.from_pydict(_rewritten(batch, raw, lines, gone, least)))

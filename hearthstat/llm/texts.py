@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1

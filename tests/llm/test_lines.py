@@ -100,3 +100,17 @@ def test_odd_rows(spark, extra):
     expected = brute(texts, 2)
     assert sorted(map(repr, ((r["text"], r["n_lines"], r["n_dropped"]) for r in out))) == sorted(map(repr, expected))
     assert lines.dedup_lines(docs.empty(spark)).count() == 0
+
+
+def test_long_texts_of_a_batch_are_cut_a_few_at_a_time(monkeypatch):
+    """Lists of lines take several times the memory of the text, of which a batch may hold very much."""
+    import pyarrow as pa
+
+    text = "some line\n" * 20_000 + "end"
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text, None, "", text, "x", text] * 10)})
+    rows, keys_of = [], lines._keys_of
+    monkeypatch.setattr(lines, "_keys_of", lambda part: rows.append(part.num_rows) or keys_of(part))
+    blocks = type("Blocks", (), {"value": []})
+    out = list(lines._drop(iter([batch]), blocks, 8, 1))
+    assert pa.Table.from_batches(out).column("text").to_pylist() == batch.column("text").to_pylist()
+    assert sum(rows) == 60 and max(rows) < 20

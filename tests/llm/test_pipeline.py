@@ -76,3 +76,13 @@ def test_odd_and_empty_tables(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         out = corpus_pipeline.run(spark, path).collect()
         assert (len(out) > 5) == (name == "odd")
+
+
+def test_batches_are_of_few_bytes_however_long_texts_are(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 200, 1, 1).select("id", F.repeat(F.lit("some words "), 20_000).alias("text"))
+    corpus_pipeline._bound_batches(spark)
+    sizes = df.mapInArrow(lambda batches: (b.select(["id"]) for b in batches), "id long")
+    assert sizes.count() == 200
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == corpus_pipeline.BATCH_BYTES < 16 << 20
