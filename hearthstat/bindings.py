@@ -296,7 +296,8 @@ def staged_rental(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"rental_{_state(spark, sf_dir)}"
     if spark.catalog.tableExists(name):
         return spark.table(name).select(*conform.RENTAL_COLUMNS)
-    return stage_bucketed(rental(spark, sf_dir), name, "parcel_num", "year", path=f"{shared_dir(spark)}/{name}")
+    path = f"{shared_dir(spark)}/{name}"
+    return stage_bucketed(rental(spark, sf_dir), name, "parcel_num", "year", path=path, dealt=True)
 
 
 def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,23 @@ def _full(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -
     return kept.select(*[both[keys.index(c)] if c in keys else F.col(c) for c in left.columns], *rest)
 
 
+def by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on one text column, NULL matching NULL, whose result is dealt by that column's hash alone.
+
+    Both sides are shuffled for this join, so a hot key can be split, and the result can be
+    written in buckets of the key as it is (`stage_bucketed(dealt=True)`). NULL goes by an
+    unlikely text; the second condition keeps it apart from that text.
+    """
+    plain = [F.coalesce(key, F.lit("\0")).alias("__key"), F.col(key).isNull().alias("__none")]
+    others = [c for c in left.columns if c != key]
+    rest = [c for c in right.columns if c != key]
+    renamed = right.select(plain[0].alias("__r_key"), plain[1].alias("__r_none"), *rest)
+    # Not written as an equality, which would be shuffled by as well.
+    alike = F.when(F.col("__none"), F.col("__r_none")).otherwise(~F.col("__r_none"))
+    joined = left.select(*plain, *others).join(renamed.hint("merge"), (F.col("__key") == F.col("__r_key")) & alike)
+    return joined.select(F.when(~F.col("__none"), F.col("__key")).alias(key), *others, *rest)
+
+
 def with_group_totals(df: DataFrame, key: str, totals: dict[str, Column]) -> DataFrame:
     """Put per-group aggregates back on every row of the group.
 

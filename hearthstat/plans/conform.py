@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import semantics as S
-from ..operators.joins import natural_join, with_group_totals
+from ..operators.joins import by_key, natural_join, with_group_totals
 from ..operators.series import stack_rows
 
 # Permit classes that change the housing stock.
@@ -276,8 +276,9 @@ def rental_data(
     )
     holders = repeats(owners.filter(F.col("geo_id").isNotNull()), OWNER_ATTRIBUTES, "__owner")
     # Inner joins: an unmatched listing has no property type or tract and is left out anyway.
+    # The parcels' attributes are joined first, so that apartment types, the largest side, move once.
     # A parcel may have very many holders, hence the fresh shuffle.
-    joined = natural_join(holders, natural_join(apartment_types, roll_types), reshuffle=True)
+    joined = by_key(apartment_types, natural_join(holders, roll_types), "parcel_num")
     return joined.select(
         *RENTAL_KEYS,
         (F.col("__listings") * F.col("__roll") * F.col("__owner")).alias("listing_count"),

@@ -87,17 +87,24 @@ def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Da
 
 
 def stage_bucketed(
-    df: DataFrame, table: str, by: str, partition_by: str, buckets: int | None = None, path: str | None = None
+    df: DataFrame,
+    table: str,
+    by: str,
+    partition_by: str,
+    buckets: int | None = None,
+    path: str | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Publish a table in buckets of ``by`` within partitions, so that grouping and joining on it need no shuffle.
 
     The catalog keeps the layout under the name ``table``; files lie in ``path``, or in the
     warehouse. Rows are rebalanced by bucket first, which writes few files and still parts
-    the rows of a hot key over several. Returns the table as read back.
+    the rows of a hot key over several; with ``dealt`` the rows already lie by the hash of
+    ``by`` (see ``joins.by_key``) and do not move again. Returns the table as read back.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.hint("rebalance", buckets, by).write.mode("overwrite").partitionBy(partition_by).bucketBy(buckets, by)
+    writer = (df if dealt else df.hint("rebalance", buckets, by)).write.mode("overwrite").partitionBy(partition_by).bucketBy(buckets, by)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)

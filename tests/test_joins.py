@@ -180,3 +180,29 @@ def test_full_join_of_empty_sides(spark):
     assert joins.natural_join(left, right.limit(0), "full").collect()[0]["l"] == 1
     two = left.withColumn("j", F.lit(None).cast("int"))
     assert joins.natural_join(two, two.select("k", "j", F.lit(9).alias("r")), "full").collect()[0].asDict() == {"k": "a", "l": 1, "j": None, "r": 9}
+
+
+def test_join_by_key_lies_in_buckets_of_the_key(spark):
+    """NULL matches NULL and not the text that it goes by; the other rows lie where a bucketed table has them."""
+    key = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 == 1, F.lit("\0")).otherwise((F.col("id") % 50).cast("string"))
+    left = spark.range(400).select(F.col("id").alias("l"), key.alias("k"))
+    right = spark.range(60).select(key.alias("k"), F.col("id").alias("r"))
+    want = left.alias("a").join(right.alias("b"), F.expr("a.k <=> b.k"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = joins.by_key(left, right, "k")
+        assert got.columns == ["k", "l", "r"]
+        assert rows(got, "k", "l", "r") == rows(want, "a.k", "l", "r")
+        place = got.where("k IS NOT NULL").select(F.spark_partition_id().alias("p"), F.expr("pmod(hash(k), 4)").alias("b"))
+        assert all(r["p"] == r["b"] for r in place.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_join_by_key_parts_a_hot_key(spark, splitting):
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000).cast("string")
+    left = spark.range(0, 60_000, 1, 8).select(key.alias("k"), F.col("id").alias("l"))
+    small = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("a"))
+    got = joins.by_key(left, joins.natural_join(small, small.select("k", (-F.col("a")).alias("b"))), "k")
+    assert len(got.collect()) == 60_000
+    assert "skew=true" in executed(got)
